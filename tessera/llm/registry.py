@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import op1_decontaminate, op1_sql
+from tessera.llm.langid import op10_langid
 from tessera.llm.mixing import op5_mix, op5_sql
+from tessera.llm.quality import op3_quality
 from tessera.llm.sharding import op4_shard, op4_sql
+from tessera.llm.simhash import op7_simhash
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op4_shard": op4_shard, "op5_mix": op5_mix}
+    return {"op1_decontaminate": op1_decontaminate, "op3_quality": op3_quality, "op4_shard": op4_shard, "op5_mix": op5_mix, "op7_simhash": op7_simhash, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
