@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower, fresh, table
+from tessera.plans.lineage import cut
 from tessera.plans.skew import lookup_join
 
 #: Bound of the labelled sample that the two classifiers are fitted on, and of the lexicon.
@@ -167,6 +168,7 @@ def strength(rates: DataFrame, mean: str, level: str, n: str) -> Column:
 def site_posteriors(scored: DataFrame, host: str, path: str, p: str) -> tuple[DataFrame, float]:
     """(host, path, host_rate, path_rate), and the global rate, from each document's probability of being good."""
     paths = scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.sum(p).alias("s"), F.count("*").cast("double").alias("n"))
+    paths = cut(paths)  # one row a path: the scoring pass behind it runs once
     hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
     total = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n")).first()
     if not total.n:
@@ -178,7 +180,7 @@ def site_posteriors(scored: DataFrame, host: str, path: str, p: str) -> tuple[Da
     both = lookup_join(paths, h.withColumnRenamed("h", "host"), ["host"]).withColumn("r", F.col("s") / F.col("n"))
     m2 = round(both.agg(strength(both, "host_rate", "r", "n").alias("m")).first().m, 6)
     rate = (F.col("s") + m2 * F.col("host_rate")) / (F.col("n") + m2)
-    return both.select("host", "path", F.round("host_rate", 6).alias("host_rate"), F.round(rate, 6).alias("path_rate")), mu
+    return cut(both.select("host", "path", F.round("host_rate", 6).alias("host_rate"), F.round(rate, 6).alias("path_rate"))), mu
 
 
 def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", cutoff: float = 0.5, n: int = TRAIN_ROWS) -> DataFrame:
