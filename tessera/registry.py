@@ -1,11 +1,239 @@
-"""Queries over the driver's tables and the SQL that each must agree with."""
+"""Queries over the driver's tables and the SQL that each must agree with.
+
+Queries built on DataFrame operators have SQL of their own. Evaluation queries run one SQL text on both engines, over base
+relations that Spark builds with the operators and DuckDB with independent table expressions.
+"""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as tx
+from tessera.operators import fusion, splits
+from tessera.operators.bm25 import Index
+from tessera.operators.components import connected_components
+from tessera.operators.vector import dense_search, embedding_quality, hashed_components
+from tessera.plans.base import DEPTH, DUCK_BASE, EVAL, rankings, register
+from tessera.sources.tables import corpus, derived_qrels, queries as query_table, table
+
+_SPARK, _DUCK = {}, {}
+
+
+def _spark_text(sql: str) -> str:
+    sql = re.sub(r"SHA\{(.*?)\}", r"sha2(\1, 256)", sql)
+    sql = re.sub(r"HEX\{(.*?)\}", r"CAST(conv(\1, 16, 10) AS BIGINT)", sql)
+    return re.sub(r"LIST\{(.*?)\}", r"array_join(array_sort(collect_set(\1)), ',')", sql)
+
+
+def _duck_text(sql: str) -> str:
+    sql = re.sub(r"SHA\{(.*?)\}", r"sha256(\1)", sql)
+    sql = re.sub(r"HEX\{(.*?)\}", r"CAST('0x' || \1 AS BIGINT)", sql)
+    return re.sub(r"LIST\{(.*?)\}", r"string_agg(DISTINCT \1, ',' ORDER BY \1)", sql)
+
+
+def both(name: str, sql: str, evaluate: bool = True) -> None:
+    """A query whose SQL runs on either engine."""
+    names = {t for t in ("qrels", "rankings", "events", "orders", "lineitem", "embeddings", "conversations", "customer") if re.search(rf"\b{t}\b", sql + (EVAL if evaluate else ""))}
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        register(spark, d, names)
+        head = f"WITH {EVAL}" if evaluate else ""
+        join = "," if evaluate and sql.lstrip().startswith("WITH ") else " "
+        return spark.sql(_spark_text(head + join + (re.sub(r"^\s*WITH ", "", sql) if join == "," else sql)))
+
+    body = re.sub(r"^\s*WITH ", ", ", sql) if sql.lstrip().startswith("WITH ") else " " + sql
+    _SPARK[name], _DUCK[name] = run, _duck_text(f"WITH {DUCK_BASE}" + (f", {EVAL}" if evaluate else "") + body)
+
+
+def query(name: str, sql: str | None = None, base: bool = False):
+    def add(f):
+        _SPARK[name] = f
+        if sql:
+            _DUCK[name] = (f"WITH {DUCK_BASE} " if base else "") + sql
+        return f
+
+    return add
+
+
+TOK = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+'), lambda x: lower(x))"
+R = "ORDER BY"
+
+# --- text ------------------------------------------------------------------------------------------------------------
+
+query("tokenize_counts", f"SELECT doc_id, len({TOK})::BIGINT AS n_tokens, len(list_distinct({TOK}))::BIGINT AS n_distinct FROM documents")(
+    lambda s, d: table(s, d, "documents").select("doc_id", F.size(tx.tokenize(F.col("text"))).cast("long").alias("n_tokens"), F.size(F.array_distinct(tx.tokenize(F.col("text")))).cast("long").alias("n_distinct")))
+query("flatten_text", r"""SELECT event_id, 'k ' || regexp_extract(props, '-?[0-9]+') AS flat FROM events""")(lambda s, d: table(s, d, "events").select("event_id", tx.flatten_udf("props").alias("flat")))
+query("json_key_census", "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")(
+    lambda s, d: table(s, d, "events").select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n")))
+query("normalize_unicode")(lambda s, d: table(s, d, "documents").select("doc_id", F.md5(tx.normalize_udf("text")).alias("digest")))
+query("id_prefix", "SELECT split_part(p_name, ' ', 1) AS head, CASE WHEN contains(p_type, ' ') THEN regexp_extract(p_type, '^(.*) ', 1) ELSE 'unknown' END AS domain, count(*) AS n FROM part GROUP BY ALL")(
+    lambda s, d: table(s, d, "part").groupBy(F.substring_index("p_name", " ", 1).alias("head"), tx.id_prefix(F.col("p_type"), " ").alias("domain")).agg(F.count("*").alias("n")))
+query("excerpt", "SELECT doc_id, CASE WHEN length(text) <= 240 THEN text ELSE regexp_replace(substr(text, 1, 237), ' [^ ]*$', '') || '...' END AS excerpt FROM documents")(
+    lambda s, d: table(s, d, "documents").select("doc_id", tx.excerpt(F.col("text")).alias("excerpt")))
+query("name_counterparts", """WITH s AS (SELECT p_partkey, array_to_string(regexp_extract_all(lower(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[a-z0-9]+'), '_') AS a,
+  array_to_string(regexp_extract_all(lower(regexp_replace('My ' || p_name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[a-z0-9]+'), '_') AS b FROM part)
+  SELECT p_partkey, length(a) >= 12 AND (a = b OR ends_with(b, '_' || a)) AS counterpart FROM s""")(
+    lambda s, d: table(s, d, "part").select("p_partkey", tx.name_counterpart(F.col("p_name"), F.concat(F.lit("My "), F.col("p_name"))).alias("counterpart")))
+
+
+@query("normalize_dedup", r"""WITH n AS (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS id, lower(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS norm FROM conversations)
+  SELECT id, CASE WHEN id = min(id) OVER (PARTITION BY norm) THEN 0 ELSE 2 END::INT AS reason FROM n""")
+def _dedup(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return splits.eligible(c, tx.normalize_ascii(F.col("text")), "id").select("id", "reason")
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+
+query("corpus_stats", "SELECT n, round(avgdl, 9) AS avgdl FROM st", True)(lambda s, d: Index(corpus(s, d)).stats.select("n", F.round("avgdl", 9).alias("avgdl")))
+query("term_stats", "SELECT term, df FROM df", True)(lambda s, d: Index(corpus(s, d)).term_stats)
+query("postings", "SELECT term, doc_id, tf, dl::INT AS dl FROM tf", True)(lambda s, d: Index(corpus(s, d)).postings.select("term", "doc_id", "tf", "dl"))
+query("idf_table", "SELECT term, round(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)), 9) AS idf FROM df, st", True)(lambda s, d: Index(corpus(s, d)).idf().select("term", F.round("idf", 9).alias("idf")))
+query("bm25_scores", "SELECT query_id, doc_id, round(score, 9) AS score FROM bs", True)(lambda s, d: Index(corpus(s, d)).scores(query_table(s, d)).select("query_id", "doc_id", F.round("score", 9).alias("score")))
+query("bm25_topk", "SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bs) WHERE rank <= 10", True)(
+    lambda s, d: Index(corpus(s, d)).search(query_table(s, d), 10, pad=False).select("query_id", "doc_id", "score", "rank"))
+query("bm25_topk_padded", "SELECT query_id, doc_id, score, rank::INT AS rank FROM bm25", True)(lambda s, d: Index(corpus(s, d)).search(query_table(s, d), DEPTH).select("query_id", "doc_id", "score", "rank"))
+query("hashed_embeddings", "SELECT id AS doc_id, i::INT AS i, x FROM hc", True)(lambda s, d: hashed_components(corpus(s, d), "doc_id", "text").where("x <> 0"))
+query("dense_topk", "SELECT query_id, doc_id, rank FROM dense", True)(lambda s, d: rankings(s, d).where("method = 'dense'").select("query_id", "doc_id", "rank"))
+query("embedding_quality", """SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim, count_if(len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS not_finite,
+  count_if(abs(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) - 1) > 1e-5) AS not_unit FROM embeddings""")(lambda s, d: embedding_quality(table(s, d, "embeddings"), "vec_id", "embedding").select(*["n", "ids", "min_dim", "max_dim", "not_finite", "not_unit"]))
+
+
+@query("vector_label_topk", """WITH e AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v FROM embeddings),
+  s AS (SELECT q.id AS query_id, e.id AS doc_id, round(list_inner_product(q.v, e.v), 9) AS score FROM e q JOIN e ON q.id::BIGINT < 20 AND e.id <> q.id)
+  SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return dense_search(e.where(F.col("doc_id").cast("long") < 20).withColumnRenamed("doc_id", "query_id"), e, 10, own=False)
+
+
+def _legs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    r = rankings(s, d)
+    return r.where("method = 'bm25'"), r.where("method = 'dense'")
+
+
+_UNION = "(SELECT query_id, doc_id, rank, 1e0 AS w, 0 AS leg FROM bm25 UNION ALL SELECT query_id, doc_id, rank, {w}, 1 FROM dense)"
+query("rrf_weighted", f"SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT query_id, doc_id, round(sum(w / (10 + rank)), 9) AS score FROM {_UNION.format(w='1.25e0')} GROUP BY ALL)", True)(
+    lambda s, d: fusion.weighted_rrf(_legs(s, d), [1, 1.25], 10))
+query("rrf_unweighted", f"SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, leg, rk)::INT AS rank FROM (SELECT query_id, doc_id, round(sum(w / (60 + rank)), 9) AS score, min(leg) AS leg, arg_min(rank, leg) AS rk FROM {_UNION.format(w='1e0')} GROUP BY ALL)", True)(
+    lambda s, d: fusion.weighted_rrf(_legs(s, d), k=60, first_seen=True).select("query_id", "doc_id", "score", "rank"))
+_RRF = "WITH par AS (SELECT * FROM (VALUES {v}) AS t({c})), f AS (SELECT {c}, query_id, doc_id, round(sum(1e0 / ({k} + rank)), 9) AS score FROM rankings CROSS JOIN par WHERE method IN ('bm25', 'dense'){w} GROUP BY {c}, query_id, doc_id), o AS (SELECT *, row_number() OVER (PARTITION BY {c}, query_id ORDER BY score DESC, doc_id) AS rank FROM f), e AS (SELECT o.{c}, o.query_id, min(o.rank) AS first_rank, sum(CASE WHEN o.rank <= 10 THEN 1e0 ELSE 0e0 END) AS h FROM o JOIN qrels x ON o.query_id = x.query_id AND o.doc_id = x.doc_id GROUP BY o.{c}, o.query_id) SELECT par.{c}, round(avg(coalesce(1e0 / first_rank, 0e0)), 9) AS mrr, round(avg(coalesce(h / g, 0e0)), 9) AS recall10 FROM par CROSS JOIN queries q LEFT JOIN e ON e.{c} = par.{c} AND e.query_id = q.query_id LEFT JOIN gold ON gold.query_id = q.query_id GROUP BY par.{c}"
+both("rrf_k_ablation", _RRF.format(v="(10), (20), (40), (60), (100)", c="rrf_k", k="rrf_k", w=""))
+both("candidate_depth_ablation", _RRF.format(v="(25), (50), (100)", c="depth", k="60", w=" AND rank <= depth"))
+both("rerank_prefix", "SELECT query_id, doc_id, rank FROM rankings WHERE method = 'reranked'", False)
+
+# --- metrics ---------------------------------------------------------------------------------------------------------
+
+for _m in ("bm25", "dense", "hybrid", "reranked"):
+    both(f"{_m}_eval", f"SELECT method, round(avg(recall), 9) AS recall10, round(avg(mrr), 9) AS mrr10, round(avg(rr), 9) AS mrr, round(avg(ndcg), 9) AS ndcg10, round(avg(coverage), 9) AS coverage10, count(*) AS n FROM pq WHERE method = '{_m}' GROUP BY method")
+both("binary_metrics", "SELECT query_id, method, round(recall, 9) AS recall10, round(mrr, 9) AS mrr10, round(ndcg, 9) AS ndcg10, coverage AS coverage10 FROM pq")
+both("recall_at_k", "SELECT query_id, method, round(recall, 9) AS recall10 FROM pq")
+both("mrr", "SELECT query_id, method, round(rr, 9) AS rr FROM pq")
+both("ndcg_at_k", "SELECT query_id, method, round(ndcg, 9) AS ndcg10 FROM pq")
+both("macro_metrics_multi_k", "WITH ks AS (SELECT * FROM (VALUES (1), (5), (10)) AS t(k)), e AS (SELECT k, method, h.query_id, count(*) * 1e0 / max(g) AS r FROM hits h JOIN gold ON gold.query_id = h.query_id CROSS JOIN ks WHERE rank <= k GROUP BY k, method, h.query_id), n AS (SELECT count(*) AS n FROM queries), m AS (SELECT DISTINCT method FROM rankings) SELECT ks.k, m.method, round(coalesce(sum(r), 0e0) / max(n), 9) AS recall FROM ks CROSS JOIN m CROSS JOIN n LEFT JOIN e ON e.k = ks.k AND e.method = m.method GROUP BY ks.k, m.method")
+both("first_relevant_rank", "SELECT query_id, method, first_rank FROM pq")
+both("rank_effects", "SELECT query_id, CASE WHEN rb IS NULL AND ra IS NULL THEN 'unchanged_missing' WHEN rb IS NULL OR ra < rb THEN 'improved' WHEN ra IS NULL OR ra > rb THEN 'hurt' ELSE 'unchanged' END AS effect FROM gain")
+both("rank_transitions", "WITH g AS (SELECT b.query_id, b.doc_id, b.rank AS rb, a.rank AS ra FROM rankings b JOIN rankings a ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.method = 'hybrid' AND a.method = 'reranked' JOIN qrels x ON x.query_id = b.query_id AND x.doc_id = b.doc_id) SELECT query_id, doc_id, CASE WHEN rb <= 10 AND ra > 10 THEN 'left_top10' WHEN rb > 10 AND ra <= 10 THEN 'entered_top10' WHEN rb > 10 THEN 'outside_top10' WHEN ra < rb THEN 'raised' WHEN ra > rb THEN 'lowered' ELSE 'kept' END AS transition FROM g")
+
+# --- routing ---------------------------------------------------------------------------------------------------------
+
+both("gate_disagreement", "SELECT query_id, top1_disagreement > 0 AS rerank FROM features")
+both("gate_jaccard", "SELECT query_id, jaccard10 < 0.5e0 AS rerank FROM features")
+both("router_features", "SELECT query_id, top1_disagreement, round(jaccard10, 9) AS jaccard10, round(jaccard20, 9) AS jaccard20, round(rank_overlap, 9) AS rank_overlap, round(coherence, 9) AS coherence, round(log_words, 9) AS log_words, round(margin, 7) AS margin FROM features")
+both("ridge_moments", "SELECT count(*) AS n, " + ", ".join(f"round(avg({f}), 7) AS m_{f}, round(sum({f} * d), 7) AS x_{f}" for f in ("top1_disagreement", "jaccard10", "jaccard20", "rank_overlap", "coherence", "log_words")) + " FROM features JOIN gain ON gain.query_id = features.query_id")
+both("router_predict", "SELECT query_id, round(p, 7) AS p FROM pred")
+both("budget_thresholds", "SELECT budget, round(t, 7) AS threshold FROM th")
+both("route_decisions", "SELECT query_id, policy, rerank FROM decisions")
+_POL = "SELECT {g}policy, round(avg(CASE WHEN rerank THEN after ELSE base END), 9) AS ndcg10, count_if(rerank) AS calls, 20 * count_if(rerank) AS pairs FROM decisions JOIN gain ON gain.query_id = decisions.query_id GROUP BY {b}"
+both("policy_summary", _POL.format(g="", b="policy"))
+both("policy_by_source_rollup", _POL.format(g="coalesce(decisions.src, 'all') AS source, ", b="GROUPING SETS ((policy, decisions.src), (policy))"))
+both("routing_effects", "SELECT policy, count_if(NOT rerank AND d > 1e-12) AS harmful_skips, count_if(NOT rerank AND d < -1e-12) AS beneficial_skips, count_if(rerank AND d < -1e-12) AS harmful_reranks, count_if(rerank AND d > 1e-12) AS beneficial_reranks, round(sum(CASE WHEN NOT rerank THEN greatest(d, 0e0) ELSE 0e0 END), 9) AS forgone, round(sum(CASE WHEN NOT rerank THEN greatest(-d, 0e0) ELSE 0e0 END), 9) AS avoided FROM decisions JOIN gain ON gain.query_id = decisions.query_id GROUP BY policy")
+_CALLS = "WITH c AS (SELECT policy, count_if(rerank) AS n FROM decisions GROUP BY policy)"
+both("oracle_ceiling", _CALLS + ", o AS (SELECT d, base, row_number() OVER (ORDER BY round(d, 9) DESC, query_id) AS r FROM gain) SELECT policy, round(avg(base + CASE WHEN r <= n THEN d ELSE 0e0 END), 9) AS ndcg10 FROM c CROSS JOIN o GROUP BY policy")
+_RAND = _CALLS.replace("WITH c AS (SELECT policy, count_if(rerank) AS n FROM decisions GROUP BY policy)", "WITH c AS (SELECT policy{s}, count_if(rerank) AS n FROM decisions GROUP BY policy{s})") + ", seeds AS (SELECT * FROM (VALUES ('0'), ('1'), ('2'), ('3'), ('4')) AS t(seed)), o AS (SELECT seed, src, d, base, row_number() OVER (PARTITION BY seed{s} ORDER BY SHA{{seed || '|' || query_id}}, query_id) AS r FROM gain CROSS JOIN seeds), e AS (SELECT policy, seed, avg(base + CASE WHEN r <= n THEN d ELSE 0e0 END) AS v FROM c JOIN o ON {j} GROUP BY policy, seed) SELECT policy, round(avg(v), 9) AS mean, round(min(v), 9) AS low, round(max(v), 9) AS high FROM e GROUP BY policy"
+both("random_controls_hash", _RAND.format(s="", j="TRUE"))
+both("random_source_matched_hash", _RAND.format(s=", src", j="c.src = o.src"))
+both("routing_summary", "SELECT policy, coalesce(decisions.src, 'all') AS source, rerank, count(*) AS n, round(avg(d), 9) AS mean_gain FROM decisions JOIN gain ON gain.query_id = decisions.query_id GROUP BY GROUPING SETS ((policy, rerank, decisions.src), (policy, rerank))")
+both("failure_records", "SELECT gain.query_id, gain.src, round(base, 9) AS before, round(after, 9) AS after_, CASE WHEN d > 1e-12 THEN 'win' WHEN d < -1e-12 THEN 'loss' ELSE 'tie' END AS outcome, round(pq.coverage, 9) AS covered FROM gain JOIN pq ON pq.query_id = gain.query_id AND pq.method = 'hybrid'")
+both("failure_strata", "WITH s AS (SELECT gain.src, CASE WHEN coalesce(g, 0) >= 3 THEN '3+' ELSE CAST(coalesce(g, 0) AS VARCHAR(5)) END AS positives, CASE WHEN d > 1e-12 THEN 'win' WHEN d < -1e-12 THEN 'loss' ELSE 'tie' END AS outcome, base, after FROM gain LEFT JOIN gold ON gold.query_id = gain.query_id) SELECT coalesce(src, '') AS source, coalesce(positives, '') AS positives, coalesce(outcome, '') AS outcome, count(*) AS n, round(avg(base), 9) AS before, round(avg(after), 9) AS after_ FROM s GROUP BY GROUPING SETS ((src), (positives), (outcome), ())")
+both("case_selection", "WITH o AS (SELECT src, query_id, d, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), query_id) AS l, row_number() OVER (PARTITION BY src ORDER BY round(d, 9) DESC, query_id) AS w FROM gain) SELECT src, query_id, round(d, 9) AS d, 'loss' AS side FROM o WHERE l <= 5 AND d < 0 UNION ALL SELECT src, query_id, round(d, 9), 'win' FROM o WHERE w <= 5 AND d > 0")
+both("cache_violations", "WITH v AS (SELECT method || ':' || query_id AS id, 'duplicate' AS rule FROM rankings GROUP BY method, query_id HAVING count(*) <> count(DISTINCT doc_id) UNION ALL SELECT method || ':' || query_id, 'gap' FROM rankings GROUP BY method, query_id HAVING max(rank) <> count(*) UNION ALL SELECT query_id, 'no_gold' FROM queries WHERE query_id NOT IN (SELECT query_id FROM gold) UNION ALL SELECT a.query_id, 'tail' FROM rankings a JOIN rankings b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.method = 'hybrid' AND b.method = 'reranked' WHERE a.rank > 20 AND a.rank <> b.rank) SELECT rule, count(*) AS n FROM v GROUP BY rule")
+
+
+@query("gated_rerank", "SELECT h.query_id, h.doc_id, CASE WHEN t.a <> t.b THEN r.rank ELSE h.rank END AS rank FROM hybrid h JOIN reranked r USING (query_id, doc_id) JOIN (SELECT b.query_id, b.doc_id AS a, d.doc_id AS b FROM bm25 b JOIN dense d USING (query_id) WHERE b.rank = 1 AND d.rank = 1) t USING (query_id)", True)
+def _gated(s: SparkSession, d: str) -> DataFrame:
+    r, docs, qs = rankings(s, d), corpus(s, d), query_table(s, d)
+    top = r.where("rank = 1 AND method IN ('bm25', 'dense')").groupBy("query_id").agg(F.count_distinct("doc_id").alias("n")).where("n > 1").select("query_id")
+    score = lambda pairs: fusion.token_overlap(pairs, qs, docs, tx.tokenize)
+    out = fusion.gated_rerank(r.where("method = 'hybrid'"), top, score)
+    return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+# --- statistics ------------------------------------------------------------------------------------------------------
+
+both("paired_deltas", "SELECT query_id, round(d, 9) AS delta FROM gain")
+both("sign_test_counts", "SELECT count_if(d > 1e-12) AS wins, count_if(d < -1e-12) AS losses, count_if(abs(d) <= 1e-12) AS ties FROM gain")
+_BOOT = "WITH reps AS (SELECT CAST(t.r AS BIGINT) AS r FROM ({reps}) AS t), g AS (SELECT {p} AS grp, {i} AS unit, sum(d) AS d, count(*) AS c FROM ({src}) AS x GROUP BY {gb}), n AS (SELECT grp, unit, d, c, row_number() OVER (PARTITION BY grp ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM g), dr AS (SELECT r, a.grp, HEX{{substr(md5('boot|' || a.grp || '|' || CAST(r AS VARCHAR(20)) || '|' || CAST(a.i AS VARCHAR(20))), 1, 8)}} % a.n AS i FROM n a CROSS JOIN reps), m AS (SELECT dr.r, dr.grp, sum(n.d) / sum(n.c) AS v FROM dr JOIN n ON n.grp = dr.grp AND n.i = dr.i GROUP BY dr.r, dr.grp), k AS (SELECT r, avg(v) AS v FROM m GROUP BY r) SELECT round(percentile_cont(0.025) WITHIN GROUP (ORDER BY v), 7) AS low, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY v), 7) AS high, count(*) AS resamples FROM k"
+_REPS = " UNION ALL ".join(f"SELECT {i} AS a" for i in range(10))
+_REPS = f"SELECT x.a + 10 * y.a + 100 * z.a AS r FROM ({_REPS}) AS x CROSS JOIN ({_REPS}) AS y CROSS JOIN ({_REPS}) AS z"
+both("bootstrap_hash_ci", _BOOT.format(reps=_REPS, p="'all'", i="query_id", src="SELECT * FROM gain", gb="query_id"))
+both("stratified_bootstrap_hash_ci", _BOOT.format(reps=_REPS, p="src", i="query_id", src="SELECT * FROM gain", gb="src, query_id"))
+both("component_bootstrap_hash_ci", _BOOT.format(reps=_REPS, p="src", i="component", src="SELECT gain.src, gain.d, coalesce(c.component, gain.query_id) AS component FROM gain LEFT JOIN (SELECT query_id, min(doc_id) AS component FROM qrels GROUP BY query_id) c ON c.query_id = gain.query_id", gb="src, component"))
+_LAT = "WITH ev AS (SELECT user_id, event_type AS policy, value AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS repetition FROM events)"
+both("latency_summary", _LAT + " SELECT policy, count(*) AS n, round(avg(ms), 6) AS mean_ms, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ms), 6) AS p50_ms, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY ms), 6) AS p95_ms FROM ev GROUP BY policy", False)
+both("latency_reduction", _LAT + ", u AS (SELECT user_id, policy, avg(ms) AS ms FROM ev GROUP BY user_id, policy), b AS (SELECT user_id, avg(ms) AS ms FROM u GROUP BY user_id) SELECT policy, round(avg(u.ms - b.ms), 6) AS delta_ms, round(1e0 - sum(u.ms) / sum(b.ms), 6) AS reduction FROM u JOIN b ON b.user_id = u.user_id GROUP BY policy", False)
+both("replay_percentiles", _LAT + ", t AS (SELECT user_id, repetition, sum(ms) AS ms, count(*) AS parts FROM ev GROUP BY user_id, repetition) SELECT repetition, count(*) AS n, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ms), 6) AS p50_ms, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY ms), 6) AS p95_ms FROM t GROUP BY repetition", False)
+
+# --- splits and training data ----------------------------------------------------------------------------------------
+
+query("hash_sample", "SELECT o_orderkey, rank::INT AS rank FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('s1' || chr(0) || o_orderkey::VARCHAR), o_orderkey::VARCHAR) AS rank FROM orders) WHERE rank <= 50")(
+    lambda s, d: splits.hash_sample(table(s, d, "orders"), "o_orderpriority", "o_orderkey", 50, "s1").select("o_orderkey", "rank"))
+both("holdout_split", "WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY SHA{'h1|' || CAST(c_custkey AS VARCHAR(20))}, c_custkey) AS r FROM customer) SELECT c_custkey, CASE WHEN r <= 10 THEN 'calibration' WHEN r <= 25 THEN 'confirmation' ELSE 'reserve' END AS split FROM r", False)
+both("ratio_split_hash", "WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY SHA{'r1|' || CAST(c_custkey AS VARCHAR(20))}, c_custkey) AS r, count(*) OVER () AS n FROM customer) SELECT c_custkey, CASE WHEN r <= floor(n * 0.7e0) THEN 'train' WHEN r <= floor(n * 0.7e0) + floor(n * 0.15e0) THEN 'dev' ELSE 'test' END AS split FROM r", False)
+both("schedule_rotation", "WITH p AS (SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 2), ('d', 3)) AS t(policy, i)), q AS (SELECT query_id, row_number() OVER (ORDER BY SHA{'z|' || query_id}, query_id) - 1 AS pos FROM queries) SELECT query_id, pos, policy, (i + pos) % 4 AS position FROM q CROSS JOIN p", False)
+
+
+def _component_table(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "lineitem").where("l_quantity = 50").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    return connected_components(e)
+
+
+_COMP = """e AS (SELECT DISTINCT l_orderkey * 2 AS u, l_partkey * 2 + 1 AS v FROM lineitem WHERE l_quantity = 50), b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+  w(node, seen) AS (SELECT u, u FROM b UNION SELECT b.v, w.seen FROM w JOIN b ON b.u = w.node), comp AS (SELECT node, min(seen) AS component FROM w GROUP BY node)"""
+query("components", f"WITH RECURSIVE {_COMP} SELECT node, component FROM comp")(_component_table)
+query("split_leakage", f"WITH RECURSIVE {_COMP} SELECT node % 2 AS kind, count(*) AS nodes, count(DISTINCT component) AS components FROM comp GROUP BY ALL")(
+    lambda s, d: _component_table(s, d).groupBy((F.col("node") % 2).alias("kind")).agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components")))
+
+
+@query("grouped_split")
+def _grouped(s: SparkSession, d: str) -> DataFrame:
+    c = _component_table(s, d).groupBy("component").agg(F.count("*").alias("n")).withColumn("src", F.concat(F.lit("s"), (F.col("component") % 3).cast("string")))
+    return splits.grouped_quota(c, {"s0": 10, "s1": 10, "s2": 10}, "g1", strict=False)
+
+
+both("overlap_audit", "WITH s AS (SELECT DISTINCT o_orderpriority AS split, o_custkey AS k FROM orders) SELECT a.split AS a, b.split AS b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.split < b.split GROUP BY a.split, b.split", False)
+both("missing_gold", "SELECT count(*) AS missing FROM qrels WHERE doc_id NOT IN (SELECT doc_id FROM corpus)", False)
+_NEG = "n AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS p FROM hybrid ANTI JOIN qrels USING (query_id, doc_id)), neg AS (SELECT query_id, doc_id, p FROM n WHERE p <= 5 AND query_id IN (SELECT query_id FROM n WHERE p = 5))"
+
+
+def _negatives(s: SparkSession, d: str) -> DataFrame:
+    return splits.hard_negatives(rankings(s, d).where("method = 'hybrid'").select("query_id", "doc_id", "rank"), derived_qrels(corpus(s, d), query_table(s, d)), 5)
+
+
+_SPARK["hard_negatives"] = lambda s, d: _negatives(s, d).groupBy("query_id", "positive_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "negative_id"))), lambda x: x["negative_id"]), ",").alias("negatives"))
+_DUCK["hard_negatives"] = f"WITH {DUCK_BASE}, {_NEG} SELECT neg.query_id, x.doc_id AS positive_id, string_agg(neg.doc_id, ',' ORDER BY p) AS negatives FROM neg JOIN qrels x USING (query_id) GROUP BY ALL"
+_SPARK["triplets"] = lambda s, d: _negatives(s, d).select("query_id", "positive_id", "negative_id")
+_DUCK["triplets"] = f"WITH {DUCK_BASE}, {_NEG} SELECT neg.query_id, x.doc_id AS positive_id, neg.doc_id AS negative_id FROM neg JOIN qrels x USING (query_id)"
+_SPARK["labelled_pairs"] = lambda s, d: (lambda n: n.select("query_id", F.col("positive_id").alias("doc_id"), F.lit(1.0).alias("label")).distinct().unionByName(n.select("query_id", F.col("negative_id").alias("doc_id"), F.lit(0.0).alias("label")).distinct()))(_negatives(s, d))
+_DUCK["labelled_pairs"] = f"WITH {DUCK_BASE}, {_NEG} SELECT DISTINCT query_id, x.doc_id, 1e0 AS label FROM neg JOIN qrels x USING (query_id) UNION ALL SELECT DISTINCT query_id, neg.doc_id, 0e0 FROM neg WHERE query_id IN (SELECT query_id FROM qrels)"
+
 
 def queries() -> dict:
-    return {}
+    return dict(_SPARK)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_DUCK)
