@@ -72,10 +72,11 @@ PATTERN = re.compile(
     r"|(?<![\w./-])(?P<dmy>\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w/])"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)"
-    r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])"
-    r"|(?<![\w.-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])"
+    r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w-])|\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?![\w-]|\.\d)|(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]))"
+    r"|(?<![\w.-])(?P<card>\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"
 )
 
+KINDS = ("email", "iban", "iso", "dmy", "ssn", "ip", "phone", "card")
 _HINT = re.compile("[0-9@]")
 
 
@@ -167,11 +168,12 @@ class Pseudonyms:
             return s, []
         out, at, found = [], 0, []
         for m in PATTERN.finditer(s):
-            new = getattr(self, m.lastgroup)(m[0])
+            kind = next(k for k in KINDS if m[k] is not None)
+            new = getattr(self, kind)(m[0])
             if new is not None:
                 out += [s[at : m.start()], new]
                 at = m.end()
-                found.append({"kind": m.lastgroup, "start": m.start(), "length": len(m[0])})
+                found.append({"kind": kind, "start": m.start(), "length": len(m[0])})
         return "".join([*out, s[at:]]) if found else s, found
 
 

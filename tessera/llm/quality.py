@@ -79,7 +79,7 @@ class Model:
 
     def logits(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         got = [self.features(t) for t in texts]
-        q, t = np.array([g[0] for g in got]).reshape(len(got), -1), np.array([g[1] for g in got]).reshape(len(got), -1)
+        q, t = np.array([g[0] for g in got]).reshape(len(got), 9), np.array([g[1] for g in got]).reshape(len(got), 2)
         return self.quality.logit(q), self.toxic.logit(t)
 
 
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = pick.mapInArrow(run, "x array<double>, quality int, toxic int").collect()
     rows.sort(key=lambda r: tuple(r.x))
-    x = np.array([r.x for r in rows]).reshape(len(rows), -1)
+    x = np.array([r.x for r in rows]).reshape(len(rows), 11)
     q, t = (np.array([r[c] is not None for r in rows], bool) for c in ("quality", "toxic"))
     if q.any():
         m.quality = fit_head(x[q, :9], np.array([r.quality for r in rows if r.quality is not None], float))
