@@ -2,22 +2,27 @@
 
 x = s q + e with |e| measured, so the distance of two quantised vectors is within |e1| + |e2| of the true one. In each tile,
 a product of the int8 codes gives all distances; pairs whose lower bound passes the k-th upper bound so far are dropped and
-the rest recomputed. Queries and candidates are both packed in blocks, and a heap a query merges what the tiles leave.
+the rest recomputed. Query blocks go out in batches of bounded size, candidate blocks are read in place, and a heap a query
+merges what the tiles leave.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.plans.lineage import cut
 
 K, EVERY = 10, 100
-#: Rows of a packed block of queries and of candidates; groups that a query block's candidates are dealt to.
-QUERY_BLOCK, CANDIDATE_BLOCK, GROUPS = 256, 4096, 8
+#: Rows of a block of queries and of candidates; bytes of the query vectors that are sent to the workers at a time.
+QUERY_BLOCK, CANDIDATE_BLOCK, QUERY_BYTES = 256, 4096, 16 << 20
+FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,6 +41,17 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+@dataclass
+class Tile:
+    """A block of candidates with its codes, scales and error norms."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    q: np.ndarray
+    s: np.ndarray
+    e: np.ndarray
+
+
 class Heaps:
     """The k nearest so far of each query of a block, ties to the smaller id."""
 
@@ -44,8 +60,8 @@ class Heaps:
         self.q, self.s, self.e = quantise(x)
         self.d, self.at = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
 
-    def tile(self, ids: np.ndarray, x: np.ndarray) -> None:
-        q, s, e = quantise(x)
+    def tile(self, t: Tile) -> None:
+        ids, x, q, s, e = t.ids, t.x, t.q, t.s, t.e
         # Sums of products of int8 codes are whole numbers that float32 holds up to 1,040 components, float64 beyond.
         kind = np.float32 if x.shape[1] <= 1040 else np.float64
         dot = (self.q.astype(kind) @ q.astype(kind).T).astype(np.float64)
@@ -71,74 +87,66 @@ class Heaps:
         self.d[i[first], nth[first]], self.at[i[first], nth[first]] = d[first], ids[first]
 
 
-def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v array<double>) of the vectors that take part: id and components not null, finite, not all zero, of the commonest length."""
-    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+def usable(rows: DataFrame, is_query: Column, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
+    """(id, v array<double>, asks) of the vectors that take part, and their length (0 if there are none).
+
+    They have an id and components that are not null, finite and not all zero, and are of the commonest length.
+    """
+    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    v = v.where(fine)
+    v = v.where("id IS NOT NULL AND v IS NOT NULL").where(fine)
     size = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return v.where(F.size("v") == (size.n if size else 0))
+    return v.where(F.size("v") == (size.n if size else 0)), size.n if size else 0
 
 
-def packed(rows: DataFrame, per_block: int, name: str) -> DataFrame:
-    """(block, name_ids binary, name_vecs binary): rows in blocks of at most per_block, without a shuffle."""
-
-    def run(batches):
-        n = 0
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            vecs = b.column(1).flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
-            for at in range(0, len(ids), per_block):
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.ascontiguousarray(ids[at : at + per_block]).tobytes()]), pa.array([np.ascontiguousarray(vecs[at : at + per_block]).tobytes()])], names=["n", f"{name}_ids", f"{name}_vecs"])
-                n += 1
-
-    out = rows.mapInArrow(run, f"n long, {name}_ids binary, {name}_vecs binary")
-    return out.select(F.spark_partition_id().cast("long").alias("p"), "*")
+def matrix(ids: pa.Array, vecs: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    return ids.to_numpy(), vecs.flatten().to_numpy().reshape(-1, d)
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows (all, if fewer) of each row for which is_query holds.
 
     Vectors null, zero, of another length than the commonest, or with null or non-finite components take no part, nor do rows
-    with a null id. Rows of one id are one another's own: none is a candidate for the other, and each repeated query row is
-    answered as one. Ties go to the smaller id. No queries or no candidates: an empty result.
+    with a null id. Rows of one id are one another's own: none is a candidate for the other, and several query rows of one id
+    are answered as one, the smallest. Ties go to the smaller id. No queries or no candidates: an empty result.
+
+    Queries go out in batches of about query_bytes; each is searched by one pass over all rows, which stay where they are.
     """
-    marked = rows.withColumn(id_col, F.col(id_col)).withColumn("__asks", F.coalesce(is_query, F.lit(False)))
-    cands = usable(marked, id_col, vec_col)
-    asked = marked.where("__asks")
-    dim = cands.select(F.size("v").alias("n")).first()
-    if dim is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d = dim.n
-    asked = usable(asked, id_col, vec_col).where(F.size("v") == d).dropDuplicates(["id"])
-    blocks = cut(packed(asked, QUERY_BLOCK, "q"))  # packed once: each block of queries has a number
-    blocks = blocks.select(F.concat_ws("-", "p", "n").alias("qb"), "q_ids", "q_vecs")
-    tiles = packed(cands, CANDIDATE_BLOCK, "c").select(F.pmod(F.col("p") * 31 + F.col("n"), F.lit(GROUPS)).alias("g"), "c_ids", "c_vecs")
-    # The stated query set against all rows, block by block: one row a tile.
-    pairs = tiles.join(blocks).repartition("qb", "g").sortWithinPartitions("qb", "g")
+    spark = rows.sparkSession
+    cands, d = usable(rows, is_query, id_col, vec_col)
+    if not d:
+        return spark.createDataFrame([], FOUND)
+    asked = cut(cands.where("asks").groupBy("id").agg(F.min("v").alias("v")))
+    parts = -(-asked.count() * d * 8 // query_bytes)
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(parts, 1))))
+    tops = [top_of(cands, asked.where(F.col("part") == i), d, k) for i in range(parts)] if parts <= 1 else [cut(top_of(cands, asked.where(F.col("part") == i), d, k)) for i in range(parts)]
+    return reduce(DataFrame.unionByName, tops) if tops else spark.createDataFrame([], FOUND)
+
+
+def top_of(cands: DataFrame, asked: DataFrame, d: int, k: int) -> DataFrame:
+    """One pass over the candidates for a batch of queries that fits in each worker."""
+    got = asked.select("id", "v").orderBy("id").toArrow().combine_chunks()
+    ids, x = matrix(got.column("id").combine_chunks(), got.column("v").combine_chunks(), d)
+    sent = cands.sparkSession.sparkContext.broadcast((np.ascontiguousarray(ids), np.ascontiguousarray(x)))
 
     def search(batches):
-        heaps, now = None, None
-
-        def done():
-            i, j = np.nonzero(np.isfinite(heaps.d))
-            return pa.RecordBatch.from_arrays([pa.array(heaps.ids[i]), pa.array(heaps.at[i, j]), pa.array(heaps.d[i, j])], names=["query_id", "vec_id", "score"])
-
+        ids, x = sent.value
+        heaps = [Heaps(ids[at : at + QUERY_BLOCK], x[at : at + QUERY_BLOCK], k) for at in range(0, len(ids), QUERY_BLOCK)]
         for b in batches:
-            for g, ci, cv, qb, qi, qv in zip(*(c.to_pylist() for c in b.columns)):
-                if qb != now:
-                    if heaps is not None:
-                        yield done()
-                    heaps, now = Heaps(np.frombuffer(qi, np.int64), np.frombuffer(qv, np.float64).reshape(-1, d), k), qb
-                heaps.tile(np.frombuffer(ci, np.int64), np.frombuffer(cv, np.float64).reshape(-1, d))
-        if heaps is not None:
-            yield done()
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
-    # k rows a query from each of at most GROUPS heaps and tasks are left to merge.
-    best = F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id"))), 1, k)
-    top = found.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("i", "x"))
-    return top.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+            c, y = matrix(b.column(0), b.column(1), d)
+            for at in range(0, len(c), CANDIDATE_BLOCK):
+                part = c[at : at + CANDIDATE_BLOCK], y[at : at + CANDIDATE_BLOCK]
+                tile = Tile(*part, *quantise(part[1]))
+                for h in heaps:
+                    h.tile(tile)
+        for h in heaps:
+            i, j = np.nonzero(np.isfinite(h.d))
+            yield pa.RecordBatch.from_arrays([pa.array(h.ids[i]), pa.array(h.at[i, j]), pa.array(h.d[i, j])], names=["query_id", "vec_id", "score"])
+
+    found = cands.select("id", "v").mapInArrow(search, "query_id long, vec_id long, score double")
+    # k rows a query are left of each task; the limit on the rank is applied before and after they are shuffled.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
