@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, table
+from tessera.plans.lineage import cut
 
 #: A line of fewer words, or a run within lines of fewer, is never removed: short ones recur by chance.
 MIN_LINE, MIN_RUN = 5, 20
+#: A digest of one in so many of the repeated units is joined in this number of salted parts.
+HOT_SHARE, SALTS = 1000, 64
 #: Units end after a line break, and within a line where a capital follows a small letter: at sentences, and at the seams of
 #: passages that were pasted into other text. The pieces put together are the text.
 PIECES = r"(?<=\n)|(?<=(?:\p{Ll}|\p{Ll}[.,;:!?]) )(?=\p{Lu})"
@@ -58,9 +61,17 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_line: int = MIN_LINE, m
     units = keyed.select(k_id, k_text, F.posexplode(pieces).alias("pos", "u")).withColumn("u", norm).where("u <> ''")
     place = F.struct(F.col(k_id).isNull().alias("n"), F.col(k_id).alias("id"), F.col(k_text).alias("t"), F.col("pos").alias("pos"))
     units = units.select(F.xxhash64("u").alias("h1"), F.xxhash64(F.lit("second"), "u").alias("h2"), place.alias("at"))
-    firsts = units.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last")
-    firsts = firsts.withColumnsRenamed({"h1": "f1", "h2": "f2"})
-    late = units.join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where("at <> first")
+    firsts = units.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
+    firsts = cut(firsts.withColumnsRenamed({"h1": "f1", "h2": "f2"}))
+    # Digests of a thousandth or more of these units, a thousand at most, are joined in salted parts; their list is broadcast.
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    hot = firsts.where(F.col("n") * HOT_SHARE >= total).select("f1", "f2", F.lit(SALTS).alias("salts"))
+    of_hot = lambda a, b: (a == F.col("f1")) & (b == F.col("f2"))
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("at"), F.lit(SALTS))).cast("int")
+    dealt = units.join(F.broadcast(hot), of_hot(F.col("h1"), F.col("h2")), "left").select("h1", "h2", "at", salt.alias("salt"))
+    last_salt = F.when(F.col("n") * HOT_SHARE >= total, SALTS - 1).otherwise(0)
+    firsts = firsts.select("f1", "f2", "first", F.explode(F.sequence(F.lit(0), last_salt)).alias("fs"))
+    late = dealt.join(firsts, of_hot(F.col("h1"), F.col("h2")) & (F.col("salt") == F.col("fs"))).where("at <> first")
     late = late.groupBy(F.col("at.n").alias("ln"), F.col("at.id").alias("lid"), F.col("at.t").alias("lt")).agg(F.collect_set("at.pos").alias(late_))
     out = keyed.join(late, F.col(k_id).eqNullSafe(F.col("lid")) & (F.col(k_text) == F.col("lt")), "left")
     cols = docs.columns

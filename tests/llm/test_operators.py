@@ -167,3 +167,13 @@ def test_lookup_table_is_even_and_moves_little():
     assert sum(x != y for x, y in zip(a, b)) < 1009 * 0.25
     with pytest.raises(ValueError):
         sharding.lookup_table(["a"], 1000)
+
+
+def test_line_dedup_of_hot_lines_keeps_the_first(spark, monkeypatch):
+    line = "one two three four five six"
+    docs = [(i, f"{line}\nown line number w{i} x y z\n{line}" if i % 3 else f"a b c d e f{i}", "s") for i in range(90)]
+    for share in (1, 1000):
+        monkeypatch.setattr(linededup, "HOT_SHARE", share)
+        got = {r.doc_id: r for r in linededup.dedup_units(frame(spark, docs)).collect()}
+        assert got[1].text == f"{line}\nown line number w1 x y z\n"
+        assert sum(r.text.count(line) for r in got.values()) == 1 and sum(r.n_removed for r in got.values()) == 119
