@@ -7,6 +7,9 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.lineage import cut
+from tessera.plans.skew import lookup_join
+
 
 def sign_test(wins: int, losses: int) -> float:
     """Exact two-sided p-value; ties are dropped beforehand."""
@@ -14,15 +17,28 @@ def sign_test(wins: int, losses: int) -> float:
     return 1.0 if not n else min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n)
 
 
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with its place (from 0) in the order of key: sorted in parts, then moved by the sizes of the parts before.
+
+    Only one count a part reaches the driver.
+    """
+    part, at = F.shiftrightunsigned(name, 33), F.col(name).bitwiseAND((1 << 33) - 1)
+    rows = cut(df.orderBy(key).withColumn(name, F.monotonically_increasing_id()))
+    sizes = rows.groupBy(part.alias("part")).count().orderBy("part").collect()
+    starts, before = [], 0
+    for r in sizes:
+        starts += [F.lit(r.part), F.lit(before)]
+        before += r["count"]
+    return rows.withColumn(name, at + F.create_map(*starts)[part]) if starts else rows
+
+
 def hash_bootstrap(deltas: DataFrame, key: str, value: str, resamples: int, seed: str) -> DataFrame:
     """(replicate, mean): resamples of all rows with replacement; draw i of replicate r is row hash(seed, r, i) mod n.
 
-    Replicates spread over the cluster, and any engine draws the same rows.
+    Replicates spread over the cluster, and any engine draws the same rows. Rows are numbered by key, which must be unique.
     """
-    from pyspark.sql import Window as W
-
-    rows = deltas.select(F.col(key).alias("k"), F.col(value).alias("v")).withColumn("i", F.row_number().over(W.orderBy("k")) - 1)
+    rows = numbered(deltas.select(F.col(key).alias("k"), F.col(value).alias("v")), "k", "i").select("i", "v")
     n = rows.count()
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "r", "j")), 1, 8), 16, 10).cast("long") % max(n, 1)
-    grid = deltas.sparkSession.range(resamples).withColumnRenamed("id", "r").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
-    return grid.select("r", draw.cast("int").alias("i")).join(F.broadcast(rows), "i").groupBy("r").agg(F.avg("v").alias("mean"))
+    grid = deltas.sparkSession.range(resamples if n else 0).withColumnRenamed("id", "r").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
+    return lookup_join(grid.select("r", "j", draw.alias("i")), rows, ["i"]).groupBy("r").agg(F.avg("v").alias("mean"))

@@ -172,6 +172,16 @@ def _gated(s: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("utility_rerank", f", {EVAL} SELECT h.query_id, h.doc_id, CASE WHEN c.rerank THEN r.rank ELSE h.rank END AS rank FROM hybrid h JOIN reranked r USING (query_id, doc_id) JOIN decisions c ON c.query_id = h.query_id AND c.policy = 'utility_75'", True)
+def _utility(s: SparkSession, d: str) -> DataFrame:
+    register(s, d, {"qrels", "rankings"})
+    docs, qs = corpus(s, d), query_table(s, d)
+    routed = s.sql(f"WITH {EVAL} SELECT query_id FROM decisions WHERE policy = 'utility_75' AND rerank")
+    score = lambda pairs: fusion.token_overlap(pairs, qs, docs, tx.tokenize)
+    out = fusion.gated_rerank(s.table("rankings").where("method = 'hybrid'"), routed, score)
+    return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
 # --- statistics ------------------------------------------------------------------------------------------------------
 
 both("paired_deltas", "SELECT query_id, round(d, 9) AS delta FROM gain")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from tessera.functions.text import flatten_json, tokenize
 from tessera.operators import fusion, splits
 from tessera.operators.bm25 import Index
 from tessera.operators.components import connected_components
-from tessera.operators.stats import sign_test
+from tessera.operators.stats import hash_bootstrap, numbered, sign_test
 
 
 def test_bm25_ranks_pads_and_counts_query_repeats(spark):
@@ -66,3 +67,17 @@ def test_grouped_quota_raises_when_infeasible(spark):
 
 def test_sign_test():
     assert sign_test(5, 0) == 1 / 16 and sign_test(1, 4) == 0.375 and sign_test(0, 0) == 1.0
+
+
+def test_numbers_follow_the_order_over_many_parts(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
+    assert all(r.k == r.i for r in numbered(df.repartition(7), "k", "i").collect())
+    assert numbered(df.where("false"), "k", "i").count() == 0
+
+
+def test_bootstrap_draws_by_hash(spark):
+    df = spark.createDataFrame([(f"k{i}", float(i)) for i in range(9)], "k string, v double")
+    draw = lambda r, j: int(hashlib.md5(f"s|{r}|{j}".encode()).hexdigest()[:8], 16) % 9
+    got = {r.r: r["mean"] for r in hash_bootstrap(df, "k", "v", 5, "s").collect()}
+    assert got == {r: pytest.approx(sum(draw(r, j) for j in range(9)) / 9) for r in range(5)}
+    assert hash_bootstrap(df.where("false"), "k", "v", 5, "s").count() == 0
