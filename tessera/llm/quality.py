@@ -22,6 +22,8 @@ from tessera.plans.skew import lookup_join
 
 #: Bound of the labelled sample that the two classifiers are fitted on, and of the lexicon.
 TRAIN_ROWS, LEXICON = 12_000, 512
+#: Logit of good and of not toxic where no label says anything, so that such documents stay.
+UNLABELLED = 3.0
 #: Prior strengths found by moments are held within these.
 STRENGTH = (2.0, 10_000.0)
 _UPPER = bytes(range(65, 91))
@@ -86,11 +88,15 @@ class Model:
 _PUNCT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+def constant(d: int, b: float) -> Head:
+    return Head(np.zeros(d), np.ones(d), np.zeros(d), b)
+
+
 def fit_head(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> Head:
     """Newton steps on the ridge-penalised likelihood; without rows of both kinds, the smoothed log-odds alone."""
     d = x.shape[1] if x.ndim == 2 else 0
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    base = Head(np.zeros(d), np.ones(d), np.zeros(d), float(np.log(rate / (1 - rate))))
+    base = constant(d, float(np.log(rate / (1 - rate))))
     if len(y) < 4 or y.min() == y.max():
         return base
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
@@ -126,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         # Words of a hundredth of the toxic texts that come mostly with these, beyond what chance would give among so many words.
         found = per.where((F.col("t") >= max(5, totals.t / 100)) & (F.col("t") * 2 > F.col("n"))).select("w", z.alias("z"), odds.alias("o")).where("z > 5")
         lexicon = {r.w.encode(): float(r.o) for r in found.orderBy(F.desc("z"), "w").limit(LEXICON).collect()}
-    m = Model(fit_head(np.zeros((0, 9)), np.zeros(0)), fit_head(np.zeros((0, 2)), np.zeros(0)), lexicon)
+    m = Model(constant(9, UNLABELLED), constant(2, -UNLABELLED), lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -177,3 +177,36 @@ def test_line_dedup_of_hot_lines_keeps_the_first(spark, monkeypatch):
         got = {r.doc_id: r for r in linededup.dedup_units(frame(spark, docs)).collect()}
         assert got[1].text == f"{line}\nown line number w1 x y z\n"
         assert sum(r.text.count(line) for r in got.values()) == 1 and sum(r.n_removed for r in got.values()) == 119
+
+
+def test_nearest_of_empty_repeated_and_odd_rows(spark):
+    schema = "vec_id long, embedding array<float>"
+    run = lambda rows, **k: [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, schema), F.col("vec_id") % 100 == 0, k=2, **k).orderBy("query_id", "rank").collect()]
+    assert run([]) == [] and run([(1, [1.0]), (2, [2.0])]) == [] and run([(0, [1.0, 1.0])]) == []
+    # Repeated candidates count each; a query row given twice is answered once; lengths other than the commonest take no part.
+    rows = [(0, [1.0, 0.0])] * 2 + [(1, [2.0, 0.0])] * 2 + [(2, [1.5, 0.0]), (100, [1.0]), (3, None), (None, [1.0, 0.0])]
+    assert run(rows) == [(0, 1, 2, 0.5), (0, 2, 1, 1.0)]
+    assert run(rows, query_bytes=16) == run(rows)
+
+
+def test_pages_null_empty_and_clashing_columns(spark):
+    rows = [(1, "u", None, 5), (2, None, "", 6), (3, "v", "<p>" * 600 + "One sentence of content, long enough to be read." + "</div>", 7), (3, "v", "<p>x", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int").withColumn("text", F.lit("clash"))
+    m = html_text.train(html_text.labelled_pages(60), rounds=60)
+    got = html_text.extract_pages(pages, m).orderBy("page_id").collect()
+    assert len(got) == 4 and [(r.text, r.n_chars) for r in got[:2]] == [("", 0)] * 2 and all(len(r.text) == r.n_chars for r in got)
+    assert html_text.extract_pages(pages.where("false"), m).count() == 0
+
+
+def test_pipeline_removes_copies_and_benchmark_passages(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    item, copy = " ".join(text().split()[:20]), text()
+    docs = [(i, text(), "s") for i in range(10)] + [(10, copy, "s"), (11, copy, "s"), (12, f"{item} {text()}", "s")]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # Without labels all are kept; one source is mixed at its own size, each document once.
+    assert sorted(x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == list(range(11))
