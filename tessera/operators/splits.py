@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.components import connected_components
+from tessera.plans.lineage import cut
+
+_ASKED = "s string, rest long, k string, c string"
+
 
 def seeded_key(seed: str, id_: Column) -> Column:
     """SHA-256 of seed, NUL, id."""
@@ -30,22 +35,47 @@ def eligible(df: DataFrame, norm: Column, id_col: str, excluded: DataFrame | Non
     return d
 
 
+def query_components(queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(query_id, component): queries that share a relevant document, directly or over others; named by the smallest query id.
+
+    A query without relevant documents is a component of its own.
+    """
+    edges = qrels.select(F.concat(F.lit("a"), "query_id").alias("src"), F.concat(F.lit("b"), "doc_id").alias("dst"))
+    comp = connected_components(edges).where(F.col("node").startswith("a")).select(F.substring("node", 2, 1 << 20).alias("query_id"), F.substring("component", 2, 1 << 20).alias("component"))
+    return queries.select("query_id").join(comp, "query_id", "left").select("query_id", F.coalesce("component", "query_id").alias("component"))
+
+
 def grouped_quota(components: DataFrame, quota: Mapping[str, int], seed: str, strict: bool = True) -> DataFrame:
     """components (component, src, n) with `chosen`: whole components in hash order while they fit their source's quota.
 
-    The fold is sequential within a source, over one small row a component; with strict, a quota left unmet raises.
+    Each round takes, by a running sum, all that fit up to the first that doesn't, and goes on behind it with what is left;
+    components larger than that drop out. Only a row a source and round reaches the driver. With strict, a quota left unmet
+    raises; sources without a quota choose nothing.
     """
-    key = seeded_key(seed, F.col("component"))
-    lists = components.groupBy("src").agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("component"), F.col("n").cast("long").alias("n")))).alias("l"))
-    rows = lists.select("src", "l", F.coalesce(*[F.when(F.col("src") == s, F.lit(q)) for s, q in quota.items()], F.lit(0)).cast("long").alias("q"))
-    start = F.struct(F.col("q").alias("left"), F.array().cast("array<string>").alias("c"))
-    fold = F.aggregate("l", start, lambda a, x: F.struct(F.when(x["n"] <= a["left"], a["left"] - x["n"]).otherwise(a["left"]).alias("left"), F.when(x["n"] <= a["left"], F.array_append(a["c"], x["component"].cast("string"))).otherwise(a["c"]).alias("c")))
-    done = rows.select("src", fold.alias("f"))
-    short = done.where("f.left > 0").select("src").collect() if strict else []  # a row a source
-    if short:
-        raise ValueError(f"quota infeasible: {sorted(r.src for r in short)}")
-    chosen = done.select(F.explode("f.c").alias("component"))
-    return components.withColumn("component", F.col("component").cast("string")).join(chosen.withColumn("chosen", F.lit(True)), "component", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    rows = cut(components.withColumn("component", F.col("component").cast("string")).withColumn("key", seeded_key(seed, F.col("component"))))
+    left, after, spans = {s: int(q) for s, q in quota.items()}, {}, []
+    todo = [s for s, q in left.items() if q > 0]
+    while todo:
+        asked = rows.sparkSession.createDataFrame([(s, left[s], *after.get(s, ("", ""))) for s in todo], _ASKED)
+        fit = rows.join(F.broadcast(asked), F.col("src") == F.col("s")).where("n <= rest AND (key > k OR (key = k AND component > c))")
+        run = fit.withColumn("run", F.sum("n").over(W.partitionBy("src").orderBy("key", "component").rowsBetween(W.unboundedPreceding, 0)))
+        got = run.groupBy("src").agg(F.max(F.when(F.col("run") <= F.col("rest"), F.col("run"))).alias("taken"), F.min(F.when(F.col("run") > F.col("rest"), F.struct("key", "component"))).alias("stop")).collect()
+        todo = []
+        for r in got:
+            stop = tuple(r.stop) if r.stop else ("g", "")  # behind all hexadecimal keys
+            spans.append((r.src, left[r.src], *after.get(r.src, ("", "")), *stop))
+            left[r.src] -= r.taken or 0
+            after[r.src] = stop
+            if r.stop and left[r.src] > 0:
+                todo.append(r.src)
+    short = sorted(s for s, q in left.items() if q > 0)
+    if strict and short:
+        raise ValueError(f"quota infeasible: {short}")
+    taken = rows.sparkSession.createDataFrame(spans, f"{_ASKED}, k2 string, c2 string")
+    inside = (F.col("src") == F.col("s")) & (F.col("n") <= F.col("rest")) & (F.struct("key", "component") > F.struct("k", "c")) & (F.struct("key", "component") < F.struct("k2", "c2"))
+    chosen = rows.join(F.broadcast(taken), inside, "left_semi").select(F.col("component").alias("in"), F.col("src").alias("of")).distinct()
+    out = rows.join(chosen, F.col("component").eqNullSafe(F.col("in")) & F.col("src").eqNullSafe(F.col("of")), "left")
+    return out.withColumn("chosen", F.col("of").isNotNull()).drop("in", "of", "key")
 
 
 def hard_negatives(ranking: DataFrame, qrels: DataFrame, n: int) -> DataFrame:

@@ -103,11 +103,11 @@ query("embedding_quality", """SELECT count(*) AS n, count(DISTINCT vec_id) AS id
 
 
 @query("vector_label_topk", """WITH e AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v FROM embeddings),
-  s AS (SELECT q.id AS query_id, e.id AS doc_id, round(list_inner_product(q.v, e.v), 9) AS score FROM e q JOIN e ON q.id::BIGINT < 20 AND e.id <> q.id)
+  s AS (SELECT q.id AS query_id, e.id AS doc_id, round(list_inner_product(q.v, e.v), 9) AS score FROM e q JOIN e ON q.id::BIGINT % 20 = 0 AND e.id <> q.id)
   SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def _vectors(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
-    return dense_search(e.where(F.col("doc_id").cast("long") < 20).withColumnRenamed("doc_id", "query_id"), e, 10, own=False)
+    return dense_search(e.where(F.col("doc_id").cast("long") % 20 == 0).withColumnRenamed("doc_id", "query_id"), e, 10, own=False)
 
 
 def _legs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -207,21 +207,37 @@ both("schedule_rotation", "WITH p AS (SELECT * FROM (VALUES ('a', 0), ('b', 1),
 
 
 def _component_table(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "lineitem").where("l_quantity = 50").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
-    return connected_components(e)
+    return connected_components(table(s, d, "lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")))
 
 
-_COMP = """e AS (SELECT DISTINCT l_orderkey * 2 AS u, l_partkey * 2 + 1 AS v FROM lineitem WHERE l_quantity = 50), b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
-  w(node, seen) AS (SELECT u, u FROM b UNION SELECT b.v, w.seen FROM w JOIN b ON b.u = w.node), comp AS (SELECT node, min(seen) AS component FROM w GROUP BY node)"""
+#: The smallest node reachable, by recursion keyed by the node; edges {e} as (u, v), both ways round.
+_REACH = """b AS (SELECT u, v FROM {e} UNION ALL SELECT v, u FROM {e}), comp(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM b
+  UNION (SELECT x.node, min(y.component) FROM recurring.comp x JOIN b ON b.u = x.node JOIN comp y ON y.node = b.v WHERE y.component < x.component GROUP BY x.node))"""
+_COMP = "e AS (SELECT DISTINCT l_orderkey * 2 AS u, l_partkey * 2 + 1 AS v FROM lineitem), " + _REACH.format(e="e")
 query("components", f"WITH RECURSIVE {_COMP} SELECT node, component FROM comp")(_component_table)
 query("split_leakage", f"WITH RECURSIVE {_COMP} SELECT node % 2 AS kind, count(*) AS nodes, count(DISTINCT component) AS components FROM comp GROUP BY ALL")(
     lambda s, d: _component_table(s, d).groupBy((F.col("node") % 2).alias("kind")).agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components")))
+_QCOMP = f"""qe AS (SELECT DISTINCT 'a' || query_id AS u, 'b' || doc_id AS v FROM qrels), {_REACH.format(e="qe")},
+  qc AS (SELECT query_id, coalesce(substr(component, 2), query_id) AS component FROM queries LEFT JOIN comp ON node = 'a' || query_id)"""
+_RBASE = DUCK_BASE.lstrip()
 
 
-@query("grouped_split")
+def _query_components(s: SparkSession, d: str) -> DataFrame:
+    qs = query_table(s, d)
+    return splits.query_components(qs.select("query_id"), derived_qrels(corpus(s, d), qs))
+
+
+query("query_components", f"WITH RECURSIVE {_RBASE}, {_QCOMP} SELECT query_id, component FROM qc")(_query_components)
+
+
+@query("grouped_split", f"""WITH RECURSIVE {_RBASE}, {_QCOMP}, g AS (SELECT component, 's' || (component::BIGINT % 3)::VARCHAR AS src, count(*) AS n FROM qc GROUP BY component),
+  o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sha256('g1' || chr(0) || component), component) AS r FROM g),
+  fold(src, r, rest, component, chosen) AS (SELECT DISTINCT src, 0::BIGINT, 10::BIGINT, NULL::VARCHAR, FALSE FROM o
+    UNION ALL SELECT o.src, o.r, CASE WHEN n <= rest THEN rest - n ELSE rest END, o.component, n <= rest FROM fold JOIN o ON o.src = fold.src AND o.r = fold.r + 1)
+  SELECT component, g.src, g.n, chosen FROM fold JOIN g USING (component)""")
 def _grouped(s: SparkSession, d: str) -> DataFrame:
-    c = _component_table(s, d).groupBy("component").agg(F.count("*").alias("n")).withColumn("src", F.concat(F.lit("s"), (F.col("component") % 3).cast("string")))
-    return splits.grouped_quota(c, {"s0": 10, "s1": 10, "s2": 10}, "g1", strict=False)
+    c = _query_components(s, d).groupBy("component").agg(F.count("*").alias("n")).withColumn("src", F.concat(F.lit("s"), (F.col("component").cast("long") % 3).cast("string")))
+    return splits.grouped_quota(c, {"s0": 10, "s1": 10, "s2": 10}, "g1", strict=False).select("component", "src", "n", "chosen")
 
 
 both("overlap_audit", "WITH s AS (SELECT DISTINCT o_orderpriority AS split, o_custkey AS k FROM orders) SELECT a.split AS a, b.split AS b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.split < b.split GROUP BY a.split, b.split", False)

@@ -81,3 +81,24 @@ def test_bootstrap_draws_by_hash(spark):
     got = {r.r: r["mean"] for r in hash_bootstrap(df, "k", "v", 5, "s").collect()}
     assert got == {r: pytest.approx(sum(draw(r, j) for j in range(9)) / 9) for r in range(5)}
     assert hash_bootstrap(df.where("false"), "k", "v", 5, "s").count() == 0
+
+
+def test_grouped_quota_against_a_greedy_fold(spark):
+    rnd = random.Random(8)
+    rows = [(f"c{i}", rnd.choice("xyz"), rnd.choice([1, 1, 2, 3, 7])) for i in range(80)]
+    quota, want = {"x": 9, "y": 23, "z": 0}, set()
+    left = dict(quota)
+    for c, s, n in sorted(rows, key=lambda r: (hashlib.sha256(f"g\x00{r[0]}".encode()).hexdigest(), r[0])):
+        if n <= left[s]:
+            left[s] -= n
+            want.add(c)
+    got = splits.grouped_quota(spark.createDataFrame(rows, "component string, src string, n int"), quota, "g", strict=False)
+    assert got.count() == 80 and {r.component for r in got.where("chosen").collect()} == want
+    none = splits.grouped_quota(spark.createDataFrame([], "component string, src string, n int"), quota, "g", strict=False)
+    assert none.count() == 0
+
+
+def test_query_components_follow_shared_documents(spark):
+    qs = spark.createDataFrame([(q,) for q in "cbade"], "query_id string")
+    rel = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("d", "3")], "query_id string, doc_id string")
+    assert {r.query_id: r.component for r in splits.query_components(qs, rel).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e"}
