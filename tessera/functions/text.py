@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 
@@ -86,3 +87,9 @@ def normalize_udf(text: pd.Series) -> pd.Series:
 
 def normalize_ascii(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " ")))
+
+
+@F.pandas_udf(StringType())
+def ranking_fingerprint(ids: pd.Series) -> pd.Series:
+    """SHA-256 of a ranking as a JSON list in ASCII, with a space behind each comma."""
+    return ids.map(lambda x: None if x is None else hashlib.sha256(json.dumps([str(i) for i in x]).encode()).hexdigest())

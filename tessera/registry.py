@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import fusion, splits
+from tessera.operators import checks, fusion, router, splits
 from tessera.operators.bm25 import Index
 from tessera.operators.components import connected_components
 from tessera.operators.vector import dense_search, embedding_quality, hashed_components
 from tessera.plans.base import DEPTH, DUCK_BASE, EVAL, rankings, register
 from tessera.sources.tables import corpus, derived_qrels, queries as query_table, table
+from tessera.streaming.latency import drain, latency_windows, read_events
 
 _SPARK, _DUCK = {}, {}
 
@@ -256,6 +257,40 @@ _DUCK["triplets"] = f"WITH {DUCK_BASE}, {_NEG} SELECT neg.query_id, x.doc_id AS
 _SPARK["labelled_pairs"] = lambda s, d: (lambda n: n.select("query_id", F.col("positive_id").alias("doc_id"), F.lit(1.0).alias("label")).distinct().unionByName(n.select("query_id", F.col("negative_id").alias("doc_id"), F.lit(0.0).alias("label")).distinct()))(_negatives(s, d))
 _DUCK["labelled_pairs"] = f"WITH {DUCK_BASE}, {_NEG} SELECT DISTINCT query_id, x.doc_id, 1e0 AS label FROM neg JOIN qrels x USING (query_id) UNION ALL SELECT DISTINCT query_id, neg.doc_id, 0e0 FROM neg WHERE query_id IN (SELECT query_id FROM qrels)"
 
+# --- checks, fingerprints, fits, streams -----------------------------------------------------------------------------
+
+query("ranking_fingerprints", """, r AS (SELECT method, query_id, '["' || string_agg(doc_id, '", "' ORDER BY rank) || '"]' AS body FROM rankings GROUP BY ALL) SELECT method, query_id, sha256(body) AS fingerprint FROM r""", True)(
+    lambda s, d: rankings(s, d).groupBy("method", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids")).select("method", "query_id", tx.ranking_fingerprint(F.col("ids")).alias("fingerprint")))
+query("split_disjointness", """WITH s AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS split FROM orders)
+  SELECT o_custkey::VARCHAR AS id, 'o_custkey in several splits' AS rule FROM s GROUP BY o_custkey HAVING count(DISTINCT split) > 1
+  UNION ALL SELECT o_orderkey::VARCHAR, 'o_orderkey in several splits' FROM s GROUP BY o_orderkey HAVING count(DISTINCT split) > 1""")(
+    lambda s, d: checks.shared_between_splits(table(s, d, "orders").withColumn("split", F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b")), "split", ["o_custkey", "o_orderkey"]))
+
+
+@query("pair_tokens", """, p AS (SELECT query_id, doc_id, len(qtok.w) AS n_query, len(ctok.w) AS n_doc FROM hybrid JOIN qtok USING (query_id) JOIN ctok USING (doc_id) WHERE rank <= 20),
+  k AS (SELECT *, CASE WHEN n_query + n_doc <= 61 THEN n_query WHEN n_query <= n_doc THEN least(n_query, 31) ELSE greatest(61 - n_doc, 31) END AS kept_query FROM p)
+  SELECT query_id, doc_id, n_query::INT AS n_query, n_doc::INT AS n_doc, kept_query::INT AS kept_query, least(n_doc, 61 - kept_query)::INT AS kept_doc, n_query + n_doc > 61 AS truncated FROM k""", True)
+def _pair_tokens(s: SparkSession, d: str) -> DataFrame:
+    pairs = rankings(s, d).where("method = 'hybrid' AND rank <= 20")
+    return checks.pair_tokens(query_table(s, d), corpus(s, d), pairs, 64, 3, tx.tokenize)
+
+
+@query("router_fit")
+def _router_fit(s: SparkSession, d: str) -> DataFrame:
+    """The ridge fit of all queries' gains on their features."""
+    register(s, d, {"qrels", "rankings"})
+    m = router.fit(s.sql(f"WITH {EVAL} SELECT {', '.join('features.' + f for f in router.FEATURES)}, d FROM features JOIN gain ON gain.query_id = features.query_id"), "d")
+    rows = [("intercept", m.intercept), *zip(router.FEATURES, m.coefficients)]
+    return s.createDataFrame([(n, round(float(v), 7)) for n, v in rows], "feature string, coefficient double")
+
+
+@query("stream_latency", """SELECT date_trunc('day', ts) AS window_start, event_type AS policy, count(*) AS n, round(sum(value), 6) AS total_ms, max(value) AS max_ms FROM events GROUP BY ALL""")
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """All events as a stream, with daily windows in UTC."""
+    events = read_events(s, d, "events.parquet")
+    got = drain(latency_windows(events.withColumn("ts", F.col("ts").cast("timestamp")), late=None), s)
+    return got.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "policy", "n", F.round("total_ms", 6).alias("total_ms"), "max_ms")
+
 
 def queries() -> dict:
     return dict(_SPARK)
