@@ -1,7 +1,9 @@
 """Mixing sources to target weights (native DataFrame operations only).
 
 Tokens are summed per source; water-filled targets give each source a repetition rate; each document comes out
-floor(rate) times, plus once more when its hash-seeded uniform number is under the fraction of the rate.
+floor(rate) times, plus one hash-seeded Bernoulli copy with probability equal to the fraction of the rate. Draws of documents
+that hold a four-thousandth of their source or more are made evenly along their sizes from a hashed start: each has that
+probability still, but chance can't take all the long ones or none.
 """
 
 from __future__ import annotations
@@ -13,11 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, table
+from tessera.plans.lineage import cut
 from tessera.plans.skew import lookup_join
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
 SEED = "mix-v1"
+#: A document of one in so many of its source's words is long; no source has more than so many of them.
+LONG_IN = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,23 +48,32 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: Sequence[i
     return per.select("source", "source_size", F.least(F.col("level") * F.col("w"), F.col("cap").cast("double")).alias("target"))
 
 
+def draw(seed: str, key: Column) -> Column:
+    """A uniform number in [0, 1) from a hash."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), key)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights: Sequence[int] = WEIGHTS, ceiling: int = CEILING, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target, copies, taken added (existing columns of these names are replaced).
 
-    copies is how often the mix takes the row, at most `ceiling`. It depends on the id and the seed alone, so reruns agree
-    and repeated rows share their fate; rows with a null id use their text. Null text has size 0, null source is a source,
-    an empty table gives an empty result.
+    copies is how often the mix takes the row, at most `ceiling`. Reruns agree, and repeated rows share their fate; rows with
+    a null id use their text. Null text has size 0, null source is a source, an empty table gives an empty result.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     sized = docs.withColumn("size", n_words(F.col(text_col)) if size is None else size)
-    stats = source_targets(sized.select(source_col, "size"), source_col, "size", weights, ceiling).withColumnRenamed("source", source_col)
+    stats = cut(source_targets(sized.select(source_col, "size"), source_col, "size", weights, ceiling)).withColumnRenamed("source", source_col)
     out = lookup_join(sized, stats, [source_col])
-    rate, frac = fresh(out, "rate", "frac")
+    rate, frac, key, extra = fresh(out, "rate", "frac", "mix_key", "extra")
     out = out.withColumn(rate, F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(ceiling)))).otherwise(F.lit(0.0)))
-    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit(""))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), key)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    out = out.withColumn(frac, F.col(rate) - F.floor(rate)).withColumn("copies", (F.floor(rate) + F.when(draw < F.col(frac), 1).otherwise(0)).cast("long"))
-    return out.withColumn("taken", F.col("size") * F.col("copies")).drop(rate, frac)
+    out = out.withColumn(frac, F.col(rate) - F.floor(rate)).withColumn(key, F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit("")))
+    long = out.where((F.col("size") > 0) & (F.col("size") * LONG_IN >= F.col("source_size"))).select(source_col, key, "size", frac).distinct()
+    at = F.row_number().over(W.partitionBy(source_col).orderBy(F.desc("size"), draw(seed, F.col(key)), key)) - 1
+    start = draw(f"{seed}|start", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    taken = (F.floor(start + (at + 1) * F.col(frac)) - F.floor(start + at * F.col(frac))).cast("long")
+    out = lookup_join(out, cut(long.select(source_col, key, "size", taken.alias(extra))), [source_col, key, "size"], "left")
+    drawn = F.coalesce(F.col(extra), F.when(draw(seed, F.col(key)) < F.col(frac), 1).otherwise(0))
+    out = out.withColumn("copies", (F.floor(rate) + drawn).cast("long"))
+    return out.withColumn("taken", F.col("size") * F.col("copies")).drop(rate, frac, key, extra)
 
 
 def emit_copies(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -73,6 +87,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _sql_draw(seed: str, key: str) -> str:
+    return f"('0x' || substr(md5('{seed}|' || {key}), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE"
+
+
 def op5_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '{WORD}')) END::BIGINT AS size,
@@ -82,9 +100,12 @@ o AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1)
 l AS (SELECT *, (sum(source_size) OVER () - sum(cap) OVER r + cap)::DOUBLE / (sum(w) OVER () - sum(w) OVER r + w)::DOUBLE AS lev
       FROM o WINDOW r AS (ORDER BY cap::DOUBLE / w, source NULLS LAST)),
 t AS (SELECT source, source_size, least(max(lev) OVER () * w, cap::DOUBLE) AS target FROM l),
-j AS (SELECT d.doc_id, d.size, t.source_size, t.target, d.k,
+j AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, d.k,
              CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('{SEED}|' || k), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
-FROM j"""
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT DISTINCT source, k, size, rate - floor(rate) AS f FROM j WHERE size > 0 AND size * {LONG_IN} >= source_size),
+r AS (SELECT *, {_sql_draw(SEED + '|start', "coalesce(source, '')")} AS u, row_number() OVER (PARTITION BY source ORDER BY size DESC, {_sql_draw(SEED, 'k')}, k) - 1 AS i FROM b),
+x AS (SELECT source, k, size, (floor(u + (i + 1) * f) - floor(u + i * f))::BIGINT AS extra FROM r)
+SELECT j.doc_id, j.size, j.source_size, j.target,
+       j.size * (floor(rate)::BIGINT + coalesce(extra, CASE WHEN {_sql_draw(SEED, 'j.k')} < rate - floor(rate) THEN 1 ELSE 0 END)) AS taken
+FROM j LEFT JOIN x ON j.source IS NOT DISTINCT FROM x.source AND j.k = x.k AND j.size = x.size"""

@@ -70,6 +70,14 @@ def test_mixing_targets_fill_and_reruns_agree(spark):
     assert abs(sum(per.values()) - total) < 1e-6
 
 
+def test_mixing_draws_long_documents_evenly(spark):
+    rows = [(i, "w " * (2000 // (1 + i // 3) + 1), f"s{i % 3}") for i in range(600)]
+    got = mixing.mix_sources(frame(spark, rows)).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("want"), F.max("size").alias("most"), F.max("source_size").alias("all")).collect()
+    assert len(got) == 3 and all(abs(r.t - r.want) <= r.most for r in got) and all(r.most * 4 < r["all"] for r in got)
+    twice = mixing.mix_sources(frame(spark, rows + rows[:5])).groupBy("doc_id").agg(F.count_distinct("copies").alias("n")).where("n > 1")
+    assert twice.count() == 0
+
+
 def test_simhash_links_all_pairs_within_three_bits(spark):
     r = random.Random(9)
     base = [r.getrandbits(64) for _ in range(40)]
