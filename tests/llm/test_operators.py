@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontaminate, html_text, langid, linededup, mixing, pii, quality, sharding, simhash
+from tessera.llm import ann, decontaminate, html_text, langid, linededup, minhash, mixing, pii, quality, sharding, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -218,3 +218,28 @@ def test_pipeline_removes_copies_and_benchmark_passages(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     # Without labels all are kept; one source is mixed at its own size, each document once.
     assert sorted(x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == list(range(11))
+
+
+@pytest.mark.parametrize("bucket", [1024, 8])
+def test_near_duplicates_stage_removes_edited_copies(spark, monkeypatch, bucket):
+    import corpus_pipeline
+
+    monkeypatch.setattr(minhash, "BUCKET", bucket)
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    docs = [(0, "", "s"), (1, None, "s"), (2, "two words", "s"), (3, "Two  words", "s")]
+    for g in range(8):
+        base = [word() for _ in range(100)]
+        for n in range(40 if g == 0 else 6):  # some edits of edits
+            w = list(base)
+            for at in r.sample(range(5, 95), n % 5):
+                w[at] = word()
+            docs.append((len(docs), " ".join(w), "s"))
+            base = w if n % 3 == 2 else base
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t, _ in docs)]
+    label = list(range(len(docs)))
+    near = [[j for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)] for a in sets]
+    while (new := [min(label[j] for j in js) for js in near]) != label:
+        label = new
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, docs), "").select("doc_id").collect()
+    assert len(set(label)) < len(docs) - 40 and sorted(x.doc_id for x in got) == sorted(set(label))
