@@ -9,6 +9,7 @@ from tessera.operators import fusion, splits
 from tessera.operators.bm25 import Index
 from tessera.operators.components import connected_components
 from tessera.operators.stats import hash_bootstrap, numbered, sign_test
+from tessera.sources.tables import derived_qrels
 
 
 def test_bm25_ranks_pads_and_counts_query_repeats(spark):
@@ -102,3 +103,10 @@ def test_query_components_follow_shared_documents(spark):
     qs = spark.createDataFrame([(q,) for q in "cbade"], "query_id string")
     rel = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("d", "3")], "query_id string, doc_id string")
     assert {r.query_id: r.component for r in splits.query_components(qs, rel).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e"}
+
+
+def test_qrels_of_queries_with_few_tokens(spark):
+    docs = [("1", "a foo bar here"), ("2", "привет мир"), ("3", "foobar, foo ba"), ("4", None), ("5", "one two three four")]
+    qs = [("a", "foo"), ("b", "foo ba"), ("c", "привет"), ("d", "two three fo"), ("e", "none"), ("f", None), ("g", "e two three f")]
+    got = derived_qrels(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(qs, "query_id string, query string")).collect()
+    assert sorted(map(tuple, got)) == sorted((q, d) for q, x in qs for d, t in docs if x and t and x in t)
