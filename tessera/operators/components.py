@@ -3,33 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.plans.lineage import cut
+from tessera.plans.skew import BROADCAST_ROWS, split_join
+
+
+def _sum_of(edges: DataFrame) -> tuple:
+    """Number of edges and a sum of their hashes: equal when nothing has changed."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _to_minimum(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
+    """edges with the minimum of their u. There are at most two nodes an edge, so that few edges mean a small broadcast."""
+    if n_edges <= BROADCAST_ROWS:
+        return edges.join(F.broadcast(low.drop("n")), "u")
+    return split_join(edges, cut(low), "u", "n")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges; component is the smallest node reachable.
 
     Each round links nodes to smaller neighbours (large star), then to the smallest (small star); the number of rounds
-    grows with the logarithm of the longest path. Hot nodes are only ever aggregated with a map-side min, never gathered.
+    grows with the logarithm of the longest path. Nodes are only ever aggregated with a map-side min, never gathered, and
+    the minimum is joined back apart for nodes of many edges, so that none of them is one task.
     Null ends and self-loops are dropped. Raises if it has not converged after max_rounds.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     loops = e.where("u = v").select("u").distinct()
     e = cut(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = cut(e.select("u").union(e.select(F.col("v"))).union(loops).distinct())
-    before = None
+    before = _sum_of(e)
     for _ in range(max_rounds):
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, both.u == low.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(low2, large.u == low2.k)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        e = cut(small)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _to_minimum(both.where("v > u"), low, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        if before[0] > BROADCAST_ROWS:
+            large = cut(large)
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _to_minimum(large, low2, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        now = _sum_of(e)
         if now == before:
             break
         before = now

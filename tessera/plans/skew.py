@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side (tens of bytes a row) is broadcast: some tens of MB.
 BROADCAST_ROWS = 500_000
+#: A key with more rows than this is hot: it is joined apart from the others.
+HOT_ROWS = 1024
+
+
+def fresh(df: DataFrame | list[str], *names: str) -> list[str]:
+    """Working column names that clash with none of df's (or of the given ones)."""
+    taken, out = {c.lower() for c in (df.columns if isinstance(df, DataFrame) else df)}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -14,21 +27,34 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def split_join(big: DataFrame, small: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join on a key of which small has one row; small[n], dropped here, is the key's number of rows in big.
+
+    Broadcast if small is within the bound. Beyond it, keys of over HOT_ROWS rows, of which there are few, are joined by
+    broadcast (salted, if they are many nevertheless) and all others by a plain shuffle, where no key is large.
+    """
+    if fits(small):
+        return big.join(F.broadcast(small.drop(n)), key)
+    hot, rest = small.where(F.col(n) > HOT_ROWS).drop(n), small.where(F.col(n) <= HOT_ROWS).drop(n)
+    return lookup_join(big, hot, [key]).unionByName(big.join(rest, key))
+
+
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
     """Join big to small on keys (null-safe): broadcast if small is within the bound, else salted, so that no key is one task.
 
     The salt comes from the big side's row content, so that recomputed tasks deal rows the same way.
     """
     cols = [c for c in small.columns if c not in keys]
-    renamed = small.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *cols)
+    salt, copy, *renamed_keys = fresh([*big.columns, *cols], "salt_of_row", "salt_of_copy", *[f"key_{i}" for i in range(len(keys))])
+    renamed = small.select(*[F.col(k).alias(r) for k, r in zip(keys, renamed_keys)], *cols)
     cond = F.lit(True)
-    for i, k in enumerate(keys):
-        cond = cond & big[k].eqNullSafe(F.col(f"__k{i}"))
+    for k, r in zip(keys, renamed_keys):
+        cond = cond & big[k].eqNullSafe(F.col(r))
     if fits(small, max_rows):
-        return big.join(F.broadcast(renamed), cond, how).drop(*[f"__k{i}" for i in range(len(keys))])
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int"))
-    cond = F.col("__salt") == F.col("__s")
-    for i, k in enumerate(keys):
-        cond = cond & salted[k].eqNullSafe(F.col(f"__k{i}"))
-    copies = renamed.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, cond, how).drop("__salt", "__s", *[f"__k{i}" for i in range(len(keys))])
+        return big.join(F.broadcast(renamed), cond, how).drop(*renamed_keys)
+    salted = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int"))
+    cond = F.col(salt) == F.col(copy)
+    for k, r in zip(keys, renamed_keys):
+        cond = cond & salted[k].eqNullSafe(F.col(r))
+    copies = renamed.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, cond, how).drop(salt, copy, *renamed_keys)
