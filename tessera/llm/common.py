@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.skew import fresh
+
+__all__ = ["ascii_lower", "fresh", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -17,13 +21,3 @@ def ascii_lower(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     return F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
 
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Working column names that clash with none of df's."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n.lower() in taken:
-            n = "_" + n
-        taken.add(n.lower())
-        out.append(n)
-    return out
