@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.ann import op9_nearest, op9_sql
-from tessera.llm.decontaminate import op1_decontaminate, op1_sql
+from tessera.llm.decontaminate import decontaminate_proximity, op1_decontaminate, op1_sql
 from tessera.llm.html_text import op2_html
 from tessera.llm.langid import op10_langid
 from tessera.llm.linededup import op8_line_dedup
@@ -15,7 +15,7 @@ from tessera.llm.simhash import op7_simhash
 
 
 def queries() -> dict:
-    found = (op1_decontaminate, op2_html, op3_quality, op4_shard, op5_mix, op6_pii, op7_simhash, op8_line_dedup, op9_nearest, op10_langid)
+    found = (op1_decontaminate, op2_html, op3_quality, op4_shard, op5_mix, op6_pii, op7_simhash, op8_line_dedup, op9_nearest, op10_langid, decontaminate_proximity)
     return {f.__name__: f for f in found}
 
 
