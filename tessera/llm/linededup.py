@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, table
-from tessera.plans.lineage import cut
+from tessera.plans.lineage import cut, forget, stored
+from tessera.plans.skew import BROADCAST_ROWS, lookup_join, split_join
 
-#: A line of fewer words, or a run within lines of fewer, is never removed: short ones recur by chance.
-MIN_LINE, MIN_RUN = 5, 20
-#: A digest of one in so many of the repeated units is joined in this number of salted parts.
-HOT_SHARE, SALTS = 1000, 64
+#: Words from which a repeated line, or a run of repeated units within lines, is removed. One word a line is the exact mode;
+#: the registered query takes QUERY_MIN_LINE, so that a "Yes." that many clean documents hold is left to them.
+MIN_LINE, MIN_RUN, QUERY_MIN_LINE = 1, 20, 5
+#: Removed positions up to which they are broadcast to the documents; beyond it both sides are shuffled.
+LATE = 4_000_000
 #: Units end after a line break, and within a line where a capital follows a small letter: at sentences, and at the seams of
 #: passages that were pasted into other text. The pieces put together are the text.
 #: The capital is tried first: it fails at most places, and looking back is slow.
@@ -28,53 +30,65 @@ PARAGRAPHS = r"(?<=\n\n)"
 
 
 def lost(words: list[int], ends: list[bool], late: set[int], min_line: int, min_run: int) -> set[int]:
-    """Which of the late units go: those of whole late lines, and of runs of late units, with enough words."""
+    """Which of the late units go: those of whole late lines, and of runs of late units, with enough words.
+
+    Units without words are never late; they neither end a run nor count in it, and go with a run that they are inside of.
+    """
     gone, run, line = set(), [], []
     for i in range(len(words) + 1):
-        if i < len(words) and i in late:
+        if i < len(words) and (i in late or run and not words[i]):
             run.append(i)
         else:
+            while run and not words[run[-1]]:
+                run.pop()
             if sum(words[j] for j in run) >= min_run:
                 gone.update(run)
             run = []
         if i < len(words):
             line.append(i)
             if ends[i] or i == len(words) - 1:
-                if late.issuperset(line) and sum(words[j] for j in line) >= min_line:
+                if all(j in late or not words[j] for j in line) and sum(words[j] for j in line) >= max(1, min_line):
                     gone.update(line)
                 line = []
     return gone
 
 
+def late_units(units: DataFrame) -> DataFrame:
+    """units: (h1, h2, n, id, t, pos), n whether id is null -> (n, id, t, late): the places of each text's late units.
+
+    Digests are counted by hash aggregation first; the first place is looked for only among those that occur twice.
+    """
+    counts = cut(units.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1"))
+    again, folder = stored(split_join(units, counts, ["h1", "h2"], "times"), "repeated-units")
+    firsts = again.groupBy("h1", "h2").agg(F.min(F.struct("n", "id", "t", "pos")).alias("first"), F.count("*").alias("times"))
+    late = split_join(again, cut(firsts), ["h1", "h2"], "times").where(F.struct("n", "id", "t", "pos") > F.col("first"))
+    late = cut(late.groupBy("n", "id", "t").agg(F.collect_set("pos").alias("late")))  # no more than the text has units
+    forget(units.sparkSession, folder)
+    return late
+
+
 def dedup_units(docs: DataFrame, unit: str = "line", min_line: int = MIN_LINE, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col rewritten and n_units, n_removed, removed added (array of (start, length) in code points of the original).
 
     unit: "line" (and its sentences) or "paragraph". Units are equal if they are the same after lower-casing and turning
     white space into single spaces; a 128-bit hash stands for them. The first by (id, hash of the text, place) stays, null ids
-    last; later ones are late, and go as `lost` tells. Rows of equal id and text count as one and come out equal. Null text
-    stays null and empty text empty, without units removed.
+    last; later ones are late, and go as `lost` tells: by default every whole line that is late. Rows of equal id and text
+    count as one and come out equal. Null text stays null and empty text empty, without units removed. An empty table gives an
+    empty result.
     """
     docs = docs.drop("n_units", "n_removed", "removed").withColumn(text_col, F.col(text_col).cast("string"))
-    k_id, k_text, late_, units_ = fresh(docs, "key_id", "key_text", "late", "units")
+    k_id, k_text, late_, units_, sizes_, n_ = fresh(docs, "key_id", "key_text", "late_at", "cut_up", "sizes", "count_of_units")
     pieces = F.split(text_col, PIECES if unit == "line" else PARAGRAPHS)
-    keyed = docs.withColumn(k_id, F.col(id_col)).withColumn(k_text, F.xxhash64(text_col))
+    key_text = F.xxhash64(text_col)
     norm = F.trim(F.lower(F.regexp_replace("u", r"\s+", " ")))
-    units = keyed.select(k_id, k_text, F.posexplode(pieces).alias("pos", "u")).withColumn("u", norm).where("u <> ''")
-    place = F.struct(F.col(k_id).isNull().alias("n"), F.col(k_id).alias("id"), F.col(k_text).alias("t"), F.col("pos").alias("pos"))
-    units = units.select(F.xxhash64("u").alias("h1"), F.xxhash64(F.lit("second"), "u").alias("h2"), place.alias("at"))
-    firsts = units.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
-    firsts = cut(firsts.withColumnsRenamed({"h1": "f1", "h2": "f2"}))
-    # Digests of a thousandth or more of these units, a thousand at most, are joined in salted parts; their list is broadcast.
-    total = firsts.agg(F.sum("n")).first()[0] or 0
-    hot = firsts.where(F.col("n") * HOT_SHARE >= total).select("f1", "f2", F.lit(SALTS).alias("salts"))
-    of_hot = lambda a, b: (a == F.col("f1")) & (b == F.col("f2"))
-    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("at"), F.lit(SALTS))).cast("int")
-    dealt = units.join(F.broadcast(hot), of_hot(F.col("h1"), F.col("h2")), "left").select("h1", "h2", "at", salt.alias("salt"))
-    last_salt = F.when(F.col("n") * HOT_SHARE >= total, SALTS - 1).otherwise(0)
-    firsts = firsts.select("f1", "f2", "first", F.explode(F.sequence(F.lit(0), last_salt)).alias("fs"))
-    late = dealt.join(firsts, of_hot(F.col("h1"), F.col("h2")) & (F.col("salt") == F.col("fs"))).where("at <> first")
-    late = late.groupBy(F.col("at.n").alias("ln"), F.col("at.id").alias("lid"), F.col("at.t").alias("lt")).agg(F.collect_set("at.pos").alias(late_))
-    out = keyed.join(late, F.col(k_id).eqNullSafe(F.col("lid")) & (F.col(k_text) == F.col("lt")), "left")
+    units = docs.select(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), key_text.alias("t"), F.posexplode(pieces).alias("pos", "u")).withColumn("u", norm).where("u <> ''")
+    units, folder = stored(units.select(F.xxhash64("u").alias("h1"), F.xxhash64(F.lit("second"), "u").alias("h2"), "n", "id", "t", "pos"), "units")
+    late = late_units(units).select(F.col("id").alias(k_id), F.col("t").alias(k_text), F.col("late").alias(late_))
+    forget(docs.sparkSession, folder)
+    held = late.agg(F.sum(F.size(late_))).first()[0] or 0
+    out = lookup_join(docs.withColumn(k_id, F.col(id_col)).withColumn(k_text, key_text), late, [k_id, k_text], "left", BROADCAST_ROWS if held <= LATE else -1)
+    out = out.withColumn(units_, pieces).withColumn(n_, F.when(F.length(text_col) > 0, F.size(units_)).otherwise(0).cast("long"))
+    out = out.withColumn(sizes_, F.when(F.col(late_).isNotNull(), F.transform(units_, F.char_length)))
     cols = docs.columns
     where = cols.index(text_col)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_units"), F.lit(0).cast("long").alias("n_removed"), F.expr("CAST(NULL AS array<struct<start:bigint,length:bigint>>) AS removed")).schema
@@ -82,21 +96,24 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_line: int = MIN_LINE, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, n, k, taken = [], [], [], []
-            for text, parts, late in zip(b.column(where), b.column(b.num_columns - 2), b.column(b.num_columns - 1)):
-                parts, late = parts.as_py() or [], set(late.as_py() or ())
-                gone = lost([len(u.split()) for u in parts], [u.endswith("\n") for u in parts], late, min_line, min_run) if late else ()
-                starts = [0, *accumulate(map(len, parts))]
-                texts.append("".join(u for i, u in enumerate(parts) if i not in gone) if gone else text.as_py())
-                n.append(len(parts) if text.as_py() else 0)
+            texts, k, taken, (*cells, sizes, late, count) = [], [], [], b.columns
+            for i in range(b.num_rows):
+                text = cells[where][i]
+                if not late[i].is_valid:
+                    texts.append(text.as_py()), k.append(0), taken.append([])
+                    continue
+                whole, size = text.as_py(), sizes[i].as_py()
+                starts = [0, *accumulate(size)]
+                parts = [whole[s : s + n] for s, n in zip(starts, size)]
+                gone = lost([len(u.split()) for u in parts], [u.endswith("\n") for u in parts], set(late[i].as_py()), min_line, min_run)
+                texts.append("".join(u for j, u in enumerate(parts) if j not in gone) if gone else whole)
                 k.append(len(gone))
-                taken.append([{"start": starts[i], "length": len(parts[i])} for i in sorted(gone)])
-            done = list(b.columns[:-2])
-            done[where] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*done, pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(taken, spans)], names=schema.names)
+                taken.append([{"start": starts[j], "length": size[j]} for j in sorted(gone)])
+            cells[where] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*cells, count, pa.array(k, pa.int64()), pa.array(taken, spans)], names=schema.names)
 
-    return out.select(*cols, pieces.alias(units_), late_).mapInArrow(run, schema)
+    return out.select(*cols, sizes_, late_, n_).mapInArrow(run, schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"), min_line=QUERY_MIN_LINE)

@@ -117,7 +117,7 @@ def test_pseudonyms_keep_format_link_and_invert():
 
 def test_line_dedup_catches_pasted_passages(spark):
     p = "Ererhe as was, thing. Heernd it the bo nor yet. Thing one two three four five six seven eight nine ten eleven."
-    got = {r.doc_id: r for r in linededup.dedup_units(frame(spark, [(1, f"aa bb {p} Other words", "s"), (2, f"Short.\n{p}\nTail.", "s"), (3, "Short.\nClean text here", "s")])).collect()}
+    got = {r.doc_id: r for r in linededup.dedup_units(frame(spark, [(1, f"aa bb {p} Other words", "s"), (2, f"Short.\n{p}\nTail.", "s"), (3, "Short.\nClean text here", "s")]), min_line=linededup.QUERY_MIN_LINE).collect()}
     assert p in got[1].text and got[2].text == "Short.\nTail." and got[3].text == "Short.\nClean text here"
     assert got[2].removed[0].start == 7
 
@@ -177,14 +177,62 @@ def test_lookup_table_is_even_and_moves_little():
         sharding.lookup_table(["a"], 1000)
 
 
-def test_line_dedup_of_hot_lines_keeps_the_first(spark, monkeypatch):
-    line = "one two three four five six"
-    docs = [(i, f"{line}\nown line number w{i} x y z\n{line}" if i % 3 else f"a b c d e f{i}", "s") for i in range(90)]
-    for share in (1, 1000):
-        monkeypatch.setattr(linededup, "HOT_SHARE", share)
-        got = {r.doc_id: r for r in linededup.dedup_units(frame(spark, docs)).collect()}
-        assert got[1].text == f"{line}\nown line number w1 x y z\n"
-        assert sum(r.text.count(line) for r in got.values()) == 1 and sum(r.n_removed for r in got.values()) == 119
+def brute_dedup(rows, min_line, min_run):
+    """{row number: (text, removed)} by plain loops: pieces of lines, the first by (id, hash rank, place) stays."""
+    import regex
+
+    cut_at = regex.compile(r"(?<=\n)|(?<=(?:\p{Ll}|\p{Ll}[.,;:!?]) )(?=\p{Lu})")
+    pieces = {i: [p for p in cut_at.split(t or "") if p] for i, t in rows}
+    first, out = {}, {}
+    norm = lambda u: regex.sub(r"[ \t\n\x0b\f\r]+", " ", u).lower().strip(" ")
+    for i in sorted(pieces):
+        for n, u in enumerate(pieces[i]):
+            first.setdefault(norm(u), (i, n))
+    for i, us in pieces.items():
+        late = {n for n, u in enumerate(us) if norm(u) and first[norm(u)] < (i, n)}
+        size, gone, at = [len(u.split()) for u in us], set(), 0
+        for n, u in enumerate(us):  # whole lines
+            if u.endswith("\n") or n == len(us) - 1:
+                line = range(at, n + 1)
+                if all(j in late or not size[j] for j in line) and sum(size[j] for j in line) >= min_line:
+                    gone |= set(line)
+                at = n + 1
+        for a in late:  # runs: from each late unit on to the last late one before a unit with words that isn't
+            b = a
+            while b < len(us) and (b in late or not size[b]):
+                b += 1
+            run = range(a, max(j for j in range(a, b) if j in late) + 1)
+            before = next((j for j in range(a - 1, -1, -1) if size[j]), None)
+            if before not in late and sum(size[j] for j in run) >= min_run:
+                gone |= set(run)
+        starts = [sum(map(len, us[:j])) for j in range(len(us))]
+        out[i] = "".join(u for j, u in enumerate(us) if j not in gone), [(starts[j], len(us[j])) for j in sorted(gone)]
+    return out
+
+
+@pytest.mark.parametrize("min_line,min_run", [(1, 20), (5, 20), (1, 1)])
+def test_line_dedup_against_plain_loops(spark, monkeypatch, min_line, min_run):
+    from tessera.plans import skew
+
+    r = random.Random(min_line)
+    word = lambda: r.choice(["ab", "Cd", "ef.", "Gh", "éa", "Éb!", "x"])
+    sent = ["  ".join(word() for _ in range(r.randint(1, 9))) for _ in range(25)] + ["", " "]
+    long = "\n\n".join(f"item{i} of list" for i in range(20))  # a double-spaced list of short lines
+    rows = [(i, r.choice(["\n", " ", "\n\n"]).join(r.choice(sent) for _ in range(r.randint(0, 12))) + (f"\n{long}\nend{i}" if i % 4 == 0 else "")) for i in range(60)]
+    want = brute_dedup(rows, min_line, min_run)
+    for hot in (1024, 2):
+        monkeypatch.setattr(skew, "HOT_ROWS", hot)
+        monkeypatch.setattr(skew.fits, "__defaults__", (500_000 if hot > 2 else 0,))
+        got = {x.doc_id: x for x in linededup.dedup_units(frame(spark, [(i, t, "s") for i, t in rows]), min_line=min_line, min_run=min_run).collect()}
+        for i, (text, spans) in want.items():
+            assert got[i].text == text and [(x.start, x.length) for x in got[i].removed] == spans and got[i].n_removed == len(spans)
+
+
+def test_line_dedup_of_a_hot_line_keeps_the_first(spark):
+    docs = [(i, f"one two three\nown line number w{i} x y z\none two three" if i % 3 else f"a b c d e f{i}", "s") for i in range(90)] + [(None, "one two three", "s")] * 2
+    got = {r.doc_id: r for r in linededup.dedup_units(frame(spark, docs)).collect()}
+    assert got[1].text == "one two three\nown line number w1 x y z\n" and got[None].text == ""
+    assert sum(r.text.count("one two three") for r in got.values()) == 1
 
 
 def test_nearest_of_empty_repeated_and_odd_rows(spark):
