@@ -1,13 +1,14 @@
 """Mixing sources to target weights (native DataFrame operations only).
 
 Tokens are summed per source; water-filled targets give each source a repetition rate; each document comes out
-floor(rate) times, plus one hash-seeded Bernoulli copy with probability equal to the fraction of the rate. Draws of documents
-that hold a four-thousandth of their source or more are made evenly along their sizes from a hashed start: each has that
-probability still, but chance can't take all the long ones or none.
+floor(rate) times, plus one hash-seeded Bernoulli copy with probability equal to the fraction of the rate. Chance alone can
+take too many of a source's long documents; so the draws are summed under SEEDS seeds in one grouped pass, and each source
+takes the seed whose sum comes nearest to its target. All documents draw alike, at every size.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +22,10 @@ from tessera.plans.skew import lookup_join
 WEIGHTS = (5, 2, 1)
 CEILING = 3
 SEED = "mix-v1"
-#: A document of one in so many of its source's words is long; no source has more than so many of them.
-LONG_IN = 4096
+#: Seeds that each source tries. The best of n misses by about 1.25 / n standard deviations of one draw's sum.
+SEEDS = 32
+#: Draws are h * a + b modulo this prime, for the hash h of a document and the numbers a, b of a seed.
+PRIME = (1 << 31) - 1
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,9 +51,20 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: Sequence[i
     return per.select("source", "source_size", F.least(F.col("level") * F.col("w"), F.col("cap").cast("double")).alias("target"))
 
 
-def draw(seed: str, key: Column) -> Column:
-    """A uniform number in [0, 1) from a hash."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), key)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def seed_numbers(n: int) -> list[tuple[int, int]]:
+    """(a, b) of each seed, from its number."""
+    h = [hashlib.md5(f"{SEED}|{i}".encode()).digest() for i in range(n)]
+    return [(int.from_bytes(x[:4], "big") % (PRIME - 1) + 1, int.from_bytes(x[4:8], "big") % PRIME) for x in h]
+
+
+def hashed(seed: str, key: Column) -> Column:
+    """A number in [0, PRIME) from a hash."""
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), key)), 1, 12), 16, 10).cast("long") % PRIME).cast("long")
+
+
+def drawn(h: Column, a: Column | int, b: Column | int, frac: Column) -> Column:
+    """Whether the document of hash h gets its further copy under the seed a, b: with probability frac."""
+    return ((h * a + b) % PRIME) < frac * float(PRIME)
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights: Sequence[int] = WEIGHTS, ceiling: int = CEILING, seed: str = SEED) -> DataFrame:
@@ -61,19 +75,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     sized = docs.withColumn("size", n_words(F.col(text_col)) if size is None else size)
-    stats = cut(source_targets(sized.select(source_col, "size"), source_col, "size", weights, ceiling)).withColumnRenamed("source", source_col)
-    out = lookup_join(sized, stats, [source_col])
-    rate, frac, key, extra = fresh(out, "rate", "frac", "mix_key", "extra")
-    out = out.withColumn(rate, F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(ceiling)))).otherwise(F.lit(0.0)))
-    out = out.withColumn(frac, F.col(rate) - F.floor(rate)).withColumn(key, F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit("")))
-    long = out.where((F.col("size") > 0) & (F.col("size") * LONG_IN >= F.col("source_size"))).select(source_col, key, "size", frac).distinct()
-    at = F.row_number().over(W.partitionBy(source_col).orderBy(F.desc("size"), draw(seed, F.col(key)), key)) - 1
-    start = draw(f"{seed}|start", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    taken = (F.floor(start + (at + 1) * F.col(frac)) - F.floor(start + at * F.col(frac))).cast("long")
-    out = lookup_join(out, cut(long.select(source_col, key, "size", taken.alias(extra))), [source_col, key, "size"], "left")
-    drawn = F.coalesce(F.col(extra), F.when(draw(seed, F.col(key)) < F.col(frac), 1).otherwise(0))
-    out = out.withColumn("copies", (F.floor(rate) + drawn).cast("long"))
-    return out.withColumn("taken", F.col("size") * F.col("copies")).drop(rate, frac, key, extra)
+    stats = cut(source_targets(sized.select(source_col, "size"), source_col, "size", weights, ceiling))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(ceiling)))).otherwise(F.lit(0.0))
+    stats = stats.withColumn("rate", rate).withColumn("frac", F.col("rate") - F.floor("rate"))
+    key = lambda: hashed(seed, F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit("")))
+    numbers = seed_numbers(SEEDS)
+    each = lookup_join(sized.select(F.col(source_col).alias("source"), "size", key().alias("h")), stats.select("source", "frac"), ["source"])
+    sums = each.groupBy("source").agg(*[F.sum(F.when(drawn(F.col("h"), a, b, F.col("frac")), F.col("size")).otherwise(0)).alias(f"s{i}") for i, (a, b) in enumerate(numbers)])
+    sums = lookup_join(sums, stats, ["source"])
+    miss = [F.abs(F.col(f"s{i}") + F.floor("rate") * F.col("source_size") - F.col("target")) for i in range(SEEDS)]
+    best = F.array_min(F.array(*[F.struct(m.alias("m"), F.lit(i).alias("i"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (m, (a, b)) in enumerate(zip(miss, numbers))]))
+    k_, rate_, frac_, a_, b_ = fresh(sized.columns + ["source_size", "target", "copies", "taken"], "mix_key", "rate", "frac", "seed_a", "seed_b")
+    chosen = cut(sums.withColumn("best", best).select(F.col("source").alias(k_), "source_size", "target", F.col("rate").alias(rate_), F.col("frac").alias(frac_), F.col("best.a").alias(a_), F.col("best.b").alias(b_)))
+    out = lookup_join(sized.withColumn(k_, F.col(source_col)), chosen, [k_])
+    copies = F.floor(rate_) + drawn(key(), F.col(a_), F.col(b_), F.col(frac_)).cast("int")
+    out = out.withColumn("copies", copies.cast("long"))
+    return out.withColumn("taken", F.col("size") * F.col("copies")).drop(k_, rate_, frac_, a_, b_)
 
 
 def emit_copies(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -87,25 +104,20 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _sql_draw(seed: str, key: str) -> str:
-    return f"('0x' || substr(md5('{seed}|' || {key}), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE"
-
-
 def op5_sql() -> str:
+    numbers = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(seed_numbers(SEEDS)))
     return f"""
 WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '{WORD}')) END::BIGINT AS size,
-                  coalesce(doc_id::VARCHAR, md5(text), '') AS k FROM documents),
+                  ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, md5(text), '')), 1, 12))::BIGINT % {PRIME} AS h FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 o AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w, source_size * 3 AS cap FROM p),
 l AS (SELECT *, (sum(source_size) OVER () - sum(cap) OVER r + cap)::DOUBLE / (sum(w) OVER () - sum(w) OVER r + w)::DOUBLE AS lev
       FROM o WINDOW r AS (ORDER BY cap::DOUBLE / w, source NULLS LAST)),
 t AS (SELECT source, source_size, least(max(lev) OVER () * w, cap::DOUBLE) AS target FROM l),
-j AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, d.k,
-             CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-b AS (SELECT DISTINCT source, k, size, rate - floor(rate) AS f FROM j WHERE size > 0 AND size * {LONG_IN} >= source_size),
-r AS (SELECT *, {_sql_draw(SEED + '|start', "coalesce(source, '')")} AS u, row_number() OVER (PARTITION BY source ORDER BY size DESC, {_sql_draw(SEED, 'k')}, k) - 1 AS i FROM b),
-x AS (SELECT source, k, size, (floor(u + (i + 1) * f) - floor(u + i * f))::BIGINT AS extra FROM r)
-SELECT j.doc_id, j.size, j.source_size, j.target,
-       j.size * (floor(rate)::BIGINT + coalesce(extra, CASE WHEN {_sql_draw(SEED, 'j.k')} < rate - floor(rate) THEN 1 ELSE 0 END)) AS taken
-FROM j LEFT JOIN x ON j.source IS NOT DISTINCT FROM x.source AND j.k = x.k AND j.size = x.size"""
+u AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM t),
+j AS (SELECT d.doc_id, d.source, d.size, d.h, u.source_size, u.target, floor(rate)::BIGINT AS whole, rate - floor(rate) AS f FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
+seeds AS (SELECT * FROM (VALUES {numbers}) AS s(i, a, b)),
+m AS (SELECT source, i, abs(sum(CASE WHEN (h * a + b) % {PRIME} < f * {float(PRIME)!r}::DOUBLE THEN size ELSE 0 END) + any_value(whole * source_size) - any_value(target)) AS miss FROM j, seeds GROUP BY source, i),
+c AS (SELECT source, i, row_number() OVER (PARTITION BY source ORDER BY miss, i) AS n FROM m)
+SELECT j.doc_id, j.size, j.source_size, j.target, j.size * (j.whole + CASE WHEN (h * a + b) % {PRIME} < f * {float(PRIME)!r}::DOUBLE THEN 1 ELSE 0 END) AS taken
+FROM j JOIN c ON c.n = 1 AND j.source IS NOT DISTINCT FROM c.source JOIN seeds USING (i)"""

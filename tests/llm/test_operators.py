@@ -70,12 +70,30 @@ def test_mixing_targets_fill_and_reruns_agree(spark):
     assert abs(sum(per.values()) - total) < 1e-6
 
 
-def test_mixing_draws_long_documents_evenly(spark):
-    rows = [(i, "w " * (2000 // (1 + i // 3) + 1), f"s{i % 3}") for i in range(600)]
-    got = mixing.mix_sources(frame(spark, rows)).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("want"), F.max("size").alias("most"), F.max("source_size").alias("all")).collect()
-    assert len(got) == 3 and all(abs(r.t - r.want) <= r.most for r in got) and all(r.most * 4 < r["all"] for r in got)
-    twice = mixing.mix_sources(frame(spark, rows + rows[:5])).groupBy("doc_id").agg(F.count_distinct("copies").alias("n")).where("n > 1")
-    assert twice.count() == 0
+def test_mixing_level_and_bernoulli_draws_against_plain_ones(spark):
+    rows = [(i, "w " * (2000 // (1 + i // 4) + 1), [None, "b", "a", "c"][i % 4]) for i in range(600)] + [(None, "x y", "a"), (None, None, None)]
+    got = mixing.mix_sources(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    all_sizes = {s: sum(len(t.split()) for _, t, z in rows if z == s and t) for s in ("a", "b", "c", None)}
+    weight, left, target = dict(zip(all_sizes, (5, 2, 1, 5))), set(all_sizes), {}
+    while left:  # plain water level: those above three times their size stop there, the rest share again
+        level = (sum(all_sizes.values()) - sum(target.values())) / sum(weight[s] for s in left)
+        over = {s for s in left if level * weight[s] > 3 * all_sizes[s]}
+        target |= {s: 3.0 * all_sizes[s] for s in over} if over else {s: level * weight[s] for s in left}
+        left -= over or left
+    for s, size in all_sizes.items():
+        mine = [r for r in got if r.source == s]
+        rate = target[s] / size
+        frac, hashes = rate - int(rate), {}
+        for r in mine:
+            assert (r.source_size, r.target) == (size, pytest.approx(target[s])) and r.taken == r.size * r.copies and r.copies <= 3
+            key = str(r.doc_id) if r.doc_id is not None else hashlib.md5(r.text.encode()).hexdigest() if r.text else ""
+            hashes[id(r)] = int(hashlib.md5(f"{mixing.SEED}|{key}".encode()).hexdigest()[:12], 16) % mixing.PRIME
+        draw = lambda a, b: {k: (h * a + b) % mixing.PRIME < frac * mixing.PRIME for k, h in hashes.items()}
+        tried = [draw(a, b) for a, b in mixing.seed_numbers(mixing.SEEDS)]
+        miss = [abs(sum(r.size * (int(rate) + d[id(r)]) for r in mine) - target[s]) for d in tried]
+        assert {id(r): r.copies - int(rate) == 1 for r in mine} == tried[miss.index(min(miss))]
+        assert min(miss) <= 0.05 * target[s]
 
 
 def test_simhash_links_all_pairs_within_three_bits(spark):
