@@ -12,6 +12,7 @@ import random
 import re
 from collections.abc import Iterator
 from html import unescape
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+COMMENT_END, SPECIAL, NAME = re.compile(r"--!?>"), re.compile(r"[>\"']"), re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements whose text is never shown, or is not prose.
 SKIP = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "textarea", "button", "title", "head"}
@@ -63,15 +64,93 @@ def hints(attrs: str) -> frozenset:
     return frozenset(out)
 
 
+class Markup:
+    """Finds comments, declarations and tags, each place in time that doesn't grow with the rest of the page.
+
+    What was looked for in vain behind one place is not looked for again behind later ones.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.ends, self.gone = html, {}, set()
+        self.last, self.last_data = html.rfind(">"), html.rfind("]]>")
+
+    def tag_end(self, at: int) -> int:
+        """Place of the first > outside quotes, or of the first > at all where a quote never ends."""
+        path, i = [], at
+        while True:
+            m = SPECIAL.search(self.html, i)
+            j = m.start() if m else -1
+            if j < 0 or j in self.ends:
+                end = self.ends.get(j, -1)
+                break
+            path.append(j)
+            i = self.html.find(m[0], j + 1) + 1
+            if m[0] == ">" or not i:
+                end = j if m[0] == ">" else -1
+                break
+        self.ends.update(dict.fromkeys(path, end))
+        return end if end >= 0 else self.html.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, tag or "", whether it closes, attributes) of the next markup from `at` on."""
+        html = self.html
+        while 0 <= (lt := html.find("<", at)) < self.last or lt >= 0 and html.startswith("<!--", lt):
+            if html.startswith("<!--", lt):
+                m = COMMENT_END.search(html, lt + 2)
+                return lt, m.end() if m else len(html), "", False, ""
+            if html.startswith("<![CDATA[", lt) and lt < self.last_data:
+                return lt, html.find("]]>", lt) + 3, "", False, ""
+            if html[lt + 1 : lt + 2] in ("!", "?"):
+                return lt, html.find(">", lt) + 1, "", False, ""
+            if m := NAME.match(html, lt + 1):
+                end = self.tag_end(m.end())
+                return lt, end + 1, m[2].lower(), m[1] == "/", html[m.end() : end]
+            at = lt + 1
+        return None
+
+    def close_of(self, tag: str, at: int) -> int:
+        """Where the next end tag of that name ends, or -1."""
+        if tag in self.gone:
+            return -1
+        m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.html, at)
+        if not m:
+            self.gone.add(tag)
+        return m.end() if m else -1
+
+
+class Stack:
+    """The open elements; where a name was last opened is known without a search."""
+
+    def __init__(self):
+        self.nodes, self.names, self.at = [0], ["root"], {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.names.append(tag)
+
+    def last(self, tag: str) -> int:
+        found = self.at.get(tag)
+        return found[-1] if found else -1
+
+    def cut(self, size: int) -> None:
+        while len(self.nodes) > size:
+            self.nodes.pop()
+            self.at[self.names.pop()].pop()
+
+
 def parse(html: str) -> list[Node]:
-    """Nodes in page order, parents first; node 0 is the root. A run's text has its references decoded and white space joined."""
+    """Nodes in page order, parents first; node 0 is the root. A run's text has its references decoded and white space joined.
+
+    Elements may lie as deep as they like; time grows with the length of the page.
+    """
     nodes = [Node("root", frozenset(), -1)]
-    stack, parts, linked, links, at, size = [0], [], [0], 0, 0, len(html)
+    markup, stack, parts, linked, links, at, size = Markup(html), Stack(), [], [0], 0, 0, len(html)
 
     def flush() -> None:
         t = " ".join(unescape("".join(parts)).split())
         if t:
-            nodes.append(Node("#", frozenset(), stack[-1], t, min(1.0, linked[0] / len(t))))
+            nodes.append(Node("#", frozenset(), stack.nodes[-1], t, min(1.0, linked[0] / len(t))))
         parts.clear()
         linked[0] = 0
 
@@ -82,30 +161,25 @@ def parse(html: str) -> list[Node]:
                 linked[0] += len(s)
 
     def close(tag: str, fence: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            t = nodes[stack[i]].tag
-            if t == tag:
-                flush()
-                del stack[i:]
-                return
-            if t in fence:
-                return
+        i = stack.last(tag)
+        if i > 0 and all(stack.last(t) <= i for t in fence):
+            flush()
+            stack.cut(i)
 
     while at < size:
-        m = MARKUP.search(html, at)
+        m = markup.next(at)
         if not m:
             text(html[at:])
             break
-        text(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        start, stop, tag, end, attrs = m
+        text(html[at:start])
+        at = stop
         if not tag:
             continue
-        end, attrs = (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if tag in SKIP and tag != "head":
             if not end and not attrs.rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = stop.end() if stop else (size if tag in RAW else at)
+                stop = markup.close_of(tag, at)
+                at = stop if stop >= 0 else (size if tag in RAW else at)
             continue
         if tag == "br":
             text(" ")
@@ -120,12 +194,11 @@ def parse(html: str) -> list[Node]:
             flush()
             if tag in ("li", "p", "dd", "dt", "tr", "td", "th", "option"):
                 close(tag, {"ul", "ol", "table", "dl", "menu", "div", "article", "section", "blockquote"} - {tag})
-            elif tag not in INLINE:
+            else:
                 close("p", {"div", "article", "section", "td", "li", "blockquote", "table", "body"})
             links = 0
-            if len(stack) < 400:
-                nodes.append(Node(tag, hints(attrs), stack[-1]))
-                stack.append(len(nodes) - 1)
+            nodes.append(Node(tag, hints(attrs), stack.nodes[-1]))
+            stack.push(len(nodes) - 1, tag)
     flush()
     return nodes
 
@@ -133,20 +206,22 @@ def parse(html: str) -> list[Node]:
 _TAG = {t: i for i, t in enumerate(TAGS)}
 
 
+def active(nodes: list[Node], i: int) -> list[tuple[int, float]]:
+    """The features of a node that aren't 0: of an element (tag, hints) or of a run (tag of the block; length, links, punctuation)."""
+    n, k = nodes[i], len(TAGS)
+    if n.text is None:
+        return [(_TAG.get(n.tag, k - 1), 1.0), *((k + h, 1.0) for h in n.hints), *([(N_ELEMENT - 1, 1.0)] if n.hints else [])]
+    up, size, t = nodes[n.up].tag, len(n.text), n.text
+    values = [n.linked, n.linked > 0.5, log1p(size) / 6, size < 25, size > 80, t[-1] in ".!?:;\"')”", "©" in t, up in HEADS]
+    return [(_TAG.get(up, k - 1), 1.0), *((k + j, float(v)) for j, v in enumerate(values) if v)]
+
+
 def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows: of elements (tag, hints) or of runs (tag of the block, then length, links, punctuation)."""
+    """Feature rows of the elements and of the runs."""
     e, r = np.zeros((len(nodes), N_ELEMENT)), np.zeros((len(nodes), N_RUN))
     for i, n in enumerate(nodes):
-        if n.text is None:
-            e[i, _TAG.get(n.tag, len(TAGS) - 1)] = 1
-            for h in n.hints:
-                e[i, len(TAGS) + h] = 1
-            e[i, -1] = bool(n.hints)
-        else:
-            k, up = len(TAGS), nodes[n.up].tag
-            r[i, _TAG.get(up, len(TAGS) - 1)] = 1
-            size, t = len(n.text), n.text
-            r[i, k:] = [n.linked, n.linked > 0.5, min(size, 400) / 400, size < 25, size > 80, t[-1] in ".!?:;\"')”", "©" in t[:40], up in HEADS]
+        for j, v in active(nodes, i):
+            (e if n.text is None else r)[i, j] = v
     return e, r
 
 
@@ -156,8 +231,8 @@ class Model:
 
     def marginals(self, nodes: list[Node]) -> np.ndarray:
         """P(content) of each node, by one pass of messages up and one down."""
-        n, (e, r) = len(nodes), features(nodes)
-        u = np.where([x.text is None for x in nodes], e @ self.we, r @ self.wr)
+        n, we, wr = len(nodes), self.we.tolist(), self.wr.tolist()
+        u = np.array([sum((we if x.text is None else wr)[j] * v for j, v in active(nodes, i)) for i, x in enumerate(nodes)])
         own = np.exp(np.stack([-u / 2, u / 2], 1) - np.abs(u / 2)[:, None]).tolist()
         kind, up, pair = [int(x.text is not None) for x in nodes], [x.up for x in nodes], self.pair.tolist()
         below, sent = [list(x) for x in own], [None] * n

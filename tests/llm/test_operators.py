@@ -309,3 +309,47 @@ def test_near_duplicates_stage_removes_edited_copies(spark, monkeypatch, bucket)
         label = new
     got = corpus_pipeline.near_duplicates(spark, frame(spark, docs), "").select("doc_id").collect()
     assert len(set(label)) < len(docs) - 40 and sorted(x.doc_id for x in got) == sorted(set(label))
+
+
+def test_html_parsing_is_linear_and_knows_any_depth():
+    import time
+
+    m = html_text.train(html_text.labelled_pages())
+    page = "<article><p>This is the article text, quite long enough to be read as such, with a full stop.</p></article><aside class='sidebar'><p>Aside here.</p></aside>"
+    assert m.extract("<div>" * 5000 + page + "</div>" * 5000) == m.extract(page) == ["This is the article text, quite long enough to be read as such, with a full stop."]
+    for unit in ("<![CDATA[", '<b ">" ', "<a '><p ", "<button>", "<a ", "<!x ", "</section><div>", "<section><table><div></section>"):
+        t = time.time()
+        html_text.parse(unit * (400_000 // len(unit)) + "'>")
+        assert time.time() - t < 20, unit
+    assert [n.text for n in html_text.parse('<a title="x>y" href=\'>\'>b</a><!-- <p> --> c <![CDATA[d]]> e < f <b "> g') if n.text] == ['b c e < f g']
+
+
+def test_extraction_on_pages_it_was_not_trained_on():
+    m, good, bad, miss = html_text.train(html_text.labelled_pages()), 0, 0, 0
+    for html, want in html_text.labelled_pages(150, seed=99):
+        got = m.extract(html)
+        good += sum(len(t) for t in got if t in want)
+        bad += sum(len(t) for t in got if t not in want)
+        miss += sum(len(t) for t in want if t not in got)
+    assert good / (good + bad) > 0.93 and good / (good + miss) > 0.93
+
+
+def test_proximity_matches_against_plain_spans(spark):
+    r = random.Random(6)
+    vocab = [f"w{i}" for i in range(14)] + ["the"] * 4
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(i, text(r.choice([1, 4, 6, 9]))) for i in range(8)] + [(8, "absent words here"), (9, None), (None, "the")]
+    docs = [(i, r.choice(["", ". "]) + text(r.randint(0, 60)), "s") for i in range(25)] + [(3, "the", "s"), (None, "the w1", "s"), (30, None, "s")]
+    docs = frame(spark, docs).withColumn("k1", F.lit(1)).withColumn("term", F.lit(2))
+    got = sorted(map(tuple, decontaminate.proximity_matches(docs, spark.createDataFrame(items, "item_id long, text string"), span=9, width=5).collect()), key=str)
+    want = []
+    for row in docs.collect():
+        w = (row.text or "").replace(".", " ").split()
+        for k, q in items:
+            q = (q or "").split() if k is not None else []
+            for s in range(max(1, len(q) - 4) if q else 0):
+                terms = set(q[s : s + 5])
+                at = [p for p in range(len(w)) if w[p] in terms and terms <= set(w[p : p + 9])]
+                if at:
+                    want.append((row.doc_id, str(k), s, at[0]))
+    assert got == sorted(want, key=str) and len(want) > 20
