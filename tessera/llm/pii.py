@@ -7,8 +7,10 @@ dates. The same key maps equal values alike, so they stay linked across document
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from datetime import date
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -17,9 +19,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-KEY = b"tessera-demo-key"
+#: The session's setting that names the key; the demonstration key serves only where it is unset.
+KEY_SETTING, DEMO_KEY = "spark.tessera.pii.key", "tessera-demo-key"
 ROUNDS = 8
-_EPOCH, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
+#: First days of the spans within which dates stay, and the day behind the last.
+_SPANS = [date(1, 1, 1).toordinal(), date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal(), date.max.toordinal() + 1]
 
 
 class Feistel:
@@ -66,7 +70,7 @@ def _refill(shape: str, digits: str) -> str:
 
 #: Alternatives are tried in this order at each place.
 PATTERN = re.compile(
-    r"(?<![\w@.-])(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+    r"(?<![\w.!#$%&'*+/=?^`{|}~@-])(?P<email>[\w.!#$%&'*+/=?^`{|}~-]++@(?:[^\W_][\w-]*+\.)+[^\W\d_]{2,})"
     r"|(?<![\w.-])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?<![\w.-])(?P<iso>\d{4}-\d{2}-\d{2})(?![\w-])"
     r"|(?<![\w./-])(?P<dmy>\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w/])"
@@ -80,8 +84,19 @@ KINDS = ("email", "iban", "iso", "dmy", "ssn", "ip", "phone", "card")
 _HINT = re.compile("[0-9@]")
 
 
+@lru_cache(4096)
+def _alphabet(c: str) -> str:
+    """The characters that may stand for c: digits for a digit, else the letters of c's kind in its block of 128; "" for others."""
+    if not c.isalnum() or c.isdigit() and not c.isascii():
+        return ""
+    if c.isascii():
+        return "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    first, kind = ord(c) & ~127, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == kind)
+
+
 class Pseudonyms:
-    def __init__(self, key: bytes = KEY, back: bool = False):
+    def __init__(self, key: bytes = DEMO_KEY.encode(), back: bool = False):
         self.f, self.back = Feistel(key), back
 
     def _digits(self, s: str, tweak: bytes, keep: int = 0, ok: Callable[[str], bool] = lambda _: True) -> str:
@@ -117,25 +132,32 @@ class Pseudonyms:
         x = self.f.permute(int.from_bytes(bytes(map(int, p)), "big"), 1 << 32, b"ip", self.back)
         return ".".join(map(str, x.to_bytes(4, "big")))
 
-    def _day(self, y: int, m: int, d: int, ok: Callable[[int], bool] = lambda _: True) -> date | None:
+    def _day(self, y: int, m: int, d: int, ok: Callable[[date], bool] = lambda _: True) -> date | None:
+        """Another day of the span (before 1900, 1900 to 2099, later) for which ok holds; None if there is no such date."""
         try:
-            x = date(y, m, d).toordinal() - _EPOCH
+            x = date(y, m, d).toordinal()
         except ValueError:
             return None
-        return date.fromordinal(_EPOCH + self.f.permute(x, _DAYS, b"day", self.back, ok)) if 0 <= x < _DAYS else None
+        first, end = next((a, b) for a, b in zip(_SPANS, _SPANS[1:]) if x < b)
+        return date.fromordinal(first + self.f.permute(x - first, end - first, b"day%d" % first, self.back, lambda v: ok(date.fromordinal(first + v))))
 
     def iso(self, s: str) -> str | None:
         d = self._day(*map(int, s.split("-")))
         return d and d.isoformat()
 
     def dmy(self, s: str) -> str | None:
-        """Day first where that is a date, else month first, which stays among the dates that only read so. Two digits each."""
-        a, b, y = map(int, re.split(r"[./]", s))
+        """Day first where that is a date, else month first, which stays among the dates that only read so.
+
+        Days and months of one digit stay among those of one digit, so that the length and the way back are kept.
+        """
         sep = "." if "." in s else "/"
-        if d := self._day(y, b, a):
-            return f"{d.day:02d}{sep}{d.month:02d}{sep}{d.year}"
-        d = self._day(y, a, b, lambda v: date.fromordinal(_EPOCH + v).day > 12)
-        return d and f"{d.month:02d}{sep}{d.day:02d}{sep}{d.year}"
+        one, two, year = s.split(sep)
+        a, b, y = int(one), int(two), int(year)
+        like = lambda v, was: len(was) == 2 or v < 10
+        if d := self._day(y, b, a, lambda v: like(v.day, one) and like(v.month, two)):
+            return f"{d.day:0{len(one)}d}{sep}{d.month:0{len(two)}d}{sep}{d.year:04d}"
+        d = self._day(y, a, b, lambda v: v.day > 12 and like(v.month, one))
+        return d and f"{d.month:0{len(one)}d}{sep}{d.day:02d}{sep}{d.year:04d}"
 
     def iban(self, s: str) -> str | None:
         t = s.replace(" ", "")
@@ -146,19 +168,19 @@ class Pseudonyms:
         return "".join(" " if c == " " else next(it) for c in s)
 
     def _mixed(self, s: str, tweak: bytes) -> str:
-        """Digits stay digits, letters letters of their case, the rest as it is."""
-        radix = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in s]
-        base = ["0" if c.isdigit() else "a" if c.islower() else "A" if c.isalpha() else c for c in s]
+        """Digits stay digits, letters letters of their case and script, the rest as it is."""
+        sets = [_alphabet(c) or c for c in s]
         x, n = 0, 1
-        for c, r, b in zip(s, radix, base):
-            x, n = x * r + ord(c) - ord(b), n * r
-        x, out = self.f.permute(x, n, tweak + re.sub(r"\d", "0", "".join(base)).encode(), self.back) if n > 1 else x, []
-        for r, b in zip(reversed(radix), reversed(base)):
-            x, v = divmod(x, r)
-            out.append(chr(ord(b) + v))
+        for c, among in zip(s, sets):
+            x, n = x * len(among) + among.index(c), n * len(among)
+        x, out = self.f.permute(x, n, tweak + "".join(among[0] for among in sets).encode(), self.back) if n > 1 else x, []
+        for among in reversed(sets):
+            x, v = divmod(x, len(among))
+            out.append(among[v])
         return "".join(reversed(out))
 
     def email(self, s: str) -> str:
+        """The local part is mixed, the host stays: equal addresses stay equal, and those of one host stay together."""
         local, _, host = s.partition("@")
         return f"{self._mixed(local, b'email@' + host.lower().encode())}@{host}"
 
@@ -177,11 +199,14 @@ class Pseudonyms:
         return "".join([*out, s[at:]]) if found else s, found
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text", back: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes | None = None, text_col: str = "text", back: bool = False) -> DataFrame:
     """docs with text_col rewritten and pii added (array of kind, start, length in the original; a column pii is replaced).
 
-    Null and empty texts stay as they are, with no finds. Rows are independent; nothing is gathered.
+    The key is that of the session's setting spark.tessera.pii.key unless one is given. Null and empty texts stay as they
+    are, with no finds; repeated rows come out equal; an empty table gives an empty result. Rows are independent; nothing is
+    gathered.
     """
+    key = docs.sparkSession.conf.get(KEY_SETTING, DEMO_KEY).encode() if key is None else key
     docs = docs.drop("pii")
     where, kinds = docs.columns.index(text_col), pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
     src = docs.withColumn(text_col, F.col(text_col).cast("string"))

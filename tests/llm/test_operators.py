@@ -353,3 +353,36 @@ def test_proximity_matches_against_plain_spans(spark):
                 if at:
                     want.append((row.doc_id, str(k), s, at[0]))
     assert got == sorted(want, key=str) and len(want) > 20
+
+
+def test_pseudonyms_of_every_kind_are_permutations_of_their_format():
+    p, q = pii.Pseudonyms(b"k1"), pii.Pseudonyms(b"k1", back=True)
+    cases = {
+        "email": ["jörg@x.org", "_me@x.org", "o'neil@x.org", "иван.Петров@почта.рф", "a" * 70 + "@b.example.com", "x+y%z@a-b.co"], "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
+        "iso": ["2024-02-29", "0001-01-01", "9999-12-31", "1850-06-30"], "dmy": ["1/2/2020", "12/31/2020", "1/31/2020", "01.02.1820", "28.2.2150", "31/12/1999"],
+        "ssn": ["123-45-6789"], "ip": ["54.158.173.199", "0.0.0.0"], "phone": ["+1 (375) 555-4393", "(212) 555-0100", "+49 30 1234 5678"], "card": ["4207051279108084", "4207-0512-7910-8084", "378282246310005"],
+    }
+    shape = lambda s: re.sub(r"\d", "0", re.sub(r"[^\W\d_]", "a", s))
+    for kind, values in cases.items():
+        for v in values:
+            (out, found), new = p.text(f"see {v}, twice {v}!"), p.text(v)[0]
+            assert [f["kind"] for f in found] == [kind] * 2 and out == f"see {new}, twice {new}!" and q.text(out)[0] == f"see {v}, twice {v}!", v
+            assert kind == "ip" or len(new) == len(v) and (kind == "email" or shape(new) == shape(v)) and new != v
+            assert pii.Pseudonyms(b"k2").text(v)[0] != new
+    for v in ("2020-13-01", "31.02.2020", "4207051279108085", "DE88370400440532013000", "000-12-3456", "1.2.3.256", "a@b", "v1.2.3"):
+        assert p.text(v) == (v, [])
+    # A permutation: of a small format, every value is met once.
+    f, n = pii.Feistel(b"k"), 1000
+    assert sorted(f.permute(x, n, b"t") for x in range(n)) == list(range(n))
+
+
+def test_pseudonymise_takes_its_key_from_the_session(spark):
+    docs = frame(spark, [(1, "a.b@x.org", "s"), (1, "a.b@x.org", "s"), (2, None, "s"), (3, "", "s")]).withColumn("pii", F.lit("clash"))
+    try:
+        spark.conf.set(pii.KEY_SETTING, "secret")
+        a = pii.pseudonymise(docs).orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    b = pii.pseudonymise(docs).orderBy("doc_id").collect()
+    assert a[0].text == a[1].text == pii.Pseudonyms(b"secret").text("a.b@x.org")[0] != b[0].text
+    assert [(r.text, r.pii) for r in a[2:]] == [(None, []), ("", [])] and pii.pseudonymise(docs.where("false")).count() == 0
