@@ -27,14 +27,14 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def split_join(big: DataFrame, small: DataFrame, keys: str | list[str], n: str) -> DataFrame:
+def split_join(big: DataFrame, small: DataFrame, keys: str | list[str], n: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join on keys of which small has one row each; small[n], dropped here, is the key's number of rows in big.
 
     Broadcast if small is within the bound. Beyond it, keys of over HOT_ROWS rows, of which there are few, are joined by
     broadcast (salted, if they are many nevertheless) and all others by a plain shuffle, where no key is large.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    if fits(small):
+    if fits(small, max_rows):
         return big.join(F.broadcast(small.drop(n)), keys)
     hot, rest = small.where(F.col(n) > HOT_ROWS).drop(n), small.where(F.col(n) <= HOT_ROWS).drop(n)
     return lookup_join(big, hot, keys).select(*[c for c in big.columns if c in keys], *[c for c in [*big.columns, *small.columns] if c not in (*keys, n)]).unionByName(big.join(rest, keys))
