@@ -20,6 +20,8 @@ from tessera.plans.skew import BROADCAST_ROWS, lookup_join, split_join
 #: Words from which a repeated line, or a run of repeated units within lines, is removed. One word a line is the exact mode;
 #: the registered query takes QUERY_MIN_LINE, so that a "Yes." that many clean documents hold is left to them.
 MIN_LINE, MIN_RUN, QUERY_MIN_LINE = 1, 20, 5
+#: Digests up to which they are broadcast to the units: they grow with the corpus, so that only small corpora do so.
+DIGESTS = 20_000
 #: Removed positions up to which they are broadcast to the documents; beyond it both sides are shuffled.
 LATE = 4_000_000
 #: Units end after a line break, and within a line where a capital follows a small letter: at sentences, and at the seams of
@@ -59,9 +61,9 @@ def late_units(units: DataFrame) -> DataFrame:
     Digests are counted by hash aggregation first; the first place is looked for only among those that occur twice.
     """
     counts = cut(units.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1"))
-    again, folder = stored(split_join(units, counts, ["h1", "h2"], "times"), "repeated-units")
+    again, folder = stored(split_join(units, counts, ["h1", "h2"], "times", DIGESTS), "repeated-units")
     firsts = again.groupBy("h1", "h2").agg(F.min(F.struct("n", "id", "t", "pos")).alias("first"), F.count("*").alias("times"))
-    late = split_join(again, cut(firsts), ["h1", "h2"], "times").where(F.struct("n", "id", "t", "pos") > F.col("first"))
+    late = split_join(again, cut(firsts), ["h1", "h2"], "times", DIGESTS).where(F.struct("n", "id", "t", "pos") > F.col("first"))
     late = cut(late.groupBy("n", "id", "t").agg(F.collect_set("pos").alias("late")))  # no more than the text has units
     forget(units.sparkSession, folder)
     return late
