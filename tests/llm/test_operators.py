@@ -386,3 +386,70 @@ def test_pseudonymise_takes_its_key_from_the_session(spark):
     b = pii.pseudonymise(docs).orderBy("doc_id").collect()
     assert a[0].text == a[1].text == pii.Pseudonyms(b"secret").text("a.b@x.org")[0] != b[0].text
     assert [(r.text, r.pii) for r in a[2:]] == [(None, []), ("", [])] and pii.pseudonymise(docs.where("false")).count() == 0
+
+
+def test_quality_posteriors_against_plain_loops(spark):
+    r = random.Random(12)
+    prose = lambda n: " ".join(r.choice("some plain words of quiet prose about nothing much at all".split()) for _ in range(n)) + "."
+    junk = lambda n: " ".join(r.choice(["BUY!!", "NOW$$", "###", "WIN!!"]) for _ in range(n))
+    rows, labels = [], []
+    for i in range(240):
+        site = r.choice(["a", "b", "c", "d", None])
+        bad = r.random() < {"a": 0.1, "b": 0.6, "c": 0.2, "d": 0.9, None: 0.3}[site]
+        rows.append((i, junk(r.randint(3, 40)) if bad else prose(r.randint(3, 60)), site))
+        if i % 3 == 0:
+            labels.append((i, int(not bad) if r.random() < 0.9 else int(bad), 0))
+    rows += [(0, rows[0][1], rows[0][2]), (None, "no id", "a"), (500, None, "lonely"), (501, "", None)]
+    docs = frame(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "x")).withColumn("s", F.lit(1)).withColumn("site_s", F.lit(2)).withColumn("quality", F.lit(3))
+    labels = spark.createDataFrame([*labels, (3, 0, None), (None, 0, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(rows) and got[0].s == 1 and got[0].site_s == 2 and got[0].quality == 3
+    given = {}
+    for x in labels.collect():
+        if x.doc_id is not None and x.quality is not None:
+            given[x.doc_id] = min(x.quality, given.get(x.doc_id, 1))
+    own = [float(given[x.doc_id]) if x.doc_id in given else x.p_document for x in got]
+    mean = lambda v: sum(v) / len(v)
+    mu = round(mean(own), 9)
+
+    def pooled(groups, means):
+        n = sum(map(len, groups))
+        var = sum(len(g) * (mean(g) - m) ** 2 for g, m in zip(groups, means)) / n
+        unit = sum(len(g) * m * (1 - m) for g, m in zip(groups, means)) / n
+        excess = var - unit * len(groups) / n
+        return max(unit / excess - 1, 0.0) if excess > 0 else quality.POOLED
+
+    host = {h: [o for o, x in zip(own, got) if x.source == h] for h in {x.source for x in got}}
+    m1 = pooled(list(host.values()), [mu] * len(host))
+    rate = {h: (sum(v) + m1 * mu) / (len(v) + m1) for h, v in host.items()}
+    path = {k: [o for o, x in zip(own, got) if (x.source, x.lang) == k] for k in {(x.source, x.lang) for x in got}}
+    m2 = pooled(list(path.values()), [rate[h] for h, _ in path])
+    odds = lambda p: np.log(p / (1 - p))
+    for o, x in zip(own, got):
+        h = host[x.source]
+        hr = (sum(h) - o + m1 * mu) / (len(h) - 1 + m1)
+        p = path[x.source, x.lang]
+        pr = (sum(p) - o + m2 * hr) / (len(p) - 1 + m2)
+        assert x.host_rate == pytest.approx(hr, abs=2e-6) and x.path_rate == pytest.approx(pr, abs=1e-4)
+        moved = odds(x.p_document) - odds(mu) + odds(min(max(x.path_rate, 0.001), 0.999))
+        assert x.p_quality == pytest.approx(1 / (1 + np.exp(-moved)), abs=1e-6) and x.keep == (x.p_quality >= 0.5 and x.p_toxic < 0.5)
+    assert {k: v for k, v in rate.items() if k == "d"}["d"] < rate["a"]
+    once = quality.classify(docs, labels, keep=["doc_id"]).collect()
+    assert sorted((str(x.doc_id), round(x.p_quality, 9)) for x in once) == sorted((str(x.doc_id), round(x.p_quality, 9)) for x in got)
+
+
+def test_quality_on_labels_it_was_not_fitted_on(spark):
+    r = random.Random(3)
+    docs, labels = [], []
+    for i in range(400):
+        bad, rude = i % 5 == 0, i % 7 == 0
+        w = [r.choice("the quick brown fox jumps over a lazy dog by the river".split()) for _ in range(r.randint(20, 60))]
+        if rude:
+            w[r.randrange(len(w))] = r.choice(["blorf", "grukk"])
+        docs.append((i, " ".join(x.upper() + "!!" if bad else x for x in w), f"s{i % 3}"))
+        labels.append((i, int(not bad), int(rude)))
+    fit = spark.createDataFrame([x for x in labels if x[0] % 2], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.classify(frame(spark, docs), fit).collect()}
+    assert all((got[i].p_quality >= 0.5) == bool(q) and (got[i].p_toxic >= 0.5) == bool(t) for i, q, t in labels if i % 2 == 0)
+    # Many rows of a labelled id: one of them is in the sample.
+    assert quality.classify(frame(spark, docs + docs[:1] * 50), fit, n=10).count() == 450
