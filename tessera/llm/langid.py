@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Trained in numpy by backpropagation through time on a bounded sample; it labels every byte position of the whole text, and
-a document's probabilities are the mean over its positions.
+Trained in numpy by backpropagation through time on a bounded sample of windows; it labels every byte position of the whole
+text, its states running from one end to the other both ways, and a document's probabilities are the mean over its positions.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, table
 
-#: Units a direction; bytes a chunk (the state starts anew at each chunk); chunks that go through the network at once.
-HIDDEN, STEPS, BATCH = 8, 64, 2048
-#: Bound of the training sample: texts in all, and bytes that a text contributes.
-TRAIN_DOCS, TRAIN_BYTES = 2400, 512
+#: Units a direction; bytes of a training window.
+HIDDEN, STEPS = 8, 64
+#: Texts go through the network in chunks of this many bytes, so many at a time; a chunk's first states are guessed from this
+#: many bytes beside it, and mended until they are those that the neighbouring chunk ends with, to this much.
+CHUNK, LANES, AHEAD, SAME = 512, 1024, 128, 1e-4
+#: Bound of the training sample: texts in all, and windows of a text, whose places are drawn over the whole of it.
+TRAIN_DOCS, TRAIN_WINDOWS = 2400, 8
 PAD = 256
 FOLD = np.arange(257)
 FOLD[65:91] += 32
@@ -153,61 +156,100 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 5, batch: int = 1
     return m
 
 
-def position_probabilities(m: Model, x: np.ndarray) -> np.ndarray:
-    """(B, T) bytes -> (T, B, languages): the label probabilities of every position."""
+def run(m: Model, k: int, x: np.ndarray, lens: np.ndarray, state: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Direction k (0 forward, 1 backward) over rows x (B, T) of lens bytes, longest first, from state (B, H), which is changed
+    into the last states and returned; out (T, B, H) gets the state of each position."""
     h, (b, t) = m.bn.shape[1], x.shape
-    e, xs = np.ascontiguousarray(m.e[:, :, FOLD]), np.ascontiguousarray(x.T)
-    hs, state = np.empty((2, t, b, h), np.float32), np.zeros((2, b, h), np.float32)
-    a, g, tmp = np.empty((3, 2, b, h), np.float32), np.empty((3, 2, b, h), np.float32), np.empty((2, 2, b, h), np.float32)
-    bias = m.bn[:, None]
-    for s in range(t):
-        for k, ix in enumerate((xs[s], xs[t - 1 - s])):
-            for i in range(3):
-                e[i, k].take(ix, 0, out=a[i, k], mode="clip")
-                np.matmul(state[k], m.u[i, k], out=g[i, k])
-        zr = a[:2]
-        zr += g[:2]
-        np.abs(zr, out=tmp)
-        tmp += 1
-        zr /= tmp
+    e, xs, u, bias = np.ascontiguousarray(m.e[:, k, FOLD]), np.ascontiguousarray(x.T), m.u[:, k], m.bn[k]
+    a, g, tmp = np.empty((3, b, h), np.float32), np.empty((3, b, h), np.float32), np.empty((2, b, h), np.float32)
+    live = np.searchsorted(-lens, -np.arange(t), side="left")  # rows longer than each place
+    for s in range(t) if k == 0 else range(t - 1, -1, -1):
+        n = int(live[s])
+        if not n:
+            continue
+        st, aa, gg, tt = state[:n], a[:, :n], g[:, :n], tmp[:, :n]
+        for i in range(3):
+            e[i].take(xs[s, :n], 0, out=aa[i], mode="clip")
+            np.matmul(st, u[i], out=gg[i])
+        zr = aa[:2]
+        zr += gg[:2]
+        np.abs(zr, out=tt)
+        tt += 1
+        zr /= tt
         zr *= 0.5
         zr += 0.5
-        n, q = a[2], g[2]
+        new, q = aa[2], gg[2]
         q += bias
         q *= zr[1]
-        n += q
-        np.abs(n, out=q)
+        new += q
+        np.abs(new, out=q)
         q += 1
-        n /= q
-        state -= n
-        state *= zr[0]
-        state += n
-        hs[0, s], hs[1, t - 1 - s] = state[0], state[1]
+        new /= q
+        st -= new
+        st *= zr[0]
+        st += new
+        if out is not None:
+            out[s, :n] = st
+    return state
+
+
+def chunk_sums(m: Model, x: np.ndarray, lens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the position probabilities (B, languages), last states (2, B, H)) of rows from the states first (2, B, H)."""
+    h, (b, t) = m.bn.shape[1], x.shape
+    hs, last = np.zeros((2, t, b, h), np.float32), first.copy()
+    for k in range(2):
+        run(m, k, x, lens, last[k], hs[k])
     logits = hs[0].reshape(-1, h) @ m.v[:h]
     logits += hs[1].reshape(-1, h) @ m.v[h:]
     logits += m.c
     np.exp(logits, out=logits)  # states are within -1 and 1, so logits are bounded by the weights
     logits /= logits.sum(-1, keepdims=True)
-    return logits.reshape(t, b, -1)
+    p = logits.reshape(t, b, -1)
+    if lens[-1] == t:
+        return p.sum(0), last
+    return (p * (np.arange(t)[:, None] < lens)[..., None]).sum(0), last
+
 
+def pooled(m: Model, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chunk: int = CHUNK, lanes: int = LANES, ahead: int = AHEAD) -> np.ndarray:
+    """(texts, languages): mean position probabilities of texts data[start : start + size]; a size of 0 gives zeros.
 
-def pooled(m: Model, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, steps: int = STEPS, batch: int = BATCH) -> np.ndarray:
-    """(texts, languages): mean position probabilities of texts data[start : start + size]; a size of 0 gives zeros."""
-    n = -(-sizes // steps)
+    The states run through each text from its first byte to its last and back. Chunks are computed side by side from guesses
+    of their first states; those whose guess isn't what the neighbour ends with are computed again, until all agree.
+    """
+    n = -(-sizes // chunk)
     of = np.repeat(np.arange(len(sizes)), n)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    at, left = starts[of] + nth * steps, np.minimum(sizes[of] - nth * steps, steps)
-    out, span = np.zeros((len(sizes), len(m.langs))), np.arange(steps)
-    for s in range(0, len(of), batch):
-        a, l, o = at[s : s + batch], left[s : s + batch], of[s : s + batch]
-        real = span < l[:, None]
-        x = np.where(real, data[np.minimum(a[:, None] + span, len(data) - 1)], PAD)
-        p = position_probabilities(m, x)
-        full = l == steps
-        sums = p.sum(0)
-        if not full.all():
-            sums[~full] = (p[:, ~full] * real[~full].T[..., None]).sum(0)
-        np.add.at(out, o, sums)
+    at, lens = starts[of] + nth * chunk, np.minimum(sizes[of] - nth * chunk, chunk)
+    h, total = m.bn.shape[1], len(of)
+    first, last, sums = np.zeros((2, total, h), np.float32), np.zeros((2, total, h), np.float32), np.zeros((total, len(m.langs)))
+    after = np.nonzero(of[1:] == of[:-1])[0] + 1  # chunks with one before them; that one has one after it
+
+    def groups(which: np.ndarray, most: int, skip: np.ndarray):
+        which = which[np.argsort(-np.minimum(lens[which], most), kind="stable")]
+        for s in range(0, len(which), lanes):
+            g = which[s : s + lanes]
+            size = np.minimum(lens[g], most)
+            span = np.arange(int(size[0]))
+            x = data[np.minimum((at[g] + skip[g])[:, None] + span, len(data) - 1)].astype(np.int16)
+            yield g, x, size
+
+    if len(after):
+        none, end = np.zeros(total, int), np.maximum(lens - ahead, 0)
+        for k, whose, to, skip in ((0, after - 1, after, end), (1, after, after - 1, none)):
+            follow = np.full(total, -1)
+            follow[whose] = to
+            for g, x, size in groups(whose, ahead, skip):
+                first[k, follow[g]] = run(m, k, x, size, np.zeros((len(g), h), np.float32))
+    todo = np.arange(total)
+    while len(todo):
+        for g, x, size in groups(todo, chunk, np.zeros(total, int)):
+            sums[g], last[:, g] = chunk_sums(m, x, size, first[:, g])
+        off = [np.abs(last[0, after - 1] - first[0, after]).max(1, initial=0) > SAME, np.abs(last[1, after] - first[1, after - 1]).max(1, initial=0) > SAME]
+        right, left = after[off[0]], after[off[1]] - 1
+        first[0, right], first[1, left] = last[0, right - 1], last[1, left + 1]
+        todo = np.union1d(right, left)
+    out = np.zeros((len(sizes), len(m.langs)))
+    np.add.at(out, of, sums)
     return out / np.maximum(sizes, 1)[:, None]
 
 
@@ -242,20 +284,26 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     return docs.select(*keep, F.col(text_col).cast("string").alias(t_), has_letter.alias(l_)).mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", n_docs: int = TRAIN_DOCS, n_bytes: int = TRAIN_BYTES, seed: str = "langid-v1", **kw) -> Model:
-    """Train on at most n_docs texts of the allowed rows with a language, shared evenly among the languages as far as they go.
+def fit(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", n_docs: int = TRAIN_DOCS, n_windows: int = TRAIN_WINDOWS, steps: int = STEPS, seed: str = "langid-v1", **kw) -> Model:
+    """Train on n_docs texts or so (a language, if there are more of these) of the allowed rows with a language, shared evenly
+    among the languages as far as they go; of each, on n_windows runs of `steps` characters from hashed places anywhere in it.
 
-    Of a text, a run of n_bytes characters from a hashed place is used. The counts are over all rows; the choice is by hash.
+    Null texts and languages are left out; without rows the model knows no language. The counts are over all rows; the choice
+    is by hash of the id, so that reruns agree.
     """
     have = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
-    counts = {r.lang: r["count"] for r in have.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(n_docs).collect()}
+    counts = {r.lang: r["count"] for r in have.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return train([], [])
+    n_docs = max(n_docs, len(counts))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce("id", F.lit("")))), 1, 12), 16, 10).cast("long") / float(1 << 48)
-    share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, float(n_docs / len(counts) / v))])[F.col("lang")]
-    start = F.pmod(F.xxhash64("id", F.lit(seed)), F.greatest(F.char_length("text") - n_bytes + 1, F.lit(1))).cast("int") + 1
-    pick = have.withColumn("u", draw / share).where("u < 1.2").select("u", "lang", "id", F.substring(F.col("text"), start, F.lit(n_bytes)).alias("t"))
-    rows = sorted(pick.orderBy("u", "id", "t").limit(n_docs).collect(), key=lambda r: (r.u, r.id or "", r.t))
+    share = F.create_map(*[F.lit(x) for k, v in sorted(counts.items()) for x in (k, float(n_docs / len(counts) / v))])[F.col("lang")]
+    pick = have.withColumn("u", draw / share).where("u < 1.2").orderBy("u", "id", F.xxhash64("text")).limit(n_docs)
+    size = F.greatest(F.char_length("text") - steps + 1, F.lit(1))
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n_windows - 1)), lambda i: (F.pmod(F.xxhash64("id", F.lit(seed), i), size) + 1).cast("int")))
+    cut_ = F.transform(places, lambda p: F.substring(F.col("text"), p, F.lit(steps)))
+    rows = pick.select("u", "lang", "id", F.explode(cut_).alias("t")).collect()  # n_docs * n_windows at most
+    rows.sort(key=lambda r: (r.u, r.id or "", r.t))
     return train([r.t.encode() for r in rows], [r.lang for r in rows], **kw)
 
 

@@ -453,3 +453,51 @@ def test_quality_on_labels_it_was_not_fitted_on(spark):
     assert all((got[i].p_quality >= 0.5) == bool(q) and (got[i].p_toxic >= 0.5) == bool(t) for i, q, t in labels if i % 2 == 0)
     # Many rows of a labelled id: one of them is in the sample.
     assert quality.classify(frame(spark, docs + docs[:1] * 50), fit, n=10).count() == 450
+
+
+def test_language_states_run_through_whole_texts():
+    m, r = langid.new_model(["a", "b", "c"], 5), np.random.default_rng(3)
+    m.u *= 2
+    m.bn += r.standard_normal(m.bn.shape).astype(np.float32)
+    texts = [bytes(r.integers(0, 256, n, np.uint8)) for n in (0, 1, 7, 8, 9, 16, 17, 100, 333, 31)]
+    soft = lambda x: x / (1 + np.abs(x))
+    gate = lambda x: soft(x) / 2 + 0.5
+
+    def states(k, t):  # one byte at a time from the zero state
+        h, out = np.zeros(5), []
+        for c in t:
+            c = langid.FOLD[c]
+            z, q = gate(m.e[0, k, c] + h @ m.u[0, k]), h @ m.u[2, k] + m.bn[k]
+            new = soft(m.e[2, k, c] + gate(m.e[1, k, c] + h @ m.u[1, k]) * q)
+            h = new + z * (h - new)
+            out.append(h)
+        return out
+
+    data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    for chunk, ahead in ((8, 2), (8, 8), (64, 1)):
+        got = langid.pooled(m, data, np.cumsum(sizes) - sizes, sizes, chunk, 3, ahead)
+        for t, p in zip(texts, got):
+            both = [np.r_[a, b] @ m.v + m.c for a, b in zip(states(0, t), states(1, t[::-1])[::-1])]
+            want = np.mean([np.exp(x) / np.exp(x).sum() for x in both], 0) if both else np.zeros(3)
+            assert np.allclose(p, want, atol=2e-4)
+    # The training pass over one row is the same network.
+    x = np.frombuffer(texts[7], np.uint8)[None].astype(np.int64)
+    loss = langid.loss_and_gradients(m, x, np.array([1]), np.ones(x.shape, bool))[0]
+    want = -np.mean([np.log(np.exp(z) / np.exp(z).sum())[1] for z in [np.r_[a, b] @ m.v + m.c for a, b in zip(states(0, texts[7]), states(1, texts[7][::-1])[::-1])]])
+    assert abs(loss - want) < 1e-3
+
+
+def test_language_of_held_out_documents(spark):
+    r = random.Random(5)
+    say = lambda a: " ".join("".join(r.choice(a) for _ in range(4)) for _ in range(r.randint(3, 300)))
+    rows = [(i, say("abcdé" if i % 2 else "fghiö"), "xy"[i % 2], "s", 0) for i in range(300)]
+    rows += [(300, None, "x", "s", 0), (301, "", "y", "s", 0), (302, "12 34!", "x", "s", 0), (None, say("abcdé"), "z", "s", 0), (303, say("abcdé"), None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash"))
+    m = langid.fit(docs, F.col("doc_id").isNotNull() & ~langid.held_out(), n_docs=120, epochs=6)
+    assert m.langs == ["x", "y"]
+    got = langid.identify(docs.withColumn("held_out", langid.held_out()), m).collect()
+    held = [x for x in got if x.held_out and x.doc_id < 300]
+    assert len(held) > 50 and all(x.lang_pred == x.lang and 0 <= x.score <= 1 for x in held)
+    assert [(x.lang_pred, x.score) for x in got if x.doc_id in (300, 301, 302)] == [("und", 0.0)] * 3
+    assert [x.lang_pred for x in got if x.doc_id in (None, 303)] == ["y", "y"]
+    assert langid.fit(docs.where("false"), F.lit(True)).langs == []
