@@ -2,14 +2,13 @@
 
 x = s q + e with |e| measured, so the distance of two quantised vectors is within |e1| + |e2| of the true one. In each tile,
 a product of the int8 codes gives all distances; pairs whose lower bound passes the k-th upper bound so far are dropped and
-the rest recomputed. Query blocks go out in batches of bounded size, candidate blocks are read in place, and a heap a query
-merges what the tiles leave.
+the rest recomputed. Query blocks and candidate blocks of bounded size meet in a join on their numbers, and heaps merge what
+the tiles leave; where all queries are one block, it is broadcast and the candidates stay in place.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +19,16 @@ from tessera.llm.common import table
 from tessera.plans.lineage import cut
 
 K, EVERY = 10, 100
-#: Rows of a block of queries and of candidates; bytes of the query vectors that are sent to the workers at a time.
-QUERY_BLOCK, CANDIDATE_BLOCK, QUERY_BYTES = 256, 4096, 16 << 20
+#: Rows of a tile's queries and candidates; bytes of a block of query vectors; rows of a block of candidates.
+QUERY_TILE, CANDIDATE_TILE, QUERY_BYTES, CANDIDATES = 256, 4096, 16 << 20, 1 << 18
 FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(int8 codes, scale, norm of the error) by row."""
+    """(int8 codes, scale, bound of the norm of the error) by row; the bound allows for the rounding of x - s q."""
     s = np.abs(x).max(1) / 127.0
     q = np.rint(x / np.where(s > 0, s, 1)[:, None]).astype(np.int8)
-    return q, s, np.linalg.norm(x - s[:, None] * q, axis=1) * (1 + 1e-9)
+    return q, s, np.linalg.norm(x - s[:, None] * q, axis=1) * (1 + 1e-9) + np.linalg.norm(x, axis=1) * 2.0**-50
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,12 +65,14 @@ class Heaps:
         kind = np.float32 if x.shape[1] <= 1040 else np.float64
         dot = (self.q.astype(kind) @ q.astype(kind).T).astype(np.float64)
         sq = lambda c, f: (c.astype(np.float64) ** 2).sum(1) * f * f
-        near = sq(self.q, self.s)[:, None] + sq(q, s) - 2 * (self.s[:, None] * s) * dot
-        near = np.sqrt(np.maximum(near, 0))
-        slack = self.e[:, None] + e + 1e-6 * (1 + near)
-        high = np.where(ids == self.ids[:, None], np.inf, near + slack)
+        mine, theirs = sq(self.q, self.s)[:, None], sq(q, s)
+        near = mine + theirs - 2 * (self.s[:, None] * s) * dot
+        # The sum of squares cancels: its rounding is bounded by their size, not by what is left of it.
+        lost, slack = (mine + theirs) * 2.0**-47, self.e[:, None] + e
+        low, high = np.sqrt(np.maximum(near - lost, 0)) - slack, np.sqrt(np.maximum(near, 0) + lost) + slack
+        high = np.where(ids == self.ids[:, None], np.inf, high)
         kth = np.minimum(np.partition(high, self.k - 1, axis=1)[:, self.k - 1] if len(ids) >= self.k else np.inf, self.d[:, -1])
-        qi, ci = np.nonzero((near - slack <= kth[:, None]) & (ids != self.ids[:, None]))
+        qi, ci = np.nonzero((low * (1 - 1e-12) <= kth[:, None] * (1 + 1e-12)) & (ids != self.ids[:, None]))
         for at in range(0, len(qi), 1 << 16):
             i, j = qi[at : at + (1 << 16)], ci[at : at + (1 << 16)]
             self.merge(i, ids[j], exact(self.x[i], x[j]))
@@ -87,66 +88,111 @@ class Heaps:
         self.d[i[first], nth[first]], self.at[i[first], nth[first]] = d[first], ids[first]
 
 
-def usable(rows: DataFrame, is_query: Column, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """(id, v array<double>, asks) of the vectors that take part, and their length (0 if there are none).
+def usable(rows: DataFrame, is_query: Column, id_col: str, vec_col: str) -> tuple[DataFrame, int, int]:
+    """(id, v array of float or double, asks) of the vectors that take part, their length (0 if there are none) and number.
 
     They have an id and components that are not null, finite and not all zero, and are of the commonest length.
     """
-    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    kind = "array<float>" if dict(rows.dtypes)[vec_col] == "array<float>" else "array<double>"
+    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     v = v.where("id IS NOT NULL AND v IS NOT NULL").where(fine)
     size = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return v.where(F.size("v") == (size.n if size else 0)), size.n if size else 0
+    return v.where(F.size("v") == (size.n if size else 0)), size.n if size else 0, size["count"] if size else 0
 
 
 def matrix(ids: pa.Array, vecs: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
-    return ids.to_numpy(), vecs.flatten().to_numpy().reshape(-1, d)
+    return ids.to_numpy(), vecs.flatten().to_numpy().astype(np.float64, copy=False).reshape(-1, d)
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
+class Search:
+    """The heaps of a block of queries, which takes candidates and gives what is nearest."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.heaps = [Heaps(ids[at : at + QUERY_TILE], x[at : at + QUERY_TILE], k) for at in range(0, len(ids), QUERY_TILE)]
+
+    def take(self, ids: np.ndarray, x: np.ndarray) -> None:
+        for at in range(0, len(ids), CANDIDATE_TILE):
+            part = ids[at : at + CANDIDATE_TILE], x[at : at + CANDIDATE_TILE]
+            tile = Tile(*part, *quantise(part[1]))
+            for h in self.heaps:
+                h.tile(tile)
+
+    def give(self):
+        for h in self.heaps:
+            i, j = np.nonzero(np.isfinite(h.d))
+            yield pa.RecordBatch.from_arrays([pa.array(h.ids[i]), pa.array(h.at[i, j]), pa.array(h.d[i, j])], names=["query_id", "vec_id", "score"])
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", query_bytes: int = QUERY_BYTES, candidates: int = CANDIDATES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows (all, if fewer) of each row for which is_query holds.
 
     Vectors null, zero, of another length than the commonest, or with null or non-finite components take no part, nor do rows
     with a null id. Rows of one id are one another's own: none is a candidate for the other, and several query rows of one id
     are answered as one, the smallest. Ties go to the smaller id. No queries or no candidates: an empty result.
 
-    Queries go out in batches of about query_bytes; each is searched by one pass over all rows, which stay where they are.
+    Blocks of about query_bytes of queries meet blocks of about `candidates` rows; no task holds more than one of each.
     """
     spark = rows.sparkSession
-    cands, d = usable(rows, is_query, id_col, vec_col)
+    cands, d, n = usable(rows, is_query, id_col, vec_col)
     if not d:
         return spark.createDataFrame([], FOUND)
     asked = cut(cands.where("asks").groupBy("id").agg(F.min("v").alias("v")))
-    parts = -(-asked.count() * d * 8 // query_bytes)
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(parts, 1))))
-    tops = [top_of(cands, asked.where(F.col("part") == i), d, k) for i in range(parts)] if parts <= 1 else [cut(top_of(cands, asked.where(F.col("part") == i), d, k)) for i in range(parts)]
-    return reduce(DataFrame.unionByName, tops) if tops else spark.createDataFrame([], FOUND)
+    blocks = -(-asked.count() * d * 8 // query_bytes)
+    if not blocks:
+        return spark.createDataFrame([], FOUND)
+    found = one_block(cands, asked, d, k) if blocks == 1 else block_join(cands, asked, d, k, blocks, -(-n // candidates))
+    # k rows a query are left of each block; the limit on the rank is applied before and after they are shuffled.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def top_of(cands: DataFrame, asked: DataFrame, d: int, k: int) -> DataFrame:
-    """One pass over the candidates for a batch of queries that fits in each worker."""
+def one_block(cands: DataFrame, asked: DataFrame, d: int, k: int) -> DataFrame:
+    """Queries of one block, QUERY_BYTES at most, are broadcast."""
     got = asked.select("id", "v").orderBy("id").toArrow().combine_chunks()
-    ids, x = matrix(got.column("id").combine_chunks(), got.column("v").combine_chunks(), d)
-    sent = cands.sparkSession.sparkContext.broadcast((np.ascontiguousarray(ids), np.ascontiguousarray(x)))
+    sent = cands.sparkSession.sparkContext.broadcast(matrix(got.column("id").combine_chunks(), got.column("v").combine_chunks(), d))
 
-    def search(batches):
-        ids, x = sent.value
-        heaps = [Heaps(ids[at : at + QUERY_BLOCK], x[at : at + QUERY_BLOCK], k) for at in range(0, len(ids), QUERY_BLOCK)]
+    def run(batches):
+        s = Search(*sent.value, k)
         for b in batches:
-            c, y = matrix(b.column(0), b.column(1), d)
-            for at in range(0, len(c), CANDIDATE_BLOCK):
-                part = c[at : at + CANDIDATE_BLOCK], y[at : at + CANDIDATE_BLOCK]
-                tile = Tile(*part, *quantise(part[1]))
-                for h in heaps:
-                    h.tile(tile)
-        for h in heaps:
-            i, j = np.nonzero(np.isfinite(h.d))
-            yield pa.RecordBatch.from_arrays([pa.array(h.ids[i]), pa.array(h.at[i, j]), pa.array(h.d[i, j])], names=["query_id", "vec_id", "score"])
+            s.take(*matrix(b.column(0), b.column(1), d))
+        yield from s.give()
 
-    found = cands.select("id", "v").mapInArrow(search, "query_id long, vec_id long, score double")
-    # k rows a query are left of each task; the limit on the rank is applied before and after they are shuffled.
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return cands.select("id", "v").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def block_join(cands: DataFrame, asked: DataFrame, d: int, k: int, blocks: int, parts: int) -> DataFrame:
+    """Each block of queries meets each block of candidates, as the rows of one key: the queries first, then the candidates."""
+    deal = lambda seed, m: F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = asked.select(deal("q", blocks).alias("i"), every(parts).alias("j"), F.lit(0).alias("side"), "id", "v")
+    right = cands.select(every(blocks).alias("i"), deal("c", parts).alias("j"), F.lit(1).alias("side"), "id", "v")
+
+    def run(batches):
+        at, held, search = None, [], None
+        for b in batches:
+            key = b.column(0).to_numpy().astype(np.int64) * (2 * parts) + b.column(1).to_numpy() * 2 + b.column(2).to_numpy()
+            ids, x = matrix(b.column(3), b.column(4), d)
+            ends = np.r_[np.nonzero(key[1:] != key[:-1])[0] + 1, len(key)] if len(key) else []
+            start = 0
+            for end in ends:
+                now, side = divmod(int(key[start]), 2)
+                if now != at:
+                    if search is not None:
+                        yield from search.give()
+                    at, held, search = now, [], None
+                if side == 0:
+                    held.append((ids[start:end].copy(), x[start:end].copy()))
+                elif held:
+                    search = Search(*(np.concatenate(c) for c in zip(*held)), k) if search is None else search
+                    search.take(ids[start:end], x[start:end])
+                start = end
+        if search is not None:
+            yield from search.give()
+
+    keys = ["i", "j"]
+    met = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "side")
+    return met.select(*keys, "side", "id", "v").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

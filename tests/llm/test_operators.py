@@ -263,6 +263,23 @@ def test_nearest_of_empty_repeated_and_odd_rows(spark):
     assert run(rows, query_bytes=16) == run(rows)
 
 
+def test_nearest_by_blocks_and_of_close_long_vectors(spark):
+    r = np.random.default_rng(7)
+    far = r.standard_normal((1, 6)) * 8e6
+    x = np.concatenate([far * (1 + 1e-14 * r.integers(0, 40, (300, 1))), r.standard_normal((200, 6))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    want = []
+    for q in range(0, 500, 20):
+        d = np.zeros(500)
+        for i in range(6):
+            d += (x[q, i] - x[:, i]) ** 2
+        order = sorted((float(np.sqrt(v)), c) for c, v in enumerate(d) if c != q)[:10]
+        want += [(q, n + 1, c, v) for n, (v, c) in enumerate(order)]
+    for query_bytes, candidates in ((1 << 24, 1 << 18), (300, 60), (100, 7), (2000, 1000)):
+        got = ann.nearest(df, F.col("vec_id") % 20 == 0, query_bytes=query_bytes, candidates=candidates).orderBy("query_id", "rank").collect()
+        assert [tuple(g) for g in got] == want
+
+
 def test_pages_null_empty_and_clashing_columns(spark):
     rows = [(1, "u", None, 5), (2, None, "", 6), (3, "v", "<p>" * 600 + "One sentence of content, long enough to be read." + "</div>", 7), (3, "v", "<p>x", 7)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int").withColumn("text", F.lit("clash"))
