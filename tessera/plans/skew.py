@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side (tens of bytes a row) is broadcast: some tens of MB.
 BROADCAST_ROWS = 500_000
-#: A key with more rows than this is hot: it is joined apart from the others.
-HOT_ROWS = 1024
+#: A key with one in so many of the rows is hot, of which there are no more than so many; its rows are dealt to SALTS parts.
+HOT_SHARE, SALTS = 1000, 64
 
 
 def fresh(df: DataFrame | list[str], *names: str) -> list[str]:
@@ -30,14 +30,19 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def split_join(big: DataFrame, small: DataFrame, keys: str | list[str], n: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join on keys of which small has one row each; small[n], dropped here, is the key's number of rows in big.
 
-    Broadcast if small is within the bound. Beyond it, keys of over HOT_ROWS rows, of which there are few, are joined by
-    broadcast (salted, if they are many nevertheless) and all others by a plain shuffle, where no key is large.
+    Broadcast if small is within the bound. Beyond it, one join by shuffle, in which the rows of hot keys are dealt to several
+    parts by their content; the list of hot keys, HOT_SHARE at most, is broadcast. small is read several times: cut it before.
     """
     keys = [keys] if isinstance(keys, str) else keys
     if fits(small, max_rows):
         return big.join(F.broadcast(small.drop(n)), keys)
-    hot, rest = small.where(F.col(n) > HOT_ROWS).drop(n), small.where(F.col(n) <= HOT_ROWS).drop(n)
-    return lookup_join(big, hot, keys).select(*[c for c in big.columns if c in keys], *[c for c in [*big.columns, *small.columns] if c not in (*keys, n)]).unionByName(big.join(rest, keys))
+    total = small.agg(F.sum(n)).first()[0] or 0
+    salt, mark = fresh([*big.columns, *small.columns], "salt_of_key", "is_hot")
+    hot = F.col(n) * HOT_SHARE >= total
+    dealt = big.join(F.broadcast(small.where(hot).select(*keys, F.lit(True).alias(mark))), keys, "left")
+    dealt = dealt.withColumn(salt, F.when(F.col(mark), F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)).cast("int")).otherwise(0)).drop(mark)
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0)))).drop(n)
+    return dealt.join(copies, [*keys, salt]).drop(salt)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
