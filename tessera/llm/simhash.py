@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fresh, table
 from tessera.operators.components import connected_components
 from tessera.plans.lineage import cut
-from tessera.plans.skew import fits
+from tessera.plans.skew import fits, lookup_join
 
 BITS = 64
 TAU = 3
@@ -62,7 +62,8 @@ def with_fingerprint(docs: DataFrame, text_col: str, keep: list[str], name: str
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*[f.name for f in fields], name])
 
     out = docs.select(*keep).schema.add(name, "long")
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    (t_,) = fresh(docs, "whole_text")
+    return docs.select(*keep, F.col(text_col).cast("string").alias(t_)).mapInArrow(run, out)
 
 
 def bits_of(fp: np.ndarray) -> np.ndarray:
@@ -323,17 +324,20 @@ def fingerprint_components(fps: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, tau: int = TAU) -> DataFrame:
-    """The kept columns (default: the id) with fingerprint and component_id, one row an input row.
+    """The kept columns (default: the id) with fingerprint and component_id (columns of these names are replaced), one row an
+    input row.
 
     Null and empty texts have fingerprint zero, linked like any other. Null ids link but never name a component: a component
     of null ids only has a null component_id. Repeated rows come out repeated; an empty table gives an empty result.
     """
-    keep = [id_col] if keep is None else keep
+    keep = [id_col] if keep is None else [c for c in keep if c not in ("fingerprint", "component_id")]
     (fp,) = fresh(docs, "fp")
     got = cut(with_fingerprint(docs, text_col, keep, fp))
-    comp = fingerprint_components(got.select(F.col(fp).alias("fp"), F.col(id_col).alias("id")), tau).withColumnRenamed("fp", "__fp")
-    out = got.join(comp, got[fp] == comp["__fp"])
-    return out.select(*keep, F.lpad(F.lower(F.hex(fp)), 16, "0").alias("fingerprint"), "component_id")
+    comp = fingerprint_components(got.select(F.col(fp).alias("fp"), F.col(id_col).alias("id")), tau).withColumnRenamed("fp", fp)
+    # A large group of exact copies is one fingerprint: broadcast or salted, it is not one task.
+    (c_,) = fresh(got, "component_of")
+    out = lookup_join(got, comp.withColumnRenamed("component_id", c_), [fp])
+    return out.select(*keep, F.lpad(F.lower(F.hex(fp)), 16, "0").alias("fingerprint"), F.col(c_).alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
@@ -341,15 +345,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Equal rows count as one. Only ids, hashes and fingerprints take part in the search; whole rows are shuffled once.
     """
-    k_id, k_text, got_id = fresh(docs, "key_id", "key_text", "got_id")
-    keyed = docs.withColumn(k_id, F.col(id_col)).withColumn(k_text, F.xxhash64(text_col))
+    k_id, k_text = fresh(docs, "key_id", "key_text")
+    keyed = docs.withColumn(k_id, F.col(id_col)).withColumn(k_text, F.coalesce(F.xxhash64(text_col), F.lit(0)))
     got = cut(with_fingerprint(keyed, text_col, [k_id, k_text], "fp"))
     each = cut(got.groupBy("fp").agg(F.min(F.struct(F.col(k_id).isNull().alias("n"), F.col(k_id).alias("id"), F.col(k_text).alias("t"))).alias("first")))
     comp = connected_components(links(each, tau))
     tied = each.join(comp, each.fp == comp.node, "left").select("first", F.coalesce("component", "fp").alias("root"))
-    stay = tied.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.id").alias("__id"), F.col("f.t").alias("__t"))
-    out = keyed.join(stay, keyed[k_id].eqNullSafe(stay["__id"]) & (keyed[k_text] == stay["__t"]), "left_semi")
-    return out.dropDuplicates([k_id, k_text]).select(*docs.columns)
+    stay = cut(tied.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.id").alias(k_id), F.col("f.t").alias(k_text)))
+    return lookup_join(keyed, stay, [k_id, k_text], "left_semi").dropDuplicates([k_id, k_text]).select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,27 +15,57 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOCS)
 
 
+#: Names that the operators use, or have used, for columns of their own.
+NAMES = """size slot found n s p h i j v u w a b at pos word term tid shift blk off need bit got k1 k2 key_of_text second_key cut_up jk1 jk2 lid lt ln
+key_0 key_1 salt_of_row salt_of_copy __k0 __salt __s __text whole_text __fp __id __t fp node first root key keys low g have a_id a_t a_text gn key_id key_text
+late late_at units sizes count_of_units h1 h2 f1 f2 t id times mix_key rate frac seed_a seed_b target source_size quality_logit toxic_logit site_host site_path
+label_id own_share label_quality rate_of_host rate_of_path host path hs hn site_s site_n at_slot copy_no component component_of removed n_removed pii words
+contaminated n_words n_hit item_ids lang_pred score fingerprint component_id n_items taken copies p_quality lettered scored_text""".split()
+
+
 def awkward(spark):
-    rows = [(1, "the cat sat on a mat " * 3, "a"), (1, "the cat sat on a mat " * 3, "a"), (2, None, None), (None, "", "a"), (3, "", None), (4, "x" * 50_000, "b"), (5, "w " * 30_000, "b")]
-    return frame(spark, rows).withColumn("size", F.lit("clash")).withColumn("slot", F.lit(1)).withColumn("found", F.lit(2))
+    rows = [(1, "the cat sat on a mat " * 3, "a"), (1, "the cat sat on a mat " * 3, "a"), (2, None, None), (None, "", "a"), (3, "", None), (4, "x" * 50_000, "b"), (5, "w " * 30_000, "b"), (None, "the cat sat on a mat", "a")]
+    return frame(spark, rows).select("*", *[F.lit(f"own {n}").alias(n) for n in NAMES])
 
 
 @pytest.mark.parametrize("empty", [False, True])
 def test_nulls_ties_long_texts_and_clashes(spark, empty):
     docs = awkward(spark).where("false") if empty else awkward(spark)
-    n = 0 if empty else 7
+    n = 0 if empty else 8
     items = spark.createDataFrame([(1, "the cat sat on a mat the cat sat on a mat the"), (2, None), (None, "w w w")], "item_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
-    assert mixing.mix_sources(docs).count() == n
-    assert sharding.assign_shards(docs).count() == n
-    assert simhash.simhash_groups(docs).count() == n
-    assert quality.classify(docs, labels).count() == n
-    assert linededup.dedup_units(docs).count() == n
-    assert pii.pseudonymise(docs).count() == n
-    assert langid.identify(docs, langid.train([], [])).where("lang_pred = 'und' AND score = 0").count() == n
-    got = decontaminate.decontaminate(docs, items).collect()
-    assert len(got) == n and sum(r.contaminated for r in got) == (0 if empty else 2)
-    assert simhash.near_dedup(docs).count() == (0 if empty else 4)
+
+    def kept(out, makes):
+        """The rows; all columns but those that the operator makes hold what they held."""
+        got = out.collect()
+        for r in got:
+            assert all(r[c] == f"own {c}" for c in NAMES if c not in makes), makes
+        return got
+
+    got = kept(mixing.mix_sources(docs), {"size", "source_size", "target", "copies", "taken"})
+    assert len(got) == n and sorted(r.size for r in got) == ([] if empty else [0, 0, 0, 1, 6, 18, 18, 30_000])
+    got = kept(sharding.assign_shards(docs), {"slot", "shard"})
+    assert len(got) == n and len({r.shard for r in got if r.doc_id == 1}) == (0 if empty else 1)
+    got = kept(simhash.simhash_groups(docs, keep=docs.columns), {"fingerprint", "component_id"})
+    assert len(got) == n and {r.component_id for r in got if not r.text} == (set() if empty else {2}) and all(r.fingerprint == "0" * 16 for r in got if not r.text)
+    got = kept(quality.classify(docs, labels), {"p_document", "host_rate", "path_rate", "p_quality", "p_toxic", "keep"})
+    assert len(got) == n and len({r.p_quality for r in got if r.doc_id == 1}) == (0 if empty else 1)
+    got = kept(linededup.dedup_units(docs), {"n_units", "n_removed", "removed"})
+    assert len(got) == n and sorted(map(str, (r.text for r in got if r.doc_id in (1, 2, 3)))) == ([] if empty else sorted(["the cat sat on a mat " * 3] * 2 + ["None", ""]))
+    assert len(kept(pii.pseudonymise(docs), {"pii"})) == n
+    got = kept(langid.identify(docs, langid.train([], [])), {"lang_pred", "score"})
+    assert len(got) == n and all((r.lang_pred, r.score) == ("und", 0.0) for r in got)
+    got = kept(decontaminate.decontaminate(docs, items), {"n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated"})
+    assert sorted((r.n_words, r.n_hit, r.item_ids) for r in got) == ([] if empty else [(0, 0, [])] * 3 + [(1, 0, []), (6, 0, []), (18, 13, ["1"]), (18, 13, ["1"]), (30_000, 0, [])])
+    assert [r.contaminated for r in got if r.n_hit] == ([] if empty else [True] * 2)
+    for stays in (simhash.near_dedup(docs), minhash.similar_dedup(docs)):
+        assert sorted(str(r.doc_id) for r in kept(stays, ())) == ([] if empty else ["1", "2", "4", "5", "None"])
+    assert len(kept(mixing.emit_copies(mixing.mix_sources(docs), docs.columns), {"size", "source_size", "target", "copies", "taken"})) >= 0
+    pages = docs.withColumn("html", F.col("text")).withColumn("page_id", F.col("doc_id"))
+    m = html_text.train(html_text.labelled_pages(30), rounds=20)
+    assert len(kept(html_text.extract_pages(pages, m), {"n_chars"})) == n
+    vectors = docs.select("doc_id", F.array(F.lit(1.0), F.coalesce(F.col("doc_id"), F.lit(0)).cast("double")).alias("embedding"), *NAMES)
+    assert ann.nearest(vectors, F.col("doc_id") < 3, id_col="doc_id").count() == (0 if empty else 4 + 5)
 
 
 def test_decontamination_against_plain_windows(spark):
@@ -238,9 +268,9 @@ def test_line_dedup_against_plain_loops(spark, monkeypatch, min_line, min_run):
     long = "\n\n".join(f"item{i} of list" for i in range(20))  # a double-spaced list of short lines
     rows = [(i, r.choice(["\n", " ", "\n\n"]).join(r.choice(sent) for _ in range(r.randint(0, 12))) + (f"\n{long}\nend{i}" if i % 4 == 0 else "")) for i in range(60)]
     want = brute_dedup(rows, min_line, min_run)
-    for hot in (1024, 2):
-        monkeypatch.setattr(skew, "HOT_ROWS", hot)
-        monkeypatch.setattr(skew.fits, "__defaults__", (500_000 if hot > 2 else 0,))
+    for share in (0, 1000, 20):
+        monkeypatch.setattr(skew, "HOT_SHARE", share)
+        monkeypatch.setattr(linededup, "DIGESTS", 0 if share else 20_000)
         got = {x.doc_id: x for x in linededup.dedup_units(frame(spark, [(i, t, "s") for i, t in rows]), min_line=min_line, min_run=min_run).collect()}
         for i, (text, spans) in want.items():
             assert got[i].text == text and [(x.start, x.length) for x in got[i].removed] == spans and got[i].n_removed == len(spans)
