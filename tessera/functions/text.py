@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import unicodedata
 
@@ -18,9 +17,20 @@ UNNAMED_KEYS = ("parameters", "arguments", "doc_arguments")
 ID_KEYS = ("id", "tool_id", "query_id")
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z to a-z and nothing else; the fast builtin serves texts that are ASCII throughout. Null is empty."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def tokenize(text: Column) -> Column:
-    """Tokens are cut before lower-casing, so that case folding adds none; null has none."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
+    """Runs of ASCII letters, digits and underscores, lower-cased; only A-Z are, so that case folding adds none; null has none."""
+    return F.filter(F.split(ascii_lower(text), "[^a-z0-9_]+"), lambda x: x != "")
+
+
+def word_count(text: Column) -> Column:
+    """Number of runs without white space, of any script's kind, as str.split counts them; null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")), F.lit(0)).cast("long")
 
 
 def id_prefix(id_: Column, mark: str = "_tool_") -> Column:
@@ -79,6 +89,11 @@ def flatten_udf(body: pd.Series) -> pd.Series:
     return body.map(flatten_json)
 
 
+def tool_name(body: Column) -> Column:
+    """The name in a JSON object, empty where there is none."""
+    return F.coalesce(F.get_json_object(body, "$.name"), F.lit(""))
+
+
 @F.pandas_udf(StringType())
 def normalize_udf(text: pd.Series) -> pd.Series:
     """NFKC, case folding, white space joined."""
@@ -89,7 +104,17 @@ def normalize_ascii(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " ")))
 
 
+def ranking_fingerprint(ids: Column) -> Column:
+    """SHA-256 of an array of ids as a JSON list in ASCII, with a space behind each comma.
+
+    Ids of plain ASCII need no escapes and stay in the JVM; others are written by the JSON writer and escaped by code unit.
+    """
+    plain = F.concat(F.lit('["'), F.array_join(ids, '", "'), F.lit('"]'))
+    plain = F.when(F.size(ids) == 0, F.lit("[]")).otherwise(plain)
+    odd = F.exists(ids, lambda x: x.isNull() | x.rlike(r'[^\x20-\x7e]|["\\\\]'))
+    return F.when(ids.isNotNull(), F.sha2(F.when(odd, _json_list(F.when(odd, ids))).otherwise(plain), 256))
+
+
 @F.pandas_udf(StringType())
-def ranking_fingerprint(ids: pd.Series) -> pd.Series:
-    """SHA-256 of a ranking as a JSON list in ASCII, with a space behind each comma."""
-    return ids.map(lambda x: None if x is None else hashlib.sha256(json.dumps([str(i) for i in x]).encode()).hexdigest())
+def _json_list(ids: pd.Series) -> pd.Series:
+    return ids.map(lambda x: None if x is None else json.dumps([None if i is None else str(i) for i in x]))

@@ -7,21 +7,28 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
 from tessera.operators.ranking import top_k
+from tessera.plans.lineage import stored
 from tessera.plans.skew import fits
 
 K1, B = 1.5, 0.75
 
 
 class Index:
-    """postings(term, doc_id, tf, dl), term_stats(term, df), stats(n, avgdl): lazy DataFrames."""
+    """postings(term, doc_id, tf, dl), term_stats(term, df), stats(n, avgdl).
+
+    Texts are cut once: the postings are written as a table beside the checkpoints, and df and avgdl are sums over it.
+    An empty corpus raises where a score is asked for.
+    """
 
     def __init__(self, docs: DataFrame):
-        tokens = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
-        sized = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
         self.docs = docs.select("doc_id")
-        self.postings = sized.where("term IS NOT NULL").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+        # Texts are dealt by id, so that terms are counted where their document lies, without a shuffle of the tokens.
+        each = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", tokenize(F.col("text")).alias("tokens"))
+        terms = each.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        self.postings, self.folder = stored(terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "bm25")
         self.term_stats = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        self.stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+        size = self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+        self.stats = docs.agg(F.count("*").alias("n")).join(size).select("n", F.when(F.col("n") > 0, F.col("tokens") / F.col("n")).alias("avgdl"))
 
     def idf(self) -> DataFrame:
         n = F.broadcast(self.stats.select("n"))  # one row
@@ -30,6 +37,8 @@ class Index:
     def scores(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
         """(query_id, doc_id, score) of documents with a query term; repeated query terms count as often as they stand."""
         q = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        if not self.docs.take(1):
+            raise ValueError("an empty corpus has no index")
         wanted = q.join(self.idf(), "term")
         hit = self.postings.join(F.broadcast(wanted) if fits(q) else wanted, "term").join(F.broadcast(self.stats.select("avgdl")))
         tf, norm = F.col("tf"), 1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-12))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,12 +30,57 @@ def weighted_rrf(rankings: Sequence[DataFrame], weights: Sequence[float] | None
 
 
 def rerank_prefix(ranking: DataFrame, scores: DataFrame, depth: int = 20) -> DataFrame:
-    """The first `depth` of each query by falling score, then id; the tail as it was. scores: (query_id, doc_id, pair_score)."""
-    r = ranking.where(F.col("rank") <= depth).select("query_id", "doc_id", "rank").join(scores, ["query_id", "doc_id"])
-    head = r.select("query_id", "doc_id", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("pair_score", 9)), "doc_id")).alias("rank"))
+    """The first `depth` of each query by falling score, then id; the tail as it was. scores: (query_id, doc_id, pair_score).
+
+    A candidate of the prefix without a finite score, or with two, fails the query as it runs.
+    """
+    r = ranking.where(F.col("rank") <= depth).select("query_id", "doc_id", "rank")
+    one = scores.groupBy("query_id", "doc_id").agg(F.count("*").alias("n_scores"), F.max("pair_score").alias("pair_score"))
+    r = r.join(one, ["query_id", "doc_id"], "left")
+    odd = F.coalesce(F.col("n_scores") != 1, F.lit(True)) | F.col("pair_score").isNull() | F.isnan("pair_score") | (F.abs("pair_score") == float("inf"))
+    fail = F.raise_error(F.concat(F.lit("one finite score is needed of query "), "query_id", F.lit(" and document "), "doc_id")).cast("double")
+    score = F.when(odd, fail).otherwise(F.round("pair_score", 9))
+    head = r.select("query_id", "doc_id", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(score), "doc_id")).alias("rank"))
     return head.unionByName(ranking.where(F.col("rank") > depth).select("query_id", "doc_id", "rank"))
 
 
+def rerank(candidates: DataFrame, scorer: Callable[[DataFrame], DataFrame], top: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): candidates (query_id, doc_id) by the scorer's falling score, then id; the first `top` (0 or less: none)."""
+    return top_k(scorer(candidates.select("query_id", "doc_id")).withColumnRenamed("pair_score", "score"), ["query_id"], top)
+
+
+def model_scorer(queries: DataFrame, docs: DataFrame, load: Callable[[], Callable[[list[str], list[str]], Sequence[float]]]) -> Callable[[DataFrame], DataFrame]:
+    """A pair scorer for rerank_prefix and gated_rerank that runs a model over Arrow batches.
+
+    load is called once in each task's worker and returns a function of query texts and document texts to their scores.
+    """
+
+    def score(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("query_id", "doc_id").join(queries.select("query_id", "query"), "query_id").join(docs.select("doc_id", "text"), "doc_id")
+
+        def run(batches):
+            model = load()
+            for b in batches:
+                got = pa.array([float(x) for x in model(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.float64())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), got], names=["query_id", "doc_id", "pair_score"])
+
+        return both.select("query_id", "doc_id", "query", "text").mapInArrow(run, "query_id string, doc_id string, pair_score double")
+
+    return score
+
+
+def scorer_usage(ranking: DataFrame, routed: DataFrame, depth: int = 20) -> DataFrame:
+    """(calls, pairs): queries that reach the scorer, and their documents."""
+    pairs = ranking.where(F.col("rank") <= depth).join(routed.select("query_id").distinct(), "query_id", "left_semi")
+    return pairs.agg(F.count_distinct("query_id").alias("calls"), F.count("*").alias("pairs"))
+
+
+def ranking_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(query_id, doc_id, rank, n): rows that a has n times more than b (n below 0: less); none means that they are equal."""
+    side = lambda r, n: r.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.lit(n).alias("n"))
+    return side(a, 1).unionByName(side(b, -1)).groupBy("query_id", "doc_id", "rank").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
 def gated_rerank(ranking: DataFrame, routed: DataFrame, scorer, depth: int = 20) -> DataFrame:
     """Only routed queries (query_id) reach the scorer: filter, score, union; others keep their ranking."""
     yes, no = ranking.join(routed, "query_id", "left_semi"), ranking.join(routed, "query_id", "left_anti")

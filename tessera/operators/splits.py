@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
+from tessera.operators.stats import numbered
 from tessera.plans.lineage import cut
 
 _ASKED = "s string, rest long, k string, c string"
@@ -78,6 +79,41 @@ def grouped_quota(components: DataFrame, quota: Mapping[str, int], seed: str, st
     return out.withColumn("chosen", F.col("of").isNotNull()).drop("in", "of", "key")
 
 
+def holdout(df: DataFrame, domain: str, id_col: str, seed: str, sizes: Mapping[str, int], rest: str = "reserve") -> DataFrame:
+    """df with split: in each domain the first ids by SHA-256 of seed and id go to the given splits in turn, the others to rest."""
+    key = F.sha2(F.concat(F.lit(seed), F.col(id_col).cast("string")), 256)
+    place, split, upto = F.row_number().over(W.partitionBy(domain).orderBy(key, id_col)), None, 0
+    for name, n in sizes.items():
+        upto += n
+        split = F.when(place <= upto, name) if split is None else split.when(place <= upto, name)
+    return df.withColumn("split", F.lit(rest) if split is None else split.otherwise(rest))
+
+
+def ratio_split(df: DataFrame, id_col: str, seed: str, shares: Mapping[str, float], rest: str) -> DataFrame:
+    """df with split: ids, which must be unique, by SHA-256 of seed and id; each split takes the floor of its share in turn."""
+    keyed = df.withColumn("key", F.struct(F.sha2(F.concat(F.lit(seed), F.col(id_col).cast("string")), 256), F.col(id_col)))
+    at = numbered(keyed, "key", "place").drop("key")
+    n, split, upto = at.count(), F.lit(rest), 0
+    for name, share in shares.items():
+        first, upto = upto, upto + int(n * share)
+        split = F.when((F.col("place") >= first) & (F.col("place") < upto), name).otherwise(split)
+    return at.withColumn("split", split).drop("place")
+
+
+def rotated(df: DataFrame, id_col: str, seed: str, policies: Sequence[str]) -> DataFrame:
+    """(id, pos, policy, position): ids in hash order, and the policies of each rotated by its place: all places come alike often."""
+    keyed = df.select(id_col, F.struct(F.sha2(F.concat(F.lit(seed), F.col(id_col).cast("string")), 256), F.col(id_col)).alias("key"))
+    each = numbered(keyed, "key", "pos").select(id_col, "pos", F.posexplode(F.array(*map(F.lit, policies))).alias("i", "policy"))
+    return each.select(id_col, "pos", "policy", ((F.col("i") + F.col("pos")) % len(policies)).alias("position"))
+
+
+def overlaps(df: DataFrame, split: str, key: str) -> DataFrame:
+    """(a, b, shared): number of keys that two splits share. A key has a row a split, so that its pairs are those of the splits."""
+    each = df.groupBy(F.col(key).alias("k")).agg(F.array_sort(F.collect_set(split)).alias("s"))
+    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return each.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
 def hard_negatives(ranking: DataFrame, qrels: DataFrame, n: int) -> DataFrame:
     """(query_id, positive_id, negative_id, position): the first n ranked non-relevant ids, if there are n, for each positive."""
     if n <= 0:

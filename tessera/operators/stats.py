@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import comb
 
 from pyspark.sql import DataFrame
@@ -42,3 +43,27 @@ def hash_bootstrap(deltas: DataFrame, key: str, value: str, resamples: int, seed
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "r", "j")), 1, 8), 16, 10).cast("long") % max(n, 1)
     grid = deltas.sparkSession.range(resamples if n else 0).withColumnRenamed("id", "r").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
     return lookup_join(grid.select("r", "j", draw.alias("i")), rows, ["i"]).groupBy("r").agg(F.avg("v").alias("mean"))
+
+
+def cluster_bootstrap(rows: DataFrame, strata: str, unit: str, values: Sequence[str], resamples: int, seed: str) -> DataFrame:
+    """(r, one column for each value): resampled means of the values, macro-averaged over the strata.
+
+    Units (clusters of rows) are drawn with replacement within their stratum, as many as it has; a stratum's mean is the sum
+    over the drawn rows by their number. All values share the draws, so that their replicates are paired. Draw i of replicate
+    r takes unit number hash(seed, stratum, r, i) mod n, in the order of the units; any engine draws the same.
+    """
+    sums = rows.groupBy(F.col(strata).alias("g"), F.col(unit).alias("u")).agg(*[F.sum(v).alias(f"v{i}") for i, v in enumerate(values)], F.count("*").alias("c"))
+    at = numbered(sums.withColumn("k", F.struct("g", "u")), "k", "i").drop("k", "u")
+    size = at.groupBy("g").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    at = cut(lookup_join(at, size, ["g"]).withColumn("i", F.col("i") - F.col("first")).drop("first"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "g", "r", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
+    grid = at.select("g", "i", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).select("g", "r", draw.alias("i"))
+    drawn = lookup_join(grid, at.drop("n"), ["g", "i"])
+    each = drawn.groupBy("r", "g").agg(*[(F.sum(f"v{i}") / F.sum("c")).alias(f"v{i}") for i in range(len(values))])
+    return each.groupBy("r").agg(*[F.avg(f"v{i}").alias(v) for i, v in enumerate(values)])
+
+
+def interval(replicates: DataFrame, value: str, level: float = 0.95) -> DataFrame:
+    """(low, high, resamples): the percentile interval."""
+    tail = (1 - level) / 2
+    return replicates.agg(F.percentile(value, tail).alias("low"), F.percentile(value, 1 - tail).alias("high"), F.count("*").alias("resamples"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tessera.functions.text import tokenize
 from tessera.operators.ranking import DIGITS, top_k
@@ -15,19 +18,50 @@ DIM = 64
 QUERIES = 4096
 
 
+def _slot(term: str, dim: int) -> tuple[Column, Column]:
+    h = F.md5(term)
+    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int"), F.when(F.substring(h, 9, 1) < "8", 1.0).otherwise(-1.0)
+
+
+def counted_components(counts: DataFrame, id_col: str, dim: int = DIM) -> DataFrame:
+    """(id, i, x): signed token counts by hashed component, from (id, term, tf), such as an index's postings."""
+    at, sign = _slot("term", dim)
+    return counts.groupBy(id_col, at.alias("i")).agg(F.sum(sign * F.col("tf")).alias("x"))
+
+
 def hashed_components(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> DataFrame:
     """(id, i, x): signed token counts by hashed component."""
-    h = F.md5("t")
-    at = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim
-    sign = F.when(F.substring(h, 9, 1) < "8", 1.0).otherwise(-1.0)
-    t = docs.select(F.col(id_col), F.explode(tokenize(F.col(text_col))).alias("t"))
-    return t.groupBy(id_col, at.cast("int").alias("i")).agg(F.sum(sign).alias("x"))
+    return counted_components(docs.select(id_col, F.explode(tokenize(F.col(text_col))).alias("term"), F.lit(1).alias("tf")), id_col, dim)
+
+
+def unit_vectors(components: DataFrame, id_col: str, dim: int = DIM) -> DataFrame:
+    """(id, v array<double>): the components as vectors of length 1; where all are 0 there is none."""
+    c = components.where("x <> 0").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return c.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("v"))
 
 
 def hashed_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> DataFrame:
     """(id, v array<double>): unit vectors; texts without tokens, or whose counts cancel, have none."""
-    c = hashed_components(docs, id_col, text_col, dim).where("x <> 0").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return c.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("v"))
+    return unit_vectors(hashed_components(docs, id_col, text_col, dim), id_col, dim)
+
+
+def encode(docs: DataFrame, id_col: str, text_col: str, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """(id, v array<double>): unit vectors of a model over Arrow batches; load is called once in each task's worker.
+
+    Raises where the model's vectors are not finite or all zero. Store the result to encode a corpus once.
+    """
+
+    def run(batches):
+        model = load()
+        for b in batches:
+            x = np.asarray(model(["" if t is None else t for t in b.column(1).to_pylist()]), float).reshape(b.num_rows, -1)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            if not np.isfinite(x).all() or (norm == 0).any():
+                raise ValueError("a vector is not finite, or zero")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((x / norm).tolist(), pa.list_(pa.float64()))], names=[id_col, "v"])
+
+    schema = docs.select(id_col).schema.add("v", ArrayType(DoubleType()))
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def dense_search(queries: DataFrame, docs: DataFrame, k: int, own: bool = True) -> DataFrame:

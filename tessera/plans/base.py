@@ -1,49 +1,11 @@
-"""The ranking relations that the evaluation queries share, as Spark views and as DuckDB common table expressions."""
+"""The relations of plans.evaluation once more, as DuckDB common table expressions that share no code with them."""
 
 from __future__ import annotations
 
 from math import log2
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.functions.text import tokenize
-from tessera.operators.bm25 import Index
-from tessera.operators.fusion import rerank_prefix, token_overlap, weighted_rrf
-from tessera.operators.vector import dense_search, hashed_embedding
-from tessera.plans.lineage import cut
-from tessera.sources.tables import corpus, derived_qrels, queries
-
-DEPTH, PREFIX, RRF_K = 100, 20, 60
-
-
-def rankings(spark: SparkSession, d: str) -> DataFrame:
-    """(method, query_id, doc_id, rank long), frozen before anything reads labels."""
-    docs, qs = corpus(spark, d), queries(spark, d)
-    bm25 = cut(Index(docs).search(qs, DEPTH).select("query_id", "doc_id", "rank"))
-    vec = hashed_embedding(docs, "doc_id", "text")
-    dense = cut(dense_search(hashed_embedding(qs, "query_id", "query"), vec, DEPTH).select("query_id", "doc_id", "rank"))
-    hybrid = cut(weighted_rrf([bm25, dense], k=RRF_K).select("query_id", "doc_id", "rank"))
-    scores = token_overlap(hybrid.where(F.col("rank") <= PREFIX).select("query_id", "doc_id"), qs, docs, tokenize)
-    legs = {"bm25": bm25, "dense": dense, "hybrid": hybrid, "reranked": rerank_prefix(hybrid, scores, PREFIX)}
-    out = None
-    for m, r in legs.items():
-        r = r.select(F.lit(m).alias("method"), "query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
-        out = r if out is None else out.unionByName(r)
-    return cut(out)
-
-
-def register(spark: SparkSession, d: str, names: set[str]) -> None:
-    docs, qs = corpus(spark, d), queries(spark, d)
-    docs.createOrReplaceTempView("corpus")
-    qs.createOrReplaceTempView("queries")
-    if "qrels" in names:
-        cut(derived_qrels(docs, qs)).createOrReplaceTempView("qrels")
-    if "rankings" in names:
-        rankings(spark, d).createOrReplaceTempView("rankings")
-    for t in ("events", "orders", "lineitem", "embeddings", "conversations", "customer"):
-        if t in names:
-            spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(t)
+from tessera.operators.router import FEATURES, PUBLISHED
+from tessera.plans.evaluation import DEEPEST, DEPTH, PREFIX, RRF_K
 
 
 def _tok(text: str) -> str:
@@ -63,15 +25,17 @@ st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM ctok),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(w) AS term FROM qtok) GROUP BY ALL),
 bs AS MATERIALIZED (SELECT query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / greatest(avgdl, 1e-12)))) AS score
   FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL),
-bp AS (SELECT * FROM bs UNION ALL SELECT q.query_id, f.doc_id, 0e0 FROM queries q CROSS JOIN (SELECT doc_id FROM corpus ORDER BY doc_id LIMIT {DEPTH}) f
+bp AS (SELECT * FROM bs UNION ALL SELECT q.query_id, f.doc_id, 0e0 FROM queries q CROSS JOIN (SELECT doc_id FROM corpus ORDER BY doc_id LIMIT {DEEPEST}) f
   ANTI JOIN bs ON bs.query_id = q.query_id AND bs.doc_id = f.doc_id),
-bm25 AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bp) WHERE rank <= {DEPTH}),
+bm25x AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bp) WHERE rank <= {DEEPEST}),
+bm25 AS (SELECT * FROM bm25x WHERE rank <= {DEPTH}),
 hc AS MATERIALIZED (SELECT * FROM (SELECT doc_id AS id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS i, sum(CASE WHEN substr(md5(term), 9, 1) < '8' THEN 1e0 ELSE -1e0 END) AS x FROM ct GROUP BY ALL) WHERE x <> 0),
 hq AS (SELECT * FROM (SELECT query_id AS id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS i, sum(qtf * CASE WHEN substr(md5(term), 9, 1) < '8' THEN 1e0 ELSE -1e0 END) AS x FROM qt GROUP BY ALL) WHERE x <> 0),
 nc AS (SELECT id, sqrt(sum(x * x)) AS norm FROM hc GROUP BY id), nq AS (SELECT id, sqrt(sum(x * x)) AS norm FROM hq GROUP BY id),
 dots AS (SELECT hq.id AS query_id, hc.id AS doc_id, sum(hq.x * hc.x) AS dot FROM hq JOIN hc USING (i) GROUP BY ALL),
 ds AS (SELECT nq.id AS query_id, nc.id AS doc_id, round(coalesce(dot, 0) / (nq.norm * nc.norm), 9) AS score FROM nq CROSS JOIN nc LEFT JOIN dots ON dots.query_id = nq.id AND dots.doc_id = nc.id),
-dense AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds) WHERE rank <= {DEPTH}),
+densex AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds) WHERE rank <= {DEEPEST}),
+dense AS (SELECT * FROM densex WHERE rank <= {DEPTH}),
 fs AS (SELECT query_id, doc_id, round(sum(1e0 / ({RRF_K} + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM bm25 UNION ALL SELECT query_id, doc_id, rank FROM dense) GROUP BY ALL),
 hybrid AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fs),
 ov AS (SELECT h.query_id, h.doc_id, round(len(list_intersect(list_distinct(qtok.w), list_distinct(ctok.w)))::DOUBLE / greatest(len(list_distinct(qtok.w)), 1), 9) AS s
@@ -85,7 +49,10 @@ for _n in range(1, 11):
     _sum += 1 / log2(_n + 1)
     _ideal.append(f"({_n}, {_sum!r}e0)")
 
-#: Both engines: per-query metrics at 10, router features and policy decisions. Empty gold scores 0.
+_WORD = r"[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_PRED = f"{PUBLISHED.intercept!r}e0" + "".join(f" + ({f} - {m!r}e0) / {s!r}e0 * ({c!r}e0)" for f, m, s, c in zip(FEATURES, PUBLISHED.means, PUBLISHED.scales, PUBLISHED.coefficients))
+
+#: Per-query metrics at 10, router features and policy decisions. Empty gold scores 0.
 EVAL = f"""
 ideal AS (SELECT * FROM (VALUES {', '.join(_ideal)}) AS t(n, idcg)),
 gold AS (SELECT query_id, count(*) AS g FROM qrels GROUP BY query_id),
@@ -103,8 +70,8 @@ ft AS (SELECT bd.query_id, CASE WHEN count(CASE WHEN br = 1 AND dr = 1 THEN 1 EN
     count(CASE WHEN br <= 10 AND dr <= 10 THEN 1 END) * 1e0 / count(CASE WHEN br <= 10 OR dr <= 10 THEN 1 END) AS jaccard10, count(CASE WHEN br IS NOT NULL AND dr IS NOT NULL THEN 1 END) * 1e0 / count(*) AS jaccard20,
     sum(least(coalesce(1e0 / br, 0e0), coalesce(1e0 / dr, 0e0))) / sum(greatest(coalesce(1e0 / br, 0e0), coalesce(1e0 / dr, 0e0))) AS rank_overlap, 1e0 - avg(abs(coalesce(br, 21) - coalesce(dr, 21)) * 1e0) / 20e0 AS coherence
   FROM bd GROUP BY bd.query_id),
-features AS (SELECT ft.query_id, q.src, top1_disagreement, jaccard10, jaccard20, rank_overlap, coherence, ln(1e0 + length(q.query) - length(replace(q.query, ' ', '')) + 1e0) AS log_words, margin FROM ft JOIN mg ON mg.query_id = ft.query_id JOIN queries q ON q.query_id = ft.query_id),
-pred AS (SELECT *, round(0.02e0 + 0.05e0 * (top1_disagreement - 0.5e0) - 0.03e0 * (jaccard10 - 0.3e0) - 0.02e0 * (jaccard20 - 0.3e0) + 0.01e0 * (rank_overlap - 0.3e0) - 0.04e0 * (coherence - 0.5e0) + 0.005e0 * (log_words - 3e0) - 0.06e0 * (margin - 0.1e0), 9) AS p FROM features),
+features AS (SELECT ft.query_id, q.src, top1_disagreement, jaccard10, jaccard20, rank_overlap, coherence, ln(1e0 + len(regexp_extract_all(coalesce(q.query, ''), '{_WORD}'))) AS log_words, margin FROM ft JOIN mg ON mg.query_id = ft.query_id JOIN queries q ON q.query_id = ft.query_id),
+pred AS (SELECT *, round({_PRED}, 9) AS p FROM features),
 th AS (SELECT 0.25e0 AS budget, percentile_cont(0.75) WITHIN GROUP (ORDER BY p) AS t FROM pred UNION ALL SELECT 0.5e0, percentile_cont(0.5) WITHIN GROUP (ORDER BY p) FROM pred UNION ALL SELECT 0.75e0, percentile_cont(0.25) WITHIN GROUP (ORDER BY p) FROM pred),
 decisions AS (SELECT query_id, src, 'fixed_disagreement' AS policy, top1_disagreement > 0 AS rerank FROM pred UNION ALL SELECT query_id, src, 'cheap_jaccard', jaccard10 < 0.5e0 FROM pred UNION ALL SELECT query_id, src, 'never', FALSE FROM pred UNION ALL SELECT query_id, src, 'always', TRUE FROM pred
   UNION ALL SELECT query_id, src, CASE WHEN budget = 0.25e0 THEN 'utility_25' WHEN budget = 0.5e0 THEN 'utility_50' ELSE 'utility_75' END, p > t FROM pred CROSS JOIN th),

@@ -1,7 +1,6 @@
 """Queries over the driver's tables and the SQL that each must agree with.
 
-Queries built on DataFrame operators have SQL of their own. Evaluation queries run one SQL text on both engines, over base
-relations that Spark builds with the operators and DuckDB with independent table expressions.
+Each query is built from DataFrame operators; its SQL, for DuckDB only, is written independently of them.
 """
 
 from __future__ import annotations
@@ -9,44 +8,41 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import checks, fusion, router, splits
-from tessera.operators.bm25 import Index
+from tessera.operators import checks, failures, fusion, latency, metrics, policies, router, splits, stats
 from tessera.operators.components import connected_components
-from tessera.operators.vector import dense_search, embedding_quality, hashed_components
-from tessera.plans.base import DEPTH, DUCK_BASE, EVAL, rankings, register
-from tessera.sources.tables import corpus, derived_qrels, queries as query_table, table
+from tessera.operators.ranking import top_k
+from tessera.operators.vector import counted_components, dense_search, embedding_quality
+from tessera.plans.base import DUCK_BASE, EVAL
+from tessera.plans.evaluation import DEPTH, evaluation
+from tessera.sources.tables import table
 from tessera.streaming.latency import drain, latency_windows, read_events
 
 _SPARK, _DUCK = {}, {}
 
 
-def _spark_text(sql: str) -> str:
-    sql = re.sub(r"SHA\{(.*?)\}", r"sha2(\1, 256)", sql)
-    sql = re.sub(r"HEX\{(.*?)\}", r"CAST(conv(\1, 16, 10) AS BIGINT)", sql)
-    return re.sub(r"LIST\{(.*?)\}", r"array_join(array_sort(collect_set(\1)), ',')", sql)
-
-
 def _duck_text(sql: str) -> str:
     sql = re.sub(r"SHA\{(.*?)\}", r"sha256(\1)", sql)
     sql = re.sub(r"HEX\{(.*?)\}", r"CAST('0x' || \1 AS BIGINT)", sql)
     return re.sub(r"LIST\{(.*?)\}", r"string_agg(DISTINCT \1, ',' ORDER BY \1)", sql)
 
 
-def both(name: str, sql: str, evaluate: bool = True) -> None:
-    """A query whose SQL runs on either engine."""
-    names = {t for t in ("qrels", "rankings", "events", "orders", "lineitem", "embeddings", "conversations", "customer") if re.search(rf"\b{t}\b", sql + (EVAL if evaluate else ""))}
+def duck(name: str, sql: str, evaluate: bool = True) -> None:
+    """The SQL of a query that `ev` or `query` builds, over the relations of plans.base."""
+    body = re.sub(r"^\s*WITH ", ", ", sql) if sql.lstrip().startswith("WITH ") else " " + sql
+    _DUCK[name] = _duck_text(f"WITH {DUCK_BASE}" + (f", {EVAL}" if evaluate else "") + body)
 
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        register(spark, d, names)
-        head = f"WITH {EVAL}" if evaluate else ""
-        join = "," if evaluate and sql.lstrip().startswith("WITH ") else " "
-        return spark.sql(_spark_text(head + join + (re.sub(r"^\s*WITH ", "", sql) if join == "," else sql)))
 
-    body = re.sub(r"^\s*WITH ", ", ", sql) if sql.lstrip().startswith("WITH ") else " " + sql
-    _SPARK[name], _DUCK[name] = run, _duck_text(f"WITH {DUCK_BASE}" + (f", {EVAL}" if evaluate else "") + body)
+def ev(name: str, build) -> None:
+    """A query over the folder's evaluation."""
+    _SPARK[name] = lambda s, d: build(evaluation(s, d))
+
+
+def nine(*cols: str, digits: int = 9) -> list:
+    return [F.round(c, digits).alias(c) for c in cols]
 
 
 def query(name: str, sql: str | None = None, base: bool = False):
@@ -89,16 +85,16 @@ def _dedup(s: SparkSession, d: str) -> DataFrame:
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
 
-query("corpus_stats", "SELECT n, round(avgdl, 9) AS avgdl FROM st", True)(lambda s, d: Index(corpus(s, d)).stats.select("n", F.round("avgdl", 9).alias("avgdl")))
-query("term_stats", "SELECT term, df FROM df", True)(lambda s, d: Index(corpus(s, d)).term_stats)
-query("postings", "SELECT term, doc_id, tf, dl::INT AS dl FROM tf", True)(lambda s, d: Index(corpus(s, d)).postings.select("term", "doc_id", "tf", "dl"))
-query("idf_table", "SELECT term, round(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)), 9) AS idf FROM df, st", True)(lambda s, d: Index(corpus(s, d)).idf().select("term", F.round("idf", 9).alias("idf")))
-query("bm25_scores", "SELECT query_id, doc_id, round(score, 9) AS score FROM bs", True)(lambda s, d: Index(corpus(s, d)).scores(query_table(s, d)).select("query_id", "doc_id", F.round("score", 9).alias("score")))
+query("corpus_stats", "SELECT n, round(avgdl, 9) AS avgdl FROM st", True)(lambda s, d: evaluation(s, d).index.stats.select("n", F.round("avgdl", 9).alias("avgdl")))
+query("term_stats", "SELECT term, df FROM df", True)(lambda s, d: evaluation(s, d).index.term_stats)
+query("postings", "SELECT term, doc_id, tf, dl::INT AS dl FROM tf", True)(lambda s, d: evaluation(s, d).index.postings.select("term", "doc_id", "tf", "dl"))
+query("idf_table", "SELECT term, round(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)), 9) AS idf FROM df, st", True)(lambda s, d: evaluation(s, d).index.idf().select("term", F.round("idf", 9).alias("idf")))
+query("bm25_scores", "SELECT query_id, doc_id, round(score, 9) AS score FROM bs", True)(lambda s, d: evaluation(s, d).index.scores(evaluation(s, d).queries).select("query_id", "doc_id", F.round("score", 9).alias("score")))
 query("bm25_topk", "SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bs) WHERE rank <= 10", True)(
-    lambda s, d: Index(corpus(s, d)).search(query_table(s, d), 10, pad=False).select("query_id", "doc_id", "score", "rank"))
-query("bm25_topk_padded", "SELECT query_id, doc_id, score, rank::INT AS rank FROM bm25", True)(lambda s, d: Index(corpus(s, d)).search(query_table(s, d), DEPTH).select("query_id", "doc_id", "score", "rank"))
-query("hashed_embeddings", "SELECT id AS doc_id, i::INT AS i, x FROM hc", True)(lambda s, d: hashed_components(corpus(s, d), "doc_id", "text").where("x <> 0"))
-query("dense_topk", "SELECT query_id, doc_id, rank FROM dense", True)(lambda s, d: rankings(s, d).where("method = 'dense'").select("query_id", "doc_id", "rank"))
+    lambda s, d: evaluation(s, d).index.search(evaluation(s, d).queries, 10, pad=False).select("query_id", "doc_id", "score", "rank"))
+query("bm25_topk_padded", "SELECT query_id, doc_id, score, rank::INT AS rank FROM bm25", True)(lambda s, d: evaluation(s, d).index.search(evaluation(s, d).queries, DEPTH).select("query_id", "doc_id", "score", "rank"))
+query("hashed_embeddings", "SELECT id AS doc_id, i::INT AS i, x FROM hc", True)(lambda s, d: counted_components(evaluation(s, d).index.postings, "doc_id").where("x <> 0"))
+query("dense_topk", "SELECT query_id, doc_id, rank FROM dense", True)(lambda s, d: evaluation(s, d).dense)
 query("embedding_quality", """SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim, count_if(len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS not_finite,
   count_if(abs(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) - 1) > 1e-5) AS not_unit FROM embeddings""")(lambda s, d: embedding_quality(table(s, d, "embeddings"), "vec_id", "embedding").select(*["n", "ids", "min_dim", "max_dim", "not_finite", "not_unit"]))
 
@@ -112,8 +108,7 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 
 
 def _legs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    r = rankings(s, d)
-    return r.where("method = 'bm25'"), r.where("method = 'dense'")
+    return evaluation(s, d).bm25, evaluation(s, d).dense
 
 
 _UNION = "(SELECT query_id, doc_id, rank, 1e0 AS w, 0 AS leg FROM bm25 UNION ALL SELECT query_id, doc_id, rank, {w}, 1 FROM dense)"
@@ -122,89 +117,235 @@ query("rrf_weighted", f"SELECT query_id, doc_id, score, row_number() OVER (PARTI
 query("rrf_unweighted", f"SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, leg, rk)::INT AS rank FROM (SELECT query_id, doc_id, round(sum(w / (60 + rank)), 9) AS score, min(leg) AS leg, arg_min(rank, leg) AS rk FROM {_UNION.format(w='1e0')} GROUP BY ALL)", True)(
     lambda s, d: fusion.weighted_rrf(_legs(s, d), k=60, first_seen=True).select("query_id", "doc_id", "score", "rank"))
 _RRF = "WITH par AS (SELECT * FROM (VALUES {v}) AS t({c})), f AS (SELECT {c}, query_id, doc_id, round(sum(1e0 / ({k} + rank)), 9) AS score FROM rankings CROSS JOIN par WHERE method IN ('bm25', 'dense'){w} GROUP BY {c}, query_id, doc_id), o AS (SELECT *, row_number() OVER (PARTITION BY {c}, query_id ORDER BY score DESC, doc_id) AS rank FROM f), e AS (SELECT o.{c}, o.query_id, min(o.rank) AS first_rank, sum(CASE WHEN o.rank <= 10 THEN 1e0 ELSE 0e0 END) AS h FROM o JOIN qrels x ON o.query_id = x.query_id AND o.doc_id = x.doc_id GROUP BY o.{c}, o.query_id) SELECT par.{c}, round(avg(coalesce(1e0 / first_rank, 0e0)), 9) AS mrr, round(avg(coalesce(h / g, 0e0)), 9) AS recall10 FROM par CROSS JOIN queries q LEFT JOIN e ON e.{c} = par.{c} AND e.query_id = q.query_id LEFT JOIN gold ON gold.query_id = q.query_id GROUP BY par.{c}"
-both("rrf_k_ablation", _RRF.format(v="(10), (20), (40), (60), (100)", c="rrf_k", k="rrf_k", w=""))
-both("candidate_depth_ablation", _RRF.format(v="(25), (50), (100)", c="depth", k="60", w=" AND rank <= depth"))
-both("rerank_prefix", "SELECT query_id, doc_id, rank FROM rankings WHERE method = 'reranked'", False)
+duck("rrf_k_ablation", _RRF.format(v="(10), (20), (40), (60), (100)", c="rrf_k", k="rrf_k", w=""))
+duck("candidate_depth_ablation", _RRF.format(v="(25), (50), (100), (200), (500)", c="depth", k="60", w=" AND rank <= depth").replace("FROM rankings CROSS JOIN", "FROM (SELECT 'bm25' AS method, query_id, doc_id, rank FROM bm25x UNION ALL SELECT 'dense', query_id, doc_id, rank FROM densex) CROSS JOIN"))
+
+
+def _ablation(e, name: str, values: list[int], k: str, within: str) -> DataFrame:
+    """Fused rankings for all values of a parameter in one pass over the two legs, which are searched once."""
+    legs = e.deep_bm25.unionByName(e.deep_dense).withColumn(name, F.explode(F.array(*map(F.lit, values)))).where(within)
+    fused = legs.groupBy(name, "query_id", "doc_id").agg(F.sum(F.expr(f"1.0D / ({k} + rank)")).alias("score"))
+    ranked = top_k(fused, [name, "query_id"], None).withColumn("method", F.col(name).cast("string"))
+    got = metrics.macro(metrics.evaluate(ranked, e.qrels, e.queries))
+    return got.select(F.col("method").cast("int").alias(name), F.round("rr", 9).alias("mrr"), F.round("recall", 9).alias("recall10"))
+
+
+ev("rrf_k_ablation", lambda e: _ablation(e, "rrf_k", [10, 20, 40, 60, 100], "rrf_k", f"rank <= {DEPTH}"))
+ev("candidate_depth_ablation", lambda e: _ablation(e, "depth", [25, 50, 100, 200, 500], "60", "rank <= depth"))
+ev("rerank_prefix", lambda e: e.reranked)
+duck("rerank_prefix", "SELECT query_id, doc_id, rank FROM rankings WHERE method = 'reranked'", False)
 
 # --- metrics ---------------------------------------------------------------------------------------------------------
 
 for _m in ("bm25", "dense", "hybrid", "reranked"):
-    both(f"{_m}_eval", f"SELECT method, round(avg(recall), 9) AS recall10, round(avg(mrr), 9) AS mrr10, round(avg(rr), 9) AS mrr, round(avg(ndcg), 9) AS ndcg10, round(avg(coverage), 9) AS coverage10, count(*) AS n FROM pq WHERE method = '{_m}' GROUP BY method")
-both("binary_metrics", "SELECT query_id, method, round(recall, 9) AS recall10, round(mrr, 9) AS mrr10, round(ndcg, 9) AS ndcg10, coverage AS coverage10 FROM pq")
-both("recall_at_k", "SELECT query_id, method, round(recall, 9) AS recall10 FROM pq")
-both("mrr", "SELECT query_id, method, round(rr, 9) AS rr FROM pq")
-both("ndcg_at_k", "SELECT query_id, method, round(ndcg, 9) AS ndcg10 FROM pq")
-both("macro_metrics_multi_k", "WITH ks AS (SELECT * FROM (VALUES (1), (5), (10)) AS t(k)), e AS (SELECT k, method, h.query_id, count(*) * 1e0 / max(g) AS r FROM hits h JOIN gold ON gold.query_id = h.query_id CROSS JOIN ks WHERE rank <= k GROUP BY k, method, h.query_id), n AS (SELECT count(*) AS n FROM queries), m AS (SELECT DISTINCT method FROM rankings) SELECT ks.k, m.method, round(coalesce(sum(r), 0e0) / max(n), 9) AS recall FROM ks CROSS JOIN m CROSS JOIN n LEFT JOIN e ON e.k = ks.k AND e.method = m.method GROUP BY ks.k, m.method")
-both("first_relevant_rank", "SELECT query_id, method, first_rank FROM pq")
-both("rank_effects", "SELECT query_id, CASE WHEN rb IS NULL AND ra IS NULL THEN 'unchanged_missing' WHEN rb IS NULL OR ra < rb THEN 'improved' WHEN ra IS NULL OR ra > rb THEN 'hurt' ELSE 'unchanged' END AS effect FROM gain")
-both("rank_transitions", "WITH g AS (SELECT b.query_id, b.doc_id, b.rank AS rb, a.rank AS ra FROM rankings b JOIN rankings a ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.method = 'hybrid' AND a.method = 'reranked' JOIN qrels x ON x.query_id = b.query_id AND x.doc_id = b.doc_id) SELECT query_id, doc_id, CASE WHEN rb <= 10 AND ra > 10 THEN 'left_top10' WHEN rb > 10 AND ra <= 10 THEN 'entered_top10' WHEN rb > 10 THEN 'outside_top10' WHEN ra < rb THEN 'raised' WHEN ra > rb THEN 'lowered' ELSE 'kept' END AS transition FROM g")
+    duck(f"{_m}_eval", f"SELECT method, round(avg(recall), 9) AS recall10, round(avg(mrr), 9) AS mrr10, round(avg(rr), 9) AS mrr, round(avg(ndcg), 9) AS ndcg10, round(avg(coverage), 9) AS coverage10, count(*) AS n FROM pq WHERE method = '{_m}' GROUP BY method")
+    ev(f"{_m}_eval", lambda e, m=_m: metrics.macro(e.metrics_of(m)).select("method", *[F.round(a, 9).alias(b) for a, b in (("recall", "recall10"), ("mrr", "mrr10"), ("rr", "mrr"), ("ndcg", "ndcg10"), ("coverage", "coverage10"))], "n"))
+duck("binary_metrics", "SELECT query_id, method, round(recall, 9) AS recall10, round(mrr, 9) AS mrr10, round(ndcg, 9) AS ndcg10, coverage AS coverage10 FROM pq")
+duck("recall_at_k", "SELECT query_id, method, round(recall, 9) AS recall10 FROM pq")
+duck("mrr", "SELECT query_id, method, round(rr, 9) AS rr FROM pq")
+duck("ndcg_at_k", "SELECT query_id, method, round(ndcg, 9) AS ndcg10 FROM pq")
+duck("macro_metrics_multi_k", "WITH ks AS (SELECT * FROM (VALUES (1), (5), (10)) AS t(k)), e AS (SELECT k, method, h.query_id, count(*) * 1e0 / max(g) AS r FROM hits h JOIN gold ON gold.query_id = h.query_id CROSS JOIN ks WHERE rank <= k GROUP BY k, method, h.query_id), n AS (SELECT count(*) AS n FROM queries), m AS (SELECT DISTINCT method FROM rankings) SELECT ks.k, m.method, round(coalesce(sum(r), 0e0) / max(n), 9) AS recall FROM ks CROSS JOIN m CROSS JOIN n LEFT JOIN e ON e.k = ks.k AND e.method = m.method GROUP BY ks.k, m.method")
+duck("first_relevant_rank", "SELECT query_id, method, first_rank FROM pq")
+duck("rank_effects", "SELECT query_id, CASE WHEN rb IS NULL AND ra IS NULL THEN 'unchanged_missing' WHEN rb IS NULL OR ra < rb THEN 'improved' WHEN ra IS NULL OR ra > rb THEN 'hurt' ELSE 'unchanged' END AS effect FROM gain")
+duck("rank_transitions", "WITH g AS (SELECT b.query_id, b.doc_id, b.rank AS rb, a.rank AS ra FROM rankings b JOIN rankings a ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.method = 'hybrid' AND a.method = 'reranked' JOIN qrels x ON x.query_id = b.query_id AND x.doc_id = b.doc_id) SELECT query_id, doc_id, CASE WHEN rb <= 10 AND ra > 10 THEN 'left_top10' WHEN rb > 10 AND ra <= 10 THEN 'entered_top10' WHEN rb > 10 THEN 'outside_top10' WHEN ra < rb THEN 'raised' WHEN ra > rb THEN 'lowered' ELSE 'kept' END AS transition FROM g")
+
+ev("binary_metrics", lambda e: e.per_query.select("query_id", "method", *[F.round(c, 9).alias(f"{c}10") for c in ("recall", "mrr", "ndcg")], F.col("coverage").alias("coverage10")))
+ev("recall_at_k", lambda e: e.per_query.select("query_id", "method", F.round("recall", 9).alias("recall10")))
+ev("mrr", lambda e: e.per_query.select("query_id", "method", *nine("rr")))
+ev("ndcg_at_k", lambda e: e.per_query.select("query_id", "method", F.round("ndcg", 9).alias("ndcg10")))
+ev("macro_metrics_multi_k", lambda e: metrics.macro(metrics.evaluate(e.rankings, e.qrels, e.queries, [1, 5, 10])).select("k", "method", *nine("recall")))
+ev("first_relevant_rank", lambda e: e.per_query.select("query_id", "method", "first_rank"))
+ev("rank_effects", lambda e: e.gain.select("query_id", metrics.rank_effect(F.col("rb"), F.col("ra")).alias("effect")))
+ev("rank_transitions", lambda e: metrics.rank_of(e.reranked, metrics.rank_of(e.hybrid, e.qrels).withColumnRenamed("rank", "rb")).where("rb IS NOT NULL").select("query_id", "doc_id", metrics.transition(F.col("rb"), F.col("rank")).alias("transition")))
 
 # --- routing ---------------------------------------------------------------------------------------------------------
 
-both("gate_disagreement", "SELECT query_id, top1_disagreement > 0 AS rerank FROM features")
-both("gate_jaccard", "SELECT query_id, jaccard10 < 0.5e0 AS rerank FROM features")
-both("router_features", "SELECT query_id, top1_disagreement, round(jaccard10, 9) AS jaccard10, round(jaccard20, 9) AS jaccard20, round(rank_overlap, 9) AS rank_overlap, round(coherence, 9) AS coherence, round(log_words, 9) AS log_words, round(margin, 7) AS margin FROM features")
-both("ridge_moments", "SELECT count(*) AS n, " + ", ".join(f"round(avg({f}), 7) AS m_{f}, round(sum({f} * d), 7) AS x_{f}" for f in ("top1_disagreement", "jaccard10", "jaccard20", "rank_overlap", "coherence", "log_words")) + " FROM features JOIN gain ON gain.query_id = features.query_id")
-both("router_predict", "SELECT query_id, round(p, 7) AS p FROM pred")
-both("budget_thresholds", "SELECT budget, round(t, 7) AS threshold FROM th")
-both("route_decisions", "SELECT query_id, policy, rerank FROM decisions")
+duck("gate_disagreement", "SELECT query_id, top1_disagreement > 0 AS rerank FROM features")
+duck("gate_jaccard", "SELECT query_id, jaccard10 < 0.5e0 AS rerank FROM features")
+duck("router_features", "SELECT query_id, top1_disagreement, round(jaccard10, 9) AS jaccard10, round(jaccard20, 9) AS jaccard20, round(rank_overlap, 9) AS rank_overlap, round(coherence, 9) AS coherence, round(log_words, 9) AS log_words, round(margin, 7) AS margin FROM features")
+_GRAM = [(f, g) for i, f in enumerate(router.FEATURES) for g in router.FEATURES[i:]]
+SEEDS = [str(i) for i in range(20)]
+duck("ridge_moments", "SELECT count(*) AS n, " + ", ".join([f"round(avg({f}), 7) AS m_{f}, round(sum({f} * d), 7) AS x_{f}" for f in router.FEATURES] + [f"round(sum({f} * {g}), 6) AS g_{f}_{g}" for f, g in _GRAM]) + " FROM features JOIN gain ON gain.query_id = features.query_id")
+duck("router_predict", "SELECT query_id, round(p, 7) AS p FROM pred")
+duck("budget_thresholds", "SELECT budget, round(t, 7) AS threshold FROM th")
+duck("route_decisions", "SELECT query_id, policy, rerank FROM decisions")
 _POL = "SELECT {g}policy, round(avg(CASE WHEN rerank THEN after ELSE base END), 9) AS ndcg10, count_if(rerank) AS calls, 20 * count_if(rerank) AS pairs FROM decisions JOIN gain ON gain.query_id = decisions.query_id GROUP BY {b}"
-both("policy_summary", _POL.format(g="", b="policy"))
-both("policy_by_source_rollup", _POL.format(g="coalesce(decisions.src, 'all') AS source, ", b="GROUPING SETS ((policy, decisions.src), (policy))"))
-both("routing_effects", "SELECT policy, count_if(NOT rerank AND d > 1e-12) AS harmful_skips, count_if(NOT rerank AND d < -1e-12) AS beneficial_skips, count_if(rerank AND d < -1e-12) AS harmful_reranks, count_if(rerank AND d > 1e-12) AS beneficial_reranks, round(sum(CASE WHEN NOT rerank THEN greatest(d, 0e0) ELSE 0e0 END), 9) AS forgone, round(sum(CASE WHEN NOT rerank THEN greatest(-d, 0e0) ELSE 0e0 END), 9) AS avoided FROM decisions JOIN gain ON gain.query_id = decisions.query_id GROUP BY policy")
+duck("policy_summary", _POL.format(g="", b="policy"))
+duck("policy_by_source_rollup", _POL.format(g="coalesce(decisions.src, 'all') AS source, ", b="GROUPING SETS ((policy, decisions.src), (policy))"))
+duck("routing_effects", "SELECT policy, count_if(NOT rerank AND d > 1e-12) AS harmful_skips, count_if(NOT rerank AND d < -1e-12) AS beneficial_skips, count_if(rerank AND d < -1e-12) AS harmful_reranks, count_if(rerank AND d > 1e-12) AS beneficial_reranks, round(sum(CASE WHEN NOT rerank THEN greatest(d, 0e0) ELSE 0e0 END), 9) AS forgone, round(sum(CASE WHEN NOT rerank THEN greatest(-d, 0e0) ELSE 0e0 END), 9) AS avoided FROM decisions JOIN gain ON gain.query_id = decisions.query_id GROUP BY policy")
 _CALLS = "WITH c AS (SELECT policy, count_if(rerank) AS n FROM decisions GROUP BY policy)"
-both("oracle_ceiling", _CALLS + ", o AS (SELECT d, base, row_number() OVER (ORDER BY round(d, 9) DESC, query_id) AS r FROM gain) SELECT policy, round(avg(base + CASE WHEN r <= n THEN d ELSE 0e0 END), 9) AS ndcg10 FROM c CROSS JOIN o GROUP BY policy")
-_RAND = _CALLS.replace("WITH c AS (SELECT policy, count_if(rerank) AS n FROM decisions GROUP BY policy)", "WITH c AS (SELECT policy{s}, count_if(rerank) AS n FROM decisions GROUP BY policy{s})") + ", seeds AS (SELECT * FROM (VALUES ('0'), ('1'), ('2'), ('3'), ('4')) AS t(seed)), o AS (SELECT seed, src, d, base, row_number() OVER (PARTITION BY seed{s} ORDER BY SHA{{seed || '|' || query_id}}, query_id) AS r FROM gain CROSS JOIN seeds), e AS (SELECT policy, seed, avg(base + CASE WHEN r <= n THEN d ELSE 0e0 END) AS v FROM c JOIN o ON {j} GROUP BY policy, seed) SELECT policy, round(avg(v), 9) AS mean, round(min(v), 9) AS low, round(max(v), 9) AS high FROM e GROUP BY policy"
-both("random_controls_hash", _RAND.format(s="", j="TRUE"))
-both("random_source_matched_hash", _RAND.format(s=", src", j="c.src = o.src"))
-both("routing_summary", "SELECT policy, coalesce(decisions.src, 'all') AS source, rerank, count(*) AS n, round(avg(d), 9) AS mean_gain FROM decisions JOIN gain ON gain.query_id = decisions.query_id GROUP BY GROUPING SETS ((policy, rerank, decisions.src), (policy, rerank))")
-both("failure_records", "SELECT gain.query_id, gain.src, round(base, 9) AS before, round(after, 9) AS after_, CASE WHEN d > 1e-12 THEN 'win' WHEN d < -1e-12 THEN 'loss' ELSE 'tie' END AS outcome, round(pq.coverage, 9) AS covered FROM gain JOIN pq ON pq.query_id = gain.query_id AND pq.method = 'hybrid'")
-both("failure_strata", "WITH s AS (SELECT gain.src, CASE WHEN coalesce(g, 0) >= 3 THEN '3+' ELSE CAST(coalesce(g, 0) AS VARCHAR(5)) END AS positives, CASE WHEN d > 1e-12 THEN 'win' WHEN d < -1e-12 THEN 'loss' ELSE 'tie' END AS outcome, base, after FROM gain LEFT JOIN gold ON gold.query_id = gain.query_id) SELECT coalesce(src, '') AS source, coalesce(positives, '') AS positives, coalesce(outcome, '') AS outcome, count(*) AS n, round(avg(base), 9) AS before, round(avg(after), 9) AS after_ FROM s GROUP BY GROUPING SETS ((src), (positives), (outcome), ())")
-both("case_selection", "WITH o AS (SELECT src, query_id, d, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), query_id) AS l, row_number() OVER (PARTITION BY src ORDER BY round(d, 9) DESC, query_id) AS w FROM gain) SELECT src, query_id, round(d, 9) AS d, 'loss' AS side FROM o WHERE l <= 5 AND d < 0 UNION ALL SELECT src, query_id, round(d, 9), 'win' FROM o WHERE w <= 5 AND d > 0")
-both("cache_violations", "WITH v AS (SELECT method || ':' || query_id AS id, 'duplicate' AS rule FROM rankings GROUP BY method, query_id HAVING count(*) <> count(DISTINCT doc_id) UNION ALL SELECT method || ':' || query_id, 'gap' FROM rankings GROUP BY method, query_id HAVING max(rank) <> count(*) UNION ALL SELECT query_id, 'no_gold' FROM queries WHERE query_id NOT IN (SELECT query_id FROM gold) UNION ALL SELECT a.query_id, 'tail' FROM rankings a JOIN rankings b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.method = 'hybrid' AND b.method = 'reranked' WHERE a.rank > 20 AND a.rank <> b.rank) SELECT rule, count(*) AS n FROM v GROUP BY rule")
+duck("oracle_ceiling", _CALLS + ", o AS (SELECT d, base, row_number() OVER (ORDER BY round(d, 9) DESC, query_id) AS r FROM gain) SELECT policy, round(avg(base + CASE WHEN r <= n THEN d ELSE 0e0 END), 9) AS ndcg10 FROM c CROSS JOIN o GROUP BY policy")
+_RAND = _CALLS.replace("WITH c AS (SELECT policy, count_if(rerank) AS n FROM decisions GROUP BY policy)", "WITH c AS (SELECT policy{s}, count_if(rerank) AS n FROM decisions GROUP BY policy{s})") + ", seeds AS (SELECT * FROM (VALUES {v}) AS t(seed)), o AS (SELECT seed, src, d, base, row_number() OVER (PARTITION BY seed{s} ORDER BY SHA{{seed || '|' || query_id}}, query_id) AS r FROM gain CROSS JOIN seeds), e AS (SELECT policy, seed, avg(base + CASE WHEN r <= n THEN d ELSE 0e0 END) AS v FROM c JOIN o ON {j} GROUP BY policy, seed) SELECT policy, round(avg(v), 9) AS mean, round(min(v), 9) AS low, round(max(v), 9) AS high FROM e GROUP BY policy"
+_SEEDED = ", ".join(f"('{x}')" for x in SEEDS)
+duck("random_controls_hash", _RAND.format(s="", j="TRUE", v=_SEEDED))
+duck("random_source_matched_hash", _RAND.format(s=", src", j="c.src = o.src", v=_SEEDED))
+duck("routing_summary", "SELECT policy, coalesce(decisions.src, 'all') AS source, rerank, count(*) AS n, round(avg(d), 9) AS mean_gain FROM decisions JOIN gain ON gain.query_id = decisions.query_id GROUP BY GROUPING SETS ((policy, rerank, decisions.src), (policy, rerank))")
+duck("failure_records", "SELECT gain.query_id, gain.src, round(base, 9) AS before, round(after, 9) AS after_, CASE WHEN d > 1e-12 THEN 'win' WHEN d < -1e-12 THEN 'loss' ELSE 'tie' END AS outcome, round(pq.coverage, 9) AS covered FROM gain JOIN pq ON pq.query_id = gain.query_id AND pq.method = 'hybrid'")
+_FAIL = """WITH hp AS (SELECT h.query_id, h.doc_id, len(qtok.w) AS nq, len(ctok.w) AS nd FROM hybrid h JOIN qtok USING (query_id) JOIN ctok USING (doc_id) WHERE h.rank <= 20),
+  kp AS (SELECT hp.query_id, hp.nq, nq + nd > 61 AS cut_, CASE WHEN nq + nd <= 61 THEN nq WHEN nq <= nd THEN least(nq, 31) ELSE greatest(61 - nd, 31) END AS kq, x.doc_id IS NOT NULL AS rel FROM hp LEFT JOIN qrels x ON x.query_id = hp.query_id AND x.doc_id = hp.doc_id),
+  pp AS (SELECT query_id, count(*) AS pairs, count_if(cut_) AS pt, count_if(cut_ AND rel) AS ppt, count_if(kq < nq) AS qt, max(nq) AS nq FROM kp GROUP BY query_id),
+  gg AS (SELECT x.query_id, count(*) AS pos, count_if(h.rank <= 20) AS inp, count_if(h.rank <= 10 AND r.rank > 10) AS lt, count_if(h.rank > 10 AND r.rank <= 10) AS en, avg(len(ctok.w)) AS nd
+    FROM qrels x JOIN ctok ON ctok.doc_id = x.doc_id LEFT JOIN hybrid h ON h.query_id = x.query_id AND h.doc_id = x.doc_id LEFT JOIN reranked r ON r.query_id = x.query_id AND r.doc_id = x.doc_id GROUP BY x.query_id),
+  tt AS (SELECT r.query_id, x.doc_id IS NULL AND c.src IS DISTINCT FROM q.src AS crossed FROM reranked r JOIN corpus c ON c.doc_id = r.doc_id JOIN queries q ON q.query_id = r.query_id LEFT JOIN qrels x ON x.query_id = r.query_id AND x.doc_id = r.doc_id WHERE r.rank = 1),
+  rec AS (SELECT gain.*, CASE WHEN d > 1e-12 THEN 'win' WHEN d < -1e-12 THEN 'loss' ELSE 'tie' END AS oc, pos, inp, inp::DOUBLE / pos AS rec, lt, en, nd, pairs, pt, ppt, qt, nq, crossed, rerank AS gate
+    FROM gain JOIN gg USING (query_id) JOIN pp USING (query_id) JOIN tt USING (query_id) JOIN decisions dd ON dd.query_id = gain.query_id AND dd.policy = 'fixed_disagreement'),
+  s AS (SELECT *, unnest([{'k': 'source', 'v': src}, {'k': 'positives', 'v': CASE WHEN pos >= 3 THEN '3+' ELSE pos::VARCHAR END}, {'k': 'query_tokens', 'v': CASE WHEN nq < 32 THEN '0-31' WHEN nq < 64 THEN '32-63' ELSE '64+' END},
+    {'k': 'positive_truncated', 'v': CASE WHEN ppt > 0 THEN 'yes' ELSE 'no' END}, {'k': 'doc_tokens', 'v': CASE WHEN nd < 128 THEN '0-127' WHEN nd < 256 THEN '128-255' ELSE '256+' END}, {'k': 'coverage', 'v': CASE WHEN inp = 0 THEN 'none' WHEN inp = pos THEN 'all' ELSE 'partial' END},
+    {'k': 'focus_outcome', 'v': CASE WHEN src = 's0' THEN oc END}, {'k': 'focus_truncated', 'v': CASE WHEN src = 's0' THEN CASE WHEN ppt > 0 THEN 'yes' ELSE 'no' END END}, {'k': 'gate', 'v': CASE WHEN gate THEN 'selected' ELSE 'bypassed' END}, {'k': 'all', 'v': 'all'}]) AS g FROM rec)
+  SELECT g.k AS stratum, g.v AS value, count(*) AS queries, round(avg(base), 9) AS before, round(avg(after), 9) AS after_, round(avg(d), 9) AS delta, count_if(oc = 'win') AS wins, count_if(oc = 'loss') AS losses, count_if(oc = 'tie') AS ties, round(avg(rec), 9) AS recall_prefix, count_if(inp = 0) AS without_positive, count_if(inp = pos) AS with_all,
+    sum(pos)::BIGINT AS positives, sum(inp)::BIGINT AS positives_in_prefix, sum(lt)::BIGINT AS left_top10, sum(en)::BIGINT AS entered_top10, sum(pairs)::BIGINT AS pairs, sum(pt)::BIGINT AS pairs_truncated, sum(ppt)::BIGINT AS positive_pairs_truncated, sum(qt)::BIGINT AS query_truncated_pairs, count_if(qt > 0) AS query_truncated,
+    count_if(crossed) AS cross_source, 0::BIGINT AS counterparts, round(avg(nq), 9) AS mean_query_tokens, round(avg(nd), 9) AS mean_doc_tokens FROM s WHERE g.v IS NOT NULL GROUP BY ALL"""
+duck("failure_strata", _FAIL)
+duck("case_selection", "WITH o AS (SELECT src, query_id, d, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), query_id) AS l, row_number() OVER (PARTITION BY src ORDER BY round(d, 9) DESC, query_id) AS w FROM gain) SELECT src, query_id, round(d, 9) AS d, 'loss' AS side FROM o WHERE l <= 5 AND d < 0 UNION ALL SELECT src, query_id, round(d, 9), 'win' FROM o WHERE w <= 5 AND d > 0")
+duck("cache_violations", "WITH v AS (SELECT method || ':' || query_id AS id, 'duplicate' AS rule FROM rankings GROUP BY method, query_id HAVING count(*) <> count(DISTINCT doc_id) UNION ALL SELECT method || ':' || query_id, 'gap' FROM rankings GROUP BY method, query_id HAVING max(rank) <> count(*) UNION ALL SELECT query_id, 'no_gold' FROM queries ANTI JOIN gold USING (query_id) UNION ALL SELECT a.query_id, 'tail' FROM rankings a JOIN rankings b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.method = 'hybrid' AND b.method = 'reranked' WHERE a.rank > 20 AND a.rank <> b.rank) SELECT rule, count(*) AS n FROM v GROUP BY rule")
+
+
+ev("gate_disagreement", lambda e: e.predictions.select("query_id", (F.col("top1_disagreement") > 0).alias("rerank")))
+ev("gate_jaccard", lambda e: e.predictions.select("query_id", (F.col("jaccard10") < 0.5).alias("rerank")))
+ev("router_features", lambda e: e.predictions.select("query_id", "top1_disagreement", *nine("jaccard10", "jaccard20", "rank_overlap", "coherence", "log_words"), *nine("margin", digits=7)))
+ev("ridge_moments", lambda e: e.predictions.join(e.gain.select("query_id", "d"), "query_id").agg(F.count("*").alias("n"), *[F.round(F.avg(f), 7).alias(f"m_{f}") for f in router.FEATURES], *[F.round(F.sum(F.col(f) * F.col("d")), 7).alias(f"x_{f}") for f in router.FEATURES], *[F.round(F.sum(F.col(f) * F.col(g)), 6).alias(f"g_{f}_{g}") for f, g in _GRAM]))
+ev("router_predict", lambda e: e.predictions.select("query_id", *nine("p", digits=7)))
+ev("budget_thresholds", lambda e: e.thresholds.select("budget", *nine("threshold", digits=7)))
+ev("route_decisions", lambda e: e.decisions.select("query_id", "policy", "rerank"))
+ev("policy_summary", lambda e: policies.summarise(e.decided).select("policy", *nine("ndcg10"), "calls", "pairs"))
+ev("policy_by_source_rollup", lambda e: policies.summarise(e.decided, True).select("policy", F.col("src").alias("source"), *nine("ndcg10"), "calls", "pairs"))
+ev("routing_effects", lambda e: policies.effects(e.decided).select("policy", "harmful_skips", "beneficial_skips", "harmful_reranks", "beneficial_reranks", *nine("forgone", "avoided")))
+ev("oracle_ceiling", lambda e: policies.oracle_ceiling(e.decided, e.gain).select("policy", *nine("ndcg10")))
+ev("random_controls_hash", lambda e: policies.random_controls(e.decided, e.gain, SEEDS).select("policy", *nine("mean", "low", "high")))
+ev("random_source_matched_hash", lambda e: policies.random_controls(e.decided, e.gain, SEEDS, True).select("policy", *nine("mean", "low", "high")))
+ev("routing_summary", lambda e: policies.routing_summary(e.decided).select("policy", F.col("src").alias("source"), "rerank", "n", *nine("mean_gain")))
+ev("failure_records", lambda e: e.gain.join(e.per_query.where("method = 'hybrid'").select("query_id", "coverage"), "query_id").select("query_id", "src", F.round("base", 9).alias("before"), F.round("after", 9).alias("after_"), metrics.outcome(F.col("d")).alias("outcome"), F.round("coverage", 9).alias("covered")))
+
+
+def _cases(e) -> DataFrame:
+    """The five largest losses and wins of each source."""
+    rows = e.gain.select("src", "query_id", F.round("d", 9).alias("d"))
+    side = lambda name, by, cond: rows.where(cond).withColumn("n", F.row_number().over(W.partitionBy("src").orderBy(by, "query_id"))).where("n <= 5").select("src", "query_id", "d", F.lit(name).alias("side"))
+    return side("loss", F.asc("d"), "d < 0").unionByName(side("win", F.desc("d"), "d > 0"))
+
+
+ev("case_selection", _cases)
+
+
+def _strata(e) -> DataFrame:
+    """All nine groupings of the failure records, and all of them, with 21 sums and means; the focus is source s0."""
+    rec = failures.records(e.queries, e.docs, e.qrels, e.hybrid, e.reranked, e.gain, e.routed("fixed_disagreement"), tx.tokenize)
+    return failures.strata(rec, "s0").select("*").withColumns({c: F.round(c, 9) for c in ("before", "after_", "delta", "recall_prefix", "mean_query_tokens", "mean_doc_tokens")})
+
+
+ev("failure_strata", _strata)
+
+
+def _rules(e) -> DataFrame:
+    """Rules of the rankings that are broken, by number of queries."""
+    per = e.rankings.groupBy("method", "query_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.max("rank").alias("last"))
+    own = per.select(F.explode(F.array_compact(F.array(F.when(F.col("n") != F.col("ids"), "duplicate"), F.when(F.col("last") != F.col("n"), "gap")))).alias("rule"))
+    bare = e.queries.join(e.qrels, "query_id", "left_anti").select(F.lit("no_gold").alias("rule"))
+    moved = e.hybrid.where("rank > 20").join(e.reranked.withColumnRenamed("rank", "now"), ["query_id", "doc_id"]).where("rank <> now").select(F.lit("tail").alias("rule"))
+    return own.unionByName(bare).unionByName(moved).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+ev("cache_violations", _rules)
 
 
 @query("gated_rerank", "SELECT h.query_id, h.doc_id, CASE WHEN t.a <> t.b THEN r.rank ELSE h.rank END AS rank FROM hybrid h JOIN reranked r USING (query_id, doc_id) JOIN (SELECT b.query_id, b.doc_id AS a, d.doc_id AS b FROM bm25 b JOIN dense d USING (query_id) WHERE b.rank = 1 AND d.rank = 1) t USING (query_id)", True)
 def _gated(s: SparkSession, d: str) -> DataFrame:
-    r, docs, qs = rankings(s, d), corpus(s, d), query_table(s, d)
-    top = r.where("rank = 1 AND method IN ('bm25', 'dense')").groupBy("query_id").agg(F.count_distinct("doc_id").alias("n")).where("n > 1").select("query_id")
-    score = lambda pairs: fusion.token_overlap(pairs, qs, docs, tx.tokenize)
-    out = fusion.gated_rerank(r.where("method = 'hybrid'"), top, score)
-    return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+    e = evaluation(s, d)
+    top = e.bm25.where("rank = 1").unionByName(e.dense.where("rank = 1")).groupBy("query_id").agg(F.count_distinct("doc_id").alias("n")).where("n > 1").select("query_id")
+    return fusion.gated_rerank(e.hybrid, top, e.scorer).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("utility_rerank", f", {EVAL} SELECT h.query_id, h.doc_id, CASE WHEN c.rerank THEN r.rank ELSE h.rank END AS rank FROM hybrid h JOIN reranked r USING (query_id, doc_id) JOIN decisions c ON c.query_id = h.query_id AND c.policy = 'utility_75'", True)
 def _utility(s: SparkSession, d: str) -> DataFrame:
-    register(s, d, {"qrels", "rankings"})
-    docs, qs = corpus(s, d), query_table(s, d)
-    routed = s.sql(f"WITH {EVAL} SELECT query_id FROM decisions WHERE policy = 'utility_75' AND rerank")
-    score = lambda pairs: fusion.token_overlap(pairs, qs, docs, tx.tokenize)
-    out = fusion.gated_rerank(s.table("rankings").where("method = 'hybrid'"), routed, score)
-    return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+    e = evaluation(s, d)
+    return fusion.gated_rerank(e.hybrid, e.routed("utility_75"), e.scorer).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("runtime_verification", f", {EVAL} SELECT count_if(rerank) AS calls, 20 * count_if(rerank) AS pairs, 0::BIGINT AS differences FROM decisions WHERE policy = 'utility_75'", True)
+def _verified(s: SparkSession, d: str) -> DataFrame:
+    """Calls and pairs of the scorer as executed, and rows in which the ranking differs from the one taken from whole rankings."""
+    e, routed = evaluation(s, d), evaluation(s, d).routed("utility_75")
+    frozen = e.reranked.join(routed, "query_id", "left_semi").unionByName(e.hybrid.join(routed, "query_id", "left_anti"))
+    n = fusion.ranking_differences(_utility(s, d), frozen).agg(F.count("*").alias("differences"))
+    return fusion.scorer_usage(e.hybrid, routed).join(n)
+
+
+@query("rrf_recomputed", ", g AS (SELECT query_id, doc_id, round(sum(1e0 / (60 + rank)), 9) AS score FROM rankings WHERE method IN ('bm25', 'dense') GROUP BY ALL), f AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g) SELECT count(*) AS compared, count_if(f.rank <> h.rank) AS differ FROM f JOIN hybrid h USING (query_id, doc_id)", True)
+def _recomputed(s: SparkSession, d: str) -> DataFrame:
+    """The kept fused rankings against the fusion of the kept legs."""
+    e = evaluation(s, d)
+    again = fusion.weighted_rrf([e.bm25, e.dense], k=60).select("query_id", "doc_id", F.col("rank").alias("now"))
+    return again.join(e.hybrid, ["query_id", "doc_id"], "full_outer").agg(F.count("*").alias("compared"), F.count_if(~F.col("now").eqNullSafe(F.col("rank"))).alias("differ"))
 
 
 # --- statistics ------------------------------------------------------------------------------------------------------
 
-both("paired_deltas", "SELECT query_id, round(d, 9) AS delta FROM gain")
-both("sign_test_counts", "SELECT count_if(d > 1e-12) AS wins, count_if(d < -1e-12) AS losses, count_if(abs(d) <= 1e-12) AS ties FROM gain")
+duck("paired_deltas", "SELECT query_id, round(d, 9) AS delta FROM gain")
+duck("sign_test_counts", "WITH c AS (SELECT count_if(d > 1e-12) AS wins, count_if(d < -1e-12) AS losses, count_if(abs(d) <= 1e-12) AS ties FROM gain) SELECT wins, losses, ties, round(CASE WHEN wins + losses = 0 THEN 1e0 ELSE least(1e0, 2 * (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2e0))) FROM range((least(wins, losses) + 1)::BIGINT) AS t(i))) END, 7) AS p_value FROM c")
 _BOOT = "WITH reps AS (SELECT CAST(t.r AS BIGINT) AS r FROM ({reps}) AS t), g AS (SELECT {p} AS grp, {i} AS unit, sum(d) AS d, count(*) AS c FROM ({src}) AS x GROUP BY {gb}), n AS (SELECT grp, unit, d, c, row_number() OVER (PARTITION BY grp ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM g), dr AS (SELECT r, a.grp, HEX{{substr(md5('boot|' || a.grp || '|' || CAST(r AS VARCHAR(20)) || '|' || CAST(a.i AS VARCHAR(20))), 1, 8)}} % a.n AS i FROM n a CROSS JOIN reps), m AS (SELECT dr.r, dr.grp, sum(n.d) / sum(n.c) AS v FROM dr JOIN n ON n.grp = dr.grp AND n.i = dr.i GROUP BY dr.r, dr.grp), k AS (SELECT r, avg(v) AS v FROM m GROUP BY r) SELECT round(percentile_cont(0.025) WITHIN GROUP (ORDER BY v), 7) AS low, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY v), 7) AS high, count(*) AS resamples FROM k"
 _REPS = " UNION ALL ".join(f"SELECT {i} AS a" for i in range(10))
-_REPS = f"SELECT x.a + 10 * y.a + 100 * z.a AS r FROM ({_REPS}) AS x CROSS JOIN ({_REPS}) AS y CROSS JOIN ({_REPS}) AS z"
-both("bootstrap_hash_ci", _BOOT.format(reps=_REPS, p="'all'", i="query_id", src="SELECT * FROM gain", gb="query_id"))
-both("stratified_bootstrap_hash_ci", _BOOT.format(reps=_REPS, p="src", i="query_id", src="SELECT * FROM gain", gb="src, query_id"))
-both("component_bootstrap_hash_ci", _BOOT.format(reps=_REPS, p="src", i="component", src="SELECT gain.src, gain.d, coalesce(c.component, gain.query_id) AS component FROM gain LEFT JOIN (SELECT query_id, min(doc_id) AS component FROM qrels GROUP BY query_id) c ON c.query_id = gain.query_id", gb="src, component"))
+_REPS = f"SELECT x.a + 10 * y.a + 100 * z.a + 1000 * w.a AS r FROM ({_REPS}) AS x CROSS JOIN ({_REPS}) AS y CROSS JOIN ({_REPS}) AS z CROSS JOIN ({_REPS}) AS w"
+duck("bootstrap_hash_ci", _BOOT.format(reps=_REPS, p="'all'", i="query_id", src="SELECT * FROM gain", gb="query_id"))
+duck("stratified_bootstrap_hash_ci", _BOOT.format(reps=_REPS, p="src", i="query_id", src="SELECT * FROM gain", gb="src, query_id"))
+_BOOTED = _BOOT.format(reps=_REPS, p="src", i="component", src="SELECT gain.src, gain.d, qc.component FROM gain JOIN qc ON qc.query_id = gain.query_id", gb="src, component")
+RESAMPLES = 10_000
+ev("paired_deltas", lambda e: e.gain.select("query_id", F.round("d", 9).alias("delta")))
+
+
+def _signs(e) -> DataFrame:
+    """Wins, losses and ties, and the exact two-sided p-value."""
+    n = e.gain.agg(F.count_if(F.col("d") > metrics.EVEN).alias("wins"), F.count_if(F.col("d") < -metrics.EVEN).alias("losses"), F.count_if(F.abs("d") <= metrics.EVEN).alias("ties"))
+    one = n.first()
+    return n.withColumn("p_value", F.lit(round(stats.sign_test(one.wins, one.losses), 7)))
+
+
+ev("sign_test_counts", _signs)
+
+
+def _interval(rows: DataFrame, strata: str, unit: str) -> DataFrame:
+    got = stats.interval(stats.cluster_bootstrap(rows, strata, unit, ["d"], RESAMPLES, "boot"), "d")
+    return got.select(*nine("low", "high", digits=7), "resamples")
+
+
+ev("bootstrap_hash_ci", lambda e: _interval(e.gain.withColumn("src", F.lit("all")), "src", "query_id"))
+ev("stratified_bootstrap_hash_ci", lambda e: _interval(e.gain, "src", "query_id"))
+ev("component_bootstrap_hash_ci", lambda e: _interval(e.gain.join(e.components, "query_id"), "src", "component"))
 _LAT = "WITH ev AS (SELECT user_id, event_type AS policy, value AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS repetition FROM events)"
-both("latency_summary", _LAT + " SELECT policy, count(*) AS n, round(avg(ms), 6) AS mean_ms, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ms), 6) AS p50_ms, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY ms), 6) AS p95_ms FROM ev GROUP BY policy", False)
-both("latency_reduction", _LAT + ", u AS (SELECT user_id, policy, avg(ms) AS ms FROM ev GROUP BY user_id, policy), b AS (SELECT user_id, avg(ms) AS ms FROM u GROUP BY user_id) SELECT policy, round(avg(u.ms - b.ms), 6) AS delta_ms, round(1e0 - sum(u.ms) / sum(b.ms), 6) AS reduction FROM u JOIN b ON b.user_id = u.user_id GROUP BY policy", False)
-both("replay_percentiles", _LAT + ", t AS (SELECT user_id, repetition, sum(ms) AS ms, count(*) AS parts FROM ev GROUP BY user_id, repetition) SELECT repetition, count(*) AS n, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ms), 6) AS p50_ms, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY ms), 6) AS p95_ms FROM t GROUP BY repetition", False)
+duck("latency_summary", _LAT + " SELECT policy, count(*) AS n, round(avg(ms), 6) AS mean_ms, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ms), 6) AS p50_ms, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY ms), 6) AS p95_ms FROM ev GROUP BY policy", False)
+duck("latency_reduction", _LAT + ", u AS (SELECT user_id, policy, avg(ms) AS ms FROM ev GROUP BY user_id, policy), b AS (SELECT user_id, avg(ms) AS ms FROM u GROUP BY user_id) SELECT policy, round(avg(u.ms - b.ms), 6) AS delta_ms, round(1e0 - sum(u.ms) / sum(b.ms), 6) AS reduction FROM u JOIN b ON b.user_id = u.user_id GROUP BY policy", False)
+duck("replay_percentiles", _LAT + ", t AS (SELECT user_id, repetition, sum(ms) AS ms, count(*) AS parts FROM ev GROUP BY user_id, repetition) SELECT repetition, count(*) AS n, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ms), 6) AS p50_ms, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY ms), 6) AS p95_ms FROM t GROUP BY repetition", False)
+
+
+
+def _timed(s: SparkSession, d: str) -> DataFrame:
+    return latency.repetitions(table(s, d, "events"), "user_id", "event_type", "value", "ts", "event_id")
+
+
+_SPARK["latency_summary"] = lambda s, d: latency.summary(_timed(s, d)).select("policy", "n", *nine("mean_ms", "p50_ms", "p95_ms", digits=6))
+_SPARK["latency_reduction"] = lambda s, d: latency.reductions(latency.against_mean(_timed(s, d))).select("policy", *nine("delta_ms", "reduction", digits=6))
+
+
+@query("latency_reduction_ci", _duck_text("WITH ev AS (SELECT user_id, event_type AS policy, value AS ms FROM events), " + """u AS (SELECT user_id, policy, avg(ms) AS ms FROM ev GROUP BY ALL), b AS (SELECT user_id, avg(ms) AS base FROM u GROUP BY ALL), g AS (SELECT policy AS grp, user_id, ms, base, row_number() OVER (PARTITION BY policy ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY policy) AS n FROM u JOIN b USING (user_id)),
+  dr AS (SELECT r, grp, HEX{substr(md5('latency|' || grp || '|' || r::VARCHAR || '|' || i::VARCHAR), 1, 8)} % n AS i FROM g, range(200) AS t(r)), m AS (SELECT r, dr.grp, avg(ms) AS ms, avg(base) AS base FROM dr JOIN g ON g.grp = dr.grp AND g.i = dr.i GROUP BY ALL), k AS (SELECT r, avg(ms) AS ms, avg(base) AS base FROM m GROUP BY r)
+  SELECT round(quantile_cont(ms - base, 0.025), 6) AS delta_low, round(quantile_cont(ms - base, 0.975), 6) AS delta_high, round(quantile_cont(1 - ms / base, 0.025), 6) AS reduction_low, round(quantile_cont(1 - ms / base, 0.975), 6) AS reduction_high FROM k"""))
+def _reduction_ci(s: SparkSession, d: str) -> DataFrame:
+    """Intervals of the latency differences over 200 resamplings of users, for the many users of the events table."""
+    return latency.reduction_interval(latency.against_mean(_timed(s, d)), 200, "latency").select(*nine("delta_low", "delta_high", "reduction_low", "reduction_high", digits=6))
+
+
+def _replayed(s: SparkSession, d: str) -> DataFrame:
+    return latency.summary(_timed(s, d).groupBy("query_id", "repetition").agg(F.sum("ms").alias("ms")), "repetition").select("repetition", "n", *nine("p50_ms", "p95_ms", digits=6))
+
+
+_SPARK["replay_percentiles"] = _replayed
 
 # --- splits and training data ----------------------------------------------------------------------------------------
 
 query("hash_sample", "SELECT o_orderkey, rank::INT AS rank FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('s1' || chr(0) || o_orderkey::VARCHAR), o_orderkey::VARCHAR) AS rank FROM orders) WHERE rank <= 50")(
     lambda s, d: splits.hash_sample(table(s, d, "orders"), "o_orderpriority", "o_orderkey", 50, "s1").select("o_orderkey", "rank"))
-both("holdout_split", "WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY SHA{'h1|' || CAST(c_custkey AS VARCHAR(20))}, c_custkey) AS r FROM customer) SELECT c_custkey, CASE WHEN r <= 10 THEN 'calibration' WHEN r <= 25 THEN 'confirmation' ELSE 'reserve' END AS split FROM r", False)
-both("ratio_split_hash", "WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY SHA{'r1|' || CAST(c_custkey AS VARCHAR(20))}, c_custkey) AS r, count(*) OVER () AS n FROM customer) SELECT c_custkey, CASE WHEN r <= floor(n * 0.7e0) THEN 'train' WHEN r <= floor(n * 0.7e0) + floor(n * 0.15e0) THEN 'dev' ELSE 'test' END AS split FROM r", False)
-both("schedule_rotation", "WITH p AS (SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 2), ('d', 3)) AS t(policy, i)), q AS (SELECT query_id, row_number() OVER (ORDER BY SHA{'z|' || query_id}, query_id) - 1 AS pos FROM queries) SELECT query_id, pos, policy, (i + pos) % 4 AS position FROM q CROSS JOIN p", False)
+duck("holdout_split", "WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY SHA{'h1|' || CAST(c_custkey AS VARCHAR(20))}, c_custkey) AS r FROM customer) SELECT c_custkey, CASE WHEN r <= 10 THEN 'calibration' WHEN r <= 25 THEN 'confirmation' ELSE 'reserve' END AS split FROM r", False)
+duck("ratio_split_hash", "WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY SHA{'r1|' || CAST(c_custkey AS VARCHAR(20))}, c_custkey) AS r, count(*) OVER () AS n FROM customer) SELECT c_custkey, CASE WHEN r <= floor(n * 0.7e0) THEN 'train' WHEN r <= floor(n * 0.7e0) + floor(n * 0.15e0) THEN 'dev' ELSE 'test' END AS split FROM r", False)
+duck("schedule_rotation", "WITH p AS (SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 2), ('d', 3)) AS t(policy, i)), q AS (SELECT query_id, row_number() OVER (ORDER BY SHA{'z|' || query_id}, query_id) - 1 AS pos FROM queries) SELECT query_id, pos, policy, (i + pos) % 4 AS position FROM q CROSS JOIN p", False)
 
 
 def _component_table(s: SparkSession, d: str) -> DataFrame:
@@ -214,6 +355,9 @@ def _component_table(s: SparkSession, d: str) -> DataFrame:
 #: The smallest node reachable, by recursion keyed by the node; edges {e} as (u, v), both ways round.
 _REACH = """b AS (SELECT u, v FROM {e} UNION ALL SELECT v, u FROM {e}), comp(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM b
   UNION (SELECT x.node, min(y.component) FROM recurring.comp x JOIN b ON b.u = x.node JOIN comp y ON y.node = b.v WHERE y.component < x.component GROUP BY x.node))"""
+_SPARK["holdout_split"] = lambda s, d: splits.holdout(table(s, d, "customer"), "c_mktsegment", "c_custkey", "h1|", {"calibration": 10, "confirmation": 15}).select("c_custkey", "split")
+_SPARK["ratio_split_hash"] = lambda s, d: splits.ratio_split(table(s, d, "customer"), "c_custkey", "r1|", {"train": 0.7, "dev": 0.15}, "test").select("c_custkey", "split")
+ev("schedule_rotation", lambda e: splits.rotated(e.queries, "query_id", "z|", ["a", "b", "c", "d"]))
 _COMP = "e AS (SELECT DISTINCT l_orderkey * 2 AS u, l_partkey * 2 + 1 AS v FROM lineitem), " + _REACH.format(e="e")
 query("components", f"WITH RECURSIVE {_COMP} SELECT node, component FROM comp")(_component_table)
 query("split_leakage", f"WITH RECURSIVE {_COMP} SELECT node % 2 AS kind, count(*) AS nodes, count(DISTINCT component) AS components FROM comp GROUP BY ALL")(
@@ -224,10 +368,10 @@ _RBASE = DUCK_BASE.lstrip()
 
 
 def _query_components(s: SparkSession, d: str) -> DataFrame:
-    qs = query_table(s, d)
-    return splits.query_components(qs.select("query_id"), derived_qrels(corpus(s, d), qs))
+    return evaluation(s, d).components
 
 
+_DUCK["component_bootstrap_hash_ci"] = _duck_text(f"WITH RECURSIVE {_RBASE}, {EVAL}, {_QCOMP}" + re.sub(r"^WITH ", ", ", _BOOTED))
 query("query_components", f"WITH RECURSIVE {_RBASE}, {_QCOMP} SELECT query_id, component FROM qc")(_query_components)
 
 
@@ -241,13 +385,21 @@ def _grouped(s: SparkSession, d: str) -> DataFrame:
     return splits.grouped_quota(c, {"s0": 10, "s1": 10, "s2": 10}, "g1", strict=False).select("component", "src", "n", "chosen")
 
 
-both("overlap_audit", "WITH s AS (SELECT DISTINCT o_orderpriority AS split, o_custkey AS k FROM orders) SELECT a.split AS a, b.split AS b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.split < b.split GROUP BY a.split, b.split", False)
-both("missing_gold", "SELECT count(*) AS missing FROM qrels WHERE doc_id NOT IN (SELECT doc_id FROM corpus)", False)
+duck("overlap_audit", "WITH s AS (SELECT DISTINCT o_orderpriority AS split, o_custkey AS k FROM orders) SELECT a.split AS a, b.split AS b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.split < b.split GROUP BY a.split, b.split", False)
+duck("missing_gold", "SELECT count(*) AS missing FROM qrels ANTI JOIN corpus USING (doc_id)", False)
 _NEG = "n AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS p FROM hybrid ANTI JOIN qrels USING (query_id, doc_id)), neg AS (SELECT query_id, doc_id, p FROM n WHERE p <= 5 AND query_id IN (SELECT query_id FROM n WHERE p = 5))"
 
 
 def _negatives(s: SparkSession, d: str) -> DataFrame:
-    return splits.hard_negatives(rankings(s, d).where("method = 'hybrid'").select("query_id", "doc_id", "rank"), derived_qrels(corpus(s, d), query_table(s, d)), 5)
+    return splits.hard_negatives(evaluation(s, d).hybrid, evaluation(s, d).qrels, 5)
+
+
+def _overlaps(s: SparkSession, d: str) -> DataFrame:
+    return splits.overlaps(table(s, d, "orders").select(F.col("o_orderpriority").alias("split"), F.col("o_custkey").alias("k")), "split", "k")
+
+
+_SPARK["overlap_audit"] = _overlaps
+ev("missing_gold", lambda e: checks.missing_gold(e.qrels, e.docs).agg(F.count("*").alias("missing")))
 
 
 _SPARK["hard_negatives"] = lambda s, d: _negatives(s, d).groupBy("query_id", "positive_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "negative_id"))), lambda x: x["negative_id"]), ",").alias("negatives"))
@@ -260,7 +412,7 @@ _DUCK["labelled_pairs"] = f"WITH {DUCK_BASE}, {_NEG} SELECT DISTINCT query_id, x
 # --- checks, fingerprints, fits, streams -----------------------------------------------------------------------------
 
 query("ranking_fingerprints", """, r AS (SELECT method, query_id, '["' || string_agg(doc_id, '", "' ORDER BY rank) || '"]' AS body FROM rankings GROUP BY ALL) SELECT method, query_id, sha256(body) AS fingerprint FROM r""", True)(
-    lambda s, d: rankings(s, d).groupBy("method", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids")).select("method", "query_id", tx.ranking_fingerprint(F.col("ids")).alias("fingerprint")))
+    lambda s, d: evaluation(s, d).rankings.groupBy("method", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids")).select("method", "query_id", tx.ranking_fingerprint(F.col("ids")).alias("fingerprint")))
 query("split_disjointness", """WITH s AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS split FROM orders)
   SELECT o_custkey::VARCHAR AS id, 'o_custkey in several splits' AS rule FROM s GROUP BY o_custkey HAVING count(DISTINCT split) > 1
   UNION ALL SELECT o_orderkey::VARCHAR, 'o_orderkey in several splits' FROM s GROUP BY o_orderkey HAVING count(DISTINCT split) > 1""")(
@@ -271,15 +423,15 @@ query("split_disjointness", """WITH s AS (SELECT o_orderkey, o_custkey, CASE WHE
   k AS (SELECT *, CASE WHEN n_query + n_doc <= 61 THEN n_query WHEN n_query <= n_doc THEN least(n_query, 31) ELSE greatest(61 - n_doc, 31) END AS kept_query FROM p)
   SELECT query_id, doc_id, n_query::INT AS n_query, n_doc::INT AS n_doc, kept_query::INT AS kept_query, least(n_doc, 61 - kept_query)::INT AS kept_doc, n_query + n_doc > 61 AS truncated FROM k""", True)
 def _pair_tokens(s: SparkSession, d: str) -> DataFrame:
-    pairs = rankings(s, d).where("method = 'hybrid' AND rank <= 20")
-    return checks.pair_tokens(query_table(s, d), corpus(s, d), pairs, 64, 3, tx.tokenize)
+    e = evaluation(s, d)
+    return checks.pair_tokens(e.queries, e.docs, e.hybrid.where("rank <= 20"), 64, 3, tx.tokenize)
 
 
 @query("router_fit")
 def _router_fit(s: SparkSession, d: str) -> DataFrame:
     """The ridge fit of all queries' gains on their features."""
-    register(s, d, {"qrels", "rankings"})
-    m = router.fit(s.sql(f"WITH {EVAL} SELECT {', '.join('features.' + f for f in router.FEATURES)}, d FROM features JOIN gain ON gain.query_id = features.query_id"), "d")
+    e = evaluation(s, d)
+    m = router.fit(e.predictions.join(e.gain.select("query_id", "d"), "query_id"), "d")
     rows = [("intercept", m.intercept), *zip(router.FEATURES, m.coefficients)]
     return s.createDataFrame([(n, round(float(v), 7)) for n, v in rows], "feature string, coefficient double")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
+from tessera.plans.lineage import cut
 from tessera.plans.skew import fits
 
 
@@ -23,18 +24,21 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"), src.alias("src"))
 
 
-def derived_qrels(docs: DataFrame, qs: DataFrame) -> DataFrame:
+def derived_qrels(docs: DataFrame, qs: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id): documents that hold the whole query; found by the query's longest inner token, then compared.
 
+    With postings (term, doc_id), such as an index's, only the documents that these propose are read.
+
     The first and last token may be parts of longer words, so queries of fewer than three tokens are compared with all documents.
     """
     n = F.size(tokenize(F.col("query")))
     t = F.slice(tokenize(F.col("query")), 2, F.greatest(n - 2, F.lit(1)))
     longest = F.aggregate(t, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     q = qs.where(n > 2).select("query_id", "query", longest.alias("t"))
-    d = docs.select("doc_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("t"))
-    hit = d.join(q.select("query_id", "t"), "t").select("query_id", "doc_id")
-    long = hit.join(qs.select("query_id", "query"), "query_id").join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    d = docs.select("doc_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("t")) if postings is None else postings.select("doc_id", F.col("term").alias("t"))
+    asked = q.select("query_id", "t")
+    hit = d.join(F.broadcast(asked) if fits(asked) else asked, "t").select("query_id", "doc_id")
+    long = cut(hit).join(qs.select("query_id", "query"), "query_id").join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
     few = qs.where(n < 3).select("query_id", "query")
     short = docs.select("doc_id", "text").join(F.broadcast(few) if fits(few) else few, F.col("text").contains(F.col("query")))
     return long.unionByName(short.select("query_id", "doc_id"))

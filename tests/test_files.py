@@ -117,7 +117,7 @@ def test_pair_tokens_cut_the_longest_side_first(spark):
 
 def test_ridge_against_least_squares(spark):
     rnd = np.random.default_rng(1)
-    x, y = rnd.normal(size=(30, 7)), rnd.normal(size=30)
+    x, y = rnd.normal(size=(30, 7)), rnd.uniform(-1, 1, 30)
     x[:, 3] = 2.0
     m = router.fit(spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], [*router.FEATURES, "y"]), "y", 10.0)
     sd = x.std(0)
