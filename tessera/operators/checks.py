@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.fusion import weighted_rrf
 from tessera.plans.skew import lookup_join
 
 
@@ -85,3 +86,43 @@ def pair_tokens(queries: DataFrame, docs: DataFrame, pairs: DataFrame, budget: i
     kept_q = F.least(kept_q, a)
     kept_d = F.when(a + b <= room, b).otherwise(F.least(b, F.lit(room) - kept_q))
     return both.select("*", kept_q.cast("int").alias("kept_query"), kept_d.cast("int").alias("kept_doc"), (a + b > room).alias("truncated"))
+
+
+def fusion_violations(cache: DataFrame, k: float = 60) -> DataFrame:
+    """Queries of a cache (query_id, bm25, dense, hybrid) whose hybrid ranking isn't the fusion of the two others."""
+    leg = lambda c: cache.select("query_id", F.posexplode(c).alias("rank", "doc_id")).withColumn("rank", F.col("rank") + 1)
+    again = weighted_rrf([leg("bm25"), leg("dense")], k=k).select("query_id", "doc_id", F.col("rank").alias("now"))
+    both = again.join(leg("hybrid"), ["query_id", "doc_id"], "full_outer").where(~F.col("now").eqNullSafe(F.col("rank")))
+    return both.select(F.col("query_id").alias("id"), F.lit("fusion differs").alias("rule")).distinct()
+
+
+def timing_violations(rows: DataFrame, timings: str, wanted: Sequence[str]) -> DataFrame:
+    """Rows (query_id, a map of milliseconds by name) that lack a wanted name or hold a negative or non-finite time."""
+    t = F.col(timings)
+    lacks = F.exists(F.array(*map(F.lit, wanted)), lambda n: ~F.coalesce(F.map_contains_key(t, n), F.lit(False)))
+    odd = F.exists(F.map_values(t), lambda v: v.isNull() | F.isnan(v) | (v < 0) | (v == float("inf")))
+    rule = F.when(t.isNull() | lacks, "timing missing").when(odd, "timing negative or not finite")
+    return rows.select(F.col("query_id").alias("id"), rule.alias("rule")).where("rule IS NOT NULL")
+
+
+def count_violations(rows: DataFrame, by: str, declared: Mapping[str, int]) -> DataFrame:
+    """Groups whose number of rows isn't the declared one; groups that aren't declared count as declared empty."""
+    want = rows.sparkSession.createDataFrame([(k, int(v)) for k, v in declared.items()], "id string, want long")
+    have = rows.groupBy(F.col(by).cast("string").alias("id")).agg(F.count("*").alias("n"))
+    both = have.join(want, "id", "full_outer").where(F.coalesce("n", F.lit(0)) != F.coalesce("want", F.lit(0)))
+    return both.select("id", F.lit("number differs").alias("rule"))
+
+
+def alignment_violations(cache: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Queries that only one of two tables (query_id, src, relevant_ids) has, or whose source or set of relevant ids differs."""
+    side = lambda df, n: df.select("query_id", F.struct("src", F.array_sort(F.array_distinct("relevant_ids"))).alias(n))
+    both = side(cache, "a").join(side(prepared, "b"), "query_id", "full_outer")
+    rule = F.when(F.col("a").isNull(), "not in the cache").when(F.col("b").isNull(), "not prepared").when(F.col("a") != F.col("b"), "differs from the prepared query")
+    return both.select(F.col("query_id").alias("id"), rule.alias("rule")).where("rule IS NOT NULL")
+
+
+def cohort_violations(cache: DataFrame, depth: int = 100, rerank_k: int = 20, split: str | None = None) -> DataFrame:
+    """Rows whose legs don't have `depth` documents or whose prefix isn't rerank_k, and rows of another split than the given one."""
+    rule = F.when((F.size("bm25") != depth) | (F.size("dense") != depth) | F.col("bm25").isNull() | F.col("dense").isNull(), "legs of another depth").when(F.col("rerank_k") != rerank_k, "prefix of another depth")
+    found = cache.select(F.col("query_id").alias("id"), rule.alias("rule")).where("rule IS NOT NULL")
+    return found if split is None else found.unionByName(cache.where(~F.col("split").eqNullSafe(F.lit(split))).select(F.col("query_id").alias("id"), F.lit("another split").alias("rule")))

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_QUERY = "id string, query string, relevant_ids array<string>, labels array<struct<id: string, relevance: string>>"
+_QUERY = "id string, query string, relevant_ids array<string>"
+_LABELS = "array<struct<id: string, relevance: string>>"
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -51,14 +52,15 @@ def load_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_queries(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, query, relevant_ids): the given relevant_ids, or where that key is missing the labels of positive relevance.
+    """(query_id, query, relevant_ids): the given relevant_ids, or where that key is missing the labels of positive relevance,
+    which may be a list or a string that holds one.
 
     Sorted and distinct. Raises where id or query is missing.
     """
-    rows = _parsed(spark, path).select(F.from_json("value", _QUERY).alias("r"), F.array_contains(F.json_object_keys("value"), "relevant_ids").alias("given"))
+    rows = _parsed(spark, path).select(F.from_json("value", _QUERY).alias("r"), F.array_contains(F.json_object_keys("value"), "relevant_ids").alias("given"), F.from_json(F.get_json_object("value", "$.labels"), _LABELS).alias("labels"))
     if rows.where("r.id IS NULL OR r.query IS NULL").take(1):
         raise ValueError("a query without id or query")
-    labelled = F.expr("transform(filter(r.labels, x -> x.id IS NOT NULL AND coalesce(try_cast(x.relevance AS double), 0) > 0), x -> x.id)")
+    labelled = F.expr("transform(filter(labels, x -> x.id IS NOT NULL AND coalesce(try_cast(x.relevance AS double), 0) > 0), x -> x.id)")
     ids = F.coalesce(F.when(F.col("given"), F.col("r.relevant_ids")).otherwise(labelled), F.array().cast("array<string>"))
     return rows.select(F.col("r.id").alias("query_id"), "r.query", F.array_sort(F.array_distinct(ids)).alias("relevant_ids"))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import failures, features, fusion, latency, metrics, policies, router, splits, stats, vector
+from tessera.operators import checks, failures, features, fusion, history, latency, metrics, policies, router, splits, stats, vector
 from tessera.sources import tables
 
 RANKED = "method string, query_id string, doc_id string, rank int"
@@ -260,3 +260,28 @@ def test_an_empty_corpus_has_no_index(spark):
     docs = spark.createDataFrame([], "doc_id string, text string")
     with pytest.raises(ValueError, match="empty corpus"):
         Index(docs).search(spark.createDataFrame([("q", "a")], "query_id string, query string"), 3)
+
+
+def test_rank_tables_are_audited(spark):
+    ranks = spark.createDataFrame([("a", 1, 2), ("b", None, 4), ("c", 2, None), ("d", None, None), ("e", 5, 5)], "query_id string, x_rank int, y_rank int")
+    rr = {"x": [1, 0, 0.5, 0, 0.2], "y": [0.5, 0.25, 0, 0, 0.2]}
+    got = {r.system: r for r in history.system_summary(ranks, ["x", "y"], 200, "s").collect()}
+    assert got["x"].mrr == pytest.approx(sum(rr["x"]) / 5) and got["x"].found == 3 and got["x"].low < got["x"].mrr < got["x"].high
+    c = history.comparisons(ranks, [("x", "y")], 200, "s").first()
+    assert c.delta == pytest.approx((sum(rr["y"]) - sum(rr["x"])) / 5) and (c.wins, c.losses, c.ties) == (1, 2, 2) and c.p_value == stats.sign_test(1, 2)
+    summary = history.system_summary(ranks, ["x", "y"], 10, "s")
+    assert [r.system for r in history.claim_differences(summary, {"x": 0.3401, "y": 0.191, "z": 0.5}).orderBy("system").collect()] == ["y", "z"]
+    assert [(r.query_id, r.effect) for r in history.effects_by_step(ranks, ["x", "y"]).orderBy("place", "query_id").collect()] == [("a", "hurt"), ("c", "hurt"), ("b", "improved"), ("e", "unchanged"), ("d", "unchanged_missing")]
+
+
+def test_caches_are_checked_in_full(spark):
+    s = "query_id string, src string, split string, relevant_ids array<string>, bm25 array<string>, dense array<string>, hybrid array<string>, rerank_k int, ms map<string,double>"
+    rows = [("ok", "x", "t", ["a"], list("ab"), list("ba"), list("ab"), 2, {"bm25": 1.0}), ("bad", "y", "u", ["b"], list("ab"), list("ab"), list("ba"), 1, {"bm25": -1.0}), ("short", "x", "t", ["b"], list("a"), list("ab"), list("ab"), 2, {"dense": 1.0})]
+    cache = spark.createDataFrame(rows, s)
+    found = lambda df: sorted((r.id, r.rule) for r in df.collect())
+    assert found(checks.fusion_violations(cache)) == [("bad", "fusion differs")]
+    assert found(checks.timing_violations(cache, "ms", ["bm25"])) == [("bad", "timing negative or not finite"), ("short", "timing missing")]
+    assert found(checks.count_violations(cache, "src", {"x": 2, "z": 1})) == [("y", "number differs"), ("z", "number differs")]
+    prepared = spark.createDataFrame([("ok", "x", ["a", "a"]), ("bad", "y", ["c"]), ("new", "x", [])], "query_id string, src string, relevant_ids array<string>")
+    assert found(checks.alignment_violations(cache, prepared)) == [("bad", "differs from the prepared query"), ("new", "not in the cache"), ("short", "not prepared")]
+    assert found(checks.cohort_violations(cache, 2, 2, "t")) == [("bad", "another split"), ("bad", "prefix of another depth"), ("short", "legs of another depth")]

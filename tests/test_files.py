@@ -25,9 +25,9 @@ def test_corpus_rejects_bad_lines_and_ids(spark, tmp_path):
 def test_queries_prefer_given_ids_over_labels(spark, tmp_path):
     p = tmp_path / "q.jsonl"
     rows = [{"id": 1, "query": "x", "labels": [{"id": "a", "relevance": 1}, {"id": "b", "relevance": 0}, {"id": 3, "relevance": "2.5"}, {"id": "a", "relevance": 1}, {"relevance": 1}]},
-            {"id": "2", "query": "y", "relevant_ids": ["z", "k", "z"], "labels": [{"id": "a", "relevance": 1}]}, {"id": "3", "query": "w"}, {"id": "4", "query": "v", "relevant_ids": []}]
+            {"id": "2", "query": "y", "relevant_ids": ["z", "k", "z"], "labels": [{"id": "a", "relevance": 1}]}, {"id": "3", "query": "w"}, {"id": "4", "query": "v", "relevant_ids": []}, {"id": "5", "query": "u", "labels": '[{"id": "g", "relevance": 1}, {"id": "h", "relevance": 0}]'}]
     p.write_text("\n".join(map(json.dumps, rows)))
-    assert {r.query_id: list(r.relevant_ids) for r in files.load_queries(spark, str(p)).collect()} == {"1": ["3", "a"], "2": ["k", "z"], "3": [], "4": []}
+    assert {r.query_id: list(r.relevant_ids) for r in files.load_queries(spark, str(p)).collect()} == {"1": ["3", "a"], "2": ["k", "z"], "3": [], "4": [], "5": ["g"]}
     p.write_text('{"id": 1}')
     with pytest.raises(ValueError):
         files.load_queries(spark, str(p))
