@@ -10,7 +10,7 @@ Toxicity is judged by the document's words alone.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -83,7 +83,7 @@ class Model:
                     total += lex[w]
         return style(text), [float(np.sign(total) * np.log1p(abs(total))), float(np.log1p(hits)), hits / max(len(words), 1)]
 
-    def logits(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def logits(self, texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         got = [self.features(t) for t in texts]
         q, t = np.array([g[0] for g in got]).reshape(len(got), 9), np.array([g[1] for g in got]).reshape(len(got), 3)
         return self.quality.logit(q), self.toxic.logit(t)
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: Model, text_col: str, keep: list[str], names:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q, t = model.logits([x.as_py() for x in b.column(b.num_columns - 1).cast(pa.binary())])
+            q, t = model.logits(x.as_py() for x in b.column(b.num_columns - 1).cast(pa.binary()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(q), pa.array(t)], names=schema.names)
 
     return docs.select(*keep, F.col(text_col).cast("string").alias(t_)).mapInArrow(run, schema)
