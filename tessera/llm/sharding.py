@@ -62,7 +62,10 @@ def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS, parts: int = 1, **kw) -> None:
-    """Parquet under path/shard=N; `parts` tasks a shard, dealt by a hash of the row, keep any one task small."""
+    """Parquet under path/shard=N; `parts` tasks a shard, dealt by a hash of the row, keep any one task small.
+
+    Every row is written once, with null ids and texts, repeated rows and all columns but slot; an empty table writes no shard.
+    """
     placed = assign_shards(docs, n_shards, **kw).drop("slot")
     salt = F.pmod(F.xxhash64(*placed.columns), F.lit(parts))
     placed.repartition(n_shards * parts, "shard", salt).write.partitionBy("shard").parquet(path)

@@ -548,3 +548,64 @@ def test_language_of_held_out_documents(spark):
     assert [(x.lang_pred, x.score) for x in got if x.doc_id in (300, 301, 302)] == [("und", 0.0)] * 3
     assert [x.lang_pred for x in got if x.doc_id in (None, 303)] == ["y", "y"]
     assert langid.fit(docs.where("false"), F.lit(True)).langs == []
+
+
+def test_lookup_table_against_a_plain_fill():
+    for n, size in ((1, 3), (3, 11), (7, 101), (64, 1009)):
+        names, order, table = sharding.shard_names(n), [], {}
+        for name in names:
+            h = hashlib.sha256(name.encode()).digest()
+            offset, skip = int.from_bytes(h[:8], "big") % size, int.from_bytes(h[8:16], "big") % (size - 1) + 1
+            order.append([(offset + j * skip) % size for j in range(size)])
+            assert sorted(order[-1]) == list(range(size))
+        while len(table) < size:
+            for i in range(n):  # turn by turn, the first slot of its order that is free
+                free = next((s for s in order[i] if s not in table), None)
+                if free is not None:
+                    table[free] = i
+        assert sharding.lookup_table(names, size) == [table[s] for s in range(size)]
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    docs = frame(spark, [(1, "a", "s"), (1, "a", "s"), (None, "x", None), (None, None, "s"), (2, "", "s")])
+    sharding.write_shards(docs, str(tmp_path / "w"), 4, 2)
+    got = spark.read.parquet(str(tmp_path / "w"))
+    want = sharding.assign_shards(docs, 4).drop("slot")
+    key = lambda df: sorted(map(str, df.select(*want.columns).collect()))
+    assert key(got) == key(want) and len(key(got)) == 5
+    sharding.write_shards(docs.where("false"), str(tmp_path / "e"), 4)
+
+
+def test_fingerprints_against_plain_counts(spark, monkeypatch):
+    import xxhash
+
+    r = random.Random(8)
+    texts = ["", "  ", "One", "one two", "One TWO three", " a b a b a b a b ", "ÀB àb\x0b\x1cc", None] + [" ".join(r.choice(["x", "Yy", "é"]) for _ in range(r.randint(1, 60))) for _ in range(20)]
+
+    def plain(t):
+        w = [x for x in re.split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if x]
+        shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    for block in (1 << 16, 2):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert [simhash.fingerprint(None if t is None else t.encode()) for t in texts] == [plain(t) for t in texts]
+    got = {r.doc_id: r.fingerprint for r in simhash.simhash_groups(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {i: f"{plain(t):016x}" for i, t in enumerate(texts)}
+
+
+def test_pipeline_of_empty_and_awkward_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "the cat sat on a mat with the dog", "a"), (1, "the cat sat on a mat with the dog", "a"), (2, None, None), (None, "", "a"), (None, "five words stand here alone", None), (4, "x" * 50_000, "b")]
+    items = spark.createDataFrame([(1, None), (None, "the cat")], "item_id long, text string")
+    for name, docs, want in (("none", [], []), ("odd", rows, ["1", "2", "4", "None"])):
+        frame(spark, docs).withColumn("key_id", F.lit("clash")).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "key_id", "slot", "shard"]
+        # A source of two words with a weight of 5 may be taken three times, one of few words with a weight of 1 not at all.
+        found = got.collect()
+        assert set(str(r.doc_id) for r in found) <= set(want) and max([0, *(sum(r.doc_id == x.doc_id and r.text == x.text for x in found) for r in found)]) <= 3 and bool(found) == bool(want)
