@@ -160,7 +160,7 @@ def run(m: Model, k: int, x: np.ndarray, lens: np.ndarray, state: np.ndarray, ou
     """Direction k (0 forward, 1 backward) over rows x (B, T) of lens bytes, longest first, from state (B, H), which is changed
     into the last states and returned; out (T, B, H) gets the state of each position."""
     h, (b, t) = m.bn.shape[1], x.shape
-    e, xs, u, bias = np.ascontiguousarray(m.e[:, k, FOLD]), np.ascontiguousarray(x.T), m.u[:, k], m.bn[k]
+    e, xs, u, bias = np.ascontiguousarray(m.e[:, k, FOLD]), np.ascontiguousarray(x.T, np.intp), np.ascontiguousarray(m.u[:, k]), m.bn[k]
     a, g, tmp = np.empty((3, b, h), np.float32), np.empty((3, b, h), np.float32), np.empty((2, b, h), np.float32)
     live = np.searchsorted(-lens, -np.arange(t), side="left")  # rows longer than each place
     for s in range(t) if k == 0 else range(t - 1, -1, -1):
@@ -230,7 +230,7 @@ def pooled(m: Model, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ch
             g = which[s : s + lanes]
             size = np.minimum(lens[g], most)
             span = np.arange(int(size[0]))
-            x = data[np.minimum((at[g] + skip[g])[:, None] + span, len(data) - 1)].astype(np.int16)
+            x = data[np.minimum((at[g] + skip[g])[:, None] + span, len(data) - 1)]
             yield g, x, size
 
     if len(after):
