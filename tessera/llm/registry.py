@@ -10,12 +10,13 @@ from tessera.llm.linededup import op8_line_dedup
 from tessera.llm.mixing import op5_mix, op5_sql
 from tessera.llm.pii import op6_pii
 from tessera.llm.quality import op3_quality
+from tessera.llm.runs import op13_runs
 from tessera.llm.sharding import op4_shard, op4_sql
 from tessera.llm.simhash import op7_simhash
 
 
 def queries() -> dict:
-    found = (op1_decontaminate, op2_html, op3_quality, op4_shard, op5_mix, op6_pii, op7_simhash, op8_line_dedup, op9_nearest, op10_langid, decontaminate_proximity)
+    found = (op1_decontaminate, op2_html, op3_quality, op4_shard, op5_mix, op6_pii, op7_simhash, op8_line_dedup, op9_nearest, op10_langid, op13_runs, decontaminate_proximity)
     return {f.__name__: f for f in found}
 
 
