@@ -6,7 +6,7 @@ shorter end of theirs. They come from sorting: phrases of k words split the clas
 before. States give the counts of all phrases of the shard; the counts of all shards are summed.
 
 Only phrases that can reach the least count are summed as text. A first pass sums all pairs of words by a hash; a shard then
-gets back which of its pairs occur often enough anywhere, and counts longer phrases over those only. Two pairs of one hash can
+learns which of its pairs occur often enough anywhere, and counts longer phrases over those only. Two pairs of one hash can
 let a phrase through to the second pass, where it is counted by itself: hashes never change a result.
 """
 
@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, UPPER, table
 from tessera.plans.lineage import cut, forget, stored
-from tessera.plans.skew import lookup_join, split_join
+from tessera.plans.skew import fits, lookup_join, split_join
 
 LEAST, DEPTH, FIRST, SHARE = 100, 5, 2000, 100
 #: Words from which a shard is closed (with the text that fills it), and of all open shards of a task.
-SHARD_WORDS, OPEN_WORDS = 1 << 19, 1 << 21
+SHARD_WORDS, OPEN_WORDS = 1 << 19, 1 << 20
+#: Hashes of pairs up to which they are broadcast (32 MB); rows of a batch of phrases.
+PAIRS, ROWS = 4_000_000, 1 << 16
 BREAKS = ".,;:!?\n\v\f\r"
 #: A byte that UTF-8 never has stands for a break.
 BREAK = b"\xff"
@@ -73,7 +75,7 @@ def sharded(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sha
                 ids.append(0)
                 if len(ids) >= shard_words:
                     yield closed(lang)
-                elif sum(len(x) for _, x in open_.values()) >= 4 * shard_words:
+                elif sum(len(x) for _, x in open_.values()) >= OPEN_WORDS:
                     yield closed(max(open_, key=lambda k: len(open_[k][1])))
         for lang in list(open_):
             yield closed(lang)
@@ -115,11 +117,11 @@ def automaton(ids: np.ndarray, depth: int, pair_counts: np.ndarray | None = None
             at, cls = at[fits], cls[fits]
             key = cls * base + ids[at - (k - 1)]
         seen, cls_k, n = np.unique(key, return_inverse=True, return_counts=True)
-        last = np.zeros(len(seen), np.int64)
+        last = np.zeros(len(seen), np.int32)
         last[cls_k] = at
-        count.append(n)
-        up.append(first + seen // base if k > 1 else np.full(len(seen), -1))
-        length.append(np.full(len(seen), k))
+        count.append(n.astype(np.int32))
+        up.append((first + seen // base if k > 1 else np.full(len(seen), -1)).astype(np.int32))
+        length.append(np.full(len(seen), k, np.int8))
         end.append(last)
         first += len(count[-2]) if k > 1 else 0
         cls = cls_k
@@ -128,13 +130,13 @@ def automaton(ids: np.ndarray, depth: int, pair_counts: np.ndarray | None = None
     joins = (up >= 0) & (count == count[up])
     state = np.ones(len(count), bool)
     state[up[joins]] = False
-    top = np.arange(len(count))
+    top = np.arange(len(count), dtype=np.int32)
     for _ in range(depth - 1):
         top = np.where(joins[top], up[top], top)
-    number = np.full(len(count), -1)
+    number = np.full(len(count), -1, np.int32)
     number[state] = np.arange(int(state.sum()))
-    heir = np.arange(len(count))  # the longest class of the state of a class
-    below = np.full(len(count), -1)
+    heir = np.arange(len(count), dtype=np.int32)  # the longest class of the state of a class
+    below = np.full(len(count), -1, np.int32)
     below[up[joins]] = np.nonzero(joins)[0]
     for _ in range(depth - 1):
         heir = np.where(below[heir] >= 0, below[heir], heir)
@@ -171,42 +173,58 @@ def word_counts(shards: DataFrame, least: int) -> DataFrame:
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
-def frequent_pairs(shards: DataFrame, least: int) -> DataFrame:
-    """(shard, pairs): the hashes of the shard's pairs that occur `least` times or more in all shards."""
+def pair_rows(shards: DataFrame) -> DataFrame:
+    """(shard, h, n): the hashes of each shard's pairs and how often they occur there."""
 
     def run(batches):
         for shard, lang, words, ids in opened(batches):
             ends, n = automaton(ids, 2).phrases(2)
             h = pair_hashes(lang, words, ids, ends)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard)), pa.array(h), pa.array(n)], names=["shard", "h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard)), pa.array(h), pa.array(n, pa.int64())], names=["shard", "h", "n"])
+
+    return shards.select("shard", "lang", "words", "ids").mapInArrow(run, "shard long, h long, n long")
 
-    rows = shards.select("shard", "lang", "words", "ids").mapInArrow(run, "shard long, h long, n long")
-    often = cut(rows.groupBy("h").agg(F.sum("n").alias("f"), F.count("*").alias("times")).where(F.col("f") >= least).select("h", "times"))
-    # A shard has no more pairs than words.
-    return split_join(rows.select("shard", "h"), often, "h", "times").groupBy("shard").agg(F.collect_list("h").alias("pairs"))
 
+def phrase_counts(shards: DataFrame, least: int, depth: int, pairs_sent: int = PAIRS) -> DataFrame:
+    """(lang, phrase, size, f) of the phrases of 2 to depth words with f >= least.
 
-def phrase_counts(shards: DataFrame, least: int, depth: int) -> DataFrame:
-    """(lang, phrase, size, f) of the phrases of 2 to depth words with f >= least."""
+    The hashes of pairs that occur `least` times or more are broadcast if there are no more than pairs_sent, at 8 bytes each.
+    Beyond it each shard gets those that it holds, by a join on the shard: no more than it has words.
+    """
+    rows = pair_rows(shards)
+    often = cut(rows.groupBy("h").agg(F.sum("n").alias("f"), F.count("*").alias("times")).where(F.col("f") >= least).select("h", "times"))
+    texts = shards.select("shard", "lang", "words", "ids")
+    sent = None
+    if fits(often, pairs_sent):
+        sent = shards.sparkSession.sparkContext.broadcast(np.sort(often.select("h").toArrow().column(0).to_numpy()))
+    else:
+        texts = texts.join(split_join(rows.select("shard", "h"), often, "h", "times").groupBy("shard").agg(F.collect_list("h").alias("pairs")), "shard")
 
     def run(batches):
-        for _, lang, words, ids, pairs in opened(batches, "pairs"):
+        for _, lang, words, ids, *own in opened(batches, *([] if sent else ["pairs"])):
             pair = np.zeros(len(ids), bool)
             at = np.nonzero((ids[1:] > 0) & (ids[:-1] > 0))[0] + 1
-            pair[at] = np.isin(pair_hashes(lang, words, ids, at), pairs)
+            pair[at] = among(pair_hashes(lang, words, ids, at), sent.value if sent else np.sort(own[0]))
             states = automaton(ids, depth, pair)
             for k in range(2, depth + 1):
                 ends, n = states.phrases(k)
-                cols = [map(words.__getitem__, ids[ends - k + 1 + j].tolist()) for j in range(k)]
-                texts = pa.array(map(" ".join, zip(*cols)), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), texts, pa.array(np.full(len(n), k, np.int32)), pa.array(n)], names=["lang", "phrase", "size", "f"])
+                for b in range(0, len(n), ROWS):
+                    e = ends[b : b + ROWS]
+                    cols = [map(words.__getitem__, ids[e - k + 1 + j].tolist()) for j in range(k)]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(e), pa.string()), pa.array(map(" ".join, zip(*cols)), pa.string()), pa.array(np.full(len(e), k, np.int32)), pa.array(n[b : b + ROWS], pa.int64())], names=["lang", "phrase", "size", "f"])
 
-    met = shards.select("shard", "lang", "words", "ids").join(frequent_pairs(shards, least), "shard")
-    found = met.mapInArrow(run, "lang string, phrase string, size int, f long")
+    found = texts.mapInArrow(run, "lang string, phrase string, size int, f long")
     return found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
-def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, first: int = FIRST, share: int = SHARE, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in known, which is sorted."""
+    at = np.searchsorted(known, x)
+    at[at == len(known)] = 0
+    return known[at] == x if len(known) else np.zeros(len(x), bool)
+
+
+def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, first: int = FIRST, share: int = SHARE, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS, pairs_sent: int = PAIRS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first phrases of each language by score, then a, then the phrase's bytes.
 
     Words are lower-cased (A-Z) and parted by blanks and tabs; a phrase of 2 to depth words doesn't go over `.,;:!?` or a line
@@ -219,7 +237,7 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, first:
     """
     shards, folder = stored(sharded(docs, lang_col, text_col, shard_words), "shards")
     words = cut(word_counts(shards, least))
-    found = cut(phrase_counts(shards, least, depth))
+    found = cut(phrase_counts(shards, least, depth, pairs_sent))
     total = cut(shards.groupBy("lang").agg(F.sum("n").alias("n")))
     forget(docs.sparkSession, folder)
     parts = words.unionByName(found.select("lang", "phrase", "f"))
