@@ -5,9 +5,9 @@ states are the classes of phrases that end at the same positions, with the numbe
 shorter end of theirs. They come from sorting: phrases of k words split the classes of phrases of k - 1 words by the word
 before. States give the counts of all phrases of the shard; the counts of all shards are summed.
 
-Only phrases that can reach the least count are summed as text. A first pass sums all pairs of words by a hash; a shard then
-learns which of its pairs occur often enough anywhere, and counts longer phrases over those only. Two pairs of one hash can
-let a phrase through to the second pass, where it is counted by itself: hashes never change a result.
+Only phrases that can reach the least count are summed as text. A first pass sums all pairs of frequent words by a hash; a shard then
+learns which of its pairs occur often enough anywhere, and counts longer phrases over those only. Equal hashes can let
+a phrase through to the second pass, where it is counted by itself: they never change a result.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ from tessera.plans.skew import fits, lookup_join, split_join
 LEAST, DEPTH, FIRST, SHARE = 100, 5, 2000, 100
 #: Words from which a shard is closed (with the text that fills it), and of all open shards of a task.
 SHARD_WORDS, OPEN_WORDS = 1 << 19, 1 << 20
-#: Hashes of pairs up to which they are broadcast (32 MB); rows of a batch of phrases.
-PAIRS, ROWS = 4_000_000, 1 << 16
+#: Hashes of words, and of pairs, up to which they are broadcast (32 MB); rows of a batch of phrases.
+HASHES, ROWS = 4_000_000, 1 << 16
 BREAKS = ".,;:!?\n\v\f\r"
 #: A byte that UTF-8 never has stands for a break.
 BREAK = b"\xff"
@@ -144,13 +145,19 @@ def automaton(ids: np.ndarray, depth: int, pair_counts: np.ndarray | None = None
     return Automaton(length[top[state]], length[state], count[state], end[state], np.where(above >= 0, number[heir[above]], -1))
 
 
+def word_hashes(lang: str, words: list[str]) -> np.ndarray:
+    """What xxhash64 of Spark gives for language and word, by the word's number."""
+    seed = xxhash.xxh64_intdigest(lang, 42)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
 def pair_hashes(lang: str, words: list[str], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of language and pair of words, by the pair's end."""
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    h = word_hashes(lang, words)
     a, b = h[ids[ends - 1]], h[ids[ends]]
-    mixed = (a * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxhash.xxh64_intdigest(lang))) ^ (b + (a >> np.uint64(31)))
+    mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + (a >> np.uint64(31)))
     mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+    return mixed ^ (mixed >> np.uint64(32))
 
 
 def opened(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
@@ -173,30 +180,43 @@ def word_counts(shards: DataFrame, least: int) -> DataFrame:
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
-def pair_rows(shards: DataFrame) -> DataFrame:
-    """(shard, h, n): the hashes of each shard's pairs and how often they occur there."""
+def sent_hashes(rows: DataFrame) -> Broadcast:
+    """The one column of rows, as sorted unsigned numbers, broadcast."""
+    return rows.sparkSession.sparkContext.broadcast(np.sort(rows.toArrow().column(0).to_numpy().view(np.uint64)))
+
+
+def pair_rows(shards: DataFrame, words: DataFrame, hashes_sent: int) -> DataFrame:
+    """(shard, h, n): the hashes of each shard's pairs and how often they occur there.
+
+    Words that aren't among the frequent ones, `words`, are left out, if these are few enough to be broadcast.
+    """
+    sent = None
+    if fits(words, hashes_sent):
+        sent = sent_hashes(words.select(F.xxhash64("lang", "phrase")))
 
     def run(batches):
         for shard, lang, words, ids in opened(batches):
+            if sent:
+                ids = np.where(among(word_hashes(lang, words), sent.value)[ids], ids, 0)
             ends, n = automaton(ids, 2).phrases(2)
             h = pair_hashes(lang, words, ids, ends)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard)), pa.array(h), pa.array(n, pa.int64())], names=["shard", "h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard)), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["shard", "h", "n"])
 
     return shards.select("shard", "lang", "words", "ids").mapInArrow(run, "shard long, h long, n long")
 
 
-def phrase_counts(shards: DataFrame, least: int, depth: int, pairs_sent: int = PAIRS) -> DataFrame:
-    """(lang, phrase, size, f) of the phrases of 2 to depth words with f >= least.
+def phrase_counts(shards: DataFrame, words: DataFrame, least: int, depth: int, hashes_sent: int = HASHES) -> DataFrame:
+    """(lang, phrase, size, f) of the phrases of 2 to depth words with f >= least; words: those with f >= least.
 
-    The hashes of pairs that occur `least` times or more are broadcast if there are no more than pairs_sent, at 8 bytes each.
+    The hashes of pairs that occur `least` times or more are broadcast if there are no more than hashes_sent.
     Beyond it each shard gets those that it holds, by a join on the shard: no more than it has words.
     """
-    rows = pair_rows(shards)
+    rows = pair_rows(shards, words, hashes_sent)
     often = cut(rows.groupBy("h").agg(F.sum("n").alias("f"), F.count("*").alias("times")).where(F.col("f") >= least).select("h", "times"))
     texts = shards.select("shard", "lang", "words", "ids")
     sent = None
-    if fits(often, pairs_sent):
-        sent = shards.sparkSession.sparkContext.broadcast(np.sort(often.select("h").toArrow().column(0).to_numpy()))
+    if fits(often, hashes_sent):
+        sent = sent_hashes(often.select("h"))
     else:
         texts = texts.join(split_join(rows.select("shard", "h"), often, "h", "times").groupBy("shard").agg(F.collect_list("h").alias("pairs")), "shard")
 
@@ -204,7 +224,7 @@ def phrase_counts(shards: DataFrame, least: int, depth: int, pairs_sent: int = P
         for _, lang, words, ids, *own in opened(batches, *([] if sent else ["pairs"])):
             pair = np.zeros(len(ids), bool)
             at = np.nonzero((ids[1:] > 0) & (ids[:-1] > 0))[0] + 1
-            pair[at] = among(pair_hashes(lang, words, ids, at), sent.value if sent else np.sort(own[0]))
+            pair[at] = among(pair_hashes(lang, words, ids, at), sent.value if sent else np.sort(own[0].view(np.uint64)))
             states = automaton(ids, depth, pair)
             for k in range(2, depth + 1):
                 ends, n = states.phrases(k)
@@ -224,7 +244,7 @@ def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == x if len(known) else np.zeros(len(x), bool)
 
 
-def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, first: int = FIRST, share: int = SHARE, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS, pairs_sent: int = PAIRS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, first: int = FIRST, share: int = SHARE, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS, hashes_sent: int = HASHES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first phrases of each language by score, then a, then the phrase's bytes.
 
     Words are lower-cased (A-Z) and parted by blanks and tabs; a phrase of 2 to depth words doesn't go over `.,;:!?` or a line
@@ -237,7 +257,7 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, first:
     """
     shards, folder = stored(sharded(docs, lang_col, text_col, shard_words), "shards")
     words = cut(word_counts(shards, least))
-    found = cut(phrase_counts(shards, least, depth, pairs_sent))
+    found = cut(phrase_counts(shards, words, least, depth, hashes_sent))
     total = cut(shards.groupBy("lang").agg(F.sum("n").alias("n")))
     forget(docs.sparkSession, folder)
     parts = words.unionByName(found.select("lang", "phrase", "f"))
