@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -28,6 +29,15 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), "[^a-z0-9_]+"), lambda x: x != "")
 
 
+_ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+_TOKEN = re.compile(TOKEN)
+
+
+def plain_tokens(text: str) -> list[str]:
+    """What `tokenize` gives, for use inside of workers."""
+    return _TOKEN.findall(text.translate(_ASCII_LOWER))
+
+
 def word_count(text: Column) -> Column:
     """Number of runs without white space, of any script's kind, as str.split counts them; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")), F.lit(0)).cast("long")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.text import plain_tokens
 from tessera.operators.ranking import top_k
 
 
@@ -69,12 +70,6 @@ def model_scorer(queries: DataFrame, docs: DataFrame, load: Callable[[], Callabl
     return score
 
 
-def scorer_usage(ranking: DataFrame, routed: DataFrame, depth: int = 20) -> DataFrame:
-    """(calls, pairs): queries that reach the scorer, and their documents."""
-    pairs = ranking.where(F.col("rank") <= depth).join(routed.select("query_id").distinct(), "query_id", "left_semi")
-    return pairs.agg(F.count_distinct("query_id").alias("calls"), F.count("*").alias("pairs"))
-
-
 def ranking_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """(query_id, doc_id, rank, n): rows that a has n times more than b (n below 0: less); none means that they are equal."""
     side = lambda r, n: r.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.lit(n).alias("n"))
@@ -94,3 +89,13 @@ def token_overlap(pairs: DataFrame, queries: DataFrame, docs: DataFrame, tokeniz
     d = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array_distinct(tokenize(F.col("text"))).alias("dt"))
     score: Column = F.size(F.array_intersect("qt", "dt")) / F.greatest(F.size("qt"), F.lit(1))
     return pairs.join(q, "query_id").join(d, "doc_id").select("query_id", "doc_id", score.alias("pair_score"))
+
+
+def overlap_scorer():
+    """`token_overlap` as a function of a query and its candidates' texts, for `runtime.execute`."""
+
+    def score(query: str, texts: list[str]) -> list[float]:
+        q = set(plain_tokens(query))
+        return [len(q & set(plain_tokens(t))) / max(len(q), 1) for t in texts]
+
+    return score

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import checks, failures, fusion, latency, metrics, policies, router, splits, stats
+from tessera.operators import checks, failures, features, fusion, latency, metrics, policies, router, runtime, splits, stats
 from tessera.operators.components import connected_components
 from tessera.operators.ranking import top_k
 from tessera.operators.vector import counted_components, dense_search, embedding_quality
@@ -261,13 +261,29 @@ def _utility(s: SparkSession, d: str) -> DataFrame:
     return fusion.gated_rerank(e.hybrid, e.routed("utility_75"), e.scorer).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
+def _executed(s: SparkSession, d: str) -> tuple[runtime.Execution, DataFrame, DataFrame]:
+    """The conditional re-ranking run anew from queries and legs, the frozen decisions, and the ranking that these should give."""
+    e = evaluation(s, d)
+    at = {r.budget: r.threshold for r in e.thresholds.collect()}[0.75]
+    now = features.router_features(e.queries, e.bm25, e.dense).join(e.queries.select("query_id", "src"), "query_id").withColumn("p", F.round(router.PUBLISHED.predict(), 9))
+    frozen = e.decisions.where("policy = 'utility_75'").select("query_id", "rerank")
+    expected = e.reranked.join(e.routed("utility_75"), "query_id", "left_semi").unionByName(e.hybrid.join(e.routed("utility_75"), "query_id", "left_anti"))
+    return runtime.execute(e.queries, e.docs, e.hybrid, now.where(F.col("p") > at).select("query_id"), fusion.overlap_scorer), frozen, expected
+
+
 @query("runtime_verification", f", {EVAL} SELECT count_if(rerank) AS calls, 20 * count_if(rerank) AS pairs, 0::BIGINT AS differences FROM decisions WHERE policy = 'utility_75'", True)
 def _verified(s: SparkSession, d: str) -> DataFrame:
-    """Calls and pairs of the scorer as executed, and rows in which the ranking differs from the one taken from whole rankings."""
-    e, routed = evaluation(s, d), evaluation(s, d).routed("utility_75")
-    frozen = e.reranked.join(routed, "query_id", "left_semi").unionByName(e.hybrid.join(routed, "query_id", "left_anti"))
-    n = fusion.ranking_differences(_utility(s, d), frozen).agg(F.count("*").alias("differences"))
-    return fusion.scorer_usage(e.hybrid, routed).join(n)
+    """Calls and pairs of the scorer as its workers counted them, and violations of the frozen decisions and rankings."""
+    ran, frozen, expected = _executed(s, d)
+    return runtime.violations(ran, frozen, expected).agg(F.lit(ran.calls).cast("long").alias("calls"), F.lit(ran.pairs).cast("long").alias("pairs"), F.count("*").alias("differences"))
+
+
+@query("runtime_records", f", {EVAL} SELECT query_id, rerank AS reranked, rerank::BIGINT AS calls, CASE WHEN rerank THEN (SELECT count(*) FROM hybrid h WHERE h.query_id = c.query_id AND h.rank <= 20) ELSE 0 END AS scored_pairs, FALSE AS odd FROM decisions c WHERE policy = 'utility_75'", True)
+def _run_records(s: SparkSession, d: str) -> DataFrame:
+    """What ran for each query, and whether it breaks a rule."""
+    ran, frozen, expected = _executed(s, d)
+    odd = runtime.violations(ran, frozen, expected).select(F.col("id").alias("query_id"), F.lit(True).alias("odd")).distinct()
+    return ran.records.join(odd, "query_id", "left").na.fill(False, ["odd"])
 
 
 @query("rrf_recomputed", ", g AS (SELECT query_id, doc_id, round(sum(1e0 / (60 + rank)), 9) AS score FROM rankings WHERE method IN ('bm25', 'dense') GROUP BY ALL), f AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g) SELECT count(*) AS compared, count_if(f.rank <> h.rank) AS differ FROM f JOIN hybrid h USING (query_id, doc_id)", True)

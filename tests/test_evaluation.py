@@ -213,8 +213,6 @@ def test_models_score_pairs_and_encode_texts(spark):
     r = ranked(spark, {("h", "q"): "xyz"}).drop("method")
     assert [x.doc_id for x in fusion.rerank_prefix(r, scorer(r), 3).orderBy("rank").collect()] == ["y", "x", "z"]
     assert [x.doc_id for x in fusion.rerank(r, scorer, 2).orderBy("rank").collect()] == ["y", "x"] and fusion.rerank(r, scorer, 0).count() == 0
-    routed = ids(spark, ["q"])
-    assert fusion.scorer_usage(r, routed, 2).first()[:] == (1, 2)
     assert fusion.ranking_differences(r, r).count() == 0 and fusion.ranking_differences(r, r.where("rank > 1")).collect()[0][:] == ("q", "x", 1, 1)
     v = {x.doc_id: list(x.v) for x in vector.encode(docs, "doc_id", "text", lambda: lambda ts: [[len(t) + 1.0, 0.0] for t in ts]).collect()}
     assert v == {"x": [1.0, 0.0], "y": [1.0, 0.0], "z": [1.0, 0.0]}
