@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tessera.functions.text import tokenize
+from tessera.functions.text import plain_tokens, tokenize
 from tessera.operators.ranking import DIGITS, top_k
 
 DIM = 64
@@ -45,6 +47,34 @@ def hashed_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM
     return unit_vectors(hashed_components(docs, id_col, text_col, dim), id_col, dim)
 
 
+def hashing_model(dim: int = DIM) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """`hashed_embedding` as a model for workers; texts without a vector get the first unit vector."""
+
+    def load():
+        known: dict[str, tuple[int, float]] = {}
+
+        def slot(term: str) -> tuple[int, float]:
+            if term not in known:
+                if len(known) >= 1 << 18:
+                    known.clear()
+                h = hashlib.md5(term.encode()).hexdigest()
+                known[term] = int(h[:8], 16) % dim, 1.0 if h[8] < "8" else -1.0
+            return known[term]
+
+        def encode(texts: list[str]) -> np.ndarray:
+            x = np.zeros((len(texts), dim))
+            for i, t in enumerate(texts):
+                for term, n in Counter(plain_tokens(t)).items():
+                    at, sign = slot(term)
+                    x[i, at] += sign * n
+            x[~x.any(1), 0] = 1.0
+            return x
+
+        return encode
+
+    return load
+
+
 def encode(docs: DataFrame, id_col: str, text_col: str, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
     """(id, v array<double>): unit vectors of a model over Arrow batches; load is called once in each task's worker.
 

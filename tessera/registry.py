@@ -6,6 +6,7 @@ Each query is built from DataFrame operators; its SQL, for DuckDB only, is writt
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,10 +16,12 @@ from tessera.functions import text as tx
 from tessera.operators import checks, failures, features, fusion, latency, metrics, policies, router, runtime, splits, stats
 from tessera.operators.components import connected_components
 from tessera.operators.ranking import top_k
-from tessera.operators.vector import counted_components, dense_search, embedding_quality
+from tessera.operators.vector import counted_components, dense_search, embedding_quality, hashed_embedding, hashing_model
 from tessera.plans.base import DUCK_BASE, EVAL
 from tessera.plans.evaluation import DEPTH, evaluation
-from tessera.sources.tables import table
+from tessera.plans.lineage import ensure_checkpoint_dir, forget
+from tessera.sources import vectors
+from tessera.sources.tables import corpus, table
 from tessera.streaming.latency import drain, latency_windows, read_events
 
 _SPARK, _DUCK = {}, {}
@@ -294,6 +297,20 @@ def _recomputed(s: SparkSession, d: str) -> DataFrame:
     return again.join(e.hybrid, ["query_id", "doc_id"], "full_outer").agg(F.count("*").alias("compared"), F.count_if(~F.col("now").eqNullSafe(F.col("rank"))).alias("differ"))
 
 
+@query("vector_store", _duck_text("WITH d AS (SELECT doc_id::VARCHAR AS id, greatest(1, (SELECT ceil(count(*) / 1024) FROM documents))::BIGINT AS shards FROM documents) SELECT count(*) AS n, count(DISTINCT HEX{substr(md5(id), 1, 8)} % shards) AS shards, count(DISTINCT HEX{substr(md5(id), 1, 8)} % shards) AS encoded, 0::BIGINT AS again, 0::BIGINT AS odd, 0::BIGINT AS differ FROM d"))
+def _vector_store(s: SparkSession, d: str) -> DataFrame:
+    """All documents encoded into a store by workers, once and again, with the store's violations and the vectors that differ from the engine's own."""
+    docs, path = corpus(s, d), f"{ensure_checkpoint_dir(s).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    first, again = (vectors.encode_store(docs, path, "hashed counts, 64", hashing_model()) for _ in range(2))
+    own = hashed_embedding(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("v").alias("w"))
+    off = F.exists(F.zip_with("v", "w", lambda a, b: F.abs(a - b)), lambda x: x > 1e-6)
+    kept = vectors.read_store(docs, path, "hashed counts, 64")
+    n = kept.join(own, "id", "left").agg(F.count("*").alias("n"), F.count_if(off).alias("differ")).first()
+    odd = vectors.store_violations(docs, path, "hashed counts, 64").count()
+    forget(s, path)
+    return s.createDataFrame([(n.n, first["shards"], first["encoded"], again["encoded"], odd, n.differ)], "n long, shards long, encoded long, again long, odd long, differ long")
+
+
 # --- statistics ------------------------------------------------------------------------------------------------------
 
 duck("paired_deltas", "SELECT query_id, round(d, 9) AS delta FROM gain")
