@@ -6,17 +6,16 @@ Reading and checking rows is distributed; only reports and manifests, which are
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import os
 import tempfile
 from collections.abc import Mapping
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.npy import TASK_ROWS, NpyDataSource
+
 _QUERY = "id string, query string, relevant_ids array<string>"
 _LABELS = "array<struct<id: string, relevance: string>>"
 
@@ -65,26 +64,12 @@ def load_queries(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("r.id").alias("query_id"), "r.query", F.array_sort(F.array_distinct(ids)).alias("relevant_ids"))
 
 
-def read_npy(spark: SparkSession, path: str, dim: int, unit: float | None = 1e-5) -> DataFrame:
-    """(file, row, v): the rows of NPY shards, a task a shard or more. Raises unless they are finite floats of `dim` columns and, with unit, of length 1."""
-
-    def rows(batches):
-        for b in batches:
-            for name, body in zip(b.column(0).to_pylist(), b.column(1)):
-                x = np.load(io.BytesIO(body.as_py()), allow_pickle=False)
-                if x.ndim != 2 or x.shape[1] != dim or x.dtype.kind != "f":
-                    raise ValueError(f"{name}: {x.dtype} {x.shape}, floats of {dim} columns expected")
-                if not np.isfinite(x).all():
-                    raise ValueError(f"{name}: not finite")
-                if unit is not None and len(x) and np.abs(np.linalg.norm(x.astype(float), axis=1) - 1).max() > unit:
-                    raise ValueError(f"{name}: not of unit length")
-                for at in range(0, len(x), 8192):
-                    part = x[at : at + 8192].astype(np.float32)
-                    v = pa.ListArray.from_arrays(np.arange(0, part.size + 1, dim, dtype=np.int32), part.ravel())
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(np.arange(at, at + len(part))), v], names=["file", "row", "v"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-    return files.mapInArrow(rows, "file string, row long, v array<float>")
+def read_npy(spark: SparkSession, path: str, dim: int, unit: float | None = 1e-5, rows: int = TASK_ROWS) -> DataFrame:
+    """(file, row, v): the rows of NPY shards, tasks of `rows` rows. Raises unless they are finite floats of `dim` columns and, with
+    unit, of length 1. Filters of `file` keep other files from being opened; this allows Python data sources to take filters in the session."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(NpyDataSource)
+    return spark.read.format("npy").option("path", path).option("dim", dim).option("unit", "none" if unit is None else unit).option("rows", rows).load()
 
 
 def refuse_full(spark: SparkSession, path: str) -> None:

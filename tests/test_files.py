@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
 from tessera.operators import checks, router
-from tessera.sources import files
+from tessera.sources import files, npy
 from tessera.streaming.latency import drain, latency_windows, read_events
 
 
@@ -47,6 +47,52 @@ def test_npy_shards(spark, tmp_path):
         files.read_npy(spark, str(tmp_path), 5).count()
 
 
+def test_npy_ranges_types_and_pruning(spark, tmp_path):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(1000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for name, part, kind in (("a", x[:600], "<f4"), ("b", x[600:900], ">f8"), ("c", x[900:], "<f8"), ("none", x[:0], "<f4")):
+        np.save(tmp_path / f"{name}.npy", part.astype(kind))
+    df = files.read_npy(spark, str(tmp_path), 8, rows=128)
+    assert df.rdd.getNumPartitions() == 5 + 3 + 1
+    got = df.orderBy("file", "row").collect()
+    assert np.allclose([q.v for q in got], x, atol=1e-7) and [q.row for q in got] == [*range(600), *range(300), *range(100)]
+    np.save(tmp_path / "broken.npy", np.ones((3, 5), np.float32))  # a filter keeps it from being opened
+    with pytest.raises(Exception, match="columns expected"):
+        files.read_npy(spark, str(tmp_path), 8).count()
+    name = str(tmp_path / "b.npy")
+    for only, n in ((F.col("file") == name, 300), (F.col("file").isin(name, str(tmp_path / "c.npy")), 400), ((F.col("file") == name) & (F.col("row") >= 290), 10), (F.col("file") == "nowhere", 0)):
+        assert files.read_npy(spark, str(tmp_path), 8).where(only).count() == n
+    uri = files.read_npy(spark, f"file://{tmp_path}/c.npy", 8)
+    assert {q.file for q in uri.select("file").distinct().collect()} == {f"file://{tmp_path}/c.npy"} and uri.count() == 100
+    with pytest.raises(Exception, match="No such|NotFound|nothing-here"):
+        files.read_npy(spark, str(tmp_path / "nothing-here"), 8).count()
+
+
+def test_npy_shards_over_two_gigabytes(tmp_path):
+    """By the reader alone: a sparse file of 3 GB, of which only the last range is read."""
+    at, n, dim = tmp_path / "large.npy", 12_000_000, 64
+    with open(at, "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (n, dim)})
+        first = f.tell()
+        last = np.zeros((3, dim), np.float32)
+        last[:, 5] = 1
+        f.seek(first + (n - 3) * dim * 4)
+        f.write(last.tobytes())
+    assert at.stat().st_size > 1 << 31
+    reader = npy.NpyReader({"path": str(at), "dim": "64"})
+    parts = reader.partitions()
+    assert len(parts) == -(-n // npy.TASK_ROWS) and parts[-1].stop == n and sum(p.stop - p.start for p in parts) == n
+    tail = list(reader.read(npy.Rows(str(at), n - 3, n, first, "<f4")))
+    assert [b.num_rows for b in tail] == [3] and tail[0].column(1).to_pylist() == [n - 3, n - 2, n - 1]
+    with pytest.raises(ValueError, match="unit length"):
+        next(reader.read(parts[0]))
+    with open(at, "r+b") as f:
+        f.truncate(1 << 20)
+    with pytest.raises(ValueError, match="shorter"):
+        reader.partitions()
+
+
 def test_sinks_do_not_overwrite(spark, tmp_path):
     df = spark.createDataFrame([("b", ["x", "y"], None), ("a", [], 1)], "z string, ids array<string>, n int")
     out = str(tmp_path / "o")
