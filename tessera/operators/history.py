@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.metrics import EVEN, rank_effect
-from tessera.operators.stats import cluster_bootstrap, interval, sign_test
+from tessera.operators.stats import interval, sign_test, weighted_bootstrap
 
 
 def _rr(system: str):
@@ -18,7 +18,7 @@ def _rr(system: str):
 
 def _interval(rows: DataFrame, value, resamples: int, seed: str):
     one = rows.select(F.lit("all").alias("g"), "query_id", value.alias("v"))
-    return interval(cluster_bootstrap(one, "g", "query_id", ["v"], resamples, seed), "v").first()
+    return interval(weighted_bootstrap(one, "g", "query_id", ["v"], resamples, seed), "v").first()
 
 
 def system_summary(ranks: DataFrame, systems: Sequence[str], resamples: int, seed: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.stats import cluster_bootstrap
+from tessera.operators.stats import weighted_bootstrap
 
 
 def repetitions(events: DataFrame, query: str, policy: str, ms: str, time: str, id_col: str) -> DataFrame:
@@ -21,25 +21,31 @@ def summary(rows: DataFrame, by: str = "policy") -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.avg("ms").alias("mean_ms"), F.percentile("ms", 0.5).alias("p50_ms"), F.percentile("ms", 0.95).alias("p95_ms"))
 
 
-def against_mean(rows: DataFrame) -> DataFrame:
-    """(query_id, policy, ms, base): means over a query's repetitions, and the query's mean over its policies."""
+def against(rows: DataFrame, baseline: str) -> DataFrame:
+    """(query_id, policy, ms, base): means over a query's repetitions, of each other policy and of the baseline for the same query.
+
+    Queries that lack one of the two are left out of that comparison.
+    """
     each = rows.groupBy("query_id", "policy").agg(F.avg("ms").alias("ms"))
-    return each.join(each.groupBy("query_id").agg(F.avg("ms").alias("base")), "query_id")
+    base = each.where(F.col("policy") == baseline).select("query_id", F.col("ms").alias("base"))
+    return each.where(F.col("policy") != baseline).join(base, "query_id")
 
 
 def reductions(rows: DataFrame) -> DataFrame:
-    """(policy, delta_ms, reduction) of `against_mean`."""
-    return rows.groupBy("policy").agg(F.avg(F.col("ms") - F.col("base")).alias("delta_ms"), (1 - F.sum("ms") / F.sum("base")).alias("reduction"))
+    """(policy, units, delta_ms, reduction) of `against`."""
+    return rows.groupBy("policy").agg(F.count("*").alias("units"), F.avg(F.col("ms") - F.col("base")).alias("delta_ms"), (1 - F.sum("ms") / F.sum("base")).alias("reduction"))
 
 
-def reduction_interval(rows: DataFrame, resamples: int, seed: str, strata: str = "policy", level: float = 0.95) -> DataFrame:
-    """One row of percentile intervals of the mean difference and of the relative reduction over resampled queries.
+def reduction_intervals(rows: DataFrame, resamples: int, seed: str, strata: str | None = None, level: float = 0.95) -> DataFrame:
+    """(policy, delta_low, delta_high, reduction_low, reduction_high): percentile intervals over resampled queries.
 
-    rows: (query_id, strata, ms, base). The query is the cluster; strata are resampled apart and weigh alike.
+    rows: (query_id, policy, ms, base), and strata, which weigh alike. The query is the unit, after its repetitions were averaged,
+    and has one weight in all policies of a replicate.
     """
-    got = cluster_bootstrap(rows, strata, "query_id", ["ms", "base"], resamples, seed)
+    rows = rows if strata else rows.withColumn("all_rows", F.lit("all"))
+    got = weighted_bootstrap(rows, strata or "all_rows", "query_id", ["ms", "base"], resamples, seed, ["policy"])
     tail, delta, cut_ = (1 - level) / 2, F.col("ms") - F.col("base"), 1 - F.col("ms") / F.col("base")
-    return got.agg(*[F.percentile(c, p).alias(n) for c, p, n in ((delta, tail, "delta_low"), (delta, 1 - tail, "delta_high"), (cut_, tail, "reduction_low"), (cut_, 1 - tail, "reduction_high"))])
+    return got.groupBy("policy").agg(*[F.percentile(c, p).alias(n) for c, p, n in ((delta, tail, "delta_low"), (delta, 1 - tail, "delta_high"), (cut_, tail, "reduction_low"), (cut_, 1 - tail, "reduction_high"))])
 
 
 def violations(rows: DataFrame, repetitions_: int) -> DataFrame:

@@ -315,13 +315,32 @@ def _vector_store(s: SparkSession, d: str) -> DataFrame:
 
 duck("paired_deltas", "SELECT query_id, round(d, 9) AS delta FROM gain")
 duck("sign_test_counts", "WITH c AS (SELECT count_if(d > 1e-12) AS wins, count_if(d < -1e-12) AS losses, count_if(abs(d) <= 1e-12) AS ties FROM gain) SELECT wins, losses, ties, round(CASE WHEN wins + losses = 0 THEN 1e0 ELSE least(1e0, 2 * (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2e0))) FROM range((least(wins, losses) + 1)::BIGINT) AS t(i))) END, 7) AS p_value FROM c")
-_BOOT = "WITH reps AS (SELECT CAST(t.r AS BIGINT) AS r FROM ({reps}) AS t), g AS (SELECT {p} AS grp, {i} AS unit, sum(d) AS d, count(*) AS c FROM ({src}) AS x GROUP BY {gb}), n AS (SELECT grp, unit, d, c, row_number() OVER (PARTITION BY grp ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM g), dr AS (SELECT r, a.grp, HEX{{substr(md5('boot|' || a.grp || '|' || CAST(r AS VARCHAR(20)) || '|' || CAST(a.i AS VARCHAR(20))), 1, 8)}} % a.n AS i FROM n a CROSS JOIN reps), m AS (SELECT dr.r, dr.grp, sum(n.d) / sum(n.c) AS v FROM dr JOIN n ON n.grp = dr.grp AND n.i = dr.i GROUP BY dr.r, dr.grp), k AS (SELECT r, avg(v) AS v FROM m GROUP BY r) SELECT round(percentile_cont(0.025) WITHIN GROUP (ORDER BY v), 7) AS low, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY v), 7) AS high, count(*) AS resamples FROM k"
-_REPS = " UNION ALL ".join(f"SELECT {i} AS a" for i in range(10))
-_REPS = f"SELECT x.a + 10 * y.a + 100 * z.a + 1000 * w.a AS r FROM ({_REPS}) AS x CROSS JOIN ({_REPS}) AS y CROSS JOIN ({_REPS}) AS z CROSS JOIN ({_REPS}) AS w"
-duck("bootstrap_hash_ci", _BOOT.format(reps=_REPS, p="'all'", i="query_id", src="SELECT * FROM gain", gb="query_id"))
-duck("stratified_bootstrap_hash_ci", _BOOT.format(reps=_REPS, p="src", i="query_id", src="SELECT * FROM gain", gb="src, query_id"))
-_BOOTED = _BOOT.format(reps=_REPS, p="src", i="component", src="SELECT gain.src, gain.d, qc.component FROM gain JOIN qc ON qc.query_id = gain.query_id", gb="src, component")
-RESAMPLES = 10_000
+RESAMPLES = 20_000
+_P = stats.PRIME
+
+
+def _hashed(seed: str, of: str) -> str:
+    return f"HEX{{substr(md5('{seed}|' || {of}), 1, 8)}} % {_P}"
+
+
+def _weighed(seed: str, n: int) -> str:
+    """The relation g, with hashes h, in n replicates r with its weights w: two rounds of fifth powers."""
+    fifth = f"((y * y % {_P}) * x + {stats.ADDED}) % {_P}"
+    weight = " + ".join(f"(x >= {t})::INT" for t in stats.POISSON)
+    return f"""reps AS (SELECT r, {_hashed(seed, "r::VARCHAR")} AS hr FROM range({n}) AS t(r)),
+x1 AS (SELECT g.*, reps.r, (g.h + hr) % {_P} AS x FROM g, reps), x2 AS (SELECT *, x * x % {_P} AS y FROM x1), x3 AS (SELECT * REPLACE (({fifth} + h) % {_P} AS x) FROM x2),
+x4 AS (SELECT * REPLACE (x * x % {_P} AS y) FROM x3), x5 AS (SELECT * REPLACE ({fifth} AS x) FROM x4), weighed AS (SELECT *, {weight} AS w FROM x5)"""
+
+
+def _boot(group: str, unit: str, src: str, by: str) -> str:
+    return f"""WITH g AS (SELECT {group} AS grp, {_hashed("boot", unit)} AS h, sum(d) AS d, count(*) AS c FROM ({src}) AS x GROUP BY {by}), {_weighed("boot", RESAMPLES)},
+m AS (SELECT r, grp, CASE WHEN sum(w * c) > 0 THEN sum(w * d) / sum(w * c) ELSE sum(d) / sum(c) END AS v FROM weighed GROUP BY r, grp), k AS (SELECT r, avg(v) AS v FROM m GROUP BY r)
+SELECT round(quantile_cont(v, 0.025), 7) AS low, round(quantile_cont(v, 0.975), 7) AS high, count(*) AS resamples FROM k"""
+
+
+duck("bootstrap_hash_ci", _boot("'all'", "query_id", "SELECT * FROM gain", "query_id"))
+duck("stratified_bootstrap_hash_ci", _boot("src", "query_id", "SELECT * FROM gain", "src, query_id"))
+_BOOTED = _boot("src", "component", "SELECT gain.src, gain.d, qc.component FROM gain JOIN qc ON qc.query_id = gain.query_id", "src, component")
 ev("paired_deltas", lambda e: e.gain.select("query_id", F.round("d", 9).alias("delta")))
 
 
@@ -336,7 +355,7 @@ ev("sign_test_counts", _signs)
 
 
 def _interval(rows: DataFrame, strata: str, unit: str) -> DataFrame:
-    got = stats.interval(stats.cluster_bootstrap(rows, strata, unit, ["d"], RESAMPLES, "boot"), "d")
+    got = stats.interval(stats.weighted_bootstrap(rows, strata, unit, ["d"], RESAMPLES, "boot"), "d")
     return got.select(*nine("low", "high", digits=7), "resamples")
 
 
@@ -345,7 +364,10 @@ ev("stratified_bootstrap_hash_ci", lambda e: _interval(e.gain, "src", "query_id"
 ev("component_bootstrap_hash_ci", lambda e: _interval(e.gain.join(e.components, "query_id"), "src", "component"))
 _LAT = "WITH ev AS (SELECT user_id, event_type AS policy, value AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS repetition FROM events)"
 duck("latency_summary", _LAT + " SELECT policy, count(*) AS n, round(avg(ms), 6) AS mean_ms, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ms), 6) AS p50_ms, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY ms), 6) AS p95_ms FROM ev GROUP BY policy", False)
-duck("latency_reduction", _LAT + ", u AS (SELECT user_id, policy, avg(ms) AS ms FROM ev GROUP BY user_id, policy), b AS (SELECT user_id, avg(ms) AS ms FROM u GROUP BY user_id) SELECT policy, round(avg(u.ms - b.ms), 6) AS delta_ms, round(1e0 - sum(u.ms) / sum(b.ms), 6) AS reduction FROM u JOIN b ON b.user_id = u.user_id GROUP BY policy", False)
+#: The policy that others are held against, and resamples of the latency study.
+BASELINE, LATENCY_RESAMPLES = "view", 10_000
+_AGAINST = f", u AS (SELECT user_id, policy, avg(ms) AS ms FROM ev GROUP BY ALL), b AS (SELECT user_id, ms AS base FROM u WHERE policy = '{BASELINE}'), a AS (SELECT * FROM u JOIN b USING (user_id) WHERE policy <> '{BASELINE}')"
+duck("latency_reduction", _LAT + _AGAINST + " SELECT policy, count(*) AS units, round(avg(ms - base), 6) AS delta_ms, round(1e0 - sum(ms) / sum(base), 6) AS reduction FROM a GROUP BY policy", False)
 duck("replay_percentiles", _LAT + ", t AS (SELECT user_id, repetition, sum(ms) AS ms, count(*) AS parts FROM ev GROUP BY user_id, repetition) SELECT repetition, count(*) AS n, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ms), 6) AS p50_ms, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY ms), 6) AS p95_ms FROM t GROUP BY repetition", False)
 
 
@@ -355,15 +377,14 @@ def _timed(s: SparkSession, d: str) -> DataFrame:
 
 
 _SPARK["latency_summary"] = lambda s, d: latency.summary(_timed(s, d)).select("policy", "n", *nine("mean_ms", "p50_ms", "p95_ms", digits=6))
-_SPARK["latency_reduction"] = lambda s, d: latency.reductions(latency.against_mean(_timed(s, d))).select("policy", *nine("delta_ms", "reduction", digits=6))
+_SPARK["latency_reduction"] = lambda s, d: latency.reductions(latency.against(_timed(s, d), BASELINE)).select("policy", "units", *nine("delta_ms", "reduction", digits=6))
 
 
-@query("latency_reduction_ci", _duck_text("WITH ev AS (SELECT user_id, event_type AS policy, value AS ms FROM events), " + """u AS (SELECT user_id, policy, avg(ms) AS ms FROM ev GROUP BY ALL), b AS (SELECT user_id, avg(ms) AS base FROM u GROUP BY ALL), g AS (SELECT policy AS grp, user_id, ms, base, row_number() OVER (PARTITION BY policy ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY policy) AS n FROM u JOIN b USING (user_id)),
-  dr AS (SELECT r, grp, HEX{substr(md5('latency|' || grp || '|' || r::VARCHAR || '|' || i::VARCHAR), 1, 8)} % n AS i FROM g, range(200) AS t(r)), m AS (SELECT r, dr.grp, avg(ms) AS ms, avg(base) AS base FROM dr JOIN g ON g.grp = dr.grp AND g.i = dr.i GROUP BY ALL), k AS (SELECT r, avg(ms) AS ms, avg(base) AS base FROM m GROUP BY r)
-  SELECT round(quantile_cont(ms - base, 0.025), 6) AS delta_low, round(quantile_cont(ms - base, 0.975), 6) AS delta_high, round(quantile_cont(1 - ms / base, 0.025), 6) AS reduction_low, round(quantile_cont(1 - ms / base, 0.975), 6) AS reduction_high FROM k"""))
+@query("latency_reduction_ci", _duck_text(_LAT + _AGAINST + ", g AS (SELECT policy, ms, base, " + _hashed("latency", "user_id::VARCHAR") + " AS h FROM a), " + _weighed("latency", LATENCY_RESAMPLES) + """, m AS (SELECT r, policy, sum(w * ms) / sum(w) AS ms, sum(w * base) / sum(w) AS base FROM weighed GROUP BY ALL)
+  SELECT policy, round(quantile_cont(ms - base, 0.025), 6) AS delta_low, round(quantile_cont(ms - base, 0.975), 6) AS delta_high, round(quantile_cont(1 - ms / base, 0.025), 6) AS reduction_low, round(quantile_cont(1 - ms / base, 0.975), 6) AS reduction_high FROM m GROUP BY policy"""))
 def _reduction_ci(s: SparkSession, d: str) -> DataFrame:
-    """Intervals of the latency differences over 200 resamplings of users, for the many users of the events table."""
-    return latency.reduction_interval(latency.against_mean(_timed(s, d)), 200, "latency").select(*nine("delta_low", "delta_high", "reduction_low", "reduction_high", digits=6))
+    """Intervals of each policy's latency against the baseline's, over resampled users."""
+    return latency.reduction_intervals(latency.against(_timed(s, d), BASELINE), LATENCY_RESAMPLES, "latency").select("policy", *nine("delta_low", "delta_high", "reduction_low", "reduction_high", digits=6))
 
 
 def _replayed(s: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,18 +151,64 @@ def test_policies_against_plain_loops(spark):
     assert policies.non_inferior([-0.005, 0.0], 3, 5) and not policies.non_inferior([-0.01], 3, 5) and not policies.non_inferior([0.1], 5, 5) and not policies.non_inferior([], 1, 2)
 
 
-def test_cluster_bootstrap_against_plain_draws(spark):
+def plain_weight(seed, unit, rep):
+    h = lambda x: int(hashlib.md5(f"{seed}|{x}".encode()).hexdigest()[:8], 16) % stats.PRIME
+    x = (h(unit) + h(rep)) % stats.PRIME
+    x = (pow(x, 5, stats.PRIME) + stats.ADDED) % stats.PRIME
+    x = (pow((x + h(unit)) % stats.PRIME, 5, stats.PRIME) + stats.ADDED) % stats.PRIME
+    total, w = math.exp(-1), 0
+    while x >= int(stats.PRIME * total):
+        w += 1
+        total += math.exp(-1) / math.factorial(w)
+    return w
+
+
+def test_weighted_bootstrap_against_plain_sums(spark):
     r = random.Random(1)
-    rows = [(r.choice("xy"), f"c{r.randrange(9)}", r.gauss(0, 1), r.random()) for _ in range(40)]
-    got = {x.r: (x.v, x.w) for x in stats.cluster_bootstrap(spark.createDataFrame(rows, "g string, c string, v double, w double"), "g", "c", ["v", "w"], 7, "s").collect()}
-    for rep in range(7):
-        means = []
-        for g in "xy":
-            units = sorted({c for s, c, _, _ in rows if s == g})
-            draw = [units[int(hashlib.md5(f"s|{g}|{rep}|{i}".encode()).hexdigest()[:8], 16) % len(units)] for i in range(len(units))]
-            taken = [x for u in draw for x in rows if x[0] == g and x[1] == u]
-            means.append([sum(x[k] for x in taken) / len(taken) for k in (2, 3)])
-        assert got[rep] == pytest.approx(tuple(sum(m[k] for m in means) / 2 for k in (0, 1)))
+    rows = [(r.choice("pq"), r.choice("xy"), f"c{r.randrange(9)}", r.gauss(0, 1), r.random()) for _ in range(90)] + [("p", "z", "alone", 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "b string, g string, c string, v double, w double").repartition(3)
+    got = {(x.b, x.r): (x.v, x.w) for x in stats.weighted_bootstrap(df, "g", "c", ["v", "w"], 70, "s", ["b"]).collect()}
+    assert len(got) == 140
+    for b in "pq":
+        for rep in range(70):
+            means = []
+            for g in sorted({x[1] for x in rows if x[0] == b}):
+                own = [x for x in rows if x[:2] == (b, g)]
+                w = {x[2]: plain_weight("s", x[2], rep) for x in own}
+                w = w if any(w.values()) else dict.fromkeys(w, 1)
+                means.append([sum(w[x[2]] * x[k] for x in own) / sum(w[x[2]] for x in own) for k in (3, 4)])
+            assert got[b, rep] == pytest.approx(tuple(sum(m[k] for m in means) / len(means) for k in (0, 1)))
+    assert stats.weighted_bootstrap(df.where("false"), "g", "c", ["v"], 5, "s").count() == 0
+    for n in (0, True, 1.5):
+        with pytest.raises(ValueError, match="positive"):
+            stats.weighted_bootstrap(df, "g", "c", ["v"], n, "s")
+
+
+def test_weights_are_poisson_draws_that_units_and_replicates_share_nothing_of():
+    r = np.random.default_rng(1)
+    w = stats.unit_weights(r.integers(0, stats.PRIME, 400), r.integers(0, stats.PRIME, 3000)).astype(float)
+    for k in range(6):
+        assert (w == k).mean() == pytest.approx(math.exp(-1) / math.factorial(k), abs=0.002)
+    assert w.mean() == pytest.approx(1, abs=0.003) and w.var() == pytest.approx(1, abs=0.01)
+    for x in (w[:60], w.T[:60]):
+        off = np.corrcoef(x) - np.eye(60)
+        assert np.abs(off).max() < 5 / math.sqrt(x.shape[1])
+
+
+def test_intervals_of_means_are_near_those_of_draws_with_replacement(spark):
+    r = random.Random(5)
+    v = [r.gauss(0.2, 1) for _ in range(300)]
+    df = spark.createDataFrame([("a", f"u{i}", x, 0.125, 2 * x) for i, x in enumerate(v)], "g string, u string, v double, k double, v2 double")
+    got = stats.weighted_bootstrap(df, "g", "u", ["v", "k", "v2"], 20_000, "seed")
+    one, const, two = (stats.interval(got, c).first() for c in ("v", "k", "v2"))
+    x = np.random.default_rng(3).choice(v, (20_000, 300)).mean(axis=1)
+    assert (one.low, one.high) == pytest.approx(tuple(np.quantile(x, [0.025, 0.975])), abs=0.006) and one.resamples == 20_000
+    assert (const.low, const.high) == pytest.approx((0.125, 0.125)) and (two.low, two.high) == pytest.approx((2 * one.low, 2 * one.high))
+    again = stats.interval(stats.weighted_bootstrap(df.repartition(5), "g", "u", ["v"], 20_000, "seed"), "v").first()
+    assert (again.low, again.high) == pytest.approx((one.low, one.high), abs=1e-12)
+
+
+def test_percentile_interval(spark):
     one = stats.interval(spark.createDataFrame([(float(i),) for i in range(101)], "v double"), "v").first()
     assert (one.low, one.high, one.resamples) == (pytest.approx(2.5), pytest.approx(97.5), 101)
 
@@ -170,11 +217,13 @@ def test_latency_of_repeated_queries(spark):
     ev = spark.createDataFrame([(q, p, float(10 * q + (p == "b") + t), t, f"{q}{p}{t}") for q in range(6) for p in "ab" for t in range(3)], "q int, p string, ms double, t int, id string")
     rows = latency.repetitions(ev, "q", "p", "ms", "t", "id")
     assert rows.agg(F.min("repetition"), F.max("repetition"), F.count("*")).first()[:] == (1, 3, 36)
-    per = latency.against_mean(rows)
-    got = {x.policy: x for x in latency.reductions(per).collect()}
-    assert got["b"].delta_ms == pytest.approx(0.5) and got["a"].reduction == pytest.approx(0.5 / (26 + 0.5))
-    ci = latency.reduction_interval(per.where("policy = 'b'"), 50, "z").first()
-    assert ci.delta_low == pytest.approx(0.5) and ci.delta_high == pytest.approx(0.5) and ci.reduction_low < ci.reduction_high < 0
+    per = latency.against(rows, "a")
+    got = latency.reductions(per).collect()
+    assert [(x.policy, x.units) for x in got] == [("b", 6)] and got[0].delta_ms == pytest.approx(1) and got[0].reduction == pytest.approx(-1 / 26)
+    ci = latency.reduction_intervals(per, 200, "z").collect()
+    assert [x.policy for x in ci] == ["b"] and ci[0].delta_low == ci[0].delta_high == pytest.approx(1) and ci[0].reduction_low < -1 / 26 < ci[0].reduction_high < 0
+    lone = latency.against(rows.where("NOT (query_id = 3 AND policy = 'a')"), "a")
+    assert latency.reductions(lone).first().units == 5
     bad = [("a", "p", 0, 1.0, False, 0, "s"), ("a", "p", 1, -1.0, False, 0, "s"), ("b", "p", 0, 1.0, True, 0, "s"), ("b", "p", 1, 1.0, False, 0, "t"), ("c", "p", 0, 1.0, False, 0, "s"), ("d", "p", 0, 2.0, True, 3, "s"), ("d", "p", 1, 2.0, True, 3, "s")]
     rules = latency.violations(spark.createDataFrame(bad, "query_id string, policy string, repetition int, total_ms double, reranked boolean, scored_pairs int, src string"), 2).collect()
     assert sorted((x.id, x.rule) for x in rules) == [("a", "latency not positive and finite"), ("b", "calls and pairs disagree"), ("b", "routing changes"), ("b", "sources disagree"), ("c", "repetitions incomplete")]
