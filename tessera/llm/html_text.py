@@ -11,8 +11,8 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
-from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -28,39 +28,55 @@ SKIP = {"script", "style", "noscript", "template", "iframe", "svg", "math", "obj
 RAW = {"script", "style", "iframe", "textarea", "title", "noscript", "template"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "col", "source", "area", "base", "embed", "param", "track"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "center", "nobr", "img", "wbr", "picture", "input"}
-HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+HEADS, LISTS = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl", "menu"}
 TAGS = ["root", "body", "main", "article", "section", "div", "p", "h1", "h2", "h3", "li", "ul", "ol", "table", "td", "blockquote", "pre", "figure", "figcaption", "dl", "dd", "nav", "header", "footer", "aside", "form", "address", "dialog", "menu", "other"]
-#: What class and id names say, matched in this order against their word parts.
+#: Elements that say something of all that is inside of them.
+AROUND = ["nav", "header", "footer", "aside", "form", "dialog", "menu", "article", "main"]
+#: What class and id names and roles say, in the languages of the tables, by their word parts; a word may say several things.
 HINTS = [
-    ("menu", "nav navbar navigation menu menus breadcrumb breadcrumbs toc pagination pager skip tabs"),
-    ("header", "header masthead topbar banner logo branding hero site"),
-    ("footer", "footer copyright legal imprint colophon bottom"),
-    ("side", "sidebar side aside widget widgets related recommended recommendations popular trending rail more"),
-    ("advert", "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner adbox adslot dfp outbrain taboola"),
-    ("notice", "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall toast message warning disclaimer"),
-    ("comment", "comment comments commentlist reply replies respond disqus discussion responses feedback review reviews"),
-    ("form", "form search login signin register contact input"),
-    ("share", "share sharing social follow like tools meta tags tag byline author date"),
-    ("content", "article content post entry main story body text page prose markdown document"),
+    ("menu", "nav navbar navigation menu menus breadcrumb breadcrumbs toc pagination pager skip tabs navi"),
+    ("header", "header masthead topbar banner logo branding hero site kopfzeile cabecera"),
+    ("footer", "footer copyright legal imprint colophon bottom contentinfo fusszeile impressum pied pie"),
+    ("side", "sidebar side aside widget widgets related recommended recommendations popular trending rail more complementary seitenleiste lateral similaires"),
+    ("advert", "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner adbox adslot dfp outbrain taboola werbung anzeige pub publicite publicidad anuncio reklame"),
+    ("notice", "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall toast message warning disclaimer hinweis aviso avis"),
+    ("comment", "comment comments commentlist reply replies respond disqus discussion responses feedback review reviews kommentar kommentare commentaire commentaires comentario comentarios"),
+    ("form", "form search login signin register contact input formular formulaire formulario"),
+    ("share", "share sharing social follow like tools meta tags tag byline author date teilen partager compartir"),
+    ("content", "article content post entry main story body text page prose markdown document artikel inhalt contenu contenido"),
+    ("hidden", ""),
 ]
-_HINT = {w: i for i, (_, ws) in reversed(list(enumerate(HINTS))) for w in ws.split()}
-N_ELEMENT = len(TAGS) + len(HINTS) + 1
-N_RUN = len(TAGS) + 8
+_HINT: dict[str, tuple[int, ...]] = {}
+for _i, (_, _words) in enumerate(HINTS):
+    for _w in _words.split():
+        _HINT[_w] = (*_HINT.get(_w, ()), _i)
+#: Words of so many letters are known as parts of joined names, such as "commentlistitem".
+LONG, HIDDEN = 6, len(HINTS) - 1
+_LONG = sorted((w for w in _HINT if len(w) >= LONG), key=len, reverse=True)
+NOT_SHOWN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+N_AROUND = len(HINTS) + len(AROUND)
+N_ELEMENT = len(TAGS) + len(HINTS) + N_AROUND + 8
+N_RUN = len(TAGS) + N_AROUND + 17
 
 
 class Node:
-    __slots__ = ("tag", "hints", "up", "text", "linked", "n")
+    __slots__ = ("tag", "hints", "up", "text", "linked")
 
     def __init__(self, tag: str, hints: frozenset, up: int, text: str | None = None, linked: float = 0.0):
         self.tag, self.hints, self.up, self.text, self.linked = tag, hints, up, text, linked
 
 
+@lru_cache(1 << 16)
+def hints_of(word: str) -> tuple[int, ...]:
+    return _HINT.get(word) or next((_HINT[w] for w in _LONG if word.startswith(w) or word.endswith(w)), ())
+
+
+@lru_cache(1 << 12)
 def hints(attrs: str) -> frozenset:
-    out = set()
+    out = {HIDDEN} if NOT_SHOWN.search(attrs) else set()
     for m in ATTR.finditer(attrs):
         for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()):
-            if w in _HINT:
-                out.add(_HINT[w])
+            out.update(hints_of(w))
     return frozenset(out)
 
 
@@ -203,26 +219,61 @@ def parse(html: str) -> list[Node]:
     return nodes
 
 
-_TAG = {t: i for i, t in enumerate(TAGS)}
-
+_TAG, _AROUND = {t: i for i, t in enumerate(TAGS)}, {t: len(HINTS) + i for i, t in enumerate(AROUND)}
 
-def active(nodes: list[Node], i: int) -> list[tuple[int, float]]:
-    """The features of a node that aren't 0: of an element (tag, hints) or of a run (tag of the block; length, links, punctuation)."""
-    n, k = nodes[i], len(TAGS)
-    if n.text is None:
-        return [(_TAG.get(n.tag, k - 1), 1.0), *((k + h, 1.0) for h in n.hints), *([(N_ELEMENT - 1, 1.0)] if n.hints else [])]
-    up, size, t = nodes[n.up].tag, len(n.text), n.text
-    values = [n.linked, n.linked > 0.5, log1p(size) / 6, size < 25, size > 80, t[-1] in ".!?:;\"')”", "©" in t, up in HEADS]
-    return [(_TAG.get(up, k - 1), 1.0), *((k + j, float(v)) for j, v in enumerate(values) if v)]
 
+def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which nodes are runs, and the feature rows of the elements and of the runs.
 
-def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of the elements and of the runs."""
-    e, r = np.zeros((len(nodes), N_ELEMENT)), np.zeros((len(nodes), N_RUN))
-    for i, n in enumerate(nodes):
-        for j, v in active(nodes, i):
-            (e if n.text is None else r)[i, j] = v
-    return e, r
+    Of an element: tag, hints, what is around it (hints and elements further up; the body's own are left out), and of its text the
+    share of links, length, length of a run, runs that end like sentences, share of the page, and whether the page has an article or
+    main part elsewhere. Of a run: the tag of its block, what
+    is around it, its links, length and end, and the same of the block that holds its block.
+    """
+    n, k = len(nodes), len(TAGS)
+    is_run = np.array([x.text is not None for x in nodes])
+    up = np.array([x.up for x in nodes])
+    size, links, runs, ends, held = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    around = np.zeros((n, N_AROUND), bool)
+    own = np.zeros((n, len(HINTS)), bool)
+    tag = np.zeros(n, np.int64)
+    for i, x in enumerate(nodes):
+        if x.text is not None:
+            size[i], links[i], runs[i], ends[i] = len(x.text), len(x.text) * x.linked, 1, x.text[-1] in ".!?:;\"')”。！？"
+            tag[i] = tag[x.up]
+        else:
+            tag[i] = _TAG.get(x.tag, k - 1)
+            own[i, list(x.hints)] = True
+            held[i] = x.tag in ("article", "main")
+        if i and nodes[x.up].tag not in ("root", "body"):
+            p = nodes[x.up]
+            around[i] = around[x.up]
+            around[i, list(p.hints)] = True
+            if p.tag in _AROUND:
+                around[i, _AROUND[p.tag]] = True
+    for i in range(n - 1, 0, -1):
+        for c in (size, links, runs, ends, held):
+            c[up[i]] += c[i]
+    outside = (held == 0) & (held[0] > 0) & ~around[:, _AROUND["article"]] & ~around[:, _AROUND["main"]]
+    many, page = np.maximum(runs, 1), max(size[0], 1.0)
+    share, length, mean, closed = links / np.maximum(size, 1), np.log1p(size) / 8, np.log1p(size / many) / 6, ends / many
+    e, els = np.zeros((n, N_ELEMENT)), np.nonzero(~is_run)[0]
+    e[els, tag[els]] = 1
+    e[:, k : k + len(HINTS)] = own
+    at = k + len(HINTS)
+    e[:, at : at + N_AROUND] = around
+    e[:, at + N_AROUND :] = np.stack([own.any(1), outside, share, share > 0.5, length, mean, closed, size / page], 1)
+    r, at = np.zeros((n, N_RUN)), k + N_AROUND
+    rows = np.nonzero(is_run)[0]
+    block = up[rows]
+    holder = np.maximum(up[block], 0)
+    r[rows, tag[rows]] = 1
+    r[rows, k:at] = around[rows]
+    tags = [nodes[i].tag for i in block]
+    texts = [nodes[i].text for i in rows]
+    r[rows, at:] = np.stack([outside[rows], share[rows], share[rows] > 0.5, np.log1p(size[rows]) / 6, size[rows] < 25, size[rows] > 80, ends[rows], ["©" in t for t in texts], [t in HEADS for t in tags],
+                             share[holder], share[holder] > 0.5, length[holder], mean[holder], closed[holder], size[holder] / page, [nodes[i].tag in LISTS for i in holder], share[rows] * (share[holder] < 0.4)], 1) if len(rows) else np.zeros((0, 17))
+    return is_run, e[els], r[rows]
 
 
 class Model:
@@ -231,8 +282,10 @@ class Model:
 
     def marginals(self, nodes: list[Node]) -> np.ndarray:
         """P(content) of each node, by one pass of messages up and one down."""
-        n, we, wr = len(nodes), self.we.tolist(), self.wr.tolist()
-        u = np.array([sum((we if x.text is None else wr)[j] * v for j, v in active(nodes, i)) for i, x in enumerate(nodes)])
+        n = len(nodes)
+        is_run, e, r = features(nodes)
+        u = np.empty(n)
+        u[~is_run], u[is_run] = e @ self.we, r @ self.wr
         own = np.exp(np.stack([-u / 2, u / 2], 1) - np.abs(u / 2)[:, None]).tolist()
         kind, up, pair = [int(x.text is not None) for x in nodes], [x.up for x in nodes], self.pair.tolist()
         below, sent = [list(x) for x in own], [None] * n
@@ -272,7 +325,7 @@ def _prose(r: random.Random, lo: int, hi: int) -> str:
     return " ".join(out)
 
 
-def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 800, seed: int = 11) -> list[tuple[str, set[str]]]:
     """(html, texts of its content runs), composed from templates of many layouts; marks of content carry a unique word."""
     r, pages = random.Random(seed), []
     for _ in range(n):
@@ -286,34 +339,55 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, set[str]]]:
             return t
 
         short = lambda: " ".join(_prose(r, 1, 1).split()[: r.randint(1, 4)]).rstrip(".?!")
+
+        def tiny() -> str:
+            good.add(t := f"{short().split()[0]}{len(good)}x{r.randrange(10**6)}")
+            return t
+
         menu = lambda: "<ul>" + "".join(f'<li><a href="/{i}">{short()}</a></li>' for i in range(r.randint(2, 9))) + "</ul>"
-        cls = lambda i: f'class="{r.choice(["", "site-", "page-", "block-", "c-"])}{r.choice(HINTS[i][1].split())}"'
+        lines = lambda: r.choice(["<br>", " | ", " "]).join(f'<a href="/{i}">{short()}</a>' for i in range(r.randint(2, 9)))
+        word = lambda i: r.choice(HINTS[i][1].split())
+
+        def cls(i: int) -> str:
+            if i == HIDDEN:
+                return r.choice(["hidden", 'style="display:none"', 'aria-hidden="true"', 'class="x" style="color:red; display: none"'])
+            name = r.choice([lambda: word(i), lambda: word(i), lambda: f"{r.choice(['site', 'page', 'block', 'c', 'js', 'x'])}-{word(i)}", lambda: f"{word(i)}-{word(i)}", lambda: f"{word(i)}{r.choice(['-box', '_1', '-wrap', ' inner', 'Area'])}"])()
+            return f'{r.choice(["class", "class", "class", "id", "role"])}="{name}"'
+
         box = lambda i, inner: f"<{(t := r.choice(['div', 'div', 'section']))} {cls(i)}>{inner}</{t}>"
         para = lambda keep=False: f"<p>{say(1, 5, keep)}</p>"
+        plain = lambda: r.choice(["", "", 'class="x1"', 'class="row"', f'class="{word(9)}"', f'class="inner {word(9)}"'])
 
         def junk() -> str:
             return r.choice([
                 lambda: f"<nav>{menu()}</nav>", lambda: box(0, menu()), lambda: f"<aside>{para()}{menu()}</aside>", lambda: box(3, f"<h3>{short()}</h3>" + menu() + para()),
                 lambda: box(4, r.choice([say(), para(), f'<a href="/x">{say(1, 2)}</a>'])), lambda: box(5, para() + f"<button>{short()}</button>"), lambda: box(5, say(1, 2)),
                 lambda: f"<form {cls(7)}><label>{short()}</label><input><p>{say(1, 2)}</p><button>{short()}</button></form>", lambda: box(8, menu()), lambda: f"<dialog {cls(5)}>{para()}</dialog>",
+                lambda: box(4, f"<p {plain()}>{say(1, 3)}</p>"), lambda: box(5, f"<div {plain()}>{say(1, 3)}</div>"), lambda: box(HIDDEN, r.choice([para(), say(1, 3), menu()])), lambda: box(6, f"<div {plain()}>{para()}</div>"),
+                lambda: f"<form><p>{say(1, 3)}</p><input><button>{short()}</button></form>", lambda: f"<form><div {plain()}><h3>{short()}</h3>{para()}</div><input></form>", lambda: f"<aside {plain()}>{r.choice([para(), say(1, 3)])}</aside>",
+                lambda: f"<div>{r.choice([menu, lines])()}</div>", lambda: f"<p {cls(HIDDEN)}>{say(1, 3)}</p>", lambda: box(2, para()), lambda: box(3, f"<div {plain()}>{para()}</div>"), lambda: f"<div><p><a href='/a'>{short()}</a> | <a href='/b'>{short()}</a> | <a href='/c'>{short()}</a></p></div>",
             ])()
 
         def comments() -> str:
-            one = lambda: r.choice([f"<div {cls(6)}>{para()}</div>", f"<li {cls(6)}><b>{short()}</b><p>{say()}</p></li>", f"<article {cls(6)}>{para()}</article>"])
-            return f'<{(t := r.choice(["section", "div", "ol"]))} {r.choice(["id", "class"])}="comments"><h3>{short()}</h3>' + "".join(one() for _ in range(r.randint(1, 5))) + f"</{t}>"
+            one = lambda: r.choice([f"<div {cls(6)}>{para()}</div>", f"<div {plain()}><b>{short()}</b><p {plain()}>{say()}</p></div>", f"<div {plain()}><div {plain()}>{para()}{para()}</div></div>", f"<article {plain()}>{para()}</article>", f"<li>{say()}</li>", f"<li {cls(6)}><b>{short()}</b><p>{say()}</p></li>", f"<article {cls(6)}>{para()}</article>"])
+            return f'<{(t := r.choice(["section", "div", "ol"]))} {cls(6)}><h3>{short()}</h3>' + "".join(one() for _ in range(r.randint(1, 5))) + f"</{t}>"
 
         body = []
         for _ in range(r.randint(1, 12)):
             k = r.random()
-            if k < 0.68:
+            if k < 0.58:
                 body.append(para(True))
-            elif k < 0.76:
+            elif k < 0.66:
                 body.append(f"<h{(h := r.randint(2, 4))}>{say(1, 1, True)}</h{h}>")
-            elif k < 0.84:
+            elif k < 0.71:
                 body.append("<ul>" + "".join(f"<li>{say(1, 1, True)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
-            elif k < 0.9:
+            elif k < 0.74:
                 body.append(f"<blockquote>{r.choice([para(True), say(1, 3, True)])}</blockquote>")
-            elif k < 0.93:
+            elif k < 0.8:
+                body.append("<ul>" + "".join(f"<li>{tiny()}</li>" for _ in range(r.randint(2, 7))) + "</ul>")
+            elif k < 0.84:
+                body.append(f'<p><a href="/x">{say(1, 2, True)}</a></p>')
+            elif k < 0.87:
                 body.append("<table><tr>" + "".join(f"<td>{say(1, 1, True)}</td>" for _ in range(3)) + "</tr></table>")
             elif k < 0.97:
                 body.append(junk())
@@ -331,13 +405,22 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, set[str]]]:
         foot = r.choice([lambda: f"<footer>&copy; {say(1, 2)}</footer>", lambda: f"<footer><p>{say(1, 2)}</p>{menu()}</footer>", lambda: box(2, say(1, 2)), lambda: f"<footer>{say(1, 3)}</footer>"])()
         tail = comments() if r.random() < 0.35 else ""
         sides = [junk() for _ in range(r.randint(0, 3))]
+        k = r.random()
+        if k < 0.14:  # columns of a table
+            cells = [f"<td>{r.choice([menu, lines])()}</td>", f"<td {plain()}>{wrap}</td>", f"<td>{r.choice([menu(), lines(), menu() + say(1, 1), junk(), f'<b>{short()}</b><br>{short()}', f'<h3>{short()}</h3>{short()}<br>{short()}', say(1, 1)])}</td>"]
+            wrap = f"<table><tr>{''.join(cells[r.randint(0, 1):])}</tr></table>"
+        elif k < 0.24:  # names that speak of parts of the page, around all of it
+            wrap = f'<div class="{r.choice(["has", "with", "no"])}-{r.choice([word(0), word(3), word(5), word(6), word(2)])} {r.choice(["", "page", "layout"])}">{"".join(sides)}{wrap}</div>'
+            sides = []
+        elif k < 0.3:  # no article at all
+            wrap, good = r.choice([lambda: comments(), lambda: "", lambda: f"<h2>{short()}</h2>" + menu()])(), set()
         cut_ = r.randint(0, len(sides))
         pages.append((f"<html><head><title>{short()}</title></head><body>{head}{''.join(sides[:cut_])}{wrap}{tail}{''.join(sides[cut_:])}{foot}</body></html>", good))
     return pages
 
 
-def train(pages: list[tuple[str, set[str]]], rounds: int = 400, ridge: float = 2e-4) -> Model:
-    """Unary weights by logistic regression; parent-child potentials by the agreement that is more than chance."""
+def train(pages: list[tuple[str, set[str]]], rounds: int = 12, ridge: float = 1e-5) -> Model:
+    """Unary weights by logistic regression (Newton steps); parent-child potentials by the agreement that is more than chance."""
     es, rs, ye, yr, count = [], [], [], [], np.ones((2, 2, 2))
     for html, good in pages:
         nodes = parse(html)
@@ -350,16 +433,17 @@ def train(pages: list[tuple[str, set[str]]], rounds: int = 400, ridge: float = 2
                 inside[n.up] += inside[i]
                 total[n.up] += total[i]
         y = inside * 2 > total
-        e, r = features(nodes)
-        is_run = np.array([n.text is not None for n in nodes])
-        es.append(e[~is_run]), ye.append(y[~is_run]), rs.append(r[is_run]), yr.append(y[is_run])
+        is_run, e, r = features(nodes)
+        es.append(e), ye.append(y[~is_run]), rs.append(r), yr.append(y[is_run])
         for i, n in enumerate(nodes[1:], 1):
             count[int(n.text is not None), int(y[n.up]), int(y[i])] += 1
 
     def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        w, lr = np.zeros(x.shape[1]), 4.0
+        w, own = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
         for _ in range(rounds):
-            w -= lr * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(x) + ridge * w)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + own, x.T @ (p - y) / len(x) + ridge * w)
+            w -= step
         return w
 
     pair = count / count.sum((1, 2), keepdims=True)

@@ -62,7 +62,7 @@ def test_nulls_ties_long_texts_and_clashes(spark, empty):
         assert sorted(str(r.doc_id) for r in kept(stays, ())) == ([] if empty else ["1", "2", "4", "5", "None"])
     assert len(kept(mixing.emit_copies(mixing.mix_sources(docs), docs.columns), {"size", "source_size", "target", "copies", "taken"})) >= 0
     pages = docs.withColumn("html", F.col("text")).withColumn("page_id", F.col("doc_id"))
-    m = html_text.train(html_text.labelled_pages(30), rounds=20)
+    m = html_text.train(html_text.labelled_pages(30))
     assert len(kept(html_text.extract_pages(pages, m), {"n_chars"})) == n
     vectors = docs.select("doc_id", F.array(F.lit(1.0), F.coalesce(F.col("doc_id"), F.lit(0)).cast("double")).alias("embedding"), *NAMES)
     assert ann.nearest(vectors, F.col("doc_id") < 3, id_col="doc_id").count() == (0 if empty else 4 + 5)
@@ -177,10 +177,11 @@ def test_extraction_keeps_the_article():
 
 
 def test_messages_give_the_exact_marginals():
-    m = html_text.train(html_text.labelled_pages(40), rounds=50)
+    m = html_text.train(html_text.labelled_pages(40))
     nodes = html_text.parse("<div class=menu><p>Some text here.</p><ul><li>a</li></ul></div>")
-    e, r = html_text.features(nodes)
-    u = [float(e[i] @ m.we if x.text is None else r[i] @ m.wr) for i, x in enumerate(nodes)]
+    is_run, e, r = html_text.features(nodes)
+    u = np.empty(len(nodes))
+    u[~is_run], u[is_run] = e @ m.we, r @ m.wr
     total, on = 0.0, np.zeros(len(nodes))
     for s in range(1 << len(nodes)):
         y = [s >> i & 1 for i in range(len(nodes))]
@@ -313,7 +314,7 @@ def test_nearest_by_blocks_and_of_close_long_vectors(spark):
 def test_pages_null_empty_and_clashing_columns(spark):
     rows = [(1, "u", None, 5), (2, None, "", 6), (3, "v", "<p>" * 600 + "One sentence of content, long enough to be read." + "</div>", 7), (3, "v", "<p>x", 7)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int").withColumn("text", F.lit("clash"))
-    m = html_text.train(html_text.labelled_pages(60), rounds=60)
+    m = html_text.train(html_text.labelled_pages(60))
     got = html_text.extract_pages(pages, m).orderBy("page_id").collect()
     assert len(got) == 4 and [(r.text, r.n_chars) for r in got[:2]] == [("", 0)] * 2 and all(len(r.text) == r.n_chars for r in got)
     assert html_text.extract_pages(pages.where("false"), m).count() == 0
