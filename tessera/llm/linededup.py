@@ -6,11 +6,12 @@ their places in the original text kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, table
@@ -27,10 +28,52 @@ LATE = 4_000_000
 #: Units end after a line break, and within a line where a capital follows a small letter: at sentences, and at the seams of
 #: passages that were pasted into other text. The pieces put together are the text.
 #: The capital is tried first: it fails at most places, and looking back is slow.
-PIECES = r"(?<=\n)|(?=\p{Lu})(?<=(?:\p{Ll}|\p{Ll}[.,;:!?]) )"
+#: Sentences end in any script; after marks that no space follows, too.
+PIECES = r"(?<=\n)|(?=\p{Lu})(?<=(?:\p{Ll}|\p{Ll}[.,;:!?]) )|(?<=[.!?\u061F\u0964] )|(?<=[\u3002\uFF01\uFF1F])"
+#: Pieces of more characters are cut further, at one in EVERY places between words, as a hash of the two words tells, so that equal
+#: passages are cut alike wherever they stand; where EDGE words have no such place, at each EDGE-th word of the piece.
+LONG, LONG_UNSPACED, EVERY, EDGE = 250, 40, 5, 32
+#: Scripts without spaces: each character is a word.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
+WORDS = rf"(?<=\s)(?=\S)|(?<=[{UNSPACED}])(?=[^\s])|(?<=\S)(?=[{UNSPACED}])"
 PARAGRAPHS = r"(?<=\n\n)"
 
 
+_WORD = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
+
+
+def word_count(unit: str) -> int:
+    return len(unit.split()) if unit.isascii() else len(_WORD.findall(unit))
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), in which value is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def cut_long(piece: Column) -> Column:
+    """The parts of a long piece; put together they are the piece."""
+
+    def parts(words: Column) -> Column:
+        word = lambda i: F.lower(F.trim(F.regexp_replace(F.get(words, i), r"\s+$", "")))
+        marked = F.transform(words, lambda _, i: (i > 0) & (F.pmod(F.xxhash64(word(i - 1), word(i)), F.lit(EVERY)) == 0))
+
+        def at(marks: Column) -> Column:
+            bare = lambda i: ~F.exists(F.slice(marks, F.greatest(i - EDGE + 2, F.lit(1)), EDGE), lambda m: m)
+            starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(marks, i) | (i == 0) | ((F.pmod(i, F.lit(EDGE)) == 0) & bare(i)))
+            return named(starts, lambda s: F.transform(s, lambda first, j: F.array_join(F.slice(words, first + 1, F.coalesce(F.get(s, j + 1), F.size(words)) - first), "")))
+
+        return named(marked, at)
+
+    return named(F.split(piece, WORDS), parts)
+
+
+def pieces_of(text: Column) -> Column:
+    """The units of a text by line: lines, sentences, and parts of long ones."""
+    long = lambda p: (F.char_length(p) > LONG) | ((F.char_length(p) > LONG_UNSPACED) & p.rlike(f"[{UNSPACED}]"))
+    return F.flatten(F.transform(F.split(text, PIECES), lambda p: F.when(long(p), cut_long(p)).otherwise(F.array(p))))
+
+
 def lost(words: list[int], ends: list[bool], late: set[int], min_line: int, min_run: int) -> set[int]:
     """Which of the late units go: those of whole late lines, and of runs of late units, with enough words.
 
@@ -72,7 +115,7 @@ def late_units(units: DataFrame) -> DataFrame:
 def dedup_units(docs: DataFrame, unit: str = "line", min_line: int = MIN_LINE, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col rewritten and n_units, n_removed, removed added (array of (start, length) in code points of the original).
 
-    unit: "line" (and its sentences) or "paragraph". Units are equal if they are the same after lower-casing and turning
+    unit: "line" (its sentences, and parts of long ones) or "paragraph". Units are equal if they are the same after lower-casing and turning
     white space into single spaces; a 128-bit hash stands for them. The first by (id, hash of the text, place) stays, null ids
     last; later ones are late, and go as `lost` tells: by default every whole line that is late. Rows of equal id and text
     count as one and come out equal. Null text stays null and empty text empty, without units removed. An empty table gives an
@@ -80,7 +123,7 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_line: int = MIN_LINE, m
     """
     docs = docs.drop("n_units", "n_removed", "removed").withColumn(text_col, F.col(text_col).cast("string"))
     k_id, k_text, late_, units_, sizes_, n_ = fresh(docs, "key_id", "key_text", "late_at", "cut_up", "sizes", "count_of_units")
-    pieces = F.split(text_col, PIECES if unit == "line" else PARAGRAPHS)
+    pieces = pieces_of(F.col(text_col)) if unit == "line" else F.split(text_col, PARAGRAPHS)
     key_text = F.xxhash64(text_col)
     norm = F.trim(F.lower(F.regexp_replace("u", r"\s+", " ")))
     units = docs.select(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), key_text.alias("t"), F.posexplode(pieces).alias("pos", "u")).withColumn("u", norm).where("u <> ''")
@@ -107,7 +150,7 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_line: int = MIN_LINE, m
                 whole, size = text.as_py(), sizes[i].as_py()
                 starts = [0, *accumulate(size)]
                 parts = [whole[s : s + n] for s, n in zip(starts, size)]
-                gone = lost([len(u.split()) for u in parts], [u.endswith("\n") for u in parts], set(late[i].as_py()), min_line, min_run)
+                gone = lost([word_count(u) for u in parts], [u.endswith("\n") for u in parts], set(late[i].as_py()), min_line, min_run)
                 texts.append("".join(u for j, u in enumerate(parts) if j not in gone) if gone else whole)
                 k.append(len(gone))
                 taken.append([{"start": starts[j], "length": size[j]} for j in sorted(gone)])

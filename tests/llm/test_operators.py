@@ -230,8 +230,25 @@ def brute_dedup(rows, min_line, min_run):
     """{row number: (text, removed)} by plain loops: pieces of lines, the first by (id, hash rank, place) stays."""
     import regex
 
-    cut_at = regex.compile(r"(?<=\n)|(?<=(?:\p{Ll}|\p{Ll}[.,;:!?]) )(?=\p{Lu})")
-    pieces = {i: [p for p in cut_at.split(t or "") if p] for i, t in rows}
+    import xxhash
+
+    cut_at = regex.compile(r"(?<=\n)|(?<=(?:\p{Ll}|\p{Ll}[.,;:!?]) )(?=\p{Lu})|(?<=[.!?] )")
+
+    def parts(piece):
+        """A long piece's words, a new part where the hash of two words is divisible by 5, or at each 32nd word without one."""
+        if len(piece) <= 250:
+            return [piece]
+        w = [x for x in regex.split(r"(?<=\s)(?=\S)", piece) if x]
+        key = [x.strip().lower().encode() for x in w]
+        signed = lambda x: x - (1 << 64) * (x >> 63)
+        marks = [i > 0 and signed(xxhash.xxh64_intdigest(key[i], xxhash.xxh64_intdigest(key[i - 1], 42))) % 5 == 0 for i in range(len(w))]
+        marks = [m or i == 0 or i % 32 == 0 and not any(marks[max(0, i - 31) : i + 1]) for i, m in enumerate(marks)]
+        out = []
+        for x, new in zip(w, marks):
+            out = [*out, x] if new else [*out[:-1], out[-1] + x]
+        return out
+
+    pieces = {i: [q for p in cut_at.split(t or "") if p for q in parts(p)] for i, t in rows}
     first, out = {}, {}
     norm = lambda u: regex.sub(r"[ \t\n\x0b\f\r]+", " ", u).lower().strip(" ")
     for i in sorted(pieces):
