@@ -25,14 +25,13 @@ MIN_LINE, MIN_RUN, QUERY_MIN_LINE = 1, 20, 5
 DIGESTS = 20_000
 #: Removed positions up to which they are broadcast to the documents; beyond it both sides are shuffled.
 LATE = 4_000_000
-#: Units end after a line break, and within a line where a capital follows a small letter: at sentences, and at the seams of
-#: passages that were pasted into other text. The pieces put together are the text.
-#: The capital is tried first: it fails at most places, and looking back is slow.
-#: Sentences end in any script; after marks that no space follows, too.
-PIECES = r"(?<=\n)|(?=\p{Lu})(?<=(?:\p{Ll}|\p{Ll}[.,;:!?]) )|(?<=[.!?\u061F\u0964] )|(?<=[\u3002\uFF01\uFF1F])"
+#: Units end after a line break, and within a line where a capital follows a small letter, or a letter without case or a capital
+#: follows the end of a sentence: at sentences, and at the seams of passages that were pasted into other text. The pieces put
+#: together are the text. The letter is tried first: looking back is slow.
+PIECES = r"(?<=\n)|(?=[\p{Lu}\p{Lo}])(?<=(?:\p{Ll}|[\p{Ll}\p{Lu}\p{Lo}\p{M}\p{Nd}][.!?\u061F\u0964]|\p{Ll}[,;:]) )|(?<=[\u3002\uFF01\uFF1F])"
 #: Pieces of more characters are cut further, at one in EVERY places between words, as a hash of the two words tells, so that equal
 #: passages are cut alike wherever they stand; where EDGE words have no such place, at each EDGE-th word of the piece.
-LONG, LONG_UNSPACED, EVERY, EDGE = 250, 40, 5, 32
+LONG, LONG_UNSPACED, EVERY, EDGE = 400, 40, 6, 32
 #: Scripts without spaces: each character is a word.
 UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
 WORDS = rf"(?<=\s)(?=\S)|(?<=[{UNSPACED}])(?=[^\s])|(?<=\S)(?=[{UNSPACED}])"
@@ -55,8 +54,8 @@ def cut_long(piece: Column) -> Column:
     """The parts of a long piece; put together they are the piece."""
 
     def parts(words: Column) -> Column:
-        word = lambda i: F.lower(F.trim(F.regexp_replace(F.get(words, i), r"\s+$", "")))
-        marked = F.transform(words, lambda _, i: (i > 0) & (F.pmod(F.xxhash64(word(i - 1), word(i)), F.lit(EVERY)) == 0))
+        hashed = F.transform(words, lambda w: F.xxhash64(F.lower(F.rtrim(w, F.lit(" \t\n\x0b\f\r")))))
+        marked = named(hashed, lambda h: F.transform(h, lambda x, i: (i > 0) & (F.pmod(F.xxhash64(F.get(h, i - 1), x), F.lit(EVERY)) == 0)))
 
         def at(marks: Column) -> Column:
             bare = lambda i: ~F.exists(F.slice(marks, F.greatest(i - EDGE + 2, F.lit(1)), EDGE), lambda m: m)

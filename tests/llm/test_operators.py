@@ -232,16 +232,16 @@ def brute_dedup(rows, min_line, min_run):
 
     import xxhash
 
-    cut_at = regex.compile(r"(?<=\n)|(?<=(?:\p{Ll}|\p{Ll}[.,;:!?]) )(?=\p{Lu})|(?<=[.!?] )")
+    cut_at = regex.compile(r"(?<=\n)|(?<=(?:\p{Ll}|\p{Ll}[.,;:!?]) )(?=\p{Lu})|(?<=[\p{Ll}\p{Lu}\p{Nd}][.!?] )(?=\p{Lu})")
 
     def parts(piece):
-        """A long piece's words, a new part where the hash of two words is divisible by 5, or at each 32nd word without one."""
-        if len(piece) <= 250:
+        """A long piece's words, a new part where the hash of two words is divisible by 6, or at each 32nd word without one."""
+        if len(piece) <= 400:
             return [piece]
         w = [x for x in regex.split(r"(?<=\s)(?=\S)", piece) if x]
-        key = [x.strip().lower().encode() for x in w]
         signed = lambda x: x - (1 << 64) * (x >> 63)
-        marks = [i > 0 and signed(xxhash.xxh64_intdigest(key[i], xxhash.xxh64_intdigest(key[i - 1], 42))) % 5 == 0 for i in range(len(w))]
+        key = [xxhash.xxh64_intdigest(x.strip().lower().encode(), 42).to_bytes(8, "little") for x in w]
+        marks = [i > 0 and signed(xxhash.xxh64_intdigest(key[i], xxhash.xxh64_intdigest(key[i - 1], 42))) % 6 == 0 for i in range(len(w))]
         marks = [m or i == 0 or i % 32 == 0 and not any(marks[max(0, i - 31) : i + 1]) for i, m in enumerate(marks)]
         out = []
         for x, new in zip(w, marks):
