@@ -5,9 +5,9 @@ states are the classes of phrases that end at the same positions, with the numbe
 shorter end of theirs. They come from sorting: phrases of k words split the classes of phrases of k - 1 words by the word
 before. States give the counts of all phrases of the shard; the counts of all shards are summed.
 
-Only phrases that can reach the least count are summed as text. A first pass sums all pairs of frequent words by a hash; a shard then
-learns which of its pairs occur often enough anywhere, and counts longer phrases over those only. Equal hashes can let
-a phrase through to the second pass, where it is counted by itself: they never change a result.
+Only phrases that can reach the least count are summed as text. A first pass sums all pairs of words by a 96-bit hash, and finds a
+shard that has each; a shard then learns which of its pairs occur often enough anywhere, gives the text of those that are its own
+to give, and counts longer phrases over frequent pairs only.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +28,11 @@ from tessera.plans.lineage import cut, forget, stored
 from tessera.plans.skew import fits, lookup_join, split_join
 
 LEAST, DEPTH, FIRST, SHARE = 100, 5, 2000, 100
-#: Words from which a shard is closed (with the text that fills it), and of all open shards of a task.
-SHARD_WORDS, OPEN_WORDS = 1 << 19, 1 << 20
-#: Hashes of words, and of pairs, up to which they are broadcast (32 MB); rows of a batch of phrases.
-HASHES, ROWS = 4_000_000, 1 << 16
+#: Words from which a shard is closed (with the text that fills it), and of all open shards of a task; words of the shards over which
+#: a task builds one automaton.
+SHARD_WORDS, OPEN_WORDS, JOINED_WORDS = 1 << 16, 1 << 20, 1 << 19
+#: Frequent pairs up to which they are broadcast (40 MB); rows of a batch of phrases.
+PAIRS, ROWS = 2_000_000, 1 << 16
 BREAKS = ".,;:!?\n\v\f\r"
 #: A byte that UTF-8 never has stands for a break.
 BREAK = b"\xff"
@@ -151,100 +151,156 @@ def word_hashes(lang: str, words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def pair_hashes(lang: str, words: list[str], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of language and pair of words, by the pair's end."""
+def pair_hashes(lang: str, words: list[str], ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of language and pair of words, of 64 and 32 bits, by the pair's end."""
     h = word_hashes(lang, words)
     a, b = h[ids[ends - 1]], h[ids[ends]]
     mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + (a >> np.uint64(31)))
     mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return mixed ^ (mixed >> np.uint64(32))
+    other = (a ^ (b * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xA0761D6478BD642F)
+    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64), (other >> np.uint64(33)).astype(np.int32)
 
 
-def opened(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
-    """(shard, lang, words, ids, *more) by row."""
+@dataclass
+class Group:
+    """Shards of one language under one numbering of words: their numbers, where each begins in ids, and what else their rows hold."""
+
+    lang: str
+    words: list[str]
+    ids: np.ndarray
+    shards: np.ndarray
+    starts: np.ndarray
+    more: list
+
+
+def groups(batches: Iterator[pa.RecordBatch], more: str | None = None) -> Iterator[Group]:
+    """The shards of a task, joined by language up to JOINED_WORDS."""
+    held: dict[str, list] = {}
+
+    def joined(lang: str) -> Group:
+        number, parts, shards, extra = {"": 0}, [], [], []
+        for shard, words, ids, x in held.pop(lang):
+            parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))[ids])
+            shards.append(shard)
+            extra.append(x)
+        return Group(lang, list(number), np.concatenate(parts), np.array(shards), np.cumsum([0, *map(len, parts)])[:-1], extra)
+
     for b in batches:
         for i in range(b.num_rows):
             shard, lang, words, ids = (b.column(c)[i].as_py() for c in ("shard", "lang", "words", "ids"))
-            yield shard, lang, words, np.frombuffer(ids, np.int32), *[b.column(c)[i].values.to_numpy() for c in more]
+            own = held.setdefault(lang, [])
+            own.append((shard, words, np.frombuffer(ids, np.int32), b.column(more)[i].as_py() if more else None))
+            if sum(len(x[2]) for x in own) >= JOINED_WORDS:
+                yield joined(lang)
+            elif sum(len(x[2]) for rows in held.values() for x in rows) >= 2 * JOINED_WORDS:
+                yield joined(max(held, key=lambda k: sum(len(x[2]) for x in held[k])))
+    for lang in list(held):
+        yield joined(lang)
 
 
 def word_counts(shards: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, f) of the words with f >= least."""
 
     def run(batches):
-        for _, lang, words, ids in opened(batches):
-            n = np.bincount(ids, minlength=len(words))[1:]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(words[1:], pa.string()), pa.array(n)], names=["lang", "phrase", "f"])
+        for g in groups(batches):
+            n = np.bincount(g.ids, minlength=len(g.words))[1:]
+            yield pa.RecordBatch.from_arrays([pa.array([g.lang] * len(n), pa.string()), pa.array(g.words[1:], pa.string()), pa.array(n)], names=["lang", "phrase", "f"])
 
     found = shards.select("shard", "lang", "words", "ids").mapInArrow(run, "lang string, phrase string, f long")
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
-def sent_hashes(rows: DataFrame) -> Broadcast:
-    """The one column of rows, as sorted unsigned numbers, broadcast."""
-    return rows.sparkSession.sparkContext.broadcast(np.sort(rows.toArrow().column(0).to_numpy().view(np.uint64)))
+def pair_rows(shards: DataFrame) -> DataFrame:
+    """(shard, h, g, n): the hashes of pairs, how often they occur in the shards that a task joins, and one of these that has them."""
 
+    def run(batches):
+        for x in groups(batches):
+            ends, n = automaton(x.ids, 2).phrases(2)
+            h, g = pair_hashes(x.lang, x.words, x.ids, ends)
+            own = x.shards[np.searchsorted(x.starts, ends, side="right") - 1]
+            for b in range(0, len(h), ROWS):
+                to = slice(b, b + ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(own[to]), pa.array(h[to]), pa.array(g[to]), pa.array(n[to], pa.int64())], names=["shard", "h", "g", "n"])
 
-def pair_rows(shards: DataFrame, words: DataFrame, hashes_sent: int) -> DataFrame:
-    """(shard, h, n): the hashes of each shard's pairs and how often they occur there.
+    return shards.select("shard", "lang", "words", "ids").mapInArrow(run, "shard long, h long, g int, n long")
 
-    Words that aren't among the frequent ones, `words`, are left out, if these are few enough to be broadcast.
-    """
-    sent = None
-    if fits(words, hashes_sent):
-        sent = sent_hashes(words.select(F.xxhash64("lang", "phrase")))
 
-    def run(batches):
-        for shard, lang, words, ids in opened(batches):
-            if sent:
-                ids = np.where(among(word_hashes(lang, words), sent.value)[ids], ids, 0)
-            ends, n = automaton(ids, 2).phrases(2)
-            h = pair_hashes(lang, words, ids, ends)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard)), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["shard", "h", "n"])
+class Frequent:
+    """Frequent pairs: hashes, how often they occur, and the shard that gives their text."""
 
-    return shards.select("shard", "lang", "words", "ids").mapInArrow(run, "shard long, h long, n long")
+    def __init__(self, h: np.ndarray, g: np.ndarray, f: np.ndarray, first: np.ndarray):
+        order = np.lexsort((g, h))
+        self.h, self.g, self.f, self.first = h[order], g[order], f[order], first[order]
+        self.same = int(np.unique(self.h, return_counts=True)[1].max(initial=0))
 
+    def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """The place of each pair, -1 of those that aren't frequent."""
+        out, at = np.full(len(h), -1), np.searchsorted(self.h, h)
+        for _ in range(self.same):
+            near = np.minimum(at, len(self.h) - 1)
+            out[(self.h[near] == h) & (self.g[near] == g)] = near[(self.h[near] == h) & (self.g[near] == g)]
+            at = at + 1
+        return out
 
-def phrase_counts(shards: DataFrame, words: DataFrame, least: int, depth: int, hashes_sent: int = HASHES) -> DataFrame:
-    """(lang, phrase, size, f) of the phrases of 2 to depth words with f >= least; words: those with f >= least.
 
-    The hashes of pairs that occur `least` times or more are broadcast if there are no more than hashes_sent.
-    Beyond it each shard gets those that it holds, by a join on the shard: no more than it has words.
+def phrase_counts(shards: DataFrame, least: int, depth: int, pairs_sent: int = PAIRS) -> DataFrame:
+    """(lang, phrase, size, f) of the phrases of 2 to depth words with f >= least.
+
+    Pairs that occur `least` times or more are broadcast if there are no more than pairs_sent, at 20 bytes each. Beyond it each shard
+    gets those that it holds, by a join on the shard: no more than it has words.
     """
-    rows = pair_rows(shards, words, hashes_sent)
-    often = cut(rows.groupBy("h").agg(F.sum("n").alias("f"), F.count("*").alias("times")).where(F.col("f") >= least).select("h", "times"))
-    texts = shards.select("shard", "lang", "words", "ids")
-    sent = None
-    if fits(often, hashes_sent):
-        sent = sent_hashes(often.select("h"))
+    rows = pair_rows(shards)
+    often = cut(rows.groupBy("h", "g").agg(F.sum("n").alias("f"), F.min("shard").alias("first"), F.count("*").alias("times")).where(F.col("f") >= least))
+    texts, sent = shards.select("shard", "lang", "words", "ids"), None
+    if fits(often, pairs_sent):
+        sent = shards.sparkSession.sparkContext.broadcast(Frequent(*[c.to_numpy() for c in often.select("h", "g", "f", "first").toArrow().columns]))
     else:
-        texts = texts.join(split_join(rows.select("shard", "h"), often, "h", "times").groupBy("shard").agg(F.collect_list("h").alias("pairs")), "shard")
+        each = shard_pairs(shards)
+        held = split_join(each, cut(often.drop("times").join(each.groupBy("h", "g").agg(F.count("*").alias("times")), ["h", "g"])), ["h", "g"], "times")
+        texts = texts.join(held.groupBy("shard").agg(F.collect_list(F.struct("h", "g", "f", "first")).alias("pairs")), "shard")
 
     def run(batches):
-        for _, lang, words, ids, *own in opened(batches, *([] if sent else ["pairs"])):
-            pair = np.zeros(len(ids), bool)
-            at = np.nonzero((ids[1:] > 0) & (ids[:-1] > 0))[0] + 1
-            pair[at] = among(pair_hashes(lang, words, ids, at), sent.value if sent else np.sort(own[0].view(np.uint64)))
-            states = automaton(ids, depth, pair)
+        for x in groups(batches, None if sent else "pairs"):
+            if sent:
+                known = sent.value
+            else:
+                pairs = {(p["h"], p["g"]): (p["f"], p["first"]) for own in x.more for p in own}
+                known = Frequent(np.array([k[0] for k in pairs], np.int64), np.array([k[1] for k in pairs], np.int32), np.array([v[0] for v in pairs.values()], np.int64), np.array([v[1] for v in pairs.values()], np.int64))
+            pair = np.zeros(len(x.ids), bool)
+            at = np.nonzero((x.ids[1:] > 0) & (x.ids[:-1] > 0))[0] + 1
+            if len(known.h):
+                pair[at] = known.find(*pair_hashes(x.lang, x.words, x.ids, at)) >= 0
+            states = automaton(x.ids, depth, pair)
             for k in range(2, depth + 1):
                 ends, n = states.phrases(k)
+                if k == 2 and len(ends):
+                    place = known.find(*pair_hashes(x.lang, x.words, x.ids, ends))
+                    mine = np.isin(known.first[place], x.shards)
+                    ends, n = ends[mine], known.f[place[mine]]
                 for b in range(0, len(n), ROWS):
                     e = ends[b : b + ROWS]
-                    cols = [map(words.__getitem__, ids[e - k + 1 + j].tolist()) for j in range(k)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(e), pa.string()), pa.array(map(" ".join, zip(*cols)), pa.string()), pa.array(np.full(len(e), k, np.int32)), pa.array(n[b : b + ROWS], pa.int64())], names=["lang", "phrase", "size", "f"])
+                    cols = [map(x.words.__getitem__, x.ids[e - k + 1 + j].tolist()) for j in range(k)]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.lang] * len(e), pa.string()), pa.array(map(" ".join, zip(*cols)), pa.string()), pa.array(np.full(len(e), k, np.int32)), pa.array(n[b : b + ROWS], pa.int64())], names=["lang", "phrase", "size", "f"])
 
     found = texts.mapInArrow(run, "lang string, phrase string, size int, f long")
     return found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
-def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of x are in known, which is sorted."""
-    at = np.searchsorted(known, x)
-    at[at == len(known)] = 0
-    return known[at] == x if len(known) else np.zeros(len(x), bool)
+def shard_pairs(shards: DataFrame) -> DataFrame:
+    """(shard, h, g): the pairs of each shard."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                shard, lang, words, ids = (b.column(c)[i].as_py() for c in ("shard", "lang", "words", "ids"))
+                ids = np.frombuffer(ids, np.int32)
+                h, g = pair_hashes(lang, words, ids, automaton(ids, 2).phrases(2)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard)), pa.array(h), pa.array(g)], names=["shard", "h", "g"])
+
+    return shards.select("shard", "lang", "words", "ids").mapInArrow(run, "shard long, h long, g int")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, first: int = FIRST, share: int = SHARE, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS, hashes_sent: int = HASHES) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, first: int = FIRST, share: int = SHARE, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS, pairs_sent: int = PAIRS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first phrases of each language by score, then a, then the phrase's bytes.
 
     Words are lower-cased (A-Z) and parted by blanks and tabs; a phrase of 2 to depth words doesn't go over `.,;:!?` or a line
@@ -257,7 +313,7 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, first:
     """
     shards, folder = stored(sharded(docs, lang_col, text_col, shard_words), "shards")
     words = cut(word_counts(shards, least))
-    found = cut(phrase_counts(shards, words, least, depth, hashes_sent))
+    found = cut(phrase_counts(shards, least, depth, pairs_sent))
     total = cut(shards.groupBy("lang").agg(F.sum("n").alias("n")))
     forget(docs.sparkSession, folder)
     parts = words.unionByName(found.select("lang", "phrase", "f"))

@@ -48,9 +48,10 @@ def corpus(seed, n=150):
 def test_collocations_against_plain_counts(spark, monkeypatch, shard_words, share, bound):
     for f in (skew.split_join, skew.lookup_join):
         monkeypatch.setattr(f, "__defaults__", tuple(bound if x == skew.BROADCAST_ROWS else x for x in f.__defaults__))
+    monkeypatch.setattr(ph, "JOINED_WORDS", 3 * shard_words // 2)
     rows = corpus(7)
     df = spark.createDataFrame(rows, "lang string, text string").withColumn("shard", F.lit("own")).withColumn("ids", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
-    got = ph.collocations(df.repartition(3), least=8, first=40, share=share, shard_words=shard_words, hashes_sent=min(bound, ph.HASHES))
+    got = ph.collocations(df.repartition(3), least=8, first=40, share=share, shard_words=shard_words, pairs_sent=min(bound, ph.PAIRS))
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and all(t == "bigint" for c, t in got.dtypes if c not in ("lang", "phrase"))
     want = plain(rows, 8, 40, share)
     assert sorted(map(tuple, got.collect())) == want and len(want) > 60
