@@ -16,15 +16,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, table
 from tessera.plans.lineage import cut, forget, stored
-from tessera.plans.skew import BROADCAST_ROWS, lookup_join, split_join
+from tessera.plans.skew import lookup_join, split_join
 
 #: Words from which a repeated line, or a run of repeated units within lines, is removed. One word a line is the exact mode;
 #: the registered query takes QUERY_MIN_LINE, so that a "Yes." that many clean documents hold is left to them.
 MIN_LINE, MIN_RUN, QUERY_MIN_LINE = 1, 20, 5
 #: Digests up to which they are broadcast to the units: they grow with the corpus, so that only small corpora do so.
 DIGESTS = 20_000
-#: Removed positions up to which they are broadcast to the documents; beyond it both sides are shuffled.
-LATE = 4_000_000
 #: Units end after a line break, and within a line where a capital follows a small letter, or a letter without case or a capital
 #: follows the end of a sentence: at sentences, and at the seams of passages that were pasted into other text. The pieces put
 #: together are the text. The letter is tried first: looking back is slow.
@@ -129,8 +127,8 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_line: int = MIN_LINE, m
     units, folder = stored(units.select(F.xxhash64("u").alias("h1"), F.xxhash64(F.lit("second"), "u").alias("h2"), "n", "id", "t", "pos"), "units")
     late = late_units(units).select(F.col("id").alias(k_id), F.col("t").alias(k_text), F.col("late").alias(late_))
     forget(docs.sparkSession, folder)
-    held = late.agg(F.sum(F.size(late_))).first()[0] or 0
-    out = lookup_join(docs.withColumn(k_id, F.col(id_col)).withColumn(k_text, key_text), late, [k_id, k_text], "left", BROADCAST_ROWS if held <= LATE else -1)
+    # Positions grow with the corpus: they are never broadcast.
+    out = lookup_join(docs.withColumn(k_id, F.col(id_col)).withColumn(k_text, key_text), late, [k_id, k_text], "left", -1)
     out = out.withColumn(units_, pieces).withColumn(n_, F.when(F.length(text_col) > 0, F.size(units_)).otherwise(0).cast("long"))
     out = out.withColumn(sizes_, F.when(F.col(late_).isNotNull(), F.transform(units_, F.char_length)))
     cols = docs.columns
