@@ -30,7 +30,7 @@ from tessera.plans.skew import fits, lookup_join, split_join
 LEAST, DEPTH, FIRST, SHARE = 100, 5, 2000, 100
 #: Words from which a shard is closed (with the text that fills it), and of all open shards of a task; words of the shards over which
 #: a task builds one automaton.
-SHARD_WORDS, OPEN_WORDS, JOINED_WORDS = 1 << 16, 1 << 20, 1 << 19
+SHARD_WORDS, OPEN_WORDS, JOINED_WORDS = 1 << 16, 1 << 19, 1 << 18
 #: Frequent pairs up to which they are broadcast (40 MB); rows of a batch of phrases.
 PAIRS, ROWS = 2_000_000, 1 << 16
 BREAKS = ".,;:!?\n\v\f\r"
@@ -250,13 +250,13 @@ def phrase_counts(shards: DataFrame, least: int, depth: int, pairs_sent: int = P
     gets those that it holds, by a join on the shard: no more than it has words.
     """
     rows = pair_rows(shards)
-    often = cut(rows.groupBy("h", "g").agg(F.sum("n").alias("f"), F.min("shard").alias("first"), F.count("*").alias("times")).where(F.col("f") >= least))
+    often = cut(rows.groupBy("h", "g").agg(F.sum("n").alias("f"), F.min("shard").alias("first")).where(F.col("f") >= least))
     texts, sent = shards.select("shard", "lang", "words", "ids"), None
     if fits(often, pairs_sent):
         sent = shards.sparkSession.sparkContext.broadcast(Frequent(*[c.to_numpy() for c in often.select("h", "g", "f", "first").toArrow().columns]))
     else:
         each = shard_pairs(shards)
-        held = split_join(each, cut(often.drop("times").join(each.groupBy("h", "g").agg(F.count("*").alias("times")), ["h", "g"])), ["h", "g"], "times")
+        held = split_join(each, cut(often.join(each.groupBy("h", "g").agg(F.count("*").alias("times")), ["h", "g"])), ["h", "g"], "times")
         texts = texts.join(held.groupBy("shard").agg(F.collect_list(F.struct("h", "g", "f", "first")).alias("pairs")), "shard")
 
     def run(batches):
