@@ -12,6 +12,7 @@ from tessera.operators import features, metrics, policies, splits
 from tessera.operators.bm25 import Index
 from tessera.operators.fusion import rerank_prefix, token_overlap, weighted_rrf
 from tessera.operators.router import PUBLISHED
+from tessera.operators.study import labelled, require_unlabelled
 from tessera.operators.vector import counted_components, dense_search, hashed_embedding, unit_vectors
 from tessera.plans.lineage import cut
 from tessera.sources.tables import corpus, derived_qrels, queries
@@ -55,7 +56,7 @@ class Evaluation:
 
     @cached_property
     def qrels(self) -> DataFrame:
-        return cut(derived_qrels(self.docs, self.queries, self.index.postings))
+        return labelled(cut(derived_qrels(self.docs, self.queries, self.index.postings)), "query_id", "doc_id")
 
     @cached_property
     def deep_bm25(self) -> DataFrame:
@@ -110,6 +111,7 @@ class Evaluation:
     def predictions(self) -> DataFrame:
         """Features and the published router's prediction of each query; no label is read."""
         f = features.router_features(self.queries, self.bm25, self.dense).join(self.queries.select("query_id", "src"), "query_id")
+        require_unlabelled(f, "predictions")
         return cut(f.withColumn("p", F.round(PUBLISHED.predict(), 9)))
 
     @cached_property

@@ -13,13 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import checks, failures, features, fusion, latency, metrics, policies, router, runtime, splits, stats
+from tessera.operators import anchors, checks, failures, features, fusion, latency, metrics, policies, router, runtime, splits, stats, study
 from tessera.operators.components import connected_components
 from tessera.operators.ranking import top_k
 from tessera.operators.vector import counted_components, dense_search, embedding_quality, hashed_embedding, hashing_model
 from tessera.plans.base import DUCK_BASE, EVAL
 from tessera.plans.evaluation import DEPTH, evaluation
-from tessera.plans.lineage import ensure_checkpoint_dir, forget
+from tessera.plans.lineage import cut, ensure_checkpoint_dir, forget
 from tessera.sources import vectors
 from tessera.sources.tables import corpus, table
 from tessera.streaming.latency import drain, latency_windows, read_events
@@ -481,13 +481,130 @@ def _pair_tokens(s: SparkSession, d: str) -> DataFrame:
     return checks.pair_tokens(e.queries, e.docs, e.hybrid.where("rank <= 20"), 64, 3, tx.tokenize)
 
 
+def _ridge(src: str, alpha: float = 10.0) -> str:
+    """The ridge fit of d on the features of a relation, as common table expressions: w(w0 .. w6, md) by elimination of the scaled
+    system, m and s with the means and scales."""
+    k = range(len(router.FEATURES))
+    dev = [f"({f} - m{i})" for i, f in enumerate(router.FEATURES)] + ["(d - md)"]
+    sums = ", ".join(f"sum({dev[i]} * {dev[j]}) AS s{i}_{j}" for i in k for j in range(i, len(dev)))
+    row = lambda i: ", ".join([f"s{min(i, j)}_{max(i, j)} / (c{i} * c{j})" + (f" + {alpha}e0" if i == j else "") for j in k] + [f"s{i}_{len(k)} / c{i}"])
+    rows = " UNION ALL ".join(f"SELECT {i} AS i, [{row(i)}] AS v FROM g, c" for i in k)
+    step = lambda n: f"e{n + 1} AS (SELECT i, CASE WHEN i = {n} THEN list_transform(v, lambda x: x / p[{n + 1}]) ELSE list_transform(range(1, {len(k) + 2}), lambda j: v[j] - v[{n + 1}] * p[j] / p[{n + 1}]) END AS v FROM e{n}, (SELECT v AS p FROM e{n} WHERE i = {n}) AS z)"
+    scales = ", ".join(f"CASE WHEN sqrt(s{i}_{i} / n) <= 1e-12 THEN 1e0 ELSE sqrt(s{i}_{i} / n) END AS c{i}" for i in k)
+    return (f"m AS (SELECT count(*) AS n, avg(d) AS md, {', '.join(f'avg({f}) AS m{i}' for i, f in enumerate(router.FEATURES))} FROM {src}), g AS (SELECT {sums} FROM {src}, m), "
+            f"c AS (SELECT {scales} FROM g, m), e0 AS ({rows}), {', '.join(map(step, k))}, w AS (SELECT {', '.join(f'max(CASE WHEN i = {i} THEN v[{len(k) + 1}] END) AS w{i}' for i in k)} FROM e{len(k)})")
+
+
+_COEF = "SELECT 'intercept' AS {n}, round(md, 7) AS {v} FROM m" + "".join(f" UNION ALL SELECT '{f}', round(w{i}, 7) FROM w" for i, f in enumerate(router.FEATURES))
+duck("router_fit", f"WITH fitted AS (SELECT f.*, x.d FROM features AS f JOIN gain AS x USING (query_id)), {_ridge('fitted')} " + _COEF.format(n="feature", v="coefficient"))
+
+
+def _coefficients(m: router.Ridge) -> list[tuple[str, float]]:
+    return [(n, round(float(v), 7)) for n, v in [("intercept", m.intercept), *zip(router.FEATURES, m.coefficients)]]
+
+
 @query("router_fit")
 def _router_fit(s: SparkSession, d: str) -> DataFrame:
     """The ridge fit of all queries' gains on their features."""
     e = evaluation(s, d)
     m = router.fit(e.predictions.join(e.gain.select("query_id", "d"), "query_id"), "d")
-    rows = [("intercept", m.intercept), *zip(router.FEATURES, m.coefficients)]
-    return s.createDataFrame([(n, round(float(v), 7)) for n, v in rows], "feature string, coefficient double")
+    return s.createDataFrame(_coefficients(m), "feature string, coefficient double")
+
+
+# --- a study: cohorts of whole components, a router that is fitted, calibrated, frozen and confirmed ------------------
+
+#: Queries that count as seen before, and rows of each source that the splits take.
+_SEEN, _QUOTAS = 10, {"calibration": 3, "confirmation": 6}
+_SOURCES = ("s0", "s1", "s2")
+
+
+def _anchored(s: SparkSession, d: str) -> DataFrame:
+    e = evaluation(s, d)
+    quotas = {name: dict.fromkeys(_SOURCES, n) for name, n in _QUOTAS.items()}
+    return cut(anchors.anchored_split(e.queries.select("query_id", "src"), e.components, e.queries.where(F.col("query_id").cast("long") % _SEEN == 0).select("query_id"), quotas, "g2", strict=False))
+
+
+def _anchored_sql() -> str:
+    fits = {p: " AND ".join(f"n{i} <= {p}{i}" for i in range(3)) for p in "cf"}
+    left = [f"CASE WHEN {fits['c']} THEN c{i} - n{i} ELSE c{i} END" for i in range(3)] + [f"CASE WHEN NOT ({fits['c']}) AND {fits['f']} THEN f{i} - n{i} ELSE f{i} END" for i in range(3)]
+    start = ", ".join(f"{_QUOTAS[n]}::BIGINT" for n in ("calibration", "confirmation") for _ in range(3))
+    return f"""{_QCOMP}, t AS (SELECT query_id, src, component, query_id::BIGINT % {_SEEN} = 0 AS seen FROM qc JOIN queries USING (query_id)),
+  gc AS (SELECT component, {', '.join(f"count(CASE WHEN src = '{x}' THEN 1 END) AS n{i}" for i, x in enumerate(_SOURCES))}, bool_or(seen) AS held FROM t GROUP BY component),
+  oc AS (SELECT *, row_number() OVER (ORDER BY sha256('g2' || chr(0) || component), component) AS r FROM gc WHERE NOT held),
+  fold(r, c0, c1, c2, f0, f1, f2, component, split) AS (SELECT 0::BIGINT, {start}, NULL::VARCHAR, NULL::VARCHAR
+    UNION ALL SELECT oc.r, {', '.join(left)}, oc.component, CASE WHEN {fits['c']} THEN 'calibration' WHEN {fits['f']} THEN 'confirmation' ELSE 'reserve' END FROM fold JOIN oc ON oc.r = fold.r + 1),
+  placed AS (SELECT query_id, src, t.component, CASE WHEN seen THEN 'development' ELSE coalesce(split, 'quarantined') END AS split FROM t LEFT JOIN fold ON fold.component = t.component)"""
+
+
+_PLACED = f"WITH RECURSIVE {_RBASE}, {_anchored_sql()}"
+query("anchored_split", f"{_PLACED} SELECT query_id, src, component, split FROM placed")(_anchored)
+query("unseen_counts", f"""{_PLACED}, used AS (SELECT DISTINCT doc_id FROM qrels JOIN placed USING (query_id) WHERE split IN ('development', 'quarantined', 'calibration')),
+  touched AS (SELECT DISTINCT query_id FROM qrels JOIN used USING (doc_id)), reached AS (SELECT DISTINCT component FROM placed WHERE split IN ('development', 'quarantined', 'calibration'))
+  SELECT src, count(*) AS n, count(CASE WHEN query_id NOT IN (SELECT query_id FROM touched) THEN 1 END) AS direct, count(CASE WHEN component NOT IN (SELECT component FROM reached) THEN 1 END) AS component_wide
+  FROM placed WHERE split IN ('reserve', 'confirmation') GROUP BY src""")(
+    lambda s, d: anchors.unseen_counts(_anchored(s, d).withColumn("split", F.when(F.col("split").isin("reserve", "confirmation"), "later").otherwise(F.col("split"))), evaluation(s, d).qrels, ["development", "quarantined", "calibration"], "later"))
+
+
+def _orders(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as queries, split by priority, their customers as texts and their parts as relevant documents."""
+    comp = _component_table(s, d).where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("query_id"), "component")
+    rows = table(s, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderstatus").alias("src"), F.col("o_custkey").cast("string").alias("norm"), F.col("o_orderpriority").alias("split"))
+    return cut(rows.join(comp, "query_id")), table(s, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id")).distinct()
+
+
+_ORDERS = f"WITH RECURSIVE {_COMP}, held AS (SELECT o_orderkey AS query_id, o_orderstatus AS src, o_custkey::VARCHAR AS norm, o_orderpriority AS split, component FROM orders JOIN comp ON node = o_orderkey * 2), rel AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey AS doc_id FROM lineitem)"
+query("split_overlaps", f"""{_ORDERS}, keys AS (SELECT DISTINCT 'query' AS what, split, query_id::VARCHAR AS k FROM held UNION SELECT DISTINCT 'text', split, norm FROM held UNION SELECT DISTINCT 'component', split, component::VARCHAR FROM held
+    UNION SELECT DISTINCT 'document', split, doc_id::VARCHAR FROM held JOIN rel USING (query_id))
+  SELECT a.what AS what, a.split AS a, b.split AS b, count(*) AS shared FROM keys AS a JOIN keys AS b ON a.what = b.what AND a.k = b.k AND a.split < b.split GROUP BY ALL""")(
+    lambda s, d: anchors.split_overlaps(*_orders(s, d)))
+query("unseen_orders", f"""{_ORDERS}, used AS (SELECT DISTINCT doc_id FROM rel JOIN held USING (query_id) WHERE split = '1-URGENT'), touched AS (SELECT DISTINCT query_id FROM rel JOIN used USING (doc_id)),
+  reached AS (SELECT DISTINCT component FROM held WHERE split = '1-URGENT')
+  SELECT h.query_id, src, t.query_id IS NULL AS direct, r.component IS NULL AS component_wide FROM held AS h LEFT JOIN touched AS t ON t.query_id = h.query_id LEFT JOIN reached AS r ON r.component = h.component WHERE split = '5-LOW'""")(
+    lambda s, d: anchors.unseen(*_orders(s, d), ["1-URGENT"], "5-LOW"))
+
+
+def _cohort(s: SparkSession, d: str) -> DataFrame:
+    """Features with the cohort, 0 to 2, of each query: a hash of its component, so that cohorts share no relevant document."""
+    e = evaluation(s, d)
+    norm = F.lower(F.trim("query")).alias("norm")
+    at = (F.conv(F.substring(F.md5("component"), 1, 8), 16, 10).cast("long") % 3).alias("cohort")
+    # Components come from labels; the cohorts that they make are part of the design, and were cut from what made them.
+    return e.predictions.drop("p").join(e.queries.select("query_id", norm), "query_id").join(e.components.select("query_id", at), "query_id")
+
+
+def _frozen(s: SparkSession, d: str) -> study.Frozen:
+    e, rows = evaluation(s, d), _cohort(s, d)
+    train = rows.where("cohort = 0").join(study.labelled(e.gain.select("query_id", "d"), "d"), "query_id")
+    return study.freeze(train, rows.where("cohort = 1"), "d", e.qrels, (0.25, 0.5, 0.75))
+
+
+_STUDY = f"""WITH RECURSIVE {_RBASE}, {EVAL}, {_QCOMP}, coh AS (SELECT f.*, ('0x' || substr(md5(component), 1, 8))::BIGINT % 3 AS cohort FROM features AS f JOIN qc USING (query_id)),
+  fitted AS (SELECT coh.*, x.d FROM coh JOIN gain AS x USING (query_id) WHERE cohort = 0), {_ridge('fitted')},
+  guess AS (SELECT coh.*, round(md{''.join(f' + ({f} - m{i}) / c{i} * w{i}' for i, f in enumerate(router.FEATURES))}, 9) AS p FROM coh, m, c, w),
+  lim AS ({' UNION ALL '.join(f"SELECT 'utility_{int(b * 100)}' AS policy, percentile_cont({1 - b}) WITHIN GROUP (ORDER BY p) AS t FROM guess WHERE cohort = 1" for b in (0.25, 0.5, 0.75))})"""
+
+
+@query("frozen_router", f"{_STUDY} {_COEF.format(n='item', v='value')} UNION ALL SELECT 'threshold ' || policy, round(t, 7) FROM lim UNION ALL SELECT 'calls ' || policy, count(CASE WHEN p > t THEN 1 END)::DOUBLE FROM lim, guess WHERE cohort = 1 GROUP BY policy")
+def _frozen_router(s: SparkSession, d: str) -> DataFrame:
+    """A router fitted on one cohort, its thresholds, and the calls that these let through of another, whose labels aren't read."""
+    f = _frozen(s, d)
+    rows = [*_coefficients(f.model), *[(f"threshold utility_{int(b * 100)}", round(t, 7)) for b, t in f.thresholds.items()], *[(f"calls utility_{int(b * 100)}", float(f.evidence["calibration"][f"calls {b}"])) for b in f.thresholds]]
+    return s.createDataFrame(rows, "item string, value double")
+
+
+@query("frozen_confirmation", f"""{_STUDY}, dec AS (SELECT query_id, 'fixed_disagreement' AS policy, top1_disagreement > 0 AS rerank FROM guess WHERE cohort = 2 UNION ALL SELECT query_id, 'cheap_jaccard', jaccard10 < 0.5e0 FROM guess WHERE cohort = 2
+    UNION ALL SELECT query_id, 'never', FALSE FROM guess WHERE cohort = 2 UNION ALL SELECT query_id, 'always', TRUE FROM guess WHERE cohort = 2 UNION ALL SELECT query_id, policy, p > t FROM guess, lim WHERE cohort = 2)
+  SELECT policy, count(*) AS n, round(avg(CASE WHEN rerank THEN after ELSE base END), 9) AS ndcg10, count(CASE WHEN rerank THEN 1 END) AS calls, 20 * count(CASE WHEN rerank THEN 1 END) AS pairs FROM dec JOIN gain USING (query_id) GROUP BY policy""")
+def _frozen_confirmation(s: SparkSession, d: str) -> DataFrame:
+    """What the frozen router's written decisions gain on a third cohort, whose labels are read after they were written."""
+    e, folder = evaluation(s, d), f"{ensure_checkpoint_dir(s).rstrip('/')}/study-{uuid.uuid4().hex}"
+    conf = _cohort(s, d).where("cohort = 2")
+    name = study.write_frozen(s, _frozen(s, d), folder)
+    digest = study.freeze_decisions(conf, folder, name)
+    gain = e.gain.join(conf.select("query_id"), "query_id", "left_semi")
+    out = cut(study.confirm(gain, folder, name, digest).select("policy", "n", *nine("ndcg10"), "calls", "pairs"))
+    forget(s, folder)
+    return out
 
 
 @query("stream_latency", """SELECT date_trunc('day', ts) AS window_start, event_type AS policy, count(*) AS n, round(sum(value), 6) AS total_ms, max(value) AS max_ms FROM events GROUP BY ALL""")
