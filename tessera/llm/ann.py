@@ -28,16 +28,24 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(int8 codes, scale, bound of the norm of the error) by row; the bound allows for the rounding of x - s q."""
     s = np.abs(x).max(1) / 127.0
     q = np.rint(x / np.where(s > 0, s, 1)[:, None]).astype(np.int8)
-    return q, s, np.linalg.norm(x - s[:, None] * q, axis=1) * (1 + 1e-9) + np.linalg.norm(x, axis=1) * 2.0**-50
+    with np.errstate(over="ignore"):
+        return q, s, np.linalg.norm(x - s[:, None] * q, axis=1) * (1 + 1e-9) + np.linalg.norm(x, axis=1) * 2.0**-50
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances by row; components are added in order."""
+    """Euclidean distances by row; components are added in order. Where squares pass the range of doubles, differences are scaled by
+    the largest; a distance that passes it itself is infinite."""
     total = np.zeros(len(a))
-    for i in range(a.shape[1]):
-        d = a[:, i] - b[:, i]
-        total += d * d
-    return np.sqrt(total)
+    with np.errstate(over="ignore"):
+        for i in range(a.shape[1]):
+            d = a[:, i] - b[:, i]
+            total += d * d
+        out, over = np.sqrt(total), np.isinf(total)
+        if over.any():
+            half = np.abs(a[over] / 2 - b[over] / 2)
+            most = half.max(1)
+            out[over] = np.sqrt(((half / most[:, None]) ** 2).sum(1)) * most * 2
+    return out
 
 
 @dataclass
@@ -65,11 +73,15 @@ class Heaps:
         kind = np.float32 if x.shape[1] <= 1040 else np.float64
         dot = (self.q.astype(kind) @ q.astype(kind).T).astype(np.float64)
         sq = lambda c, f: (c.astype(np.float64) ** 2).sum(1) * f * f
-        mine, theirs = sq(self.q, self.s)[:, None], sq(q, s)
-        near = mine + theirs - 2 * (self.s[:, None] * s) * dot
-        # The sum of squares cancels: its rounding is bounded by their size, not by what is left of it.
-        lost, slack = (mine + theirs) * 2.0**-47, self.e[:, None] + e
-        low, high = np.sqrt(np.maximum(near - lost, 0)) - slack, np.sqrt(np.maximum(near, 0) + lost) + slack
+        with np.errstate(over="ignore", invalid="ignore"):
+            mine, theirs = sq(self.q, self.s)[:, None], sq(q, s)
+            near = mine + theirs - 2 * (self.s[:, None] * s) * dot
+            # The sum of squares cancels: its rounding is bounded by their size, not by what is left of it.
+            lost, slack = (mine + theirs) * 2.0**-47, self.e[:, None] + e
+            low, high = np.sqrt(np.maximum(near - lost, 0)) - slack, np.sqrt(np.maximum(near, 0) + lost) + slack
+        # Squares out of range bound nothing: such pairs are recomputed.
+        fine = np.isfinite(low) & np.isfinite(high)
+        low, high = np.where(fine, low, -np.inf), np.where(fine, high, np.inf)
         high = np.where(ids == self.ids[:, None], np.inf, high)
         kth = np.minimum(np.partition(high, self.k - 1, axis=1)[:, self.k - 1] if len(ids) >= self.k else np.inf, self.d[:, -1])
         qi, ci = np.nonzero((low * (1 - 1e-12) <= kth[:, None] * (1 + 1e-12)) & (ids != self.ids[:, None]))
@@ -120,7 +132,7 @@ class Search:
 
     def give(self):
         for h in self.heaps:
-            i, j = np.nonzero(np.isfinite(h.d))
+            i, j = np.nonzero(np.isfinite(h.d) | (h.at < np.iinfo(np.int64).max))
             yield pa.RecordBatch.from_arrays([pa.array(h.ids[i]), pa.array(h.at[i, j]), pa.array(h.d[i, j])], names=["query_id", "vec_id", "score"])
 
 
