@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from functools import cached_property
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,32 +16,32 @@ from tessera.operators.fusion import rerank_prefix, token_overlap, weighted_rrf
 from tessera.operators.router import PUBLISHED
 from tessera.operators.study import labelled, require_unlabelled
 from tessera.operators.vector import counted_components, dense_search, hashed_embedding, unit_vectors
-from tessera.plans.lineage import cut
+from tessera.plans.lineage import cut, forget
+from tessera.plans.steps import contents
+from tessera.sources.files import digest
 from tessera.sources.tables import corpus, derived_qrels, queries
 
 #: Depth of the candidate lists, of the deepest ablation, of the re-ranked prefix; constant of the fusion.
 DEPTH, DEEPEST, PREFIX, RRF_K = 100, 500, 20, 60
 BUDGETS = (0.25, 0.5, 0.75)
 
-_KEPT: dict[tuple, "Evaluation"] = {}
-
-
-def _content(spark: SparkSession, d: str) -> tuple:
-    """Paths, lengths and times of the files behind the relations: other contents are other relations."""
-    out = []
-    for t in ("documents", "benchmark"):
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{t}.parquet")
-        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        for f in fs.listStatus(at):
-            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return tuple(sorted(out))
+#: Folders' evaluations that are kept, those used last; what older ones stored is removed, and with it what was read from them.
+FOLDERS = 4
+_KEPT: OrderedDict[tuple, Evaluation] = OrderedDict()
+_LOCK = Lock()
 
 
 def evaluation(spark: SparkSession, d: str) -> Evaluation:
     """That of the session and the folder's present contents."""
-    key = (spark.sparkContext.applicationId, id(spark), d, _content(spark, d))
-    if key not in _KEPT:
-        _KEPT[key] = Evaluation(spark, d)
+    key = (spark.sparkContext.applicationId, id(spark), d, digest([contents(spark, f"{d}/{t}.parquet") for t in ("documents", "benchmark")]))
+    with _LOCK:
+        if key not in _KEPT:
+            _KEPT[key] = Evaluation(spark, d)
+        _KEPT.move_to_end(key)
+        old = [_KEPT.popitem(last=False) for _ in range(len(_KEPT) - FOLDERS)]
+    for (app, *_), e in old:
+        if app == spark.sparkContext.applicationId and "index" in e.__dict__:
+            forget(spark, e.index.folder)
     return _KEPT[key]
 
 

@@ -13,12 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import anchors, checks, failures, features, fusion, latency, metrics, policies, router, runtime, splits, stats, study
+from tessera.operators import anchors, checks, failures, features, fusion, gate, latency, metrics, policies, router, runtime, splits, stats, study
 from tessera.operators.components import connected_components
 from tessera.operators.ranking import top_k
 from tessera.operators.vector import counted_components, dense_search, embedding_quality, hashed_embedding, hashing_model
 from tessera.plans.base import DUCK_BASE, EVAL
-from tessera.plans.evaluation import DEPTH, evaluation
+from tessera.plans.evaluation import DEPTH, PREFIX, evaluation
 from tessera.plans.lineage import cut, ensure_checkpoint_dir, forget
 from tessera.sources import vectors
 from tessera.sources.tables import corpus, table
@@ -607,6 +607,37 @@ def _frozen_confirmation(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+#: The gate's checks: relation, rule, what they need. That something is found for every query is a rule that may well fail.
+_CHECKS = [
+    gate.Check("corpus", "documents", "doc_id IS NULL"), gate.Check("rankings", "places", "n <> top OR spots <> n OR ids <> n", ("corpus",)), gate.Check("gold", "unknown", "true", ("corpus",), 0),
+    gate.Check("prefix", "ranks", f"(h IS NULL) <> (r IS NULL) OR (h <= {PREFIX}) <> (r <= {PREFIX}) OR (h > {PREFIX} AND h <> r)", ("rankings",)), gate.Check("predictions", "routes", "p IS NULL OR abs(p) > 1", ("rankings",)),
+    gate.Check("routes", "routes", "rerank <> (p > threshold)", ("predictions",)), gate.Check("gains", "gains", "base < 0 OR after > 1 OR abs(after - base - d) > 1e-12", ("gold", "prefix")),
+    gate.Check("found", "gains", "after <= 0", ("gains",)), gate.Check("conclusion", "routes", "policy IS NULL", ("found", "routes"))]
+_GATED = {
+    "documents": "SELECT doc_id FROM corpus", "places": "SELECT method, query_id, count(*) AS n, max(rank) AS top, count(DISTINCT rank) AS spots, count(DISTINCT doc_id) AS ids FROM rankings GROUP BY ALL",
+    "unknown": "SELECT DISTINCT doc_id FROM qrels ANTI JOIN corpus USING (doc_id)", "ranks": "SELECT h.rank AS h, r.rank AS r FROM hybrid AS h FULL JOIN reranked AS r ON r.query_id = h.query_id AND r.doc_id = h.doc_id",
+    "routes": "SELECT d.query_id, d.policy, rerank, p, t AS threshold FROM decisions AS d JOIN pred USING (query_id) JOIN th ON d.policy = 'utility_' || (budget * 100)::INT::VARCHAR", "gains": "SELECT base, after, d FROM gain"}
+_TOLD = "VALUES " + ", ".join(f"('{c.name}', '{c.over}', {c.at_least})" for c in _CHECKS)
+
+
+@query("completion_gate", f"""WITH RECURSIVE {_RBASE}, {EVAL}, {', '.join(f'{n}_of AS ({q})' for n, q in _GATED.items())},
+  told AS (SELECT * FROM ({_TOLD}) AS t("check", "over", least)), needs AS (SELECT * FROM (VALUES {', '.join(f"('{c.name}', '{n}')" for c in _CHECKS for n in c.needs)}) AS t(c, need)),
+  got AS ({' UNION ALL '.join(f"SELECT '{c.name}' AS c, count(*) AS n, count(CASE WHEN coalesce({c.breaks}, TRUE) THEN 1 END) AS broken FROM {c.over}_of" for c in _CHECKS)}),
+  bad(c) AS (SELECT c FROM got JOIN told ON "check" = c WHERE broken > 0 OR n < least UNION SELECT needs.c FROM bad JOIN needs ON need = bad.c)
+  SELECT "check", "over", CASE WHEN c IN (SELECT needs.c FROM needs JOIN bad ON need = bad.c) THEN 'blocked' WHEN n < least THEN 'missing' WHEN broken > 0 THEN 'failed' ELSE 'passed' END AS status, broken, n AS rows
+  FROM got JOIN told ON "check" = c""")
+def _completion_gate(s: SparkSession, d: str) -> DataFrame:
+    """Whether the evaluation's relations hold together, a row a check."""
+    e = evaluation(s, d)
+    ranks = lambda m, n: getattr(e, m).select("query_id", "doc_id", F.col("rank").alias(n))
+    at = e.thresholds.select(F.concat(F.lit("utility_"), F.round(F.col("budget") * 100).cast("int").cast("string")).alias("policy"), "threshold")
+    relations = {
+        "documents": e.docs.select("doc_id"), "places": e.rankings.groupBy("method", "query_id").agg(F.count("*").alias("n"), F.max("rank").alias("top"), F.count_distinct("rank").alias("spots"), F.count_distinct("doc_id").alias("ids")),
+        "unknown": checks.missing_gold(e.qrels, e.docs), "ranks": ranks("hybrid", "h").join(ranks("reranked", "r"), ["query_id", "doc_id"], "full_outer").select("h", "r"),
+        "routes": e.decisions.join(e.predictions.select("query_id", "p"), "query_id").join(F.broadcast(at), "policy").select("query_id", "policy", "rerank", "p", "threshold"), "gains": e.gain.select("base", "after", "d")}
+    return gate.gate(s, relations, _CHECKS).drop("digest")
+
+
 @query("stream_latency", """SELECT date_trunc('day', ts) AS window_start, event_type AS policy, count(*) AS n, round(sum(value), 6) AS total_ms, max(value) AS max_ms FROM events GROUP BY ALL""")
 def _stream(s: SparkSession, d: str) -> DataFrame:
     """All events as a stream, with daily windows in UTC."""
