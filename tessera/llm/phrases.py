@@ -50,8 +50,20 @@ class Numbers(dict):
         return n
 
 
+def packed(data: bytes) -> bytes:
+    """data compressed, after its size. Shards are passed to workers several in a batch, which would hold them at their full size."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def sharded(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(shard, lang, n, words, ids): texts of one language; ids are int32 numbers into words, 0 at breaks and ends of texts."""
+    """(shard, lang, n, words, ids): texts of one language; ids are int32 numbers into words, 0 at breaks and ends of texts.
+
+    Both are packed, words after being joined by spaces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, tuple[Numbers, array]] = {}
@@ -61,9 +73,9 @@ def sharded(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sha
             nonlocal made
             numbers, ids = open_.pop(lang)
             made += 1
-            words = pa.array([[b"", *list(numbers)[1:]]], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+            words = packed(b" ".join(list(numbers)[1:]))
             n = int(np.count_nonzero(np.frombuffer(ids, np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([lang]), pa.array([n]), words, pa.array([ids.tobytes()])], names=["shard", "lang", "n", "words", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([lang]), pa.array([n]), pa.array([words]), pa.array([packed(ids.tobytes())])], names=["shard", "lang", "n", "words", "ids"])
 
         for b in batches:
             for lang, text in zip(b.column(0), b.column(1)):
@@ -82,7 +94,7 @@ def sharded(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sha
             yield closed(lang)
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    return texts.mapInArrow(run, "shard long, lang string, n long, words array<string>, ids binary")
+    return texts.mapInArrow(run, "shard long, lang string, n long, words binary, ids binary")
 
 
 @dataclass
@@ -165,7 +177,8 @@ def opened(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
     for b in batches:
         for i in range(b.num_rows):
             shard, lang, words, ids = (b.column(c)[i].as_py() for c in ("shard", "lang", "words", "ids"))
-            yield shard, lang, words, np.frombuffer(ids, np.int32), *[b.column(c)[i].values.to_numpy() for c in more]
+            words = unpacked(words).decode()
+            yield shard, lang, ["", *(words.split(" ") if words else [])], np.frombuffer(unpacked(ids), np.int32), *[b.column(c)[i].values.to_numpy() for c in more]
 
 
 def word_counts(shards: DataFrame, least: int) -> DataFrame:

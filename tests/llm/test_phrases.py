@@ -100,3 +100,10 @@ def test_query_against_its_sql(spark):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
     want = duckdb.sql(ph.op11_sql()).fetchall()
     assert sorted(map(tuple, ph.op11_phrases(spark, d).collect())) == sorted(want) and len(want) > 50
+
+
+def test_shards_are_passed_packed(spark):
+    rows = [("en", " ".join(f"w{i % 50}" for i in range(20_000))), ("en", "x\x00y É."), (None, ""), ("de", None)]
+    got = {r.lang: r for r in ph.sharded(spark.createDataFrame(rows, "lang string, text string")).groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.length("ids")).alias("ids"), F.sum(F.expr("length(cast(words AS binary))")).alias("words")).collect()}
+    assert got["en"].n == 20_002 and got["en"].ids < 20_002 * 4 / 2 and got["und"].n == got["de"].n == 0
+    assert ph.unpacked(ph.packed(b"")) == b"" and ph.unpacked(ph.packed(b"ab\x00")) == b"ab\x00"
