@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.lineage import cut
-from tessera.plans.skew import BROADCAST_ROWS, split_join
+from tessera.plans.skew import split_join
+
+#: Edges up to which the minima of their nodes are broadcast. Each round sends two such tables, and the driver holds them until they
+#: are cleaned: some MB each.
+EDGES = 50_000
 
 
 def _sum_of(edges: DataFrame) -> tuple:
@@ -16,9 +20,9 @@ def _sum_of(edges: DataFrame) -> tuple:
 
 def _to_minimum(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
     """edges with the minimum of their u. There are at most two nodes an edge, so that few edges mean a small broadcast."""
-    if n_edges <= BROADCAST_ROWS:
+    if n_edges <= EDGES:
         return edges.join(F.broadcast(low.drop("n")), "u")
-    return split_join(edges, cut(low), "u", "n")
+    return split_join(edges, cut(low), "u", "n", 2 * EDGES)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -38,7 +42,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = _to_minimum(both.where("v > u"), low, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        if before[0] > BROADCAST_ROWS:
+        if before[0] > EDGES:
             large = cut(large)
         low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = _to_minimum(large, low2, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
