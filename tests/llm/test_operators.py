@@ -376,6 +376,23 @@ def test_near_duplicates_stage_removes_edited_copies(spark, monkeypatch, bucket)
     assert len(set(label)) < len(docs) - 40 and sorted(x.doc_id for x in got) == sorted(set(label))
 
 
+def test_near_duplicates_stage_takes_links_of_both_kinds(spark):
+    import corpus_pipeline
+
+    # The repeats of a phrase outweigh a few other words in the fingerprint, but count once among the shingles.
+    words = [f"w{i}" for i in range(20)]
+    a, b = (" ".join(words * 30 + [f"{x}{i}" for i in range(8)]) for x in "ab")
+    c = " ".join(f"c{i}" for i in range(100))
+    d = " ".join(f"c{i}" if i != 50 else "other" for i in range(100))
+    sets = [set(minhash.shingles(x.encode()).tolist()) for x in (a, b)]
+    assert simhash.fingerprint(a.encode()) != simhash.fingerprint(d.encode()) and len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    assert bin(simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).count("1") <= simhash.TAU
+    assert bin(simhash.fingerprint(c.encode()) ^ simhash.fingerprint(d.encode())).count("1") > simhash.TAU
+    docs = frame(spark, [(0, a, "s"), (1, b, "s"), (2, c, "s"), (3, d, "s"), (4, c, "s"), (5, "", "s"), (6, None, "s")])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()) == [0, 2, 5]
+    assert sorted(r.doc_id for r in minhash.similar_dedup(docs).select("doc_id").collect()) == [0, 1, 2, 5]
+
+
 def test_html_parsing_is_linear_and_knows_any_depth():
     import time
 
