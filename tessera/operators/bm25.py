@@ -11,6 +11,16 @@ from tessera.plans.lineage import stored
 from tessera.plans.skew import fits
 
 K1, B = 1.5, 0.75
+#: Bytes of text that a task counts the terms of.
+TEXT_BYTES = 32 << 20
+
+
+def dealt(docs: DataFrame, size: int = TEXT_BYTES) -> DataFrame:
+    """(doc_id, text) dealt by id to as many parts as the session has for shuffles, or to more, so that a part holds about size
+    bytes of text however large the input: what is counted by document is counted where it lies."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, docs = -(-total // size), docs.select("doc_id", "text")
+    return docs.repartition(parts, "doc_id") if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else docs.repartition("doc_id")
 
 
 class Index:
@@ -23,7 +33,7 @@ class Index:
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id")
         # Texts are dealt by id, so that terms are counted where their document lies, without a shuffle of the tokens.
-        each = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", tokenize(F.col("text")).alias("tokens"))
+        each = dealt(docs).select("doc_id", tokenize(F.col("text")).alias("tokens"))
         terms = each.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         self.postings, self.folder = stored(terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "bm25")
         self.term_stats = self.postings.groupBy("term").agg(F.count("*").alias("df"))

@@ -16,7 +16,7 @@ from tessera.functions import text as tx
 from tessera.operators import anchors, checks, failures, features, fusion, gate, latency, metrics, policies, router, runtime, splits, stats, study
 from tessera.operators.components import connected_components
 from tessera.operators.ranking import top_k
-from tessera.operators.vector import counted_components, dense_search, embedding_quality, hashed_embedding, hashing_model
+from tessera.operators.vector import dense_search, embedding_quality, hashed_embedding, hashing_model
 from tessera.plans.base import DUCK_BASE, EVAL
 from tessera.plans.evaluation import DEPTH, PREFIX, evaluation
 from tessera.plans.lineage import cut, ensure_checkpoint_dir, forget
@@ -96,7 +96,7 @@ query("bm25_scores", "SELECT query_id, doc_id, round(score, 9) AS score FROM bs"
 query("bm25_topk", "SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bs) WHERE rank <= 10", True)(
     lambda s, d: evaluation(s, d).index.search(evaluation(s, d).queries, 10, pad=False).select("query_id", "doc_id", "score", "rank"))
 query("bm25_topk_padded", "SELECT query_id, doc_id, score, rank::INT AS rank FROM bm25", True)(lambda s, d: evaluation(s, d).index.search(evaluation(s, d).queries, DEPTH).select("query_id", "doc_id", "score", "rank"))
-query("hashed_embeddings", "SELECT id AS doc_id, i::INT AS i, x FROM hc", True)(lambda s, d: counted_components(evaluation(s, d).index.postings, "doc_id").where("x <> 0"))
+query("hashed_embeddings", "SELECT id AS doc_id, i::INT AS i, x FROM hc", True)(lambda s, d: evaluation(s, d).hashed.where("x <> 0"))
 query("dense_topk", "SELECT query_id, doc_id, rank FROM dense", True)(lambda s, d: evaluation(s, d).dense)
 query("embedding_quality", """SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim, count_if(len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS not_finite,
   count_if(abs(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) - 1) > 1e-5) AS not_unit FROM embeddings""")(lambda s, d: embedding_quality(table(s, d, "embeddings"), "vec_id", "embedding").select(*["n", "ids", "min_dim", "max_dim", "not_finite", "not_unit"]))

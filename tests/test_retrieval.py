@@ -110,3 +110,11 @@ def test_qrels_of_queries_with_few_tokens(spark):
     qs = [("a", "foo"), ("b", "foo ba"), ("c", "привет"), ("d", "two three fo"), ("e", "none"), ("f", None), ("g", "e two three f")]
     got = derived_qrels(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(qs, "query_id string, query string")).collect()
     assert sorted(map(tuple, got)) == sorted((q, d) for q, x in qs for d, t in docs if x and t and x in t)
+
+
+def test_parts_of_an_index_hold_as_much_text_at_any_size(spark):
+    from tessera.operators.bm25 import dealt
+
+    docs = spark.range(100).selectExpr("string(id) AS doc_id", "repeat('word ', 20) AS text")
+    assert dealt(docs, 500).rdd.getNumPartitions() == 20 and dealt(docs).count() == 100
+    assert dealt(docs.where("false"), 500).count() == 0
