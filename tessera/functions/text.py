@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,7 +27,7 @@ def ascii_lower(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Runs of ASCII letters, digits and underscores, lower-cased; only A-Z are, so that case folding adds none; null has none."""
-    return F.filter(F.split(ascii_lower(text), "[^a-z0-9_]+"), lambda x: x != "")
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda x: F.lower(x))
 
 
 _ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -38,6 +39,18 @@ def plain_tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.translate(_ASCII_LOWER))
 
 
+#: Bytes of tokens, A-Z lower-cased, and a space for every other one.
+_CUT = bytes(b if _TOKEN.fullmatch(chr(b)) else 32 for b in (_ASCII_LOWER.get(b, b) for b in range(256)))
+
+
+def term_counts(texts: list[str]) -> Counter:
+    """Tokens of texts, as `tokenize` cuts them, as bytes with their counts, for use inside of workers."""
+    n = Counter()
+    for t in texts:
+        n.update(t.encode().translate(_CUT).split())
+    return n
+
+
 def word_count(text: Column) -> Column:
     """Number of runs without white space, of any script's kind, as str.split counts them; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")), F.lit(0)).cast("long")

@@ -1,18 +1,27 @@
-"""BM25 as joins over an inverted index."""
+"""BM25 over an inverted index that is kept by document."""
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import cached_property
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.functions.text import tokenize
-from tessera.operators.ranking import top_k
-from tessera.plans.lineage import stored
+from tessera.functions.text import term_counts, tokenize
+from tessera.operators.ranking import DIGITS, best_columns, top_k
+from tessera.plans.lineage import cut, stored
 from tessera.plans.skew import fits
 
 K1, B = 1.5, 0.75
 #: Bytes of text that a task counts the terms of.
 TEXT_BYTES = 32 << 20
+#: Queries up to which documents are scored where they lie; scores that a worker holds at once; postings or rows that leave it at once.
+QUERIES, CELLS, ROWS = 4096, 1 << 21, 1 << 18
 
 
 def dealt(docs: DataFrame, size: int = TEXT_BYTES) -> DataFrame:
@@ -23,44 +32,147 @@ def dealt(docs: DataFrame, size: int = TEXT_BYTES) -> DataFrame:
     return docs.repartition(parts, "doc_id") if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else docs.repartition("doc_id")
 
 
+def texts_by_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, texts): the texts of an id, of which there is one as a rule, dealt by `dealt`. This takes no further shuffle."""
+    return dealt(docs).groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+
+
+def _count(batches):
+    """(doc_id, texts) to (doc_id, dl, entries); the texts of an id that have the same length are one row."""
+
+    def flush():
+        entries = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int64())], names=["term", "tf"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(dls, pa.int32()), lists], names=["doc_id", "dl", "entries"])
+
+    for b in batches:
+        at, dls, terms, tfs, ends = [], [], [], [], [0]
+        for i, texts in enumerate(b.column(1).to_pylist()):
+            by_length: dict[int, Counter] = {}
+            for t in texts:
+                n = term_counts([t])
+                by_length.setdefault(n.total(), Counter()).update(n)
+            for dl, n in by_length.items():
+                if dl:
+                    at.append(i)
+                    dls.append(dl)
+                    terms.extend(n)
+                    tfs.extend(n.values())
+                    ends.append(len(terms))
+            if len(terms) >= ROWS:
+                yield flush()
+                at, dls, terms, tfs, ends = [], [], [], [], [0]
+        if at:
+            yield flush()
+
+
 class Index:
-    """postings(term, doc_id, tf, dl), term_stats(term, df), stats(n, avgdl).
+    """postings(term, doc_id, tf, dl), term_stats(term, df), stats(n, avgdl); lists(doc_id, dl, entries of term and tf).
 
-    Texts are cut once: the postings are written as a table beside the checkpoints, and df and avgdl are sums over it.
+    Texts are cut once: the lists are written as a table beside the checkpoints; postings are its entries, df and avgdl sums over it.
     An empty corpus raises where a score is asked for.
     """
 
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id")
-        # Texts are dealt by id, so that terms are counted where their document lies, without a shuffle of the tokens.
-        each = dealt(docs).select("doc_id", tokenize(F.col("text")).alias("tokens"))
-        terms = each.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        self.postings, self.folder = stored(terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "bm25")
-        self.term_stats = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        size = self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+        schema = StructType([*self.docs.schema, *StructType.fromDDL("dl int, entries array<struct<term:string,tf:bigint>>")])
+        self.lists, self.folder = stored(texts_by_id(docs).mapInArrow(_count, schema), "bm25")
+        self.postings = self.lists.select("doc_id", "dl", F.inline("entries"))
+        self.term_stats = self._counted(self.postings)
+        size = self.lists.agg(F.coalesce(F.sum(F.aggregate("entries.tf", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("tokens"))
         self.stats = docs.agg(F.count("*").alias("n")).join(size).select("n", F.when(F.col("n") > 0, F.col("tokens") / F.col("n")).alias("avgdl"))
 
-    def idf(self) -> DataFrame:
+    @cached_property
+    def one_each(self) -> bool:
+        """Whether each document is one row of the lists; ids that stand for several texts may not be."""
+        n = self.lists.agg(F.count("*").alias("n"), (F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("ids")).first()
+        return n.n == 0 or n.n == n.ids
+
+    def _counted(self, postings: DataFrame) -> DataFrame:
+        return postings.groupBy("term").agg(F.count("*").alias("df"))
+
+    def idf(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, df, idf), of the given terms or of all."""
         n = F.broadcast(self.stats.select("n"))  # one row
-        return self.term_stats.join(n).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        if terms is not None:
+            terms = terms.select("term").distinct()
+            terms = F.broadcast(terms) if fits(terms) else terms
+        stats = self.term_stats if terms is None else self._counted(self.postings.join(terms, "term", "left_semi"))
+        return stats.join(n).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
-    def scores(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-        """(query_id, doc_id, score) of documents with a query term; repeated query terms count as often as they stand."""
+    def scores(self, queries: DataFrame, k1: float = K1, b: float = B, k: int | None = None) -> DataFrame:
+        """(query_id, doc_id, score) of documents with a query term; repeated query terms count as often as they stand.
+
+        With k only documents that may be among a query's k best by rounded score, ties to the smaller id, and rounded scores.
+        Up to QUERIES queries pass through the driver, and each document is scored where it lies; beyond that terms are joined.
+        """
         q = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         if not self.docs.take(1):
             raise ValueError("an empty corpus has no index")
-        wanted = q.join(self.idf(), "term")
+        wanted = q.join(self.idf(q), "term")
+        if fits(queries, QUERIES) and fits(q) and self.one_each:
+            return self._in_place(wanted.select("query_id", "term", "qtf", "idf"), k1, b, k)
         hit = self.postings.join(F.broadcast(wanted) if fits(q) else wanted, "term").join(F.broadcast(self.stats.select("avgdl")))
         tf, norm = F.col("tf"), 1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-12))
         part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * norm)
         return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
+    def _in_place(self, wanted: DataFrame, k1: float, b: float, k: int | None) -> DataFrame:
+        """`scores` without a shuffle: blocks of documents against all of wanted (query_id, term, qtf, idf)."""
+        avgdl, rows = max(self.stats.first().avgdl, 1e-12), wanted.toArrow().combine_chunks()
+        ids, terms = (rows[c].combine_chunks().unique() for c in ("query_id", "term"))
+        term = pc.index_in(rows["term"].combine_chunks(), value_set=terms).to_numpy(zero_copy_only=False)
+        order = np.argsort(term, kind="stable")
+        query = pc.index_in(rows["query_id"].combine_chunks(), value_set=ids).to_numpy(zero_copy_only=False)[order].astype(np.int64)
+        weight = (rows["qtf"].to_numpy() * rows["idf"].to_numpy())[order]
+        first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))]).astype(np.int64)
+        n_queries = len(ids)
+
+        def block(part):
+            """Scores of a block of documents, a row a query, and which of them have a query term."""
+            n = part.num_rows
+            entries = part.column(2).flatten()
+            code = pc.index_in(entries.field("term"), value_set=terms)
+            at = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+            code = code.take(pa.array(at)).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(n), pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False))[at]
+            tf = entries.field("tf").to_numpy(zero_copy_only=False)[at]
+            norm = (1 - b + b * part.column(1).to_numpy() / avgdl)[doc]
+            # Each posting meets the queries of its term.
+            times = first[code + 1] - first[code]
+            pair = np.arange(times.sum()) + np.repeat(first[code] - np.cumsum(times) + times, times)
+            value = weight[pair] * np.repeat(tf, times) * (k1 + 1) / np.repeat(tf + k1 * norm, times)
+            cell = query[pair] * n + np.repeat(doc, times)
+            seen = np.zeros(n_queries * n, bool)
+            seen[cell] = True
+            return np.bincount(cell, value, n_queries * n).reshape(n_queries, n), seen.reshape(n_queries, n)
+
+        def run(batches):
+            for batch in batches:
+                step = max(CELLS // n_queries, 1)
+                for i in range(0, batch.num_rows, step):
+                    part = batch.slice(i, step)
+                    part = part.take(pc.array_sort_indices(part.column(0), null_placement="at_start"))
+                    s, seen = block(part)
+                    if k is None:
+                        q, d = np.nonzero(seen)
+                    else:
+                        s = np.where(seen, np.round(s, DIGITS), -np.inf)
+                        q, d = best_columns(s, k)
+                    for j in range(0, len(q), ROWS):
+                        x, y = q[j : j + ROWS], d[j : j + ROWS]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), part.column(0).take(pa.array(y)), pa.array(s[x, y])], names=["query_id", "doc_id", "score"])
+
+        schema = StructType([wanted.schema["query_id"], self.docs.schema["doc_id"], StructField("score", DoubleType())])
+        return self.lists.mapInArrow(run, schema) if n_queries else self.docs.sparkSession.createDataFrame([], schema)
+
     def search(self, queries: DataFrame, k: int = 10, pad: bool = True) -> DataFrame:
         """(query_id, doc_id, score, rank): the k best; with pad, documents of score 0 by rising id fill up to k."""
-        scored = self.scores(queries)
-        if pad:
-            # If m < k documents match, at most m of the k first ids are among them: k - m are left at least.
-            first = F.broadcast(self.docs.orderBy("doc_id").limit(max(k, 0)))
-            zero = queries.select("query_id").join(first).join(scored, ["query_id", "doc_id"], "left_anti")
-            scored = scored.unionByName(zero.withColumn("score", F.lit(0.0)))
-        return top_k(scored, ["query_id"], k)
+        found = top_k(self.scores(queries, k=max(k, 0)), ["query_id"], k)
+        if not pad:
+            return found
+        # If m < k documents match, all are found, and at most m of the k first ids are among them: k - m are left at least.
+        found = cut(found.drop("rank"))
+        first = F.broadcast(self.docs.orderBy("doc_id").limit(max(k, 0)))
+        zero = queries.select("query_id").join(first).join(found, ["query_id", "doc_id"], "left_anti")
+        return top_k(found.unionByName(zero.withColumn("score", F.lit(0.0))), ["query_id"], k)
