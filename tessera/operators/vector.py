@@ -3,68 +3,97 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from tessera.functions.text import plain_tokens, tokenize
-from tessera.operators.ranking import DIGITS, top_k
+from tessera.functions.text import term_counts
+from tessera.operators.bm25 import texts_by_id
+from tessera.operators.ranking import DIGITS, best_columns, top_k
 
 DIM = 64
 #: Queries that one pass over the corpus scores; more queries take more passes.
 QUERIES = 4096
 
 
-def _slot(term: str, dim: int) -> tuple[Column, Column]:
-    h = F.md5(term)
-    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int"), F.when(F.substring(h, 9, 1) < "8", 1.0).otherwise(-1.0)
+def _slots(dim: int) -> Callable[[bytes], tuple[int, float]]:
+    """Component and sign of a term, from its MD5; the last ones asked for are remembered."""
+    known: dict[bytes, tuple[int, float]] = {}
 
+    def slot(term: bytes) -> tuple[int, float]:
+        if term not in known:
+            if len(known) >= 1 << 18:
+                known.clear()
+            h = hashlib.md5(term).hexdigest()
+            known[term] = int(h[:8], 16) % dim, 1.0 if h[8] < "8" else -1.0
+        return known[term]
 
-def counted_components(counts: DataFrame, id_col: str, dim: int = DIM) -> DataFrame:
-    """(id, i, x): signed token counts by hashed component, from (id, term, tf), such as an index's postings."""
-    at, sign = _slot("term", dim)
-    return counts.groupBy(id_col, at.alias("i")).agg(F.sum(sign * F.col("tf")).alias("x"))
+    return slot
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, dim: int, columns: str, give: Callable[[list[dict[int, float]]], list[pa.Array]]) -> DataFrame:
+    """Rows of (id, *columns): what give makes of the components of some ids, the first of its columns being the places of those ids."""
+
+    more = StructType.fromDDL(columns)
+
+    def run(batches):
+        slot = _slots(dim)
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                sums: list[dict[int, float]] = []
+                for texts in b.column(1).slice(i, 1024).to_pylist():
+                    x: dict[int, float] = {}
+                    for term, n in term_counts(texts).items():
+                        at, sign = slot(term)
+                        x[at] = x.get(at, 0.0) + sign * n
+                    sums.append(x)
+                at, *cols = give(sums)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1024).take(at), *cols], names=[id_col, *more.names])
+
+    each = texts_by_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return each.mapInArrow(run, StructType([docs.schema[id_col], *more]))
 
 
 def hashed_components(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> DataFrame:
-    """(id, i, x): signed token counts by hashed component."""
-    return counted_components(docs.select(id_col, F.explode(tokenize(F.col(text_col))).alias("term"), F.lit(1).alias("tf")), id_col, dim)
+    """(id, i, x): signed token counts by hashed component, summed where the text lies, without a shuffle of sums."""
 
+    def give(sums):
+        at = [k for k, x in enumerate(sums) for _ in x]
+        return [pa.array(at, pa.int64()), pa.array([i for x in sums for i in x], pa.int32()), pa.array([v for x in sums for v in x.values()], pa.float64())]
 
-def unit_vectors(components: DataFrame, id_col: str, dim: int = DIM) -> DataFrame:
-    """(id, v array<double>): the components as vectors of length 1; where all are 0 there is none."""
-    c = components.where("x <> 0").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return c.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("v"))
+    return _components(docs, id_col, text_col, dim, "i int, x double", give)
 
 
 def hashed_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> DataFrame:
-    """(id, v array<double>): unit vectors; texts without tokens, or whose counts cancel, have none."""
-    return unit_vectors(hashed_components(docs, id_col, text_col, dim), id_col, dim)
+    """(id, v array<double>): the components as vectors of length 1; texts without tokens, or whose counts cancel, have none."""
+
+    def give(sums):
+        x = np.zeros((len(sums), dim))
+        for k, c in enumerate(sums):
+            x[k, list(c)] = list(c.values())
+        at = np.flatnonzero(x.any(1))
+        x = x[at]
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        return [pa.array(at), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * dim, pa.int32()), pa.array(x.ravel()))]
+
+    return _components(docs, id_col, text_col, dim, "v array<double>", give)
 
 
 def hashing_model(dim: int = DIM) -> Callable[[], Callable[[list[str]], np.ndarray]]:
     """`hashed_embedding` as a model for workers; texts without a vector get the first unit vector."""
 
     def load():
-        known: dict[str, tuple[int, float]] = {}
-
-        def slot(term: str) -> tuple[int, float]:
-            if term not in known:
-                if len(known) >= 1 << 18:
-                    known.clear()
-                h = hashlib.md5(term.encode()).hexdigest()
-                known[term] = int(h[:8], 16) % dim, 1.0 if h[8] < "8" else -1.0
-            return known[term]
+        slot = _slots(dim)
 
         def encode(texts: list[str]) -> np.ndarray:
             x = np.zeros((len(texts), dim))
             for i, t in enumerate(texts):
-                for term, n in Counter(plain_tokens(t)).items():
+                for term, n in term_counts([t]).items():
                     at, sign = slot(term)
                     x[i, at] += sign * n
             x[~x.any(1), 0] = 1.0
@@ -104,27 +133,26 @@ def dense_search(queries: DataFrame, docs: DataFrame, k: int, own: bool = True)
     parts, block = [], []
 
     def run(ids, mat):
+        known = ids.unique()
+        place = pc.index_in(ids, value_set=known).to_numpy(zero_copy_only=False)
+
         def search(batches):
             for b in batches:
-                doc = np.array(b.column(0).to_pylist(), dtype=object)
+                b = b.take(pc.array_sort_indices(b.column(0), null_placement="at_start"))
+                doc = b.column(0)
                 if not len(doc):
                     continue
                 s = np.round(mat @ b.column(1).flatten().to_numpy().reshape(len(doc), -1).T, DIGITS)
-                order = np.argsort(doc, kind="stable")
-                doc, s = doc[order], s[:, order]
                 if not own:
-                    s = np.where(doc[None] == ids[:, None], -np.inf, s)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                q = np.repeat(np.arange(len(ids)), best.shape[1])
-                d, v = best.ravel(), s[q, best.ravel()]
-                ok = np.isfinite(v)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q[ok]], pa.string()), pa.array(doc[d[ok]], pa.string()), pa.array(v[ok])], names=["query_id", "doc_id", "score"])
+                    s[place[:, None] == pc.index_in(doc, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)] = -np.inf
+                q, d = best_columns(s, k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), doc.take(pa.array(d)), pa.array(s[q, d])], names=["query_id", "doc_id", "score"])
 
         return docs.select("doc_id", "v").mapInArrow(search, "query_id string, doc_id string, score double")
 
     def flush():
         if block:
-            parts.append(run(np.array([r.query_id for r in block], dtype=object), np.array([r.v for r in block], float)))
+            parts.append(run(pa.array([r.query_id for r in block], pa.string()), np.array([r.v for r in block], float)))
             block.clear()
 
     for r in rows:

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
 from tessera.operators import features, metrics, policies, splits
-from tessera.operators.bm25 import Index, dealt
+from tessera.operators.bm25 import Index
 from tessera.operators.fusion import rerank_prefix, token_overlap, weighted_rrf
 from tessera.operators.router import PUBLISHED
 from tessera.operators.study import labelled, require_unlabelled
-from tessera.operators.vector import dense_search, hashed_components, hashed_embedding, unit_vectors
+from tessera.operators.vector import dense_search, hashed_components, hashed_embedding
 from tessera.plans.lineage import cut, forget
 from tessera.plans.steps import contents
 from tessera.sources.files import digest
@@ -67,12 +67,11 @@ class Evaluation:
     @property
     def hashed(self) -> DataFrame:
         """(doc_id, i, x): the documents' hashed components, summed where the text lies, without a shuffle of sums."""
-        return hashed_components(dealt(self.docs), "doc_id", "text")
+        return hashed_components(self.docs, "doc_id", "text")
 
     @cached_property
     def deep_dense(self) -> DataFrame:
-        vectors = cut(unit_vectors(self.hashed, "doc_id"))
-        found = dense_search(hashed_embedding(self.queries, "query_id", "query"), vectors, DEEPEST)
+        found = dense_search(hashed_embedding(self.queries, "query_id", "query"), hashed_embedding(self.docs, "doc_id", "text"), DEEPEST)
         return cut(found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank")))
 
     @property
