@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.fusion import weighted_rrf
-from tessera.plans.skew import lookup_join
+from tessera.plans.skew import among, lookup_join
 
 
 def _all(found: Sequence[DataFrame]) -> DataFrame:
@@ -78,7 +78,7 @@ def pair_tokens(queries: DataFrame, docs: DataFrame, pairs: DataFrame, budget: i
     `special` tokens are the pair's own. The longer side is cut until both fit; equal lengths lose from the document first.
     """
     q = queries.select("query_id", F.size(tokenize(F.col("query"))).alias("n_query"))
-    d = docs.select("doc_id", F.size(tokenize(F.col("text"))).alias("n_doc"))
+    d = among(docs, pairs, "doc_id").select("doc_id", F.size(tokenize(F.col("text"))).alias("n_doc"))
     both = lookup_join(lookup_join(pairs.select("query_id", "doc_id"), q, ["query_id"]), d, ["doc_id"])
     room, a, b = max(budget - special, 0), F.col("n_query"), F.col("n_doc")
     half = (room + 1) // 2

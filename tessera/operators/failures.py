@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.checks import pair_tokens
 from tessera.operators.metrics import outcome, rank_of, transition
+from tessera.plans.skew import among
 
 #: Edges of the groups by number of query tokens and by mean tokens of the relevant documents.
 QUERY_TOKENS, DOC_TOKENS = (32, 64), (128, 256)
@@ -20,7 +21,7 @@ def records(queries: DataFrame, docs: DataFrame, qrels: DataFrame, hybrid: DataF
     With name, a Column function of two document ids, such a result is a counterpart where it holds for a relevant document.
     """
     gold = rank_of(reranked, rank_of(hybrid, qrels).withColumnRenamed("rank", "rb")).withColumnRenamed("rank", "ra")
-    size = docs.select("doc_id", F.size(tokenize(F.col("text"))).alias("n_doc"))
+    size = among(docs, qrels, "doc_id").select("doc_id", F.size(tokenize(F.col("text"))).alias("n_doc"))
     gold = gold.join(size, "doc_id").withColumn("move", transition(F.col("rb"), F.col("ra")))
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     of_gold = gold.groupBy("query_id").agg(F.count("*").alias("positives"), count(F.col("rb") <= depth).alias("in_prefix"), count(F.col("move") == "left_top10").alias("left_top10"), count(F.col("move") == "entered_top10").alias("entered_top10"), F.avg("n_doc").alias("doc_tokens"))

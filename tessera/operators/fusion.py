@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import plain_tokens
 from tessera.operators.ranking import top_k
+from tessera.plans.skew import among
 
 
 def _legs(rankings: Sequence[DataFrame], weights: Sequence[float]) -> DataFrame:
@@ -86,7 +87,7 @@ def gated_rerank(ranking: DataFrame, routed: DataFrame, scorer, depth: int = 20)
 def token_overlap(pairs: DataFrame, queries: DataFrame, docs: DataFrame, tokenize) -> DataFrame:
     """A deterministic pair scorer: share of the query's distinct tokens that the document has."""
     q = queries.select("query_id", F.array_distinct(tokenize(F.col("query"))).alias("qt"))
-    d = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array_distinct(tokenize(F.col("text"))).alias("dt"))
+    d = among(docs, pairs, "doc_id").select("doc_id", F.array_distinct(tokenize(F.col("text"))).alias("dt"))
     score: Column = F.size(F.array_intersect("qt", "dt")) / F.greatest(F.size("qt"), F.lit(1))
     return pairs.join(q, "query_id").join(d, "doc_id").select("query_id", "doc_id", score.alias("pair_score"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.fusion import ranking_differences, rerank_prefix
 from tessera.plans.lineage import stored
+from tessera.plans.skew import among
 
 Scorer = Callable[[str, list[str]], Sequence[float]]
 
@@ -52,7 +53,7 @@ def execute(queries: DataFrame, docs: DataFrame, ranking: DataFrame, routed: Dat
     if isinstance(depth, bool) or not isinstance(depth, int) or depth < 1:
         raise ValueError("depth must be a positive integer")
     head = ranking.where(F.col("rank") <= depth).join(routed.select("query_id").distinct(), "query_id", "left_semi")
-    texts = head.join(docs.select("doc_id", "text"), "doc_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("c"))  # depth entries at most
+    texts = head.join(among(docs.select("doc_id", "text"), head, "doc_id"), "doc_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("c"))  # depth entries at most
     asked = texts.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", F.col("c.doc_id").alias("doc_ids"), F.col("c.text").alias("texts"))
 
     def run(batches):

@@ -27,6 +27,12 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def among(df: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key asked has; few keys are broadcast, so that the other rows, and what is computed of them, are never moved."""
+    keys = asked.select(key).distinct()
+    return df.join(F.broadcast(keys) if fits(keys) else keys, key, "left_semi")
+
+
 def _part(df: DataFrame, n: int) -> Column:
     """A part from 0 to n - 1 for each row of df, from its content and the number of the partition that it lies in.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
 from tessera.plans.lineage import cut
-from tessera.plans.skew import fits
+from tessera.plans.skew import among, fits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +38,8 @@ def derived_qrels(docs: DataFrame, qs: DataFrame, postings: DataFrame | None = N
     d = docs.select("doc_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("t")) if postings is None else postings.select("doc_id", F.col("term").alias("t"))
     asked = q.select("query_id", "t")
     hit = d.join(F.broadcast(asked) if fits(asked) else asked, "t").select("query_id", "doc_id")
-    long = cut(hit).join(qs.select("query_id", "query"), "query_id").join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    hit = cut(hit)
+    long = hit.join(qs.select("query_id", "query"), "query_id").join(among(docs.select("doc_id", "text"), hit, "doc_id"), "doc_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
     few = qs.where(n < 3).select("query_id", "query")
     short = docs.select("doc_id", "text").join(F.broadcast(few) if fits(few) else few, F.col("text").contains(F.col("query")))
     return long.unionByName(short.select("query_id", "doc_id"))
