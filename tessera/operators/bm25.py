@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from copy import copy
 from functools import cached_property
 
 import numpy as np
@@ -80,7 +81,7 @@ class Index:
         self.postings = self.lists.select("doc_id", "dl", F.inline("entries"))
         self.term_stats = self._counted(self.postings)
         size = self.lists.agg(F.coalesce(F.sum(F.aggregate("entries.tf", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("tokens"))
-        self.stats = docs.agg(F.count("*").alias("n")).join(size).select("n", F.when(F.col("n") > 0, F.col("tokens") / F.col("n")).alias("avgdl"))
+        self.stats = cut(docs.agg(F.count("*").alias("n")).join(size).select("n", F.when(F.col("n") > 0, F.col("tokens") / F.col("n")).alias("avgdl")))
 
     @cached_property
     def one_each(self) -> bool:
@@ -88,6 +89,29 @@ class Index:
         n = self.lists.agg(F.count("*").alias("n"), (F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("ids")).first()
         return n.n == 0 or n.n == n.ids
 
+    def only(self, queries: DataFrame) -> Index:
+        """The index of the terms that queries ask for, as a table of its own: these terms keep their statistics, so that the queries
+        have the same scores over fewer entries. More terms than can be broadcast leave the index as it is."""
+        asked = queries.select(F.explode(tokenize(F.col("query"))).alias("term")).distinct()
+        if not fits(asked):
+            return self
+        terms = pa.array([r.term for r in asked.collect()], pa.string())
+
+        def run(batches):
+            for b in batches:
+                entries = b.column(2).flatten()
+                keep = pc.is_in(entries.field("term"), value_set=terms)
+                ends = np.cumsum(pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False))
+                kept = np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])[np.concatenate([[0], ends]).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(kept, pa.int32()), entries.filter(keep))], names=["doc_id", "dl", "entries"])
+
+        out = copy(self)
+        out.one_each = self.one_each
+        out.lists, out.folder = stored(self.lists.mapInArrow(run, self.lists.schema), "bm25")
+        out.postings = out.lists.select("doc_id", "dl", F.inline("entries"))
+        out.term_stats = self._counted(out.postings)
+        return out
+
     def _counted(self, postings: DataFrame) -> DataFrame:
         return postings.groupBy("term").agg(F.count("*").alias("df"))
 

@@ -40,8 +40,9 @@ def evaluation(spark: SparkSession, d: str) -> Evaluation:
         _KEPT.move_to_end(key)
         old = [_KEPT.popitem(last=False) for _ in range(len(_KEPT) - FOLDERS)]
     for (app, *_), e in old:
-        if app == spark.sparkContext.applicationId and "index" in e.__dict__:
-            forget(spark, e.index.folder)
+        if app == spark.sparkContext.applicationId:
+            for folder in {e.__dict__[i].folder for i in ("index", "asked") if i in e.__dict__}:
+                forget(spark, folder)
     return _KEPT[key]
 
 
@@ -56,13 +57,18 @@ class Evaluation:
     def index(self) -> Index:
         return Index(self.docs)
 
+    @cached_property
+    def asked(self) -> Index:
+        """The index of the terms of the folder's queries."""
+        return self.index.only(self.queries)
+
     @cached_property
     def qrels(self) -> DataFrame:
-        return labelled(cut(derived_qrels(self.docs, self.queries, self.index.postings)), "query_id", "doc_id")
+        return labelled(cut(derived_qrels(self.docs, self.queries, self.asked.postings)), "query_id", "doc_id")
 
     @cached_property
     def deep_bm25(self) -> DataFrame:
-        return cut(self.index.search(self.queries, DEEPEST).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank")))
+        return cut(self.asked.search(self.queries, DEEPEST).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank")))
 
     @property
     def hashed(self) -> DataFrame:

@@ -92,10 +92,10 @@ query("corpus_stats", "SELECT n, round(avgdl, 9) AS avgdl FROM st", True)(lambda
 query("term_stats", "SELECT term, df FROM df", True)(lambda s, d: evaluation(s, d).index.term_stats)
 query("postings", "SELECT term, doc_id, tf, dl::INT AS dl FROM tf", True)(lambda s, d: evaluation(s, d).index.postings.select("term", "doc_id", "tf", "dl"))
 query("idf_table", "SELECT term, round(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)), 9) AS idf FROM df, st", True)(lambda s, d: evaluation(s, d).index.idf().select("term", F.round("idf", 9).alias("idf")))
-query("bm25_scores", "SELECT query_id, doc_id, round(score, 9) AS score FROM bs", True)(lambda s, d: evaluation(s, d).index.scores(evaluation(s, d).queries).select("query_id", "doc_id", F.round("score", 9).alias("score")))
+query("bm25_scores", "SELECT query_id, doc_id, round(score, 9) AS score FROM bs", True)(lambda s, d: evaluation(s, d).asked.scores(evaluation(s, d).queries).select("query_id", "doc_id", F.round("score", 9).alias("score")))
 query("bm25_topk", "SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bs) WHERE rank <= 10", True)(
-    lambda s, d: evaluation(s, d).index.search(evaluation(s, d).queries, 10, pad=False).select("query_id", "doc_id", "score", "rank"))
-query("bm25_topk_padded", "SELECT query_id, doc_id, score, rank::INT AS rank FROM bm25", True)(lambda s, d: evaluation(s, d).index.search(evaluation(s, d).queries, DEPTH).select("query_id", "doc_id", "score", "rank"))
+    lambda s, d: evaluation(s, d).asked.search(evaluation(s, d).queries, 10, pad=False).select("query_id", "doc_id", "score", "rank"))
+query("bm25_topk_padded", "SELECT query_id, doc_id, score, rank::INT AS rank FROM bm25", True)(lambda s, d: evaluation(s, d).asked.search(evaluation(s, d).queries, DEPTH).select("query_id", "doc_id", "score", "rank"))
 query("hashed_embeddings", "SELECT id AS doc_id, i::INT AS i, x FROM hc", True)(lambda s, d: evaluation(s, d).hashed.where("x <> 0"))
 query("dense_topk", "SELECT query_id, doc_id, rank FROM dense", True)(lambda s, d: evaluation(s, d).dense)
 query("embedding_quality", """SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim, count_if(len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS not_finite,

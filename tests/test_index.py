@@ -79,3 +79,13 @@ def test_vectors_of_ids_and_searches_without_oneself(spark):
     e = spark.createDataFrame(list(v.items()), "doc_id string, v array<double>")
     got = dense_search(e.withColumnRenamed("doc_id", "query_id"), e, 2, own=False).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.doc_id) for r in got] == [("a", "b"), ("a", "c"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "b")]
+
+
+def test_an_index_of_asked_terms_gives_the_same(spark, corpus):
+    docs, queries = spark.createDataFrame(corpus[0], "doc_id string, text string"), spark.createDataFrame(corpus[1], "query_id string, query string")
+    index = bm25.Index(docs)
+    only, terms = index.only(queries), {w for _, t in corpus[1] for w in plain_tokens(t)}
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(only.postings) == [r for r in rows(index.postings) if r[2] in terms]
+    assert rows(only.search(queries, 95)) == rows(index.search(queries, 95)) and rows(only.stats) == rows(index.stats)
+    assert rows(only.idf()) == [r for r in rows(index.idf()) if r[0] in terms]
