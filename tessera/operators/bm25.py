@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tessera.functions.hashing import DIM, Sums, unit_lists
 from tessera.functions.text import term_counts, tokenize
 from tessera.operators.ranking import DIGITS, best_columns, top_k
 from tessera.plans.lineage import cut, stored
@@ -23,6 +24,8 @@ K1, B = 1.5, 0.75
 TEXT_BYTES = 32 << 20
 #: Queries up to which documents are scored where they lie; scores that a worker holds at once; postings or rows that leave it at once.
 QUERIES, CELLS, ROWS = 4096, 1 << 21, 1 << 18
+#: Documents whose vectors leave a worker at once.
+DOCS = 1 << 13
 
 
 def dealt(docs: DataFrame, size: int = TEXT_BYTES) -> DataFrame:
@@ -38,49 +41,82 @@ def texts_by_id(docs: DataFrame) -> DataFrame:
     return dealt(docs).groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
 
 
-def _count(batches):
-    """(doc_id, texts) to (doc_id, dl, entries); the texts of an id that have the same length are one row."""
+def _asked(queries: DataFrame) -> list[str] | None:
+    """The terms of queries (query_id, query), or None where they are too many to be broadcast."""
+    asked = queries.select(F.explode(tokenize(F.col("query"))).alias("term")).distinct()
+    return [r.term for r in asked.collect()] if fits(asked) else None
 
-    def flush():
-        entries = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int64())], names=["term", "tf"])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(dls, pa.int32()), lists], names=["doc_id", "dl", "entries"])
 
-    for b in batches:
-        at, dls, terms, tfs, ends = [], [], [], [], [0]
-        for i, texts in enumerate(b.column(1).to_pylist()):
-            by_length: dict[int, Counter] = {}
-            for t in texts:
-                n = term_counts([t])
-                by_length.setdefault(n.total(), Counter()).update(n)
-            for dl, n in by_length.items():
-                if dl:
+def _counter(asked: list[str] | None, dim: int | None):
+    """A function of (doc_id, texts) to (doc_id, dl, tokens, entries, v); the texts of an id that have the same length are one row.
+
+    With asked, entries are of these terms only. tokens counts the row's; with dim, v is the hashed unit vector of all of the id's
+    texts, in the first of its rows.
+    """
+    keep = None if asked is None else {t.encode() for t in asked}
+
+    def run(batches):
+        at, dls, tokens, terms, tfs, ends, sums = [], [], [], [], [], [0], Sums(dim or DIM)
+
+        def flush(ids):
+            entries = pa.StructArray.from_arrays([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int64())], names=["term", "tf"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+            v = pa.nulls(len(at), pa.list_(pa.float64()))
+            if dim:
+                some, v = unit_lists(sums.rows()[0])
+                place = np.full(len(at), -1)
+                place[some] = np.arange(len(some))
+                v = v.take(pa.array(place, mask=place < 0))
+            out = pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(dls, pa.int32()), pa.array(tokens, pa.int64()), lists, v], names=["doc_id", "dl", "tokens", "entries", "v"])
+            for x in (at, dls, tokens, terms, tfs):
+                x.clear()
+            ends[:] = [0]
+            sums.__init__(dim or DIM)
+            return out
+
+        for b in batches:
+            for i, texts in enumerate(b.column(1).to_pylist()):
+                by_length: dict[int, Counter] = {}
+                for t in texts:
+                    n = term_counts([t])
+                    by_length.setdefault(n.total(), Counter()).update(n)
+                by_length.pop(0, None)
+                if dim and by_length:
+                    sums.add(sum(by_length.values(), Counter()) if len(by_length) > 1 else next(iter(by_length.values())))
+                    sums.sizes += [0] * (len(by_length) - 1)
+                for dl, n in by_length.items():
                     at.append(i)
                     dls.append(dl)
-                    terms.extend(n)
-                    tfs.extend(n.values())
+                    tokens.append(n.total())
+                    kept = list(n) if keep is None else [t for t in n if t in keep]
+                    terms.extend(kept)
+                    tfs.extend(n.values() if keep is None else [n[t] for t in kept])
                     ends.append(len(terms))
-            if len(terms) >= ROWS:
-                yield flush()
-                at, dls, terms, tfs, ends = [], [], [], [], [0]
-        if at:
-            yield flush()
+                if max(len(terms), len(sums.places)) >= ROWS or len(at) >= DOCS:
+                    yield flush(b.column(0))
+            if at:
+                yield flush(b.column(0))
+
+    return run
 
 
 class Index:
-    """postings(term, doc_id, tf, dl), term_stats(term, df), stats(n, avgdl); lists(doc_id, dl, entries of term and tf).
+    """postings(term, doc_id, tf, dl), term_stats(term, df), stats(n, avgdl); lists(doc_id, dl, entries of term and tf);
+    with dim vectors(doc_id, v), which are those of `hashed_embedding`.
 
-    Texts are cut once: the lists are written as a table beside the checkpoints; postings are its entries, df and avgdl sums over it.
-    An empty corpus raises where a score is asked for.
+    Texts are cut once: lists and vectors are written as a table beside the checkpoints; postings are its entries, df and avgdl
+    sums over it. With queries (query_id, query) it has entries of their terms only, which keep their statistics; more terms than
+    can be broadcast are all kept. An empty corpus raises where a score is asked for.
     """
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, queries: DataFrame | None = None, dim: int | None = None):
         self.docs = docs.select("doc_id")
-        schema = StructType([*self.docs.schema, *StructType.fromDDL("dl int, entries array<struct<term:string,tf:bigint>>")])
-        self.lists, self.folder = stored(texts_by_id(docs).mapInArrow(_count, schema), "bm25")
+        schema = StructType([*self.docs.schema, *StructType.fromDDL("dl int, tokens bigint, entries array<struct<term:string,tf:bigint>>, v array<double>")])
+        rows, self.folder = stored(texts_by_id(docs).mapInArrow(_counter(None if queries is None else _asked(queries), dim), schema), "bm25")
+        self.lists, self.vectors = rows.select("doc_id", "dl", "entries"), rows.where("v IS NOT NULL").select("doc_id", "v")
         self.postings = self.lists.select("doc_id", "dl", F.inline("entries"))
         self.term_stats = self._counted(self.postings)
-        size = self.lists.agg(F.coalesce(F.sum(F.aggregate("entries.tf", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("tokens"))
+        size = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
         self.stats = cut(docs.agg(F.count("*").alias("n")).join(size).select("n", F.when(F.col("n") > 0, F.col("tokens") / F.col("n")).alias("avgdl")))
 
     @cached_property
@@ -92,10 +128,10 @@ class Index:
     def only(self, queries: DataFrame) -> Index:
         """The index of the terms that queries ask for, as a table of its own: these terms keep their statistics, so that the queries
         have the same scores over fewer entries. More terms than can be broadcast leave the index as it is."""
-        asked = queries.select(F.explode(tokenize(F.col("query"))).alias("term")).distinct()
-        if not fits(asked):
+        asked = _asked(queries)
+        if asked is None:
             return self
-        terms = pa.array([r.term for r in asked.collect()], pa.string())
+        terms = pa.array(asked, pa.string())
 
         def run(batches):
             for b in batches:
@@ -162,14 +198,18 @@ class Index:
             doc = np.repeat(np.arange(n), pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False))[at]
             tf = entries.field("tf").to_numpy(zero_copy_only=False)[at]
             norm = (1 - b + b * part.column(1).to_numpy() / avgdl)[doc]
-            # Each posting meets the queries of its term.
-            times = first[code + 1] - first[code]
-            pair = np.arange(times.sum()) + np.repeat(first[code] - np.cumsum(times) + times, times)
-            value = weight[pair] * np.repeat(tf, times) * (k1 + 1) / np.repeat(tf + k1 * norm, times)
-            cell = query[pair] * n + np.repeat(doc, times)
-            seen = np.zeros(n_queries * n, bool)
-            seen[cell] = True
-            return np.bincount(cell, value, n_queries * n).reshape(n_queries, n), seen.reshape(n_queries, n)
+            value = tf * (k1 + 1) / (tf + k1 * norm)
+            # A term's documents meet its queries; a document has one entry of a term, and a query one row.
+            by_term = np.argsort(code, kind="stable")
+            doc, value = doc[by_term], value[by_term]
+            found, start = np.unique(code[by_term], return_index=True)
+            scores, seen = np.zeros((n_queries, n)), np.zeros((n_queries, n), bool)
+            for c, i, j in zip(found, start, [*start[1:], len(doc)]):
+                own = slice(first[c], first[c + 1])
+                cells = np.ix_(query[own], doc[i:j])
+                scores[cells] += weight[own, None] * value[i:j]
+                seen[cells] = True
+            return scores, seen
 
         def run(batches):
             for batch in batches:

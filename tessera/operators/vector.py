@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -12,46 +11,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from tessera.functions.hashing import DIM, Sums, unit_lists
 from tessera.functions.text import term_counts
-from tessera.operators.bm25 import texts_by_id
+from tessera.operators.bm25 import CELLS, texts_by_id
 from tessera.operators.ranking import DIGITS, best_columns, top_k
 
-DIM = 64
 #: Queries that one pass over the corpus scores; more queries take more passes.
 QUERIES = 4096
 
 
-def _slots(dim: int) -> Callable[[bytes], tuple[int, float]]:
-    """Component and sign of a term, from its MD5; the last ones asked for are remembered."""
-    known: dict[bytes, tuple[int, float]] = {}
-
-    def slot(term: bytes) -> tuple[int, float]:
-        if term not in known:
-            if len(known) >= 1 << 18:
-                known.clear()
-            h = hashlib.md5(term).hexdigest()
-            known[term] = int(h[:8], 16) % dim, 1.0 if h[8] < "8" else -1.0
-        return known[term]
-
-    return slot
-
-
-def _components(docs: DataFrame, id_col: str, text_col: str, dim: int, columns: str, give: Callable[[list[dict[int, float]]], list[pa.Array]]) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, dim: int, columns: str, give: Callable[[Sums], list[pa.Array]]) -> DataFrame:
     """Rows of (id, *columns): what give makes of the components of some ids, the first of its columns being the places of those ids."""
 
     more = StructType.fromDDL(columns)
 
     def run(batches):
-        slot = _slots(dim)
         for b in batches:
             for i in range(0, b.num_rows, 1024):
-                sums: list[dict[int, float]] = []
+                sums = Sums(dim)
                 for texts in b.column(1).slice(i, 1024).to_pylist():
-                    x: dict[int, float] = {}
-                    for term, n in term_counts(texts).items():
-                        at, sign = slot(term)
-                        x[at] = x.get(at, 0.0) + sign * n
-                    sums.append(x)
+                    sums.add(term_counts(texts))
                 at, *cols = give(sums)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1024).take(at), *cols], names=[id_col, *more.names])
 
@@ -63,8 +42,9 @@ def hashed_components(docs: DataFrame, id_col: str, text_col: str, dim: int = DI
     """(id, i, x): signed token counts by hashed component, summed where the text lies, without a shuffle of sums."""
 
     def give(sums):
-        at = [k for k, x in enumerate(sums) for _ in x]
-        return [pa.array(at, pa.int64()), pa.array([i for x in sums for i in x], pa.int32()), pa.array([v for x in sums for v in x.values()], pa.float64())]
+        x, some = sums.rows()
+        at, i = np.nonzero(some)
+        return [pa.array(at), pa.array(i, pa.int32()), pa.array(x[at, i])]
 
     return _components(docs, id_col, text_col, dim, "i int, x double", give)
 
@@ -73,13 +53,8 @@ def hashed_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM
     """(id, v array<double>): the components as vectors of length 1; texts without tokens, or whose counts cancel, have none."""
 
     def give(sums):
-        x = np.zeros((len(sums), dim))
-        for k, c in enumerate(sums):
-            x[k, list(c)] = list(c.values())
-        at = np.flatnonzero(x.any(1))
-        x = x[at]
-        x /= np.sqrt((x * x).sum(1, keepdims=True))
-        return [pa.array(at), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * dim, pa.int32()), pa.array(x.ravel()))]
+        at, v = unit_lists(sums.rows()[0])
+        return [pa.array(at), v]
 
     return _components(docs, id_col, text_col, dim, "v array<double>", give)
 
@@ -88,14 +63,11 @@ def hashing_model(dim: int = DIM) -> Callable[[], Callable[[list[str]], np.ndarr
     """`hashed_embedding` as a model for workers; texts without a vector get the first unit vector."""
 
     def load():
-        slot = _slots(dim)
-
         def encode(texts: list[str]) -> np.ndarray:
-            x = np.zeros((len(texts), dim))
-            for i, t in enumerate(texts):
-                for term, n in term_counts([t]).items():
-                    at, sign = slot(term)
-                    x[i, at] += sign * n
+            sums = Sums(dim)
+            for t in texts:
+                sums.add(term_counts([t]))
+            x = sums.rows()[0]
             x[~x.any(1), 0] = 1.0
             return x
 
@@ -137,16 +109,17 @@ def dense_search(queries: DataFrame, docs: DataFrame, k: int, own: bool = True)
         place = pc.index_in(ids, value_set=known).to_numpy(zero_copy_only=False)
 
         def search(batches):
-            for b in batches:
-                b = b.take(pc.array_sort_indices(b.column(0), null_placement="at_start"))
-                doc = b.column(0)
-                if not len(doc):
-                    continue
-                s = np.round(mat @ b.column(1).flatten().to_numpy().reshape(len(doc), -1).T, DIGITS)
-                if not own:
-                    s[place[:, None] == pc.index_in(doc, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)] = -np.inf
-                q, d = best_columns(s, k)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), doc.take(pa.array(d)), pa.array(s[q, d])], names=["query_id", "doc_id", "score"])
+            step = max(CELLS // len(ids), 1)
+            for batch in batches:
+                for i in range(0, batch.num_rows, step):
+                    b = batch.slice(i, step)
+                    b = b.take(pc.array_sort_indices(b.column(0), null_placement="at_start"))
+                    doc = b.column(0)
+                    s = np.round(mat @ b.column(1).flatten().to_numpy().reshape(len(doc), -1).T, DIGITS)
+                    if not own:
+                        s[place[:, None] == pc.index_in(doc, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)] = -np.inf
+                    q, d = best_columns(s, k)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), doc.take(pa.array(d)), pa.array(s[q, d])], names=["query_id", "doc_id", "score"])
 
         return docs.select("doc_id", "v").mapInArrow(search, "query_id string, doc_id string, score double")
 

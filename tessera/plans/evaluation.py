@@ -15,7 +15,7 @@ from tessera.operators.bm25 import Index
 from tessera.operators.fusion import rerank_prefix, token_overlap, weighted_rrf
 from tessera.operators.router import PUBLISHED
 from tessera.operators.study import labelled, require_unlabelled
-from tessera.operators.vector import dense_search, hashed_components, hashed_embedding
+from tessera.operators.vector import DIM, dense_search, hashed_components, hashed_embedding
 from tessera.plans.lineage import cut, forget
 from tessera.plans.steps import contents
 from tessera.sources.files import digest
@@ -59,8 +59,8 @@ class Evaluation:
 
     @cached_property
     def asked(self) -> Index:
-        """The index of the terms of the folder's queries."""
-        return self.index.only(self.queries)
+        """The index of the terms of the folder's queries, with the documents' vectors; texts are cut once for both."""
+        return Index(self.docs, self.queries, DIM)
 
     @cached_property
     def qrels(self) -> DataFrame:
@@ -77,7 +77,7 @@ class Evaluation:
 
     @cached_property
     def deep_dense(self) -> DataFrame:
-        found = dense_search(hashed_embedding(self.queries, "query_id", "query"), hashed_embedding(self.docs, "doc_id", "text"), DEEPEST)
+        found = dense_search(hashed_embedding(self.queries, "query_id", "query"), self.asked.vectors, DEEPEST)
         return cut(found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank")))
 
     @property

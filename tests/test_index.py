@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.functions.text import plain_tokens, term_counts
-from tessera.operators import bm25
+from tessera.operators import bm25, vector
 from tessera.operators.ranking import best_columns
 from tessera.operators.vector import dense_search, hashed_embedding
 
@@ -89,3 +89,31 @@ def test_an_index_of_asked_terms_gives_the_same(spark, corpus):
     assert rows(only.postings) == [r for r in rows(index.postings) if r[2] in terms]
     assert rows(only.search(queries, 95)) == rows(index.search(queries, 95)) and rows(only.stats) == rows(index.stats)
     assert rows(only.idf()) == [r for r in rows(index.idf()) if r[0] in terms]
+
+
+def test_one_cut_of_the_texts_gives_asked_terms_and_vectors(spark, corpus, monkeypatch):
+    twice = [("d001", "gg hh"), ("d002", None), ("two", "aa zz"), ("two", "é"), ("-", "--")]
+    docs, queries = spark.createDataFrame(corpus[0] + twice, "doc_id string, text string"), spark.createDataFrame(corpus[1], "query_id string, query string")
+    index = bm25.Index(docs)
+    want = index.only(queries)
+    got = bm25.Index(docs, queries, 64)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for of in ("postings", "term_stats", "stats", "one_each"):
+        a, b = getattr(got, of), getattr(want, of)
+        assert a == b if of == "one_each" else rows(a) == rows(b)
+    assert rows(got.search(queries, 95)) == rows(want.search(queries, 95))
+    assert rows(got.vectors) == rows(hashed_embedding(docs, "doc_id", "text"))
+    monkeypatch.setattr(bm25, "fits", lambda *_: False)
+    assert rows(bm25.Index(docs, queries).postings) == rows(index.postings)
+
+
+def test_an_evaluation_cuts_texts_once_for_both_legs(spark, tmp_path, monkeypatch):
+    from tessera.plans import evaluation
+
+    spark.createDataFrame([(i, f"aa b{i} cc", "en") for i in range(30)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"aa b{i}") for i in range(3)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    cuts, real = [], bm25.texts_by_id
+    for module in (bm25, vector):
+        monkeypatch.setattr(module, "texts_by_id", lambda docs: cuts.append(1) or real(docs))
+    e = evaluation.evaluation(spark, str(tmp_path))
+    assert e.hybrid.count() == 90 and len(cuts) == 2  # documents and queries
