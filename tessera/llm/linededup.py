@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, table
 from tessera.plans.lineage import cut, forget, stored
-from tessera.plans.skew import lookup_join, split_join
+from tessera.plans.skew import split_join
 
 #: Words from which a repeated line, or a run of repeated units within lines, is removed. One word a line is the exact mode;
 #: the registered query takes QUERY_MIN_LINE, so that a "Yes." that many clean documents hold is left to them.
@@ -96,7 +96,8 @@ def lost(words: list[int], ends: list[bool], late: set[int], min_line: int, min_
 
 
 def late_units(units: DataFrame) -> DataFrame:
-    """units: (h1, h2, n, id, t, pos), n whether id is null -> (n, id, t, late): the places of each text's late units.
+    """units: (h1, h2, n, id, t, pos), n whether id is null -> (n, id, t, late, times): the places of each text's late units, and
+    how many rows have this id and text.
 
     Digests are counted by hash aggregation first; the first place is looked for only among those that occur twice.
     """
@@ -104,7 +105,7 @@ def late_units(units: DataFrame) -> DataFrame:
     again, folder = stored(split_join(units, counts, ["h1", "h2"], "times", DIGESTS), "repeated-units")
     firsts = again.groupBy("h1", "h2").agg(F.min(F.struct("n", "id", "t", "pos")).alias("first"), F.count("*").alias("times"))
     late = split_join(again, cut(firsts), ["h1", "h2"], "times", DIGESTS).where(F.struct("n", "id", "t", "pos") > F.col("first"))
-    late = cut(late.groupBy("n", "id", "t").agg(F.collect_set("pos").alias("late")))  # no more than the text has units
+    late = cut(late.groupBy("n", "id", "t").agg(F.collect_set("pos").alias("late"), F.count("*").alias("units")).withColumn("times", (F.col("units") / F.size("late")).cast("long")).drop("units"))  # no more than the text has units
     forget(units.sparkSession, folder)
     return late
 
@@ -119,16 +120,16 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_line: int = MIN_LINE, m
     empty result.
     """
     docs = docs.drop("n_units", "n_removed", "removed").withColumn(text_col, F.col(text_col).cast("string"))
-    k_id, k_text, late_, units_, sizes_, n_ = fresh(docs, "key_id", "key_text", "late_at", "cut_up", "sizes", "count_of_units")
+    k_id, k_text, late_, units_, sizes_, n_, times_ = fresh(docs, "key_id", "key_text", "late_at", "cut_up", "sizes", "count_of_units", "count_of_rows")
     pieces = pieces_of(F.col(text_col)) if unit == "line" else F.split(text_col, PARAGRAPHS)
     key_text = F.xxhash64(text_col)
     norm = F.trim(F.lower(F.regexp_replace("u", r"\s+", " ")))
     units = docs.select(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), key_text.alias("t"), F.posexplode(pieces).alias("pos", "u")).withColumn("u", norm).where("u <> ''")
     units, folder = stored(units.select(F.xxhash64("u").alias("h1"), F.xxhash64(F.lit("second"), "u").alias("h2"), "n", "id", "t", "pos"), "units")
-    late = late_units(units).select(F.col("id").alias(k_id), F.col("t").alias(k_text), F.col("late").alias(late_))
+    late = late_units(units).select(F.struct("id").alias(k_id), F.col("t").alias(k_text), F.col("late").alias(late_), F.col("times").alias(times_))
     forget(docs.sparkSession, folder)
-    # Positions grow with the corpus: they are never broadcast.
-    out = lookup_join(docs.withColumn(k_id, F.col(id_col)).withColumn(k_text, key_text), late, [k_id, k_text], "left", -1)
+    # Positions grow with the corpus: they are never broadcast. A struct of a null id equals another.
+    out = split_join(docs.withColumn(k_id, F.struct(F.col(id_col).alias("id"))).withColumn(k_text, key_text), late, [k_id, k_text], times_, -1, "left")
     out = out.withColumn(units_, pieces).withColumn(n_, F.when(F.length(text_col) > 0, F.size(units_)).otherwise(0).cast("long"))
     out = out.withColumn(sizes_, F.when(F.col(late_).isNotNull(), F.transform(units_, F.char_length)))
     cols = docs.columns

@@ -43,22 +43,22 @@ def _part(df: DataFrame, n: int) -> Column:
     return F.pmod(F.xxhash64(F.spark_partition_id(), *[df[c] for c in cols]), F.lit(n)).cast("int")
 
 
-def split_join(big: DataFrame, small: DataFrame, keys: str | list[str], n: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join on keys of which small has one row each; small[n], dropped here, is the key's number of rows in big.
+def split_join(big: DataFrame, small: DataFrame, keys: str | list[str], n: str, max_rows: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
+    """Inner or left join on keys of which small has one row each; small[n], dropped here, is the key's number of rows in big.
 
     Broadcast if small is within the bound. Beyond it, one join by shuffle, in which the rows of hot keys are dealt to several
     parts by their content and partition; the list of hot keys, HOT_SHARE at most, is broadcast. small is read several times: cut it before.
     """
     keys = [keys] if isinstance(keys, str) else keys
     if fits(small, max_rows):
-        return big.join(F.broadcast(small.drop(n)), keys)
+        return big.join(F.broadcast(small.drop(n)), keys, how)
     total = small.agg(F.sum(n)).first()[0] or 0
     salt, mark = fresh([*big.columns, *small.columns], "salt_of_key", "is_hot")
     hot = F.col(n) * HOT_SHARE >= total
     dealt = big.join(F.broadcast(small.where(hot).select(*keys, F.lit(True).alias(mark))), keys, "left")
     dealt = dealt.withColumn(salt, F.when(F.col(mark), _part(dealt.drop(mark), SALTS)).otherwise(0)).drop(mark)
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0)))).drop(n)
-    return dealt.join(copies, [*keys, salt]).drop(salt)
+    return dealt.join(copies, [*keys, salt], how).drop(salt)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:

@@ -63,3 +63,16 @@ def test_repeated_words_and_long_texts(spark):
 
 def test_words_are_counted_by_character_where_there_are_no_spaces():
     assert [ld.word_count(t) for t in ("", "a  b\n", "漢字", "漢字 ab c", "ไทย", "한국 말")] == [0, 2, 2, 4, 3, 2]
+
+
+def test_late_places_of_a_text_are_not_copied(spark, monkeypatch):
+    line = "one two three four five six\n"
+    rows = [(None, line), *[(i, line + f"own words of {i}") for i in range(40)], *[(7, line + "twice")] * 5, (None, line), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small, real = [], ld.split_join
+    monkeypatch.setattr(ld, "split_join", lambda big, s, *a: small.append(s) or real(big, s, *a))
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in ld.dedup_units(docs, min_line=5).collect()), key=str)
+    want = [(0, line + "own words of 0", 0), *[(i, f"own words of {i}", 1) for i in range(1, 40)], *[(7, "twice", 1)] * 5, (None, "", 1), (None, "", 1), (None, None, 0)]
+    assert got == sorted(want, key=str)
+    late = small[-1].select("count_of_rows").collect()
+    assert len(late) == 41 and sorted(r[0] for r in late)[-2:] == [2, 5]
