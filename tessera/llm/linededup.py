@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import accumulate
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,10 +69,25 @@ def cut_long(piece: Column) -> Column:
 
 def pieces_of(text: Column) -> Column:
     """The units of a text by line: lines, sentences, and parts of long ones."""
-    long = lambda p: (F.char_length(p) > LONG) | ((F.char_length(p) > LONG_UNSPACED) & p.rlike(f"[{UNSPACED}]"))
+    # Only pieces with letters outside of ASCII are searched for scripts without spaces.
+    long = lambda p: (F.char_length(p) > LONG) | ((F.char_length(p) > LONG_UNSPACED) & (F.octet_length(p) > F.char_length(p)) & p.rlike(f"[{UNSPACED}]"))
     return F.flatten(F.transform(F.split(text, PIECES), lambda p: F.when(long(p), cut_long(p)).otherwise(F.array(p))))
 
 
+def normal(unit: Column) -> Column:
+    """unit in lower case, with single spaces for white space and none around it; the pattern is tried only where there is such white space."""
+    odd = [unit.contains(s) for s in ("  ", "\n", "\t", "\r", "\x0b", "\x0c")]
+    return F.trim(F.lower(F.when(reduce(or_, odd), F.regexp_replace(unit, r"\s+", " ")).otherwise(unit)))
+
+
+def hashed_units(docs: DataFrame, id_col: str, text_col: str, pieces: Column) -> DataFrame:
+    """(n, id, t, units) by row of docs: whether its id is null, id, hash of the text, and each unit's length and 128-bit hash
+    (null where a unit is blank)."""
+    hashes = lambda u: F.when(u != "", F.struct(F.xxhash64(u).alias("h1"), F.xxhash64(F.lit("second"), u).alias("h2")))
+    units = F.transform(pieces, lambda p: F.struct(F.char_length(p).alias("size"), named(normal(p), hashes).alias("hash")))
+    return docs.select(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), units.alias("units"))
+
+
 def lost(words: list[int], ends: list[bool], late: set[int], min_line: int, min_run: int) -> set[int]:
     """Which of the late units go: those of whole late lines, and of runs of late units, with enough words.
 
@@ -95,18 +112,23 @@ def lost(words: list[int], ends: list[bool], late: set[int], min_line: int, min_
     return gone
 
 
-def late_units(units: DataFrame) -> DataFrame:
-    """units: (h1, h2, n, id, t, pos), n whether id is null -> (n, id, t, late, times): the places of each text's late units, and
-    how many rows have this id and text.
+def late_units(texts: DataFrame) -> DataFrame:
+    """texts: of hashed_units -> (n, id, t, late, sizes, times): of each text that has late units their places, the lengths of all
+    its units, and how many rows have this id and text.
 
     Digests are counted by hash aggregation first; the first place is looked for only among those that occur twice.
     """
+    units = texts.select("n", "id", "t", F.posexplode("units").alias("pos", "unit")).where(F.col("unit.hash").isNotNull())
+    units = units.select("unit.hash.h1", "unit.hash.h2", "n", "id", "t", "pos")
     counts = cut(units.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1"))
     again, folder = stored(split_join(units, counts, ["h1", "h2"], "times", DIGESTS), "repeated-units")
     firsts = again.groupBy("h1", "h2").agg(F.min(F.struct("n", "id", "t", "pos")).alias("first"), F.count("*").alias("times"))
     late = split_join(again, cut(firsts), ["h1", "h2"], "times", DIGESTS).where(F.struct("n", "id", "t", "pos") > F.col("first"))
-    late = cut(late.groupBy("n", "id", "t").agg(F.collect_set("pos").alias("late"), F.count("*").alias("units")).withColumn("times", (F.col("units") / F.size("late")).cast("long")).drop("units"))  # no more than the text has units
-    forget(units.sparkSession, folder)
+    # Each row brings its lengths once, so that these count the rows.
+    both = late.select("n", "id", "t", "pos").unionByName(texts.select("n", "id", "t", F.col("units.size").alias("sizes")), allowMissingColumns=True)
+    late = both.groupBy("n", "id", "t").agg(F.collect_set("pos").alias("late"), F.first("sizes", True).alias("sizes"), F.count("sizes").alias("times"))
+    late = cut(late.where(F.size("late") > 0))
+    forget(texts.sparkSession, folder)
     return late
 
 
@@ -120,18 +142,16 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_line: int = MIN_LINE, m
     empty result.
     """
     docs = docs.drop("n_units", "n_removed", "removed").withColumn(text_col, F.col(text_col).cast("string"))
-    k_id, k_text, late_, units_, sizes_, n_, times_ = fresh(docs, "key_id", "key_text", "late_at", "cut_up", "sizes", "count_of_units", "count_of_rows")
+    k_id, k_text, late_, sizes_, n_, times_ = fresh(docs, "key_id", "key_text", "late_at", "sizes", "count_of_units", "count_of_rows")
     pieces = pieces_of(F.col(text_col)) if unit == "line" else F.split(text_col, PARAGRAPHS)
     key_text = F.xxhash64(text_col)
-    norm = F.trim(F.lower(F.regexp_replace("u", r"\s+", " ")))
-    units = docs.select(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), key_text.alias("t"), F.posexplode(pieces).alias("pos", "u")).withColumn("u", norm).where("u <> ''")
-    units, folder = stored(units.select(F.xxhash64("u").alias("h1"), F.xxhash64(F.lit("second"), "u").alias("h2"), "n", "id", "t", "pos"), "units")
-    late = late_units(units).select(F.struct("id").alias(k_id), F.col("t").alias(k_text), F.col("late").alias(late_), F.col("times").alias(times_))
+    texts, folder = stored(hashed_units(docs, id_col, text_col, pieces), "units")
+    late = late_units(texts).select(F.struct("id").alias(k_id), F.col("t").alias(k_text), F.col("late").alias(late_), F.col("sizes").alias(sizes_), F.col("times").alias(times_))
     forget(docs.sparkSession, folder)
     # Positions grow with the corpus: they are never broadcast. A struct of a null id equals another.
     out = split_join(docs.withColumn(k_id, F.struct(F.col(id_col).alias("id"))).withColumn(k_text, key_text), late, [k_id, k_text], times_, -1, "left")
-    out = out.withColumn(units_, pieces).withColumn(n_, F.when(F.length(text_col) > 0, F.size(units_)).otherwise(0).cast("long"))
-    out = out.withColumn(sizes_, F.when(F.col(late_).isNotNull(), F.transform(units_, F.char_length)))
+    # Texts with late units bring their lengths along; only the others are cut again, to be counted.
+    out = out.withColumn(n_, F.when(F.col(sizes_).isNotNull(), F.size(sizes_)).when(F.length(text_col) > 0, F.size(pieces)).otherwise(0).cast("long"))
     cols = docs.columns
     where = cols.index(text_col)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_units"), F.lit(0).cast("long").alias("n_removed"), F.expr("CAST(NULL AS array<struct<start:bigint,length:bigint>>) AS removed")).schema

@@ -76,3 +76,19 @@ def test_late_places_of_a_text_are_not_copied(spark, monkeypatch):
     assert got == sorted(want, key=str)
     late = small[-1].select("count_of_rows").collect()
     assert len(late) == 41 and sorted(r[0] for r in late)[-2:] == [2, 5]
+
+
+def test_texts_with_late_units_are_not_cut_again(spark, monkeypatch):
+    rows = ["one two three four five six\nOwn words. And more\n", "one two three four five six\n\n A  last line", "nothing of that", "", None]
+    small, real = [], ld.split_join
+    monkeypatch.setattr(ld, "split_join", lambda big, s, *a: small.append(s) or real(big, s, *a))
+    got = {r.doc_id: r.n_units for r in ld.dedup_units(texts(spark, rows), min_line=5).collect()}
+    assert got == {i: len(units(spark, t)) if t else 0 for i, t in enumerate(rows)}
+    assert [r.sizes for r in small[-1].collect()] == [[len(u) for u in units(spark, rows[1])]]
+
+
+def test_units_are_normalised_as_by_one_pattern(spark):
+    r = random.Random(5)
+    rows = ["".join(r.choice(["a", "B", "É", " ", "  ", "\t", "\n", "\x0b", "\x0c", "\r", "\xa0", "　"]) for _ in range(r.randint(0, 12))) for _ in range(400)]
+    got = texts(spark, rows).select(ld.normal(F.col("text")).alias("a"), F.trim(F.lower(F.regexp_replace("text", r"\s+", " "))).alias("b")).collect()
+    assert all(x.a == x.b for x in got)
