@@ -5,9 +5,10 @@ states are the classes of phrases that end at the same positions, with the numbe
 shorter end of theirs. They come from sorting: phrases of k words split the classes of phrases of k - 1 words by the word
 before. States give the counts of all phrases of the shard; the counts of all shards are summed.
 
-Only phrases that can reach the least count are summed as text. A first pass sums all pairs of frequent words by a hash; a shard then
-learns which of its pairs occur often enough anywhere, and counts longer phrases over those only. Equal hashes can let
-a phrase through to the second pass, where it is counted by itself: they never change a result.
+Phrases are summed size by size. Frequent words are numbered, and so are the frequent phrases of each size; a phrase stands as the
+number of the phrase before its last word and that word's number, which is exact and takes one long. A shard learns the numbers
+of its frequent phrases of one size, and gives out only those of the next whose beginning and end are both frequent. Texts are put
+together for frequent phrases only.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,8 +34,8 @@ from tessera.plans.skew import fits, lookup_join, split_join
 LEAST, DEPTH, FIRST, SHARE = 100, 5, 2000, 100
 #: Words from which a shard is closed (with the text that fills it), and of all open shards of a task.
 SHARD_WORDS, OPEN_WORDS = 1 << 19, 1 << 20
-#: Hashes of words, and of pairs, up to which they are broadcast (32 MB); rows of a batch of phrases.
-HASHES, ROWS = 4_000_000, 1 << 16
+#: Phrases of a size up to which their numbers are broadcast (48 MB), and words.
+HASHES, WORDS_SENT = 4_000_000, 2_000_000
 BREAKS = ".,;:!?\n\v\f\r"
 #: A byte that UTF-8 never has stands for a break.
 BREAK = b"\xff"
@@ -114,8 +117,9 @@ class Automaton:
         return self.end[has], self.count[has]
 
 
-def automaton(ids: np.ndarray, depth: int, pair_counts: np.ndarray | None = None) -> Automaton:
-    """Of phrases of 1 to depth words that hold no 0; pair_counts: whether the pair that ends at a position may be in a phrase."""
+def automaton(ids: np.ndarray, depth: int, known: list[np.ndarray] | None = None) -> Automaton:
+    """Of phrases of 1 to depth words that hold no 0; known: from pairs on, whether the phrase of each size that ends at a position may
+    be in a longer one."""
     at, cls = np.nonzero(ids)[0], None
     base = int(ids.max(initial=0)) + 1
     count, up, length, end, first = [], [], [], [], 0
@@ -125,8 +129,8 @@ def automaton(ids: np.ndarray, depth: int, pair_counts: np.ndarray | None = None
         else:
             fits = at >= k - 1
             fits[fits] = ids[at[fits] - (k - 1)] > 0
-            if pair_counts is not None:
-                fits[fits] = pair_counts[at[fits] - (k - 2)]
+            if known and 0 <= k - 3 < len(known):
+                fits[fits] = known[k - 3][at[fits]] & known[k - 3][at[fits] - 1]
             at, cls = at[fits], cls[fits]
             key = cls * base + ids[at - (k - 1)]
         seen, cls_k, n = np.unique(key, return_inverse=True, return_counts=True)
@@ -157,104 +161,130 @@ def automaton(ids: np.ndarray, depth: int, pair_counts: np.ndarray | None = None
     return Automaton(length[top[state]], length[state], count[state], end[state], np.where(above >= 0, number[heir[above]], -1))
 
 
-def word_hashes(lang: str, words: list[str]) -> np.ndarray:
-    """What xxhash64 of Spark gives for language and word, by the word's number."""
-    seed = xxhash.xxh64_intdigest(lang, 42)
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-
-
-def pair_hashes(lang: str, words: list[str], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of language and pair of words, by the pair's end."""
-    h = word_hashes(lang, words)
-    a, b = h[ids[ends - 1]], h[ids[ends]]
-    mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + (a >> np.uint64(31)))
-    mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return mixed ^ (mixed >> np.uint64(32))
-
-
-def opened(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
-    """(shard, lang, words, ids, *more) by row."""
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(shard, lang, words, ids, *further cells) by row."""
     for b in batches:
         for i in range(b.num_rows):
             shard, lang, words, ids = (b.column(c)[i].as_py() for c in ("shard", "lang", "words", "ids"))
             words = unpacked(words).decode()
-            yield shard, lang, ["", *(words.split(" ") if words else [])], np.frombuffer(unpacked(ids), np.int32), *[b.column(c)[i].values.to_numpy() for c in more]
+            yield shard, lang, ["", *(words.split(" ") if words else [])], np.frombuffer(unpacked(ids), np.int32), *[c[i] for c in b.columns[4:]]
 
 
-def word_counts(shards: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, f) of the words with f >= least."""
+def word_rows(shards: DataFrame) -> DataFrame:
+    """(shard, lang, phrase, number, f): the words of each shard, their numbers there and how often they occur."""
 
     def run(batches):
-        for _, lang, words, ids in opened(batches):
+        for shard, lang, words, ids in opened(batches):
             n = np.bincount(ids, minlength=len(words))[1:]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(words[1:], pa.string()), pa.array(n)], names=["lang", "phrase", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard)), pa.array([lang] * len(n), pa.string()), pa.array(words[1:], pa.string()), pa.array(np.arange(1, len(n) + 1, dtype=np.int32)), pa.array(n)], names=["shard", "lang", "phrase", "number", "f"])
 
-    found = shards.select("shard", "lang", "words", "ids").mapInArrow(run, "lang string, phrase string, f long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return shards.select("shard", "lang", "words", "ids").mapInArrow(run, "shard long, lang string, phrase string, number int, f long")
 
 
-def sent_hashes(rows: DataFrame) -> Broadcast:
-    """The one column of rows, as sorted unsigned numbers, broadcast."""
-    return rows.sparkSession.sparkContext.broadcast(np.sort(rows.toArrow().column(0).to_numpy().view(np.uint64)))
+def numbered(df: DataFrame) -> DataFrame:
+    """df, cut, with its rows numbered from 1 in `id`, so densely that 32 bits hold 2^31 rows."""
+    placed = cut(df.withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", 33)
+    sizes = sorted(map(tuple, placed.groupBy(part.alias("part")).count().collect()))
+    firsts = list(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=1)))
+    first = F.broadcast(df.sparkSession.createDataFrame(firsts, "part long, first long"))
+    return placed.withColumn("part", part).join(first, "part").withColumn("id", F.col("first") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "first")
 
 
-def pair_rows(shards: DataFrame, words: DataFrame, hashes_sent: int) -> DataFrame:
-    """(shard, h, n): the hashes of each shard's pairs and how often they occur there.
+def coded(shards: DataFrame, words: DataFrame, words_sent: int) -> DataFrame:
+    """(shard, ids): shards with the numbers of frequent words, `words`, and 0 for other words; packed.
 
-    Words that aren't among the frequent ones, `words`, are left out, if these are few enough to be broadcast.
+    Words are broadcast up to words_sent; beyond it each shard gets the numbers of those that it holds, by a join.
     """
-    sent = None
-    if fits(words, hashes_sent):
-        sent = sent_hashes(words.select(F.xxhash64("lang", "phrase")))
+    texts, sent = shards.select("shard", "lang", "words", "ids"), None
+    if fits(words, words_sent):
+        found = words.select("lang", "phrase", "id").toArrow()
+        by_lang = ((lang, found.filter(pc.equal(found["lang"], lang))) for lang in pc.unique(found["lang"]))
+        sent = words.sparkSession.sparkContext.broadcast({lang.as_py(): (x["phrase"].combine_chunks(), x["id"].to_numpy().astype(np.int32)) for lang, x in by_lang})
+    else:
+        own = split_join(word_rows(shards).drop("f"), words.select("lang", "phrase", "id", "f"), ["lang", "phrase"], "f")
+        texts = texts.join(own.groupBy("shard").agg(F.collect_list(F.struct("number", "id")).alias("own")), "shard")
 
     def run(batches):
-        for shard, lang, words, ids in opened(batches):
-            if sent:
-                ids = np.where(among(word_hashes(lang, words), sent.value)[ids], ids, 0)
-            ends, n = automaton(ids, 2).phrases(2)
-            h = pair_hashes(lang, words, ids, ends)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard)), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["shard", "h", "n"])
-
-    return shards.select("shard", "lang", "words", "ids").mapInArrow(run, "shard long, h long, n long")
-
-
-def phrase_counts(shards: DataFrame, words: DataFrame, least: int, depth: int, hashes_sent: int = HASHES) -> DataFrame:
-    """(lang, phrase, size, f) of the phrases of 2 to depth words with f >= least; words: those with f >= least.
-
-    The hashes of pairs that occur `least` times or more are broadcast if there are no more than hashes_sent.
-    Beyond it each shard gets those that it holds, by a join on the shard: no more than it has words.
+        for shard, lang, words, ids, *own in opened(batches):
+            to = np.zeros(len(words), np.int32)
+            if own:
+                to[own[0].values.field("number").to_numpy()] = own[0].values.field("id").to_numpy()
+            elif lang in sent.value:
+                names, numbers = sent.value[lang]
+                at = pc.fill_null(pc.index_in(pa.array(words[1:], names.type), value_set=names), -1).to_numpy()
+                to[1:] = np.where(at >= 0, numbers[at], 0)
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([packed(to[ids].tobytes())])], names=["shard", "ids"])
+
+    return texts.mapInArrow(run, "shard long, ids binary")
+
+
+def numbers_at(shorter: np.ndarray, ids: np.ndarray, keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """By position, the number of the frequent phrase that ends there, or 0. shorter: the same for phrases of a word less; keys,
+    numbers: of frequent phrases, in order of keys."""
+    at = np.nonzero((shorter[:-1] > 0) & (ids[1:] > 0))[0] + 1
+    key = (shorter[at - 1].astype(np.int64) << 32) | ids[at]
+    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    out = np.zeros(len(ids), np.int32)
+    out[at] = np.where(keys[place] == key, numbers[place], 0)
+    return out
+
+
+def phrase_rows(texts: DataFrame, size: int, sent: list[Broadcast | None]) -> DataFrame:
+    """(shard, key, n): the phrases of so many words of each shard whose beginnings and ends are frequent, and how often they occur there.
+
+    texts: of `coded`; for each size from 2 to size - 1 the keys and numbers of frequent phrases are broadcast, or a further column
+    has those of the shard.
     """
-    rows = pair_rows(shards, words, hashes_sent)
-    often = cut(rows.groupBy("h").agg(F.sum("n").alias("f"), F.count("*").alias("times")).where(F.col("f") >= least).select("h", "times"))
-    texts = shards.select("shard", "lang", "words", "ids")
-    sent = None
-    if fits(often, hashes_sent):
-        sent = sent_hashes(often.select("h"))
-    else:
-        texts = texts.join(split_join(rows.select("shard", "h"), often, "h", "times").groupBy("shard").agg(F.collect_list("h").alias("pairs")), "shard")
 
     def run(batches):
-        for _, lang, words, ids, *own in opened(batches, *([] if sent else ["pairs"])):
-            pair = np.zeros(len(ids), bool)
-            at = np.nonzero((ids[1:] > 0) & (ids[:-1] > 0))[0] + 1
-            pair[at] = among(pair_hashes(lang, words, ids, at), sent.value if sent else np.sort(own[0].view(np.uint64)))
-            states = automaton(ids, depth, pair)
-            for k in range(2, depth + 1):
-                ends, n = states.phrases(k)
-                for b in range(0, len(n), ROWS):
-                    e = ends[b : b + ROWS]
-                    cols = [map(words.__getitem__, ids[e - k + 1 + j].tolist()) for j in range(k)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(e), pa.string()), pa.array(map(" ".join, zip(*cols)), pa.string()), pa.array(np.full(len(e), k, np.int32)), pa.array(n[b : b + ROWS], pa.int64())], names=["lang", "phrase", "size", "f"])
-
-    found = texts.mapInArrow(run, "lang string, phrase string, size int, f long")
-    return found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-
-
-def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of x are in known, which is sorted."""
-    at = np.searchsorted(known, x)
-    at[at == len(known)] = 0
-    return known[at] == x if len(known) else np.zeros(len(x), bool)
+        for b in batches:
+            for i in range(b.num_rows):
+                ids = np.frombuffer(unpacked(b.column("ids")[i].as_py()), np.int32)
+                at, known, own = ids, [], iter(b.columns[2:])
+                for s in sent:
+                    if s:
+                        keys, numbers = s.value
+                    else:
+                        cell = next(own)[i].values
+                        keys, numbers = cell.field("key").to_numpy(), cell.field("id").to_numpy()
+                        order = np.argsort(keys)
+                        keys, numbers = keys[order], numbers[order]
+                    at = numbers_at(at, ids, keys, numbers)
+                    known.append(at > 0)
+                ends, n = automaton(ids, size, known).phrases(size)
+                key = (at[ends - 1].astype(np.int64) << 32) | ids[ends]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), b.column("shard")[i].as_py(), np.int64)), pa.array(key), pa.array(n, pa.int64())], names=["shard", "key", "n"])
+
+    return texts.mapInArrow(run, "shard long, key long, n long")
+
+
+def phrase_counts(texts: DataFrame, words: DataFrame, least: int, depth: int, hashes_sent: int = HASHES) -> DataFrame:
+    """(lang, phrase, size, f) of the phrases of 2 to depth words with f >= least; texts: of `coded`, words: those with f >= least, numbered.
+
+    The numbers of frequent phrases of a size are broadcast if there are no more than hashes_sent. Beyond it each shard gets those
+    that it holds, by a join: no more than it has words.
+    """
+    spark, sent, shorter, found = words.sparkSession, [], words.select("id", "lang", "phrase"), []
+    for size in range(2, depth + 1):
+        rows = phrase_rows(texts, size, [*sent])
+        often = numbered(rows.groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+        parts = often.select("id", "key", "f", F.shiftright("key", 32).alias("before"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("last"))
+        named = lookup_join(parts, shorter.withColumnsRenamed({"id": "before", "phrase": "beginning"}), ["before"])
+        named = lookup_join(named, words.select(F.col("id").alias("last"), F.col("phrase").alias("word")), ["last"])
+        shorter = cut(named.select("id", "lang", F.concat_ws(" ", "beginning", "word").alias("phrase"), F.lit(size).alias("size"), "f"))
+        found.append(shorter.drop("id"))
+        shorter = shorter.select("id", "lang", "phrase")
+        if size == depth or fits(often, 0):
+            break
+        if fits(often, hashes_sent):
+            known = often.select("key", "id").orderBy("key").toArrow()
+            sent.append(spark.sparkContext.broadcast((known["key"].to_numpy(), known["id"].to_numpy().astype(np.int32))))
+        else:
+            own = split_join(rows.select("shard", "key"), often.select("key", "id", "f"), "key", "f")
+            texts = texts.join(cut(own.groupBy("shard").agg(F.collect_list(F.struct("key", "id")).alias(f"own_{size}"))), "shard")
+            sent.append(None)
+    return reduce(DataFrame.unionByName, found)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, first: int = FIRST, share: int = SHARE, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS, hashes_sent: int = HASHES) -> DataFrame:
@@ -269,11 +299,13 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, first:
     phrases and an empty table give no rows; other columns play no part. A text is held whole by one task.
     """
     shards, folder = stored(sharded(docs, lang_col, text_col, shard_words), "shards")
-    words = cut(word_counts(shards, least))
-    found = cut(phrase_counts(shards, words, least, depth, hashes_sent))
+    words = numbered(word_rows(shards).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
     total = cut(shards.groupBy("lang").agg(F.sum("n").alias("n")))
+    texts, numbers = stored(coded(shards, words, min(hashes_sent, WORDS_SENT)), "numbers")
     forget(docs.sparkSession, folder)
-    parts = words.unionByName(found.select("lang", "phrase", "f"))
+    found = phrase_counts(texts, words, least, depth, hashes_sent)
+    forget(docs.sparkSession, numbers)
+    parts = words.drop("id").unionByName(found.select("lang", "phrase", "f"))
     join = lambda a, b: F.array_join(F.slice("w", a, b), " ")
     cuts = found.join(F.broadcast(total), "lang").withColumn("w", F.split("phrase", " ")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
     cuts = cuts.select("lang", "phrase", F.col("f").alias("a"), "n", "k", join(F.lit(1), F.col("k")).alias("left"), join(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))

@@ -107,3 +107,22 @@ def test_shards_are_passed_packed(spark):
     got = {r.lang: r for r in ph.sharded(spark.createDataFrame(rows, "lang string, text string")).groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.length("ids")).alias("ids"), F.sum(F.expr("length(cast(words AS binary))")).alias("words")).collect()}
     assert got["en"].n == 20_002 and got["en"].ids < 20_002 * 4 / 2 and got["und"].n == got["de"].n == 0
     assert ph.unpacked(ph.packed(b"")) == b"" and ph.unpacked(ph.packed(b"ab\x00")) == b"ab\x00"
+
+
+@pytest.mark.parametrize("hashes_sent", [ph.HASHES, 0])
+def test_shards_give_out_only_phrases_whose_beginning_and_end_are_frequent(spark, monkeypatch, hashes_sent):
+    # Pairs of frequent words are all frequent; of longer phrases, only "a b c d e" and what it holds are.
+    r = random.Random(4)
+    rows = [("en", ". ".join(["a b c d e", *[" ".join(r.choice("abcdefgh") for _ in range(12)) for _ in range(4)]])) for _ in range(80)]
+    seen, real = {}, ph.phrase_rows
+    monkeypatch.setattr(ph, "phrase_rows", lambda texts, size, sent: seen.setdefault(size, (out := real(texts, size, sent)).cache().agg(F.sum("n")).first()[0]) and out)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    got = ph.collocations(docs, least=25, first=50, shard_words=400, hashes_sent=hashes_sent).collect()
+    assert sorted(map(tuple, got)) == plain(rows, 25, 50)
+    assert seen[4] < 300 and seen[5] < 150  # of 3,040 and 2,640 places
+
+
+def test_numbers_are_dense(spark):
+    got = ph.numbered(spark.range(1000).repartition(7)).collect()
+    assert sorted(x.id for x in got) == list(range(1, 1001))
+    assert ph.numbered(spark.range(0)).collect() == []
