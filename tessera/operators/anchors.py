@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.splits import overlaps, seeded_key
-from tessera.plans.lineage import cut
+from tessera.plans.lineage import cut, stored
 from tessera.plans.skew import split_join
 
 
@@ -110,11 +110,14 @@ def split_overlaps(rows: DataFrame, gold: DataFrame) -> DataFrame:
 def unseen(rows: DataFrame, gold: DataFrame, earlier: Sequence[str], later: str) -> DataFrame:
     """(query_id, src, direct, component_wide): whether a query of the later split shares no relevant document with queries of the
     earlier ones, and whether nothing links it to them, over any queries. rows: (query_id, src, component, split); gold as above."""
-    before = rows.where(F.col("split").isin(*earlier))
-    used = gold.join(before.select("query_id").distinct(), "query_id", "left_semi").select("doc_id").distinct()
-    touched = gold.join(used, "doc_id", "left_semi").select("query_id").distinct().withColumn("by_document", F.lit(True))
-    reached = before.select("component").distinct().withColumn("by_component", F.lit(True))
-    out = rows.where(F.col("split") == later).join(touched, "query_id", "left").join(reached, "component", "left")
+    is_before, is_after = F.col("split").isin(*earlier), F.col("split") == later
+    sides = rows.select("query_id", is_before.alias("b"), is_after.alias("a")).where("a OR b").groupBy("query_id").agg(F.max("b").alias("b"), F.max("a").alias("a"))
+    # The gold of both sides from one shuffle; it is narrow, and all that the searches below read.
+    held, _ = stored(gold.select("query_id", "doc_id").join(sides, "query_id"), "gold")
+    used = held.where("b").select("doc_id").distinct()
+    touched = held.where("a").join(used, "doc_id", "left_semi").select("query_id").distinct().withColumn("by_document", F.lit(True))
+    reached = rows.where(is_before).select("component").distinct().withColumn("by_component", F.lit(True))
+    out = rows.where(is_after).join(touched, "query_id", "left").join(reached, "component", "left")
     return out.select("query_id", "src", F.col("by_document").isNull().alias("direct"), F.col("by_component").isNull().alias("component_wide"))
 
 

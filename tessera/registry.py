@@ -19,7 +19,7 @@ from tessera.operators.ranking import top_k
 from tessera.operators.vector import dense_search, embedding_quality, hashed_embedding, hashing_model
 from tessera.plans.base import DUCK_BASE, EVAL
 from tessera.plans.evaluation import DEPTH, PREFIX, evaluation
-from tessera.plans.lineage import cut, ensure_checkpoint_dir, forget
+from tessera.plans.lineage import cut, ensure_checkpoint_dir, forget, stored
 from tessera.sources import vectors
 from tessera.sources.tables import corpus, table
 from tessera.streaming.latency import drain, latency_windows, read_events
@@ -545,11 +545,12 @@ query("unseen_counts", f"""{_PLACED}, used AS (SELECT DISTINCT doc_id FROM qrels
     lambda s, d: anchors.unseen_counts(_anchored(s, d).withColumn("split", F.when(F.col("split").isin("reserve", "confirmation"), "later").otherwise(F.col("split"))), evaluation(s, d).qrels, ["development", "quarantined", "calibration"], "later"))
 
 
-def _orders(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as queries, split by priority, their customers as texts and their parts as relevant documents."""
+def _orders(s: SparkSession, d: str, only: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Orders (of these splits only, without texts, if given) as queries, split by priority, their customers as texts and their parts, which can repeat, as relevant documents."""
     comp = _component_table(s, d).where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("query_id"), "component")
     rows = table(s, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderstatus").alias("src"), F.col("o_custkey").cast("string").alias("norm"), F.col("o_orderpriority").alias("split"))
-    return cut(rows.join(comp, "query_id")), table(s, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id")).distinct()
+    rows = rows if only is None else rows.where(F.col("split").isin(*only)).drop("norm")
+    return stored(rows.join(comp, "query_id"), "orders")[0], table(s, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"))
 
 
 _ORDERS = f"WITH RECURSIVE {_COMP}, held AS (SELECT o_orderkey AS query_id, o_orderstatus AS src, o_custkey::VARCHAR AS norm, o_orderpriority AS split, component FROM orders JOIN comp ON node = o_orderkey * 2), rel AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey AS doc_id FROM lineitem)"
@@ -560,7 +561,7 @@ query("split_overlaps", f"""{_ORDERS}, keys AS (SELECT DISTINCT 'query' AS what,
 query("unseen_orders", f"""{_ORDERS}, used AS (SELECT DISTINCT doc_id FROM rel JOIN held USING (query_id) WHERE split = '1-URGENT'), touched AS (SELECT DISTINCT query_id FROM rel JOIN used USING (doc_id)),
   reached AS (SELECT DISTINCT component FROM held WHERE split = '1-URGENT')
   SELECT h.query_id, src, t.query_id IS NULL AS direct, r.component IS NULL AS component_wide FROM held AS h LEFT JOIN touched AS t ON t.query_id = h.query_id LEFT JOIN reached AS r ON r.component = h.component WHERE split = '5-LOW'""")(
-    lambda s, d: anchors.unseen(*_orders(s, d), ["1-URGENT"], "5-LOW"))
+    lambda s, d: anchors.unseen(*_orders(s, d, ("1-URGENT", "5-LOW")), ["1-URGENT"], "5-LOW"))
 
 
 def _cohort(s: SparkSession, d: str) -> DataFrame:

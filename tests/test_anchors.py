@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import anchors, splits
+from tessera.plans.lineage import ensure_checkpoint_dir
 
 SEED = "fixed"
 
@@ -111,3 +112,14 @@ def test_direct_and_component_wide_disjointness(spark):
     shared = {(r.what, r.a, r.b): r.shared for r in anchors.split_overlaps(rows, gold).collect()}
     assert shared == {("text", "confirmation", "development"): 1, ("document", "confirmation", "development"): 1, ("document", "confirmation", "reserve"): 2, ("document", "development", "reserve"): 1,
                       ("component", "confirmation", "development"): 1, ("component", "confirmation", "reserve"): 1, ("component", "development", "reserve"): 1}
+
+
+def test_unseen_orders_keep_only_what_is_asked_for(spark):
+    from tessera import registry
+    from tests.test_skew import kept_bytes
+
+    d = "/root/testdata/sf0.01"
+    ensure_checkpoint_dir(spark)
+    before, n = kept_bytes(spark), spark.read.parquet(f"{d}/lineitem.parquet").count()
+    assert registry.queries()["unseen_orders"](spark, d).count() == spark.read.parquet(f"{d}/orders.parquet").where("o_orderpriority = '5-LOW'").join(spark.read.parquet(f"{d}/lineitem.parquet"), F.expr("o_orderkey = l_orderkey"), "left_semi").count()
+    assert kept_bytes(spark) - before < 10 * n
